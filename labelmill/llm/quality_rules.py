@@ -28,11 +28,11 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Greatest allowed shares, of word characters, inside repeated n-grams (by n) and inside lines that repeat an earlier one, and of symbols."""
+    """Greatest allowed shares of word characters: inside n-grams that occurred earlier in the text (by n), inside lines that equal an earlier one, and of symbols."""
 
-    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
-    line_chars: float = 0.20
-    symbols: float = 0.10
+    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25})
+    line_chars: float = 0.30
+    symbols: float = 0.05
     min_words: int = 50
     repeat_words_percent: int = 50
 
@@ -63,7 +63,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray, w_starts: np.ndarray, w
 
 
 def repetition(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> dict[str, np.ndarray]:
-    """The base statistics of each row, and for each n dup_n: its word characters inside n-grams that it repeats."""
+    """The base statistics of each row, and for each n dup_n: its word characters inside n-grams that occurred earlier in it."""
     n_rows = len(offsets) - 1
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     hashes, rows, starts, ends = words(data, offsets, SPACED, lower=False)
@@ -85,7 +85,9 @@ def repetition(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> dic
             at = at[at < len(keys)]
             at = at[inside[at]]
             at = at[repeated(keys[at])]
-        hit = covered(at, n, len(rows))
+        again = np.ones(len(at), bool)
+        again[np.unique(keys[at], return_index=True)[1]] = False
+        hit = covered(at[again], n, len(rows))
         out[f"dup_{n}"] = per_row(rows[hit], n_rows, chars[hit])
     return out
 

@@ -20,6 +20,7 @@ def brute(text):
         if n == 3:
             out["n_repeat_words"] = len(hit)
         else:
+            hit = {i + k for i, g in enumerate(grams) if g in set(grams[:i]) for k in range(n)} if max(seen.values(), default=0) > 1 else set()
             out[f"dup_{n}"] = sum(len(ws[i]) for i in hit)
     out["base_failed"] = out["n_words"] < 50 or 100 * out["n_repeat_words"] > 50 * out["n_words"]
     return out
