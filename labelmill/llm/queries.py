@@ -5,20 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from labelmill.llm.decontaminate import contamination
+from labelmill.llm.near_dup import near_duplicates
 from labelmill.llm.quality_rules import repetition_stats
+from labelmill.llm.sql import DECONTAMINATION_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_stats(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bbit_minhash": op2_bbit_minhash,
+    "op3_winnowing": op3_winnowing,
     "op5_repetition_coverage": op5_repetition_coverage,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_winnowing": DECONTAMINATION_SQL,
+}
