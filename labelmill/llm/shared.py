@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ def crc_fold(doc_id, n: int):
     return F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(n))
 
 
-def long_bits(column):
-    """A column of unsigned 64-bit hashes is carried as signed long; this is its type."""
-    return F.col(column).cast("long")
+def sent(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a value of this package's classes, which travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast):
+    return pickle.loads(broadcast.value)

@@ -17,3 +17,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_ESCAPED = "regexp_replace(x, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+
+CHAT_SQL = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
+    UNION ALL SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT CAST(-1 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, row_number() OVER w AS r, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, x)),
+s AS (SELECT *, length({_ESCAPED}) + CASE WHEN role IS NOT DISTINCT FROM before THEN 10 ELSE 12 + length(role) + 1 + 11 END AS n FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY r)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY r) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
