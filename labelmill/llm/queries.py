@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from labelmill.llm.chat import formatted, loss_text_of, turns_of
 from labelmill.llm.decontaminate import contamination
+from labelmill.llm.licenses import license_spans
 from labelmill.llm.lm import language_scores
 from labelmill.llm.near_dup import near_duplicates
 from labelmill.llm.pieces import decoded, encoded
+from labelmill.llm.pii import KINDS, personal_spans
 from labelmill.llm.quality_model import quality_scores
 from labelmill.llm.quality_rules import repetition_stats
 from labelmill.llm.sql import CHAT_SQL, DECONTAMINATION_SQL
@@ -54,6 +56,38 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_stats(_table(spark, sf_dir, "documents"))
 
 
+def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    firsts = F.transform(base, lambda s: s["first"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(firsts).alias("first_word"),
+        F.array_max(firsts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.least(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(1.0)), F.lit(0.0)).alias("score"),
+    )
+
+
+def op7_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(_table(spark, sf_dir, "documents"))
+    written = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    found = found.withColumn("written", written)
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.array_join(F.filter("written", lambda w: ~w.startswith("term:")), ",")
+    return found.select("doc_id", *map(number, KINDS), F.sha2(base, 256).alias("base_sha256"), F.array_join("written", ",").alias("spans"))
+
+
 def op8_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -87,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_winnowing": op3_winnowing,
     "op4_compression_quality": op4_compression_quality,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op6_diagonal_voting": op6_diagonal_voting,
+    "op7_disclosure_pii": op7_disclosure_pii,
     "op8_relational_chat": op8_relational_chat,
     "op9_backoff_automaton": op9_backoff_automaton,
     "op10_streaming_viterbi": op10_streaming_viterbi,
