@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.arrays import LOWER, SPACED, row_groups, segment_hashes, text_bytes, words
+from labelmill.llm.arrays import ALNUM, LOWER, row_groups, segment_hashes, text_bytes, words
 from labelmill.llm.labelled import SAMPLE_PER_CLASS, Logistic, labelled_sample
 from labelmill.llm.lm import Lookup
 from labelmill.llm.shared import crc_fold, received, sent
@@ -34,7 +34,7 @@ CLIP = 6.0
 
 def spellings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word; hashes of the word, its first five and its first four characters as columns)."""
-    hashes, rows, starts, ends = words(data, offsets, SPACED, lower=True)
+    hashes, rows, starts, ends = words(data, offsets, ALNUM, lower=True)
     out = np.empty((len(hashes), 1 + len(PREFIXES)), np.uint64)
     out[:, 0] = hashes
     for lo in range(0, len(hashes), 1 << 16):
@@ -82,30 +82,24 @@ class ClassModels:
         all5, all4 = np.bincount(of5, minlength=len(h5)) + 0.0, np.bincount(of4, minlength=len(h4)) + 0.0
         shared4 = (all4 + 0.5) / (all4.sum() + 0.5 * (len(h4) + 1))
         share5, share = (1.0 / (all4 + 1.0))[of4] if len(h4) else all5, (1.0 / (all5 + 1.0))[of5] if len(h5) else counts[0]
-        unknown = 0.5 / (all4.sum() + 0.5 * (len(h4) + 1))
-        p4, p5, p, q4, q5, q = [], [], [], [], [], []
+        p4, p5, p = [], [], []
         for n, t5, t4 in zip(counts, types5, types4, strict=True):
             s4, s5, s = max(t4.sum(), 1.0), max(t5.sum(), 1.0), max(n.sum(), 1.0)
             # what the discounts leave to the level below
             r4, r5, r = (max(d * (x > 0).sum() / y, 1e-6) for x, y in ((t4, s4), (t5, s5), (n, s)))
             p4.append(np.maximum(t4 - d, 0) / s4 + r4 * shared4)
-            q4.append(r4 * unknown)
             p5.append(np.maximum(t5 - d, 0) / s5 + r5 * p4[-1][of4] * share5)
-            q5.append(r5)
             p.append(np.maximum(n - d, 0) / s + r * p5[-1][of5] * share)
-            q.append(r)
-        # an unknown word, or beginning, only has the backoff weights of the levels above what is known of it
-        above = np.log(q[0] / q[1])
-        self.nothing = 0.0
-        centre = above + np.log(q5[0] / q5[1]) + np.log(q4[0] / q4[1])
-        ratios = [np.log(p[0] / p[1]), above + np.log(p5[0] / p5[1]), above + np.log(q5[0] / q5[1]) + np.log(p4[0] / p4[1])]
+        # an unknown word is judged by its longest known beginning, without the weights that led there: these say how much
+        # text of each class was counted, not what the word is
+        ratios = [np.log(x[0] / x[1]) for x in (p, p5, p4)]
         self.levels = []
-        for k, (known, r) in enumerate(zip((keys[0], h5, h4), ratios, strict=True)):
+        for known, r in zip((keys[0], h5, h4), ratios, strict=True):
             order = np.argsort(known)
-            self.levels.append((Lookup(known[order]), np.clip(r - centre, -CLIP, CLIP)[order]))
+            self.levels.append((Lookup(known[order]), np.clip(r, -CLIP, CLIP)[order]))
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), self.nothing)
+        out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for k, (find, value) in enumerate(self.levels):
             at = find(keys[left, k])
