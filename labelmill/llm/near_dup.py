@@ -7,8 +7,10 @@
 3. In every band bucket one leader (the member found in most company) is paired with the others. A pair is a
    candidate if the collision-corrected similarity, estimated from the bit counts of the signatures, doesn't rule the
    threshold out. Candidates are confirmed on the full sets, and links are joined into components.
-4. Buckets whose members are still in different components are compared in blocks of bounded size: every pair across
-   components goes through the same estimate and confirmation, so no link depends on the choice of the leader.
+4. What leaders left open is settled in blocks of bounded size. Every representative has a first leader, the one in most
+   company among those of its buckets. Representatives with the same first leader that are still in different components
+   are compared on their full sets inside the block; pairs of other first leaders that share a bucket go through the same
+   estimate and confirmation as in step 3. So no link depends on the choice of leaders.
 
 A bucket, however large, is only ever aggregated to one row (leader) or split into blocks. Nothing is collected to the
 driver but counts.
@@ -135,20 +137,25 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids those with 100 * intersection >= percent * union on their full sets. docs: (id, text)."""
-    kind = pairs.schema["a"].dataType
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = staged(wanted, "wanted")
+def _full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set): the full shingle sets of the texts of the wanted ids, a table in the shared folder."""
+    wanted = staged(wanted.distinct(), "wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
-    sets = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType())])
+    schema = T.StructType([docs.schema["id"], T.StructField("set", T.BinaryType())])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in row_groups(offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets[lo : hi + 1])], pa.binary())], names=["id", "set"])
 
+    return staged(texts.select("id", "text").mapInArrow(run, schema), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of ids those with 100 * intersection >= percent * union on their full sets. docs: (id, text)."""
+    kind = pairs.schema["a"].dataType
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -159,11 +166,47 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             if keep:
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    full = staged(texts.select("id", "text").mapInArrow(to_sets, sets), "sets")
+    full = _full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
     left, right = full.toDF("a", "set_a"), full.toDF("b", "set_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """members (rep, size, ...) once for each pair of blocks of their group that they take part in: own block, and the pair as i <= j."""
+    split = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return split.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other", "size")
+
+
+def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among members (lead, size, rep, label) with the same lead; of the links of a member to one component in a block one is given."""
+    kind = members.schema["rep"].dataType
+
+    def across(table: pa.Table) -> pa.Table:
+        rep, name, own = (table.column(c).to_numpy() for c in ("rep", "label", "own"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ys = np.flatnonzero(own == j)
+        sizes = np.array([len(sets[y]) for y in ys])
+        held = np.concatenate([sets[y] for y in ys]) if len(ys) else np.zeros(0, np.uint64)
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], np.repeat(np.arange(len(ys)), sizes)[order]
+        a, b = [], []
+        for x in np.flatnonzero(own == i):
+            lo, hi = np.searchsorted(held, sets[x], "left"), np.searchsorted(held, sets[x], "right")
+            count = hi - lo
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            both = np.bincount(owner[at], minlength=len(ys))
+            linked = np.flatnonzero((100 * both >= percent * (len(sets[x]) + sizes - both)) & (name[ys] != name[x]))
+            linked = linked[np.unique(name[ys[linked]], return_index=True)[1]]
+            a += [rep[x]] * len(linked)
+            b += rep[ys[linked]].tolist()
+        return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
+
+    rows = _in_blocks(members).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return rows.groupBy("lead", "i", "j").applyInArrow(across, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each id in links (a, b) reaches. Labels spread to neighbours and jump to their label's label until nothing changes."""
     links = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -202,34 +245,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = staged(classes.select("rep", F.explode("bands").alias("bucket")).join(sizes, "bucket"), "buckets")
     company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
     seated = buckets.join(company, "rep")
-    leaders = seated.groupBy("bucket").agg(F.max_by("rep", F.struct("company", "rep")).alias("lead"))
+    leaders = seated.groupBy("bucket").agg(F.max(F.struct("company", "rep")).alias("lead"))
+    led = staged(buckets.join(leaders, "bucket").select("bucket", "rep", "size", "lead"), "led")
     facts = classes.select("rep", "n", "sig")
-    lead_pairs = buckets.join(leaders, "bucket").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    lead_pairs = led.where("rep <> lead.rep").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
     lead_pairs = lead_pairs.join(facts.toDF("a", "na", "sa"), "a").join(facts.toDF("b", "nb", "sb"), "b")
     first = staged(_likely(lead_pairs, threshold), "pairs")
     links = staged(_confirmed(first, source, percent), "confirmed")
     label = components(links)
 
-    # what the leaders left open: buckets of three or more that still hold several components
-    placed = buckets.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    # what the leaders left open, first among representatives with the same first leader
+    first_lead = staged(led.groupBy("rep").agg(F.max("lead")["rep"].alias("lead")), "first-lead")
+    by_lead = first_lead.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "lead", F.coalesce("label", "rep").alias("label"))
+    open_leads = by_lead.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 2 and lo <> hi").select("lead", "size")
+    members = staged(by_lead.join(open_leads, "lead"), "members")
+    if not members.isEmpty():
+        links = staged(links.union(_linked_in_blocks(members, _full_sets(members.select(F.col("rep").alias("id")), source), percent)), "confirmed")
+        label = components(links)
+
+    # then in buckets of three or more that still hold several components
+    placed = led.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
     open_buckets = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = placed.join(open_buckets, "bucket").join(classes.select("rep", "n", "sig", "bands"), "rep")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS)).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.select("bucket", "rep", "label", "n", "sig", "bands", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("bucket", "rep", "label", "n", "sig", "bands", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rest = placed.join(open_buckets, "bucket").join(classes.select("rep", "n", "sig", "bands"), "rep").join(first_lead, "rep")
+    # buckets whose members all have one first leader are settled
+    mixed = rest.groupBy("bucket").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).where("lo <> hi").select("bucket")
+    rest = _in_blocks(rest.join(mixed, "bucket"))
     pair_type = T.StructType([T.StructField("a", sigs.schema["id"].dataType), T.StructField("b", sigs.schema["id"].dataType)])
 
     def across(table: pa.Table) -> pa.Table:
-        """Pairs of one block pair in different components, that share no earlier bucket and that the estimate doesn't rule out."""
-        rep, name, size, own = (table.column(c).to_numpy() for c in ("rep", "label", "n", "own"))
+        """Pairs of one block pair with different components and first leaders, that share no earlier bucket and that the estimate doesn't rule out."""
+        rep, name, size, own, lead = (table.column(c).to_numpy() for c in ("rep", "label", "n", "own", "lead"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
         bands = np.array(table.column("bands").to_pylist(), np.int64)
         bucket, i, j = table.column("bucket")[0].as_py(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
         at = int(np.flatnonzero(bands[0] == bucket)[0])
         out_a, out_b = [], []
         for x in np.flatnonzero(own == i):
-            y = np.flatnonzero((own == j) & (rep > rep[x] if i == j else own == j) & (name != name[x]) & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * (threshold - 1e-9)))
+            y = np.flatnonzero((own == j) & (rep > rep[x] if i == j else own == j) & (name != name[x]) & (lead != lead[x]) & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * (threshold - 1e-9)))
             if len(y):
                 y = y[estimated(sig[y], sig[x]) >= threshold - SLACK]
                 y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
