@@ -14,6 +14,9 @@ remembered up to a bound.
 from __future__ import annotations
 
 import re
+import sys
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +29,12 @@ from labelmill.llm.arrays import BLOCK, row_groups, text_bytes
 from labelmill.llm.shared import received, sent
 
 BLANK = "▁"
-#: Texts between blanks whose ids a worker remembers, and pairs of pieces of which it knows whether they can be neighbours.
+#: Texts between blanks whose ids a worker remembers.
 REMEMBERED = 400_000
 
 
 class Vocabulary:
-    """Pieces, scores and kinds of a SentencePiece model file."""
+    """Pieces of a SentencePiece model file, the order in which they are merged, and of which two each one is made."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -39,11 +42,33 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         kinds = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(len(self.pieces))]
-        self.scores = {p: model.get_score(i) for i, p in enumerate(self.pieces) if not kinds[i] and not model.is_byte(i)}
+        normal = [i for i in range(len(self.pieces)) if not kinds[i] and not model.is_byte(i)]
+        self.ids = {self.pieces[i]: i for i in normal}
+        self.longest = max(map(len, self.ids), default=1)
+        self.cut_at_blanks = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        #: From 1, in the order of merging; single characters aren't merged and have none.
+        order = sorted((i for i in normal if len(self.pieces[i]) > 1), key=lambda i: (-model.get_score(i), i))
+        self.rank = {self.pieces[i]: k for k, i in enumerate(order, 1)}
+        #: Only pieces that merging makes of their own characters.
+        self.parts = {p: two for p in self.rank if (two := self._last_two(p))}
+        #: The length of the longest such piece for each of its last two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.parts:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         self.bytes_from = next((i for i in range(len(self.pieces)) if model.is_byte(i)), None)
         self.unknown = model.unk_id()
         self.as_bytes = [b"" if kinds[i] else bytes([i - self.bytes_from]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
 
+    def _last_two(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that are merged last: always the best pair, of equal ones the first."""
+        parts, never = list(piece), len(self.rank) + 1
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda k: (self.rank.get(parts[k] + parts[k + 1], never), k))
+            if parts[best] + parts[best + 1] not in self.rank:
+                return None
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts[0], parts[1]
+
 
 class Encoder(dict):
     """Maps what stands between two places before blanks to its ids as 32-bit integers. Blanks are already written as their piece character."""
@@ -51,43 +76,41 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
-        self.scores = vocabulary.scores
-        self.ids = {p: i for i, p in enumerate(vocabulary.pieces) if p in self.scores}
-        self.longest = max(map(len, self.scores), default=1)
+        self.rank, self.parts, self.ids, self.longest = vocabulary.rank, vocabulary.parts, vocabulary.ids, vocabulary.longest
         self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        inner = [p for p in self.scores if BLANK in p.lstrip(BLANK)]
-        self.split = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall if not inner else lambda text: [text] if text else []
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging leaves of a short text: always the best pair, of equal ones the first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda k: (self.scores.get(parts[k] + parts[k + 1], float("-inf")), -k))
-            if parts[best] + parts[best + 1] not in self.scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def stands(self, piece: str) -> bool:
-        """Whether merging makes this piece of its characters."""
-        if len(piece) == 1:
-            return True
-        if piece not in self.scores:
-            return False
-        if piece not in self.whole:
-            self.whole[piece] = self.merged(piece) == [piece]
-        return self.whole[piece]
+        self.split = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall if vocabulary.cut_at_blanks else lambda text: [text] if text else []
 
     def follows(self, before: str, piece: str) -> bool:
-        """Whether merging leaves these two as neighbours."""
+        """Whether merging leaves these two as neighbours, remembered for so many pairs."""
         known = self.fits.get((before, piece))
         if known is None:
             if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
-            known = self.fits[before, piece] = self.merged(before + piece) == [before, piece]
+            known = self.fits[before, piece] = self._follows(before, piece)
         return known
 
+    def _follows(self, before: str, piece: str) -> bool:
+        """Whether merging leaves these two as neighbours.
+
+        Both are taken apart again, the one that was merged later first. If at some point the two at the seam make a
+        piece that would have been merged before that, they wouldn't have stayed apart.
+        """
+        rank, parts = self.rank, self.parts
+        limit = len(rank) + 1
+        left, right = rank.get(before, 0), rank.get(piece, 0)
+        while True:
+            if rank.get(before + piece, limit) < limit:
+                return False
+            if left > right:
+                limit, before = left, parts[before][1]
+                left = rank.get(before, 0)
+            elif right:
+                # what is further left is merged first, so an equal piece across the seam would come before
+                limit, piece = right + 1, parts[piece][0]
+                right = rank.get(piece, 0)
+            else:
+                return True
+
     def id_of(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
@@ -98,19 +121,23 @@ class Encoder(dict):
     def stream(self, text: str) -> Iterator[int]:
         """The ids of a text of any length. begins[j] is where the piece that ends at j starts; settled ids are committed."""
         begins: dict[int, int] = {0: -1}
-        committed = 0
-        for j in range(1, len(text) + 1):
-            for i in range(max(committed, j - self.longest), j):
-                if i not in begins:
-                    continue
+        committed, size, longest, known, fits, follows, reach = 0, len(text), self.longest, self.parts, self.fits, self.follows, self.vocabulary.reach
+        for j in range(1, size + 1):
+            # no piece that ends with these two characters is longer
+            for i in range(max(committed, j - reach.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
                 piece = text[i:j]
-                if self.stands(piece) and (begins[i] < 0 or self.follows(text[begins[i] : i], piece)):
+                if piece in known or j - i == 1:
+                    begin = begins[i]
+                    if begin >= 0:
+                        before = text[begin:i]
+                        if not (fits[before, piece] if (before, piece) in fits else follows(before, piece)):
+                            continue
                     begins[j] = i
                     break
             else:
-                begins[j] = j - 1
-            if j - committed >= 4 * self.longest or j == len(text):
-                alive = {j} if j == len(text) else {i for i in range(j - self.longest + 1, j + 1)}
+                raise AssertionError("a character always ends some piece")
+            if j - committed >= 4 * longest or j == size:
+                alive = {j} if j == size else {i for i in range(j - longest + 1, j + 1)}
                 while len(alive) > 1:
                     last = max(alive)
                     alive.discard(last)
@@ -126,8 +153,38 @@ class Encoder(dict):
                     committed = meet
                     begins = {k: v for k, v in begins.items() if k >= committed}
 
+    def within_window(self, text: str) -> list[int]:
+        """The same for a text that the window holds as a whole: all is settled at its end."""
+        if text in self.parts:
+            return [self.ids[text]]
+        size, known, fits, follows, reach = len(text), self.parts, self.fits, self.follows, self.vocabulary.reach
+        begins, ends = [0] * (size + 1), [""] * (size + 1)
+        for j in range(1, size + 1):
+            for i in range(max(0, j - reach.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
+                piece = text[i:j]
+                if piece in known or i == j - 1:
+                    if i:
+                        pair = ends[i], piece
+                        fit = fits.get(pair)
+                        if not (follows(*pair) if fit is None else fit):
+                            continue
+                    begins[j], ends[j] = i, piece
+                    break
+        path, j = [], size
+        while j:
+            path.append(ends[j])
+            j = begins[j]
+        get, out = self.ids.get, []
+        for piece in reversed(path):
+            at = get(piece)
+            if at is None:
+                out += self.id_of(piece)
+            else:
+                out.append(at)
+        return out
+
     def __missing__(self, text: str) -> bytes:
-        ids = np.fromiter(self.stream(text), np.int32).tobytes()
+        ids = array("i", self.within_window(text) if len(text) <= 4 * self.longest else self.stream(text)).tobytes()
         if len(text) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -154,11 +211,16 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: s
     repeated rows are encoded each. The model file is read on the driver; its pieces go to the executors.
     """
     rest = [c for c in docs.columns if c not in (text_col, ids_col)]
-    held_by_all = sent(docs.sparkSession, Vocabulary(model_path))
+    held_by_all, name = sent(docs.sparkSession, Vocabulary(model_path)), uuid.uuid4().hex
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(received(held_by_all))
+        # what a worker has learnt of a vocabulary serves its later tasks too
+        kept = sys.__dict__.setdefault("_labelmill_encoders", {})
+        if name not in kept:
+            kept.clear()
+            kept[name] = Encoder(received(held_by_all))
+        encoder = kept[name]
         for batch in batches:
             for lo, hi, texts in _texts(batch, len(rest)):
                 parts = list(map(encoder.encode, texts))
