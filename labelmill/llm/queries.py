@@ -17,7 +17,7 @@ from labelmill.llm.pieces import decoded, encoded
 from labelmill.llm.pii import KINDS, personal_spans
 from labelmill.llm.quality_model import quality_scores
 from labelmill.llm.quality_rules import repetition_stats
-from labelmill.llm.sql import CHAT_SQL, DECONTAMINATION_SQL
+from labelmill.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, NEAR_DUPLICATE_SQL, REPETITION_SQL
 from labelmill.llm.toxicity import toxicity_scores
 
 #: The model file of op10, on the driver's machine.
@@ -129,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_bbit_minhash": NEAR_DUPLICATE_SQL,
     "op3_winnowing": DECONTAMINATION_SQL,
+    "op5_repetition_coverage": REPETITION_SQL,
     "op8_relational_chat": CHAT_SQL,
 }

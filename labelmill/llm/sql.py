@@ -33,3 +33,46 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || x || c
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
+NEAR_DUPLICATE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
+p AS (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(w[p + 1 : p + k], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM half UNION SELECT y, x FROM half),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
+_NGRAMS = {5: 30, 6: 29, 7: 28, 8: 27, 9: 26, 10: 25}
+
+
+def _repeats(n: int, least: int) -> str:
+    """Words of each text inside n-grams that occur again; least 1 counts the first ones too, 2 only later ones."""
+    chosen = "times > 1" if least == 1 else "nth > 1"
+    return f"""r{n} AS (SELECT doc_id, count(*) AS words, sum(length(w[q + 1])) AS chars FROM (SELECT DISTINCT doc_id, unnest(range(p, p + {n})) AS q FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, g ORDER BY p) AS nth, count(*) OVER (PARTITION BY doc_id, g) AS times
+    FROM (SELECT doc_id, p, array_to_string(w[p + 1 : p + {n}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - {n - 1})) AS p FROM d WHERE len(w) >= {n})))
+    WHERE {chosen}) JOIN d USING (doc_id) GROUP BY doc_id)"""
+
+
+REPETITION_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+{_repeats(3, 1)}, {", ".join(_repeats(n, 2) for n in _NGRAMS)},
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+x AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM l WHERE regexp_matches(line, {_SPACED})) WHERE nth > 1 GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(x.n, 0) AS n_dup_lines, coalesce(r3.words, 0) AS n_repeat_words,
+    CAST(coalesce(x.chars, 0) AS BIGINT) AS dup_line_chars, {", ".join(f"CAST(coalesce(r{n}.chars, 0) AS BIGINT) AS dup_{n}" for n in _NGRAMS)}
+    FROM d LEFT JOIN x USING (doc_id) LEFT JOIN r3 USING (doc_id) {" ".join(f"LEFT JOIN r{n} USING (doc_id)" for n in _NGRAMS)})
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * dup_line_chars > 30 * word_chars OR 100 * n_symbols > 5 * word_chars
+         {"".join(f" OR 100 * dup_{n} > {c} * word_chars" for n, c in _NGRAMS.items())}) AS kept
+FROM s
+"""
