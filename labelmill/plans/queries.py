@@ -237,12 +237,12 @@ def q_paraphrase_union(spark, d):
     return batches.paraphrase_union(a.table(spark, d, "documents").select(F.col("doc_id").alias("idx"), line(1).alias("prompt")), accepted)
 
 
-@query(f"""WITH {_T} SELECT step // 10 AS bin, count(*) AS n, round(avg(reward), 6) AS reward, round(avg(mean_instruction_score), 6) AS inst, round(avg(mean_hallucination_score), 6) AS halluc,
-    round(avg(length_penalty), 6) AS penalty, round(avg(n_report), 6) AS bullets, round(avg(n_truth), 6) AS truth, round(avg(CASE WHEN reward < 0 THEN 100.0 ELSE 0.0 END), 6) AS negative_pct,
-    round(avg(CASE WHEN mean_hallucination_score > 0 THEN 100.0 ELSE 0.0 END), 6) AS hallucinated_pct, round(avg(CASE WHEN judge_error THEN 100.0 ELSE 0.0 END), 6) AS error_pct FROM traces GROUP BY 1""")
+@query(f"""WITH {_T} SELECT step // 10 AS bin, count(*) AS n, round(avg(reward), 9) AS reward, round(avg(mean_instruction_score), 9) AS inst, round(avg(mean_hallucination_score), 9) AS halluc,
+    round(avg(length_penalty), 9) AS penalty, round(avg(n_report), 9) AS bullets, round(avg(n_truth), 9) AS truth, round(avg(CASE WHEN reward < 0 THEN 100.0 ELSE 0.0 END), 9) AS negative_pct,
+    round(avg(CASE WHEN mean_hallucination_score > 0 THEN 100.0 ELSE 0.0 END), 9) AS hallucinated_pct, round(avg(CASE WHEN judge_error THEN 100.0 ELSE 0.0 END), 9) AS error_pct FROM traces GROUP BY 1""")
 def q_trace_bins(spark, d):
     bins = mining.trace_bins(a.traces(spark, d), 10)
-    return bins.select("bin", "n", *(F.round(c, 6).alias(c) for c in bins.columns[2:]))
+    return bins.select("bin", "n", *(F.round(c, 9).alias(c) for c in bins.columns[2:]))
 
 
 @query(f"WITH {_T} SELECT record_id, round(avg(reward), 6) AS mean_reward, count(*) AS n FROM traces WHERE NOT judge_error GROUP BY record_id HAVING count(*) >= 2")
