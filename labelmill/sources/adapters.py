@@ -47,7 +47,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.cast("long").alias("candidate_idx"),
         F.when(F.col("event_type") == "error", 0.0).otherwise(F.round(1.0 - F.col("value") / 100.0, 4)).alias("reward"),
         (F.col("event_type") == "error").alias("judge_error"),
-        F.round(F.col("value") / 200.0, 4).alias("mean_instruction_score"),
+        F.round(F.col("value") / 100.0, 4).alias("mean_instruction_score"),
         F.when(F.col("event_type") == "view", 0.25).otherwise(0.0).alias("mean_hallucination_score"),
         F.when(F.col("event_type") == "click", 0.15).otherwise(0.0).alias("length_penalty"),
         F.array_repeat(F.lit(1.0), (1 + F.col("event_id") % 4).cast("int")).alias("instruction_scores"),
@@ -58,7 +58,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACES_SQL = """traces AS (SELECT event_id, event_id // 200 AS step, 'doc-' || user_id AS record_id,
     row_number() OVER (PARTITION BY event_id // 200, user_id ORDER BY event_id) - 1 AS candidate_idx,
     CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE round(1.0::DOUBLE - value / 100.0::DOUBLE, 4) END AS reward,
-    event_type = 'error' AS judge_error, round(value / 200.0::DOUBLE, 4) AS mean_instruction_score,
+    event_type = 'error' AS judge_error, round(value / 100.0::DOUBLE, 4) AS mean_instruction_score,
     CASE WHEN event_type = 'view' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS mean_hallucination_score,
     CASE WHEN event_type = 'click' THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS length_penalty,
     1 + event_id % 4 AS n_truth, event_id % 3 AS n_report FROM events)"""
