@@ -125,7 +125,11 @@ def _analysed(docs: DataFrame, text_col: str) -> DataFrame:
 def revealing_terms(analysed: DataFrame, corpus: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
     """(entity, term) of the terms that disclose an entity. analysed has _terms; corpus has all texts in text_col."""
     pairs = analysed.select(F.explode(F.array_distinct(F.transform("_terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("together"))
-    pairs = staged(pairs.where(F.col("together") >= support), "pairs")
+    # documents that have the term beside any entity are some of those that have it at all: what falls short of these already
+    # can't reach the share among all, and needn't be looked for in the corpus
+    beside = analysed.select(F.explode(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
+    pairs = pairs.where(F.col("together") >= support).join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside"))
+    pairs = staged(pairs.select("entity", "term", "together"), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     seen = corpus.select(F.explode(F.array_distinct(_word_parts(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
     counted = seen.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
