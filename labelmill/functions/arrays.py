@@ -116,3 +116,19 @@ def learning_rate_factor(step: Column, warmup: int, total: int, floor: float) ->
         share = F.least(F.greatest((step - warmup) / float(total - warmup), F.lit(0.0)), F.lit(1.0))
         after = F.lit(floor) + F.lit(1.0 - floor) * 0.5 * (1.0 + F.cos(F.pi() * share))
     return F.when((F.lit(warmup) > 0) & (step < warmup), (step + 1.0) / float(max(warmup, 1))).otherwise(after)
+
+
+def left_padded(tokens: Column, width: Column, pad: int) -> Column:
+    """Tokens filled up to width from the left, as before generation."""
+    return F.concat(F.array_repeat(F.lit(pad).cast("int"), (width - F.size(tokens)).cast("int")), tokens)
+
+
+def contiguous(mask: Column) -> Column:
+    """Whether the ones of a mask stand together."""
+    edges = F.aggregate(mask, F.struct(F.lit(0).alias("last"), F.lit(0).alias("runs")), lambda acc, x: F.struct(x.cast("int").alias("last"), (acc["runs"] + F.when((x == 1) & (acc["last"] == 0), 1).otherwise(0)).alias("runs")))
+    return edges["runs"] <= 1
+
+
+def looked_up(names: Column, table: Column, default: int = -1) -> Column:
+    """The number of a name in a map, or the default."""
+    return F.coalesce(F.try_element_at(table, names), F.lit(default))

@@ -158,3 +158,8 @@ def without_thinking(text: Column) -> Column:
     """What stands after the last </think>; null if the text stops within a thought."""
     clean = strip(F.coalesce(text, F.lit("")))
     return F.when(clean.contains("</think>"), strip(F.substring_index(clean, "</think>", -1))).when(clean.contains("<think>"), F.lit(None).cast("string")).otherwise(clean)
+
+
+def plain_chat(messages: Column) -> Column:
+    """Messages as "Role: text" lines, for models without a template of their own."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.initcap(m["role"]), F.lit(": "), m["content"])), "\n")

@@ -122,3 +122,25 @@ def source_losses(rows: DataFrame, batch: str = "batch", source: str = "source",
 def best_layer(metrics: DataFrame) -> DataFrame:
     """The layer of least loss in each run (run, layer, val_loss), and mean and spread of the runs' best."""
     return metrics.groupBy("run").agg(F.min_by("layer", F.struct("val_loss", "layer")).alias("layer"), F.min("val_loss").alias("val_loss"))
+
+
+def validation_mean(rows: DataFrame, order: str, value: str, samples: int, batch: int) -> DataFrame:
+    """Mean of the first samples rows, filled up to whole batches, and how many there were; 0 without rows."""
+    n = -(-samples // batch) * batch
+    return rows.orderBy(order).limit(n).agg((F.coalesce(F.sum(value), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def masked_source_loss(tokens: DataFrame, source: str = "source", loss: str = "loss", label: str = "label", hit: str = "hit", ignored: int = -100) -> DataFrame:
+    """Mean loss and share of right tokens of each source, over tokens that have a label."""
+    return tokens.where(F.col(label) != ignored).groupBy(source).agg(F.avg(loss).alias("loss"), F.avg(F.col(hit).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("tokens"))
+
+
+def seed_study(runs: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean and sample spread of a figure over runs."""
+    return runs.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev(value).alias("spread"), F.count(F.lit(1)).alias("runs"))
+
+
+def chart(rows: DataFrame, group: str, series: str, value: str, names: list[str]) -> DataFrame:
+    """A row for each group and one for the mean of groups (group null), a column for each series."""
+    wide = rows.groupBy(group).pivot(series, names).agg(F.avg(value))
+    return wide.unionByName(wide.agg(*(F.avg(n).alias(n) for n in names)).withColumn(group, F.lit(None).cast(wide.schema[group].dataType)))

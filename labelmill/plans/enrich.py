@@ -77,3 +77,17 @@ def enriched_with_checkpoint(rows: DataFrame, key: str, request: str, client: Cl
     answers = enriched(rest, key, request, client, out, **how).where(F.trim(F.coalesce(out, F.lit(""))) != "")
     answers.withColumn("written", F.lit(time.time())).write.mode("append").parquet(folder)
     return restored(rows, saved(), key, out)
+
+
+def within_tokens(rows: DataFrame, text: str, count_tokens: Callable[[list[str]], list[int]] | None, most: int = 1024) -> DataFrame:
+    """Rows whose text has at most so many tokens; all rows where the backend can't count."""
+    if count_tokens is None:
+        return rows
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = count_tokens([x or "" for x in batch.column(at).to_pylist()]) if batch.num_rows else []
+            yield batch.filter(pa.array([n <= most for n in counts], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -243,3 +243,28 @@ def data_mode(cache: str | None, jsonl: list[str] | None) -> str:
 
 def removed(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
+
+
+def append_jsonl(rows: DataFrame, path: str | None) -> None:
+    """Rows added to a log of JSON lines; no path, no log."""
+    if path is not None:
+        rows.write.mode("append").json(path)
+
+
+def write_hard_ids(hard: DataFrame, shares: DataFrame, path: str, settings: dict) -> int:
+    """Hard ids in the order of source and rank, with counts of each source, as one JSON file. The list is what training reads on one machine."""
+    ids = [r[0] for r in hard.orderBy("source", "rank").select("record_id").toLocalIterator()]
+    counts = {r["source"]: (r["selected"], r["underlying"]) for r in shares.collect()}
+    body = {"record_ids": ids, "source_breakdown": {k: v[0] for k, v in counts.items() if v[0]}, "underlying_source_totals": {k: v[1] for k, v in counts.items()}, "total": len(ids), "config": settings}
+    write_whole(path, json.dumps(body, indent=2, ensure_ascii=False))
+    return len(ids)
+
+
+def cached_ids(rows: DataFrame, path: str, id_col: str = "record_id") -> DataFrame:
+    """The ids of a dataset from a cache, which is made anew if it has another number of rows."""
+    from labelmill.sources.readers import exists
+
+    spark, n = rows.sparkSession, rows.count()
+    if not exists(spark, f"{path}/_SUCCESS") or spark.read.parquet(path).count() != n:
+        rows.select(id_col).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
