@@ -31,7 +31,7 @@ def hard_ids(meta: DataFrame, traces: DataFrame, threshold: float = 0.85, target
     if target is None:
         return ranked
     totals = meta.groupBy("source").agg(F.count(F.lit(1)).alias("of_source"))
-    totals = totals.join(F.broadcast(meta.agg(F.count(F.lit(1)).alias("of_all"))))
+    totals = totals.withColumn("of_all", meta.agg(F.count(F.lit(1))).scalar())
     cap = F.greatest(F.lit(1), F.bround(F.lit(float(target)) * F.col("of_source") / F.col("of_all"), 0)).cast("long")
     return ranked.join(totals.select("source", cap.alias("cap")), "source").where(F.col("rank") <= F.col("cap")).drop("cap")
 
@@ -41,8 +41,8 @@ def breakdown(meta: DataFrame, chosen: DataFrame) -> DataFrame:
     every = meta.groupBy("source").agg(F.count(F.lit(1)).alias("underlying"))
     some = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("selected"))
     both = every.join(some, "source", "left").withColumn("selected", F.coalesce("selected", F.lit(0)).cast("long"))
-    whole = both.agg(F.sum("underlying").alias("all"), F.greatest(F.sum("selected"), F.lit(1)).alias("picked"))
-    return both.join(F.broadcast(whole)).select("source", "selected", "underlying", F.round(100.0 * F.col("selected") / F.col("picked"), 1).alias("selected_pct"), F.round(100.0 * F.col("underlying") / F.col("all"), 1).alias("underlying_pct"))
+    both = both.withColumn("all", every.agg(F.sum("underlying")).scalar()).withColumn("picked", chosen.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar())
+    return both.select("source", "selected", "underlying", F.round(100.0 * F.col("selected") / F.col("picked"), 1).alias("selected_pct"), F.round(100.0 * F.col("underlying") / F.col("all"), 1).alias("underlying_pct"))
 
 
 def ordered_hits(hard: DataFrame, dataset: DataFrame) -> DataFrame:

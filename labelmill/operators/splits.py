@@ -51,7 +51,7 @@ def greedy(ranked: DataFrame, val_ratio: float, test_ratio: float, by: list[str]
     by = by or []
     placed = _before(ranked, by).withColumn("in_test", F.col("before") < _target(F.col("total"), test_ratio))
     tests = placed.where("in_test").groupBy(*by).agg(F.sum("size").alias("tested"))
-    placed = placed.join(tests, by) if by else placed.join(F.broadcast(tests))
+    placed = placed.join(tests, by) if by else placed.withColumn("tested", tests.scalar())
     split = F.when(F.col("in_test"), "test").when(F.col("before") - F.col("tested") < _target(F.col("total"), val_ratio), "val").otherwise("train")
     return placed.withColumn("split", split).drop("in_test", "tested", "before", "total")
 
