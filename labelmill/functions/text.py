@@ -17,6 +17,8 @@ MASK_BULLET = rf"(?mdU)^{SPACE}*(?:[-*+]|\d+[.)]){SPACE}+(.*?){SPACE}*$"
 LINE_BULLET = rf"(?dU)^{SPACE}*(?:[-*•]|\d+\.){SPACE}+(.*)$"
 INLINE_SEPARATORS = (" - ", " * ", " • ")
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: All characters that are white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 RETRIEVAL_TEMPLATE = (
     "You are an instruction analyst. Below, between the markers "
@@ -41,8 +43,8 @@ RETRIEVAL_TEMPLATE = (
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends; only the ends are looked at."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def blank(text: Column) -> Column:
