@@ -14,8 +14,6 @@ remembered up to a bound.
 from __future__ import annotations
 
 import re
-import sys
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -26,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import BLOCK, row_groups, text_bytes
-from labelmill.llm.shared import received, sent
+from labelmill.llm.shared import received, sent, small_batches
 
 BLANK = "▁"
-#: Texts between blanks whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Texts between blanks, and pairs of pieces, that a worker remembers in each of two generations.
+REMEMBERED = 80_000
 
 
 class Vocabulary:
@@ -51,10 +49,13 @@ class Vocabulary:
         self.rank = {self.pieces[i]: k for k, i in enumerate(order, 1)}
         #: Only pieces that merging makes of their own characters.
         self.parts = {p: two for p in self.rank if (two := self._last_two(p))}
-        #: The length of the longest such piece for each of its last two characters.
-        self.reach: dict[str, int] = {}
+        #: All two characters that stand together in some piece: merging never crosses the seam of any other two.
+        self.joined = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
+        #: Lengths of such pieces for each of their last three characters.
+        self.by_tail: dict[str, set[int]] = {}
         for p in self.parts:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+            if len(p) > 2:
+                self.by_tail.setdefault(p[-3:], set()).add(len(p))
         self.bytes_from = next((i for i in range(len(self.pieces)) if model.is_byte(i)), None)
         self.unknown = model.unk_id()
         self.as_bytes = [b"" if kinds[i] else bytes([i - self.bytes_from]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
@@ -78,13 +79,23 @@ class Encoder(dict):
         self.vocabulary = vocabulary
         self.rank, self.parts, self.ids, self.longest = vocabulary.rank, vocabulary.parts, vocabulary.ids, vocabulary.longest
         self.fits: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, tuple[int, ...]] = {}
         self.split = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall if vocabulary.cut_at_blanks else lambda text: [text] if text else []
 
+    def lengths(self, tail: str) -> tuple[int, ...]:
+        """How long pieces that end with these three characters (or with a text's first one or two) can be, longest first."""
+        found = set(self.vocabulary.by_tail.get(tail, ())) | {1}
+        if tail[-2:] in self.parts:
+            found.add(2)
+        self.tails[tail] = out = tuple(sorted(found, reverse=True))
+        return out
+
     def follows(self, before: str, piece: str) -> bool:
         """Whether merging leaves these two as neighbours, remembered for so many pairs."""
         known = self.fits.get((before, piece))
         if known is None:
-            if len(self.fits) >= REMEMBERED:
+            if len(self.fits) >= 2 * REMEMBERED:
                 self.fits.clear()
             known = self.fits[before, piece] = self._follows(before, piece)
         return known
@@ -121,19 +132,19 @@ class Encoder(dict):
     def stream(self, text: str) -> Iterator[int]:
         """The ids of a text of any length. begins[j] is where the piece that ends at j starts; settled ids are committed."""
         begins: dict[int, int] = {0: -1}
-        committed, size, longest, known, fits, follows, reach = 0, len(text), self.longest, self.parts, self.fits, self.follows, self.vocabulary.reach
+        committed, size, longest, known, follows, tails = 0, len(text), self.longest, self.parts, self.follows, self.tails
         for j in range(1, size + 1):
-            # no piece that ends with these two characters is longer
-            for i in range(max(committed, j - reach.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
+            tail = text[j - 3 if j > 3 else 0 : j]
+            for n in tails.get(tail) or self.lengths(tail):
+                i = j - n
+                if i < committed:
+                    continue
                 piece = text[i:j]
-                if piece in known or j - i == 1:
+                if n == 1 or piece in known:
                     begin = begins[i]
-                    if begin >= 0:
-                        before = text[begin:i]
-                        if not (fits[before, piece] if (before, piece) in fits else follows(before, piece)):
-                            continue
-                    begins[j] = i
-                    break
+                    if begin < 0 or follows(text[begin:i], piece):
+                        begins[j] = i
+                        break
             else:
                 raise AssertionError("a character always ends some piece")
             if j - committed >= 4 * longest or j == size:
@@ -157,12 +168,16 @@ class Encoder(dict):
         """The same for a text that the window holds as a whole: all is settled at its end."""
         if text in self.parts:
             return [self.ids[text]]
-        size, known, fits, follows, reach = len(text), self.parts, self.fits, self.follows, self.vocabulary.reach
+        size, known, fits, follows, tails = len(text), self.parts, self.fits, self.follows, self.tails
         begins, ends = [0] * (size + 1), [""] * (size + 1)
         for j in range(1, size + 1):
-            for i in range(max(0, j - reach.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
+            tail = text[j - 3 if j > 3 else 0 : j]
+            for n in tails.get(tail) or self.lengths(tail):
+                i = j - n
+                if i < 0:
+                    continue
                 piece = text[i:j]
-                if piece in known or i == j - 1:
+                if n == 1 or piece in known:
                     if i:
                         pair = ends[i], piece
                         fit = fits.get(pair)
@@ -184,9 +199,20 @@ class Encoder(dict):
         return out
 
     def __missing__(self, text: str) -> bytes:
-        ids = array("i", self.within_window(text) if len(text) <= 4 * self.longest else self.stream(text)).tobytes()
+        ids = self.older.get(text)
+        if ids is None:
+            joined = self.vocabulary.joined
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in joined]
+            if cuts:
+                ids = b"".join([self[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+            else:
+                ids = array("i", self.within_window(text) if len(text) <= 4 * self.longest else self.stream(text)).tobytes()
+        if len(self.tails) > REMEMBERED:
+            self.tails.clear()
         if len(text) <= 64:
             if len(self) >= REMEMBERED:
+                # what has been met since the last time stays for one more
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -211,16 +237,12 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: s
     repeated rows are encoded each. The model file is read on the driver; its pieces go to the executors.
     """
     rest = [c for c in docs.columns if c not in (text_col, ids_col)]
-    held_by_all, name = sent(docs.sparkSession, Vocabulary(model_path)), uuid.uuid4().hex
+    small_batches(docs.sparkSession)
+    held_by_all = sent(docs.sparkSession, Vocabulary(model_path))
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what a worker has learnt of a vocabulary serves its later tasks too
-        kept = sys.__dict__.setdefault("_labelmill_encoders", {})
-        if name not in kept:
-            kept.clear()
-            kept[name] = Encoder(received(held_by_all))
-        encoder = kept[name]
+        encoder = Encoder(received(held_by_all))
         for batch in batches:
             for lo, hi, texts in _texts(batch, len(rest)):
                 parts = list(map(encoder.encode, texts))

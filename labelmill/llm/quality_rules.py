@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import BLOCK, SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
+from labelmill.llm.shared import small_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -133,6 +134,7 @@ def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: RepetitionRules | None = None) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they were."""
     rules = rules or RepetitionRules()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,3 +35,10 @@ def sent(spark: SparkSession, value) -> Broadcast:
 
 def received(broadcast: Broadcast):
     return pickle.loads(broadcast.value)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts make large rows: where the number of rows in an Arrow batch is Spark's default, the session takes fewer, so that neither the executor nor its Python workers hold many megabytes of each at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
