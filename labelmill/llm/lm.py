@@ -1,14 +1,15 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Counts are taken over all training documents. Smoothed n-grams become states: the root, one for each context word and
-one for each context pair. An arc of a state reads a word and adds the log-probability of the n-gram; a failure arc
-adds the backoff weight and leads to the state of the shorter context. One left-to-right traversal, which many
-documents take in step, carries the state of each and adds up the weights.
-
-What is sent to the executors is bounded by thresholds on relative frequency: at most 1 / HEAD_SHARE words and
-1 / ARC_SHARE arcs can reach them, whatever the size of the corpus. Words below the threshold are read at the root;
-their exact counts come from a join with the full vocabulary, which no single word can make hot because frequent words
-don't take part in it.
+"""Language-model scoring by a weighted backoff automaton whose arcs are tables.
+
+Counts are taken over all training documents. Every word, every pair and every triple that occurs LEAST_COUNT times gets
+an arc; every word and every pair that begins a longer arc is a state with a failure arc. The automaton's weights are
+pushed so that the way of a text through it is a sum over its n-grams: a word adds its own log-probability and the
+failure arc of the state it leads to, a pair or triple what its arc has more than the failure arc and the shorter arc it
+replaces. What isn't counted adds nothing.
+
+States and arcs grow with the corpus and stay in tables. Those of at least HEAD_SHARE and HEAD_ARC_SHARE of the tokens,
+whose number has a bound, are sent to the executors; all others go through a join by n-gram, which no single one can make
+hot because the frequent ones don't take part in it. Bit maps of bounded size keep out of the shuffles most n-grams that
+can't be counted twice or have no arc; what they let through by chance is settled by the joins.
 """
 
 from __future__ import annotations
@@ -18,25 +19,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.arrays import SPACED, mix, row_groups, text_bytes, words
+from labelmill.llm.arrays import SPACED, row_groups, text_bytes, words
 from labelmill.llm.shared import crc_fold, received, sent, staged
 
 #: Words of at least this share of the training tokens are held by every executor: at most 2,097,152 of them.
 HEAD_SHARE = 2.0**-21
-#: Words that can be in a state or a longer arc: at most 4,096; in a state of two words: at most 256.
-CONTEXT_SHARE = 2.0**-12
-PAIR_SHARE = 2.0**-8
-#: N-grams of at least this share of the tokens become arcs: at most 1,048,576 of each order.
-ARC_SHARE = 2.0**-20
+#: Pairs and triples of at least this share are held by every executor: at most 1,048,576 of each.
+HEAD_ARC_SHARE = 2.0**-20
+#: Shares of the tokens that words in pairs, words in triples, and n-grams need to be in the model: none, so nothing is left out by share.
+CONTEXT_SHARE = 0.0
+PAIR_SHARE = 0.0
+ARC_SHARE = 0.0
+#: Pairs and triples that occur less often have no arc.
+LEAST_COUNT = 2
 DISCOUNT = 0.75
 #: The token that ends every text.
 END = np.array([0x1F3D5B79A2C4E6F8], np.uint64)
+#: Bytes of text that are counted, and scored, at once.
 GROUP = 1 << 23
+SCORED_GROUP = 1 << 21
+#: Bits of a bit map at most: 16 MB.
+MAP_BITS = 27
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,109 +92,39 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, where
 
 
-class Automaton:
-    """States, arcs and failure arcs, from counts of words and of n-grams of context words.
+def ngram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(a, b): the key of a pair from its words, of a triple from its pairs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    head: hashes (sorted, as unsigned) and counts of frequent words; context: positions in head of the context words, the most
-    frequent first; pairs and triples: (symbols..., count) arrays of all counted n-grams of context words; total and
-    distinct: training tokens and different words.
-    """
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    h = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        h = h + p5 + np.uint64(8)
+        h ^= turned(x * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h
 
-    def __init__(self, head: np.ndarray, counts: np.ndarray, context: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: int, distinct: int):
-        self.find = Lookup(head)
-        self.end = END.astype(np.uint64)
-        self.scale = float(total + distinct + 1)
-        self.word_log = np.log10((counts + 1.0) / self.scale)
-        k = len(context)
-        self.symbol = np.full(len(head), -1, np.int64)
-        self.symbol[context] = np.arange(k)
-        self.width = k + 1
-        single = (counts[context] + 1.0) / self.scale
-        seen = counts[context].astype(float)
-        least = max(2.0, ARC_SHARE * total)
-        pairs = pairs[pairs[:, 2] >= least]
-        triples = triples[triples[:, 3] >= least]
-        pair_at = {(u, v): i for i, (u, v) in enumerate(pairs[:, :2].tolist())}
-        states = sorted({(u, v) for u, v, _, _ in triples.tolist() if (u, v) in pair_at})
-        state_of = {p: 1 + k + i for i, p in enumerate(states)}
-        triples = np.array([t for t in triples.tolist() if (t[0], t[1]) in state_of], np.int64).reshape(-1, 4)
-
-        # state 0 is the root, 1 + s the context word s, then the pairs
-        n = 1 + k + len(states)
-        self.fail = np.zeros(n, np.int64)
-        kept = np.zeros(k)
-        share = (pairs[:, 2] - DISCOUNT) / seen[pairs[:, 0]] if len(pairs) else np.zeros(0)
-        np.add.at(kept, pairs[:, 0], share)
-        backoff = np.maximum(1.0 - kept, 1e-9)
-        pair_p = share + backoff[pairs[:, 0]] * single[pairs[:, 1]] if len(pairs) else share
-        self.fail_log = np.zeros(n)
-        self.fail_log[1 : 1 + k] = np.log10(backoff)
-        in_pair = np.array([pairs[pair_at[p], 2] for p in states], float)
-        kept3 = np.zeros(len(states))
-        at3 = np.array([state_of[(u, v)] - 1 - k for u, v in triples[:, :2].tolist()], np.int64)
-        share3 = (triples[:, 3] - DISCOUNT) / in_pair[at3] if len(triples) else np.zeros(0)
-        np.add.at(kept3, at3, share3)
-        backoff3 = np.maximum(1.0 - kept3, 1e-9)
-        lower = np.array([pair_p[pair_at[(v, w)]] if (v, w) in pair_at else backoff[v] * single[w] for _, v, w, _ in triples.tolist()])
-        triple_p = share3 + backoff3[at3] * lower if len(triples) else share3
-        self.fail_log[1 + k :] = np.log10(backoff3) if len(states) else np.zeros(0)
-        self.fail[1 + k :] = [1 + v for _, v in states]
-
-        def target(u: int, v: int) -> int:
-            return state_of.get((u, v), 1 + v)
-
-        keys = np.concatenate([(1 + pairs[:, 0]) * self.width + pairs[:, 1], (at3 + 1 + k) * self.width + triples[:, 2]]).astype(np.uint64)
-        keys = mix(keys)
-        logs = np.log10(np.concatenate([pair_p, triple_p]))
-        to = np.array([target(u, v) for u, v in pairs[:, :2].tolist()] + [target(v, w) for _, v, w, _ in triples.tolist()], np.int64)
-        order = np.argsort(keys)
-        self.arcs, self.arc_log, self.arc_to = Lookup(keys[order]), logs[order], to[order]
-
-    def walk(self, symbols: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """For each row the weights of arcs and failure arcs on its way. symbols: -1 for words without a state, which are read at the root and add nothing but the failure arcs to it here."""
-        n = len(where) - 1
-        lengths = np.diff(where)
-        order = np.argsort(-lengths, kind="stable")
-        first, lengths = where[:-1][order], lengths[order]
-        state, total = np.zeros(n, np.int64), np.zeros(n)
-        # active rows at step t: those longer than t
-        active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if n else 0), "left")
-        for t, a in enumerate(active.tolist()):
-            s, x = state[:a], symbols[first[:a] + t]
-            gain = np.zeros(a)
-            left = np.arange(a)
-            while True:
-                # at the root every word is read: its own weight is added by the caller
-                root = s[left] == 0
-                done = left[root]
-                gain[done] += self.root_log(x[done])
-                s[done] = np.where(x[done] >= 0, x[done] + 1, 0)
-                left = left[~root]
-                if not len(left):
-                    break
-                arc = np.where(x[left] >= 0, self.arcs(mix((s[left] * self.width + np.maximum(x[left], 0)).astype(np.uint64))), -1)
-                hit = arc >= 0
-                gain[left[hit]] += self.arc_log[arc[hit]]
-                s[left[hit]] = self.arc_to[arc[hit]]
-                left = left[~hit]
-                gain[left] += self.fail_log[s[left]]
-                s[left] = self.fail[s[left]]
-            total[:a] += gain
-        out = np.zeros(n)
-        out[order] = total
-        return out
 
-    def root_log(self, symbols: np.ndarray) -> np.ndarray:
-        """Log-probabilities of context words at the root; others count 0 here."""
-        return np.where(symbols >= 0, self.symbol_log[np.maximum(symbols, 0)], 0.0)
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one of those the bit map was made of."""
+    at = (keys & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    @property
-    def symbol_log(self) -> np.ndarray:
-        if not hasattr(self, "_symbol_log"):
-            self._symbol_log = np.zeros(self.width)
-            at = np.flatnonzero(self.symbol >= 0)
-            self._symbol_log[self.symbol[at]] = self.word_log[at]
-        return self._symbol_log
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """A bit map of the column k of keys."""
+    bits = 1 << min(MAP_BITS, max(16, (16 * keys.count()).bit_length()))
+    at = keys.select(F.col("k").bitwiseAND(F.lit(bits - 1)).alias("at")).select(F.shiftright("at", 15).alias("part"), F.col("at").bitwiseAND(F.lit(32767)).alias("at"))
+    parts = at.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    out = np.zeros((bits >> 15, 4096), np.uint8)
+    for part, chunk in zip(parts.column("part").to_pylist(), parts.column("bits"), strict=True):
+        out[part] = np.frombuffer(chunk.as_buffer(), np.uint8)
+    return out.reshape(-1)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -204,52 +141,78 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _ngrams(docs: DataFrame, symbols: Broadcast) -> DataFrame:
-    """(k, c): counts of pairs and triples of context words; k packs the symbols, a triple has bit 40 set."""
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("c", T.LongType())])
+def _ngrams(docs: DataFrame, order: int, shorter: np.ndarray) -> DataFrame:
+    """(a, b, c): how often each pair of words a, b, or triple of pairs a, b, occurs. shorter: a bit map of the words, or pairs, that occur often enough."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in "abc"])
+    shared = sent(docs.sparkSession, shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, in_pairs = symbols.value
-        order = np.argsort(hashes)
-        find = Lookup(hashes[order])
+        bits = received(shared)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for lo, hi in row_groups(offsets, GROUP):
-                h, where = tokens(data, offsets[lo : hi + 1])
-                at = find(h)
-                x = np.where(at >= 0, order[at] if len(order) else -1, -1)
-                begins = np.zeros(len(x) + 1, bool)
-                begins[where] = True
-                two = (x[:-1] >= 0) & (x[1:] >= 0) & ~begins[1:-1]
-                pair = x[:-1] * 4096 + x[1:]
-                three = two[:-1] & two[1:] & (x[:-2] < in_pairs) & (x[1:-1] < in_pairs) & (x[2:] < in_pairs)
-                triple = (pair[:-1] * 4096 + x[2:]) | (1 << 40)
-                k, c = np.unique(np.concatenate([pair[two], triple[three]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c)], names=["k", "c"])
-
-    return docs.mapInArrow(run, schema).groupBy("k").agg(F.sum("c").alias("c"))
-
-
-def fitted(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, Automaton | None, int, int, float]:
-    """(vocabulary (h, c), automaton, training tokens, different words, count from which a word is in the automaton). train may be empty."""
+                x, where = tokens(data, offsets[lo : hi + 1])
+                inside = np.ones(len(x), bool)
+                inside[where[1:] - 1] = False
+                both = inside[:-1]
+                if order == 3:
+                    x, both = ngram_key(x[:-1], x[1:]), both[:-1] & both[1:]
+                often = in_map(bits, x)
+                at = np.flatnonzero(both & often[:-1] & often[1:])
+                a, b = x[at], x[at + 1]
+                _, first, c = np.unique(ngram_key(a, b), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(c)], names=["a", "b", "c"])
+
+    return docs.mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def _among(grams: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of grams whose a and b are both in the column k of names."""
+    for side in ("a", "b"):
+        grams = grams.join(names.select(F.col("k").alias(side)), side, "left_semi")
+    return grams
+
+
+def _with_backoff(states: DataFrame, arcs: DataFrame) -> DataFrame:
+    """states (k, c, ...) with backoff: what the discounts of its arcs (a, c) leave of each; null if it has none."""
+    sums = arcs.groupBy(F.col("a").alias("k")).agg((F.sum("c") - F.lit(DISCOUNT) * F.count(F.lit(1))).alias("given"))
+    return states.join(sums, "k", "left").withColumn("backoff", F.greatest(1 - F.col("given") / F.col("c"), F.lit(1e-9))).withColumn("backoff", F.when(F.col("given").isNotNull(), F.col("backoff"))).drop("given")
+
+
+def fitted(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(weights (k, c, word, w), training tokens, different words). train may be empty.
+
+    One row for each word, pair and triple of the model: its key, its count, whether it is a word, and what its occurrence
+    adds to a text's log10 score; a word's own log10(c + 1) isn't in w.
+    """
     texts = train.select(F.col(text_col).alias("text"))
-    vocabulary = staged(_counted(texts), "vocabulary")
+    vocabulary = staged(_counted(texts).withColumnRenamed("h", "k"), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1.0, HEAD_SHARE * total)
-    head = vocabulary.where(F.col("c") >= least).toArrow()
-    hashes, counts = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    context = np.flatnonzero(counts >= max(1.0, CONTEXT_SHARE * total))
-    context = context[np.lexsort((hashes[context], -counts[context]))]
-    in_pairs = int((counts[context] >= PAIR_SHARE * total).sum())
-    grams = _ngrams(texts, train.sparkSession.sparkContext.broadcast((hashes[context], in_pairs))).where(F.col("c") >= max(2.0, ARC_SHARE * total)).toArrow()
-    k, c = grams.column("k").to_numpy(), grams.column("c").to_numpy()
-    triple = k >= 1 << 40
-    pairs = np.stack([k[~triple] // 4096, k[~triple] % 4096, c[~triple]], axis=1)
-    bare = k[triple] - (1 << 40)
-    triples = np.stack([bare // 4096**2, bare // 4096 % 4096, bare % 4096, c[triple]], axis=1)
-    return vocabulary, Automaton(hashes, counts, context, pairs, triples, total, distinct), total, distinct, least
+    scale = float(total + distinct + 1)
+    least = max(float(LEAST_COUNT), ARC_SHARE * total)
+    pairs = _ngrams(texts, 2, bit_map(vocabulary.where(F.col("c") >= least))).where(F.col("c") >= least)
+    if CONTEXT_SHARE:
+        pairs = _among(pairs, vocabulary.where(F.col("c") >= CONTEXT_SHARE * total))
+    pairs = staged(pairs.withColumn("k", F.xxhash64("a", "b")), "pairs")
+    triples = _ngrams(texts, 3, bit_map(pairs)).where(F.col("c") >= least)
+    if PAIR_SHARE:
+        triples = _among(triples, _among(pairs, vocabulary.where(F.col("c") >= max(CONTEXT_SHARE, PAIR_SHARE) * total)))
+    else:
+        # a pair has LEAST_COUNT whenever a triple with it has, but for words left out by share
+        triples = _among(triples, pairs) if CONTEXT_SHARE else triples
+    triples = staged(triples, "triples")
+
+    words_ = staged(_with_backoff(vocabulary, pairs), "words")
+    left, right = words_.select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("backoff").alias("ba")), words_.select(F.col("k").alias("b"), F.log10((F.col("c") + 1) / F.lit(scale)).alias("lb"))
+    p = (F.col("c") - F.lit(DISCOUNT)) / F.col("ca") + F.col("ba") * F.pow(F.lit(10.0), F.col("lb"))
+    arcs = pairs.join(left, "a").join(right, "b").select("k", "c", F.log10(p).alias("l"), (F.log10(p) - F.col("lb") - F.log10("ba")).alias("w"))
+    states = staged(_with_backoff(arcs, triples), "states")
+    left, right = states.select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("backoff").alias("ba")), states.select(F.col("k").alias("b"), F.col("l").alias("lb"))
+    longer = triples.join(left, "a").join(right, "b").select(F.xxhash64("a", "b").alias("k"), "c", F.lit(False).alias("word"), (F.log10(p) - F.col("lb") - F.log10("ba")).alias("w"))
+    failing = F.coalesce(F.log10("backoff"), F.lit(0.0))
+    single = words_.select("k", "c", F.lit(True).alias("word"), failing.alias("w"))
+    double = states.select("k", "c", F.lit(False).alias("word"), (F.col("w") + failing).alias("w"))
+    return staged(single.unionAll(double).unionAll(longer), "weights"), total, distinct
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -263,29 +226,41 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     held_out = F.coalesce(crc_fold("id", folds) == held, F.lit(True))
-    vocabulary, automaton, total, distinct, least = fitted(source.where(~held_out))
-    held_by_all = sent(spark, automaton)
-    rare = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType())]))
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", source.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("walked", T.DoubleType()), T.StructField("rare", rare)])
+    weights, total, distinct = fitted(source.where(~held_out))
+    frequent = F.col("c") >= F.when(F.col("word"), max(1.0, HEAD_SHARE * total)).otherwise(HEAD_ARC_SHARE * total)
+    head = weights.where(frequent).toArrow()
+    keys = head.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    word, w = head.column("word").to_numpy()[order], head.column("w").to_numpy()[order]
+    own = np.where(word, np.log10(head.column("c").to_numpy()[order] + 1.0), 0.0)
+    tail = weights.where(~frequent)
+    held_by_all = sent(spark, (Lookup(keys[order]), word, own, w, bit_map(tail)))
+    rare = T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.IntegerType())]))
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", source.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("arcs", T.DoubleType()), T.StructField("rare", rare)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = received(held_by_all)
+        find, word, own, w, others = received(held_by_all)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for lo, hi in row_groups(offsets, GROUP):
+            for lo, hi in row_groups(offsets, SCORED_GROUP):
                 h, where = tokens(data, offsets[lo : hi + 1])
                 n = hi - lo
                 rows = np.repeat(np.arange(n), np.diff(where))
-                at = model.find(h)
-                known = at >= 0
-                logs = np.where(known, model.word_log[at] if len(model.word_log) else 0.0, 0.0)
-                symbols = np.where(known, model.symbol[at] if len(model.symbol) else -1, -1)
-                base = np.bincount(rows, weights=logs, minlength=n)
-                beside = np.bincount(rows, weights=np.where(symbols < 0, logs, 0.0), minlength=n)
-                walked = model.walk(symbols, where) + beside
-                # words outside the automaton, counted for each row
-                other, in_row = h[~known], rows[~known]
+                two = rows[:-1] == rows[1:]
+                three = two[:-1] & two[1:]
+                pairs = ngram_key(h[:-1], h[1:])
+                keys = np.concatenate([h, pairs[two], ngram_key(pairs[:-1], pairs[1:])[three]])
+                in_row = np.concatenate([rows, rows[:-1][two], rows[: len(three)][three]])
+                at = find(keys)
+                hit = at >= 0
+                here, at = in_row[hit], at[hit]
+                known = np.bincount(here, weights=word[at], minlength=n).astype(np.int64)
+                base, arcs = (np.bincount(here, weights=x[at], minlength=n).astype(float) for x in (own, w))
+                # what may be in the table but isn't held here, counted for each row
+                rest = np.flatnonzero(~hit)
+                rest = rest[in_map(others, keys[rest])]
+                other, in_row = keys[rest], in_row[rest]
                 by = np.lexsort((other, in_row))
                 other, in_row = other[by], in_row[by]
                 new = np.ones(len(other), bool)
@@ -293,22 +268,24 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(other))).astype(np.int32)
                 ends = np.searchsorted(in_row[first], np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(other[first].view(np.int64)), pa.array(times)], names=["h", "n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(np.diff(where)), pa.array(np.bincount(rows[known], minlength=n)), pa.array(base), pa.array(walked), lists], names=schema.names)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(other[first].view(np.int64)), pa.array(times)], names=["k", "n"]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(np.diff(where)), pa.array(known), pa.array(base), pa.array(arcs), lists], names=schema.names)
                 row += n
 
     scored = staged(source.withColumn("held_out", held_out).mapInArrow(run, schema), "scored")
-    tail = vocabulary.where(F.col("c") < least)
-    rest = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.n").alias("n")).join(tail, "h", "left")
-    scale = float(total + distinct + 1)
-    rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(scale))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).cast("long").alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
+    rest = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.k").alias("k"), F.col("x.n").alias("n")).join(tail, "k")
+    rest = rest.groupBy("row").agg(
+        F.sum(F.when(F.col("word"), F.col("n")).otherwise(0)).cast("long").alias("more_known"),
+        F.sum(F.when(F.col("word"), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("more_base"),
+        F.sum(F.col("n") * F.col("w")).alias("more_arcs"),
+    )
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))
     return scored.drop("rare").join(rest, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("walked") + more).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("arcs") + F.coalesce("more_arcs", F.lit(0.0))).alias("score"),
     )

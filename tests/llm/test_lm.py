@@ -104,3 +104,28 @@ def test_lookup():
         assert (find(rng.integers(0, 2**64, 1000, dtype=np.uint64)) == -1).all()
     keys = np.array([2**64 - 9, 2**64 - 8, 2**64 - 3], np.uint64)
     assert lm.Lookup(keys)(np.array([2**64 - 8, 2**64 - 4, 2**64 - 2, 3], np.uint64)).tolist() == [1, -1, -1, -1]
+
+
+def test_pairs_of_rare_words_have_arcs(spark):
+    # every word is rarer than 2^-12 of the tokens, and each pair of x and y stands in two training texts
+    train = [i for i in range(10000) if not held(i)][:3000]
+    docs = [(i, f"x{k // 2} y{k // 2} z{k // 2} u{k}") for k, i in enumerate(train)]
+    docs.append((next(i for i in range(10000) if held(i)), "x7 y7 z7 unseen"))
+    want = check(spark, docs)
+    assert all(x[5] > x[4] + 3 for x in want.values())
+
+
+def test_keys_are_those_of_spark(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-(2**63), 2**63, (2, 100))
+    rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long").selectExpr("a", "b", "xxhash64(a, b) as k").collect()
+    assert lm.ngram_key(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist() == [r.k for r in sorted(rows, key=lambda r: a.tolist().index(r.a))]
+    bits = lm.bit_map(spark.createDataFrame([(x,) for x in a.tolist()], "k long"))
+    assert lm.in_map(bits, a.view(np.uint64)).all() and lm.in_map(bits, b.view(np.uint64)).sum() < 20
+
+
+@pytest.mark.parametrize("shares", [(1.0, 1.0), (2.0**-5, 2.0**-4)])
+def test_what_is_held_changes_nothing(spark, monkeypatch, shares):
+    monkeypatch.setattr(lm, "HEAD_SHARE", shares[0])
+    monkeypatch.setattr(lm, "HEAD_ARC_SHARE", shares[1])
+    check(spark, list(enumerate(["a b c a b c a b d", "A b c.", None, "", "c a b e f", "zz a b c x", "a a a a", "b a b c q a b"] * 4)))
