@@ -64,3 +64,16 @@ def test_pii_stage_is_native(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = corpus_pipeline.personal_data(spark, docs, sf).withColumn("x", F.lit(1))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_near_duplicates_from_four_fifths(spark, sf):
+    rng = random.Random(4)
+    texts = []
+    for k in range(20):
+        words = [f"v{k}x{rng.randrange(10**6)}" for _ in range(160)]
+        # each changed word is in five of 156 shingles: three give 141 of 171 (0.82), four 136 of 176 (0.77)
+        for changed in ((), (30, 80, 130), (20, 60, 100, 140)):
+            texts.append(" ".join("new" + w if i in changed else w for i, w in enumerate(words)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()}
+    assert got == {i for i in range(60) if i % 3 != 1} == {i for i, x in components(list(enumerate(texts)), percent=80).items() if x[2]}
