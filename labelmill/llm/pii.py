@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data, with Spark expressions only.
 
 Addresses of mail and network, card and phone numbers are protected entities: patterns find them, and checks (parts of
-an address, Luhn, digits of a phone number) confirm them. Words next to an entity may give it away as well. Over the
-whole corpus the documents are counted in which a term stands beside an entity, n(t, e), and in which it stands
-at all, n(t). A term whose occurrence makes the entity likely, n(t, e) / n(t) >= disclosure, in at least
-support documents, is generalised too, wherever it stands beside that entity.
+an address, Luhn, digits of a phone number) confirm them. Words of a document with an entity may give it away as well.
+Over the whole corpus the documents are counted in which a term stands together with an entity, n(t, e), and in which it
+stands at all, n(t). A term whose occurrence makes the entity likely, n(t, e) / n(t) >= disclosure, in at least
+support documents, is generalised too: in the documents with that entity, or everywhere.
 
-Of the texts only terms that stand beside entities are shuffled. Terms beside entities are joined to the corpus's
-words, by broadcast only if they are few enough.
+Of the texts only the words of documents with repeated entities are shuffled, and which texts hold disclosing terms. Terms
+are joined to the corpus's words, by broadcast only if they are few enough.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ CARD_RUN = r"[0-9][0-9\x20-]{14,}[0-9]"
 CARD_GAP = r"[\x20-]{2,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Words on either side of an entity that are its context, as far as they lie within so many characters.
-CONTEXT_WORDS = 5
-CONTEXT_CHARS = 160
 SUPPORT = 3
 DISCLOSURE = 0.8
 LEAST_TERM_CHARS = 3
 #: Broadcast terms only up to this many.
 BROADCAST_TERMS = 500_000
-WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Texts with their terms are broadcast only up to this many.
+BROADCAST_TEXTS = 100_000
+WORD_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
 _SPAN = "array<struct<kind: string, start: int, end: int, value: string>>"
 
@@ -44,9 +44,9 @@ def _empty(kind: str = _SPAN) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
-def _found(text: Column, pattern: str, kind: str, offset: Column | int = 0) -> Column:
+def _found(text: Column, pattern: str | Column, kind: str, offset: Column | int = 0) -> Column:
     """All matches of a pattern with their places, from what stands between matches and the matches in turn."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    matches, between = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     return _placed(between, matches, kind, offset)
 
 
@@ -90,96 +90,104 @@ def _cut(run: Column, offset: Column) -> Column:
 
 
 def _word_parts(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), WORD_GAP), "")
+    return F.array_remove(F.split(text, WORD_GAP), "")
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) of the context words of each entity."""
+def _lowered(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, F.lower))
 
-    def around(s: Column) -> Column:
-        entity = F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
-        left_from = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        left, right = text.substr(left_from + 1, s["start"] - left_from), text.substr(s["end"] + 1, F.lit(CONTEXT_CHARS))
-        # a word that the window cuts isn't taken
-        left_words = F.filter(_split_places(left, left_from), lambda w: (w["start"] > left_from) | (left_from == 0))
-        right_words = F.filter(_split_places(right, s["end"]), lambda w: w["end"] < s["end"] + CONTEXT_CHARS)
-        near = F.concat(F.slice(left_words, F.greatest(F.size(left_words) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)), F.slice(right_words, 1, CONTEXT_WORDS))
-        return F.transform(F.filter(near, lambda w: F.length(w["value"]) >= LEAST_TERM_CHARS), lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
 
-    return F.array_distinct(F.flatten(F.transform(spans, around)))
+def _merged(spans: Column) -> Column:
+    """Spans by place, those that overlap as one with the kind of the first."""
+    return F.aggregate(
+        F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))),
+        _empty("array<struct<start: int, end: int, kind: string>>"),
+        lambda done, s: F.when(
+            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.transform(F.slice(done, -1, 1), lambda x: F.struct(x["start"].alias("start"), F.greatest(x["end"], -s["back"]).alias("end"), x["kind"].alias("kind")))),
+        ).otherwise(F.array_append(done, F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))),
+    )
+
+
+def _replaced(text: Column, merged: str, name) -> Column:
+    """text with name(span) in place of each span of the column merged."""
+    pieces = F.transform(
+        merged,
+        lambda s, i: F.concat(text.substr(F.when(i == 0, 1).otherwise(F.get(merged, i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"])), name(s)),
+    )
+    rest = text.substr(F.element_at(merged, -1)["end"] + 1, F.length(text))
+    return F.when(F.size(merged) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
 
 
-def _split_places(text: Column, offset: Column) -> Column:
-    """Words of a short text with their places."""
-    words, gaps = F.split(text, WORD_GAP, -1), F.regexp_extract_all(text, F.lit(WORD_GAP), F.lit(0))
-    return F.filter(_placed(F.concat(F.array(F.lit("")), gaps), words, "term", offset), lambda w: w["end"] > w["start"])
+def _term_spans(text: Column, words: Column, base: Column) -> Column:
+    """Where words stand in a text as whole words outside its entities."""
+    pattern = F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join(words, "|"), F.lit(f")(?!{WORD})"))
+    return F.filter(_found(text, pattern, "term"), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
 def _analysed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with what is found in text_col: base, the entities, and terms, their context words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("_base", base_spans(text))
-    return found.withColumn("_terms", F.when(F.size("_base") > 0, _terms(text, F.col("_base"))).otherwise(_empty("array<struct<entity: string, term: string, start: int, end: int>>")))
+    """docs with _base, the entities found in text_col."""
+    return docs.withColumn("_base", base_spans(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def revealing_terms(analysed: DataFrame, corpus: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) of the terms that disclose an entity. analysed has _terms; corpus has all texts in text_col."""
-    pairs = analysed.select(F.explode(F.array_distinct(F.transform("_terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("together"))
-    # documents that have the term beside any entity are some of those that have it at all: what falls short of these already
+def revealing_terms(slim: DataFrame, corpus: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
+    """(entity, term) of the terms that disclose an entity. slim has the entities and terms of documents with entities; corpus has all texts in text_col."""
+    often = slim.select(F.explode("entities").alias("entity")).groupBy("entity").count().where(F.col("count") >= support).select("entity")
+    holding = slim.select(F.explode("entities").alias("entity"), "terms").join(often, "entity")
+    pairs = holding.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
+    # documents that have the term and any entity are some of those that have it at all: what falls short of these already
     # can't reach the share among all, and needn't be looked for in the corpus
-    beside = analysed.select(F.explode(F.array_distinct(F.transform("_terms", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    pairs = pairs.where(F.col("together") >= support).join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside"))
-    pairs = staged(pairs.select("entity", "term", "together"), "pairs")
+    beside = slim.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
+    pairs = staged(pairs.join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside")).select("entity", "term", "together"), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
-    seen = corpus.select(F.explode(F.array_distinct(_word_parts(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
+    seen = corpus.select(F.explode(_lowered(_word_parts(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
     counted = seen.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
     return pairs.join(counted, "term").where(F.col("together") >= F.lit(disclosure) * F.col("all")).select("entity", "term")
 
 
-def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
+def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float, everywhere: bool, least_chars: int) -> DataFrame:
     """docs with spans: entities and disclosing terms as (kind, start, end), by kind as listed and then by place."""
     analysed = _analysed(docs, text_col)
     # what the corpus is asked about: documents with entities
-    slim = staged(_analysed(docs.select(text_col), text_col).where(F.size("_base") > 0).select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), "_terms"), "terms")
+    entities = F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    words = F.array_distinct(_word_parts(_replaced(F.col(text_col), "_merged", lambda s: F.lit(" "))))
+    slim = _analysed(docs.select(text_col), text_col).where(F.size("_base") > 0).withColumn("_merged", _merged(F.col("_base")))
+    slim = slim.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), entities.alias("entities"), F.filter(words, lambda w: F.length(w) >= least_chars).alias("words"))
+    slim = staged(slim.withColumn("terms", _lowered(F.col("words"))), "terms")
     reveal = staged(revealing_terms(slim, docs, text_col, support, disclosure), "reveal")
-    told = slim.select("th", "tl", F.explode("_terms").alias("t")).select("th", "tl", F.col("t.entity").alias("entity"), F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(reveal, ["entity", "term"], "left_semi")
-    told = staged(told.groupBy(F.col("th").alias("_th"), F.col("tl").alias("_tl")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_told")), "told")
+    if everywhere:
+        names = staged(reveal.select("term").distinct(), "names")
+        source = docs.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), F.explode(F.array_distinct(_word_parts(F.col(text_col)))).alias("word"))
+        told = source.withColumn("term", F.lower("word")).join(F.broadcast(names) if names.count() <= BROADCAST_TERMS else names, "term", "left_semi")
+    else:
+        source = slim.select("th", "tl", F.explode("entities").alias("entity"), "words").join(reveal.select("entity").distinct(), "entity", "left_semi").select("th", "tl", "entity", F.explode("words").alias("word"))
+        told = source.withColumn("term", F.lower("word")).join(reveal, ["entity", "term"], "left_semi")
+    told = staged(told.groupBy(F.col("th").alias("_th"), F.col("tl").alias("_tl")).agg(F.sort_array(F.collect_set("word")).alias("_told")), "told")
     keyed = analysed.withColumn("_h", F.xxhash64(text_col)).withColumn("_l", F.length(text_col))
-    out = keyed.join(F.broadcast(told) if told.count() <= BROADCAST_TERMS else told, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_tl")), "left")
+    out = keyed.join(F.broadcast(told) if told.count() <= BROADCAST_TEXTS else told, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_tl")), "left")
     base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    terms = F.transform("_told", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    terms = F.when(F.col("_told").isNotNull(), _term_spans(F.col(text_col), F.col("_told"), F.col("_base")))
+    terms = F.transform(terms, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return out.withColumn("_spans", F.concat(base, F.coalesce(terms, _empty("array<struct<kind: string, start: int, end: int>>"))))
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False, least_chars: int = LEAST_TERM_CHARS) -> DataFrame:
     """One row for each row of docs: id and spans, an array of (kind, start, end) in code points.
 
     Kinds are those of KINDS and term. Matches of one kind don't overlap; those of different kinds may. A null or empty
-    text has none. Terms are words of ASCII letters and digits and all other characters; equal texts have
+    text has none. Terms of at least least_chars characters are marked wherever they stand in a text that holds an entity they
+    disclose; with everywhere, in all texts. Terms are words of ASCII letters and digits and all other characters; equal texts have
     equal spans; repeated rows count as documents of their own and are given each. Other columns aren't read.
     """
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return _with_spans(source, "_text", support, disclosure).select(F.col("_id").alias(id_col), F.col("_spans").alias("spans"))
+    return _with_spans(source, "_text", support, disclosure, everywhere, least_chars).select(F.col("_id").alias(id_col), F.col("_spans").alias("spans"))
 
 
-def sanitised(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitised(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False, least_chars: int = LEAST_TERM_CHARS) -> DataFrame:
     """docs with each span of text_col generalised to the name of its kind, as <EMAIL>; of overlapping spans the first gives the name. All other columns and rows stay, null texts too."""
     columns = docs.columns
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))
     text = f"c{columns.index(text_col)}"
-    merged = F.aggregate(
-        F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))),
-        _empty("array<struct<start: int, end: int, kind: string>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.transform(F.slice(done, -1, 1), lambda x: F.struct(x["start"].alias("start"), F.greatest(x["end"], -s["back"]).alias("end"), x["kind"].alias("kind")))),
-        ).otherwise(F.array_append(done, F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))),
-    )
-    found = _with_spans(named, text, support, disclosure).withColumn("_merged", merged)
-    pieces = F.transform(
-        "_merged",
-        lambda s, i: F.concat(F.col(text).substr(F.when(i == 0, 1).otherwise(F.get("_merged", i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get("_merged", i - 1)["end"])), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
-    )
-    rest = F.col(text).substr(F.element_at("_merged", -1)["end"] + 1, F.length(text))
-    clean = F.when(F.size("_merged") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
+    found = _with_spans(named, text, support, disclosure, everywhere, least_chars).withColumn("_merged", _merged(F.col("_spans")))
+    clean = _replaced(F.col(text), "_merged", lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     return found.withColumn("_clean", clean).select(*(F.col("_clean" if c == text_col else f"c{k}").alias(c) for k, c in enumerate(columns)))

@@ -77,7 +77,7 @@ def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_spans(_table(spark, sf_dir, "documents"))
+    found = personal_spans(_table(spark, sf_dir, "documents"), everywhere=True, least_chars=1)
     written = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     found = found.withColumn("written", written)
 

@@ -61,3 +61,18 @@ def test_repeated_rows_empty_table_and_plan(spark):
     assert sanitised(df).count() == 3 and sanitised(df.limit(0)).count() == 0 and personal_spans(df.limit(0)).count() == 0
     plan = sanitised(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_disclosing_terms_everywhere(spark):
+    filler = " ".join(f"w{i}" for i in range(40))
+    texts = [f"Zanzibar Li mail jo@x.org {filler} and ZANZIBAR again, zanzibars not. org" for _ in range(4)]
+    texts += ["mail and again and not of org"] * 9 + [filler] * 9 + ["zanzibar alone, with li", "Li Éa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitised(df, everywhere=True, least_chars=1, disclosure=0.6).collect()}
+    assert clean[0] == f"<TERM> <TERM> mail <EMAIL> {filler} and <TERM> again, <TERM> not. org"
+    assert clean[22] == "<TERM> alone, with <TERM>" and clean[23] == "<TERM> Éa" and clean[4] == texts[4] and clean[13] == filler
+    within = {r.doc_id: r.text for r in sanitised(df, disclosure=0.6).collect()}
+    assert within[0] == f"<TERM> Li mail <EMAIL> {filler} and <TERM> again, <TERM> not. org" and within[22] == texts[22]
+    spans = {r.doc_id: r.spans for r in personal_spans(df, everywhere=True, least_chars=1, disclosure=0.6).collect()}
+    assert [texts[0][s.start : s.end] for s in spans[0]] == ["jo@x.org", "Zanzibar", "Li", "ZANZIBAR", "zanzibars"]
+    assert [(s.kind, s.start, s.end) for s in spans[22]] == [("term", 0, 8), ("term", 21, 23)]
