@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the leaders left open, first among representatives with the same first leader
     first_lead = staged(led.groupBy("rep").agg(F.max("lead")["rep"].alias("lead")), "first-lead")
     by_lead = first_lead.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "lead", F.coalesce("label", "rep").alias("label"))
-    open_leads = by_lead.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 2 and lo <> hi").select("lead", "size")
+    open_leads = by_lead.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1 and lo <> hi").select("lead", "size")
     members = staged(by_lead.join(open_leads, "lead"), "members")
     if not members.isEmpty():
         links = staged(links.union(_linked_in_blocks(members, _full_sets(members.select(F.col("rep").alias("id")), source), percent)), "confirmed")

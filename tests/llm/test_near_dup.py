@@ -90,3 +90,19 @@ def test_estimate_is_close():
         assert abs(true - guess) < 0.12
     a = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
     assert near_dup.estimated(near_dup.packed(near_dup.minima(a)), near_dup.packed(near_dup.minima(a))) == 1.0
+
+
+def test_pair_whose_leader_has_another_first_leader(spark, monkeypatch):
+    text = {i: " ".join(f"t{i}w{k}" for k in range(60)) for i in (1, 3, 4, 5, 6, 7)}
+    docs = [(1, text[1]), (2, text[1] + " tail"), *((i, text[i]) for i in (3, 4, 5, 6, 7))]
+    # 3 leads the one bucket that 1 and 2 share, and is itself led by 4, which is in more company
+    bands = {1: [100, 1], 2: [100, 2], 3: [100, 200], 4: [300, 200], 5: [300, 5], 6: [300, 6], 7: [300, 7]}
+    real = near_dup.signatures
+
+    def crafted(*args):
+        named = spark.createDataFrame(list(bands.items()), "id long, bands array<long>")
+        return real(*args).drop("bands").join(named, "id")
+
+    monkeypatch.setattr(near_dup, "signatures", crafted)
+    assert brute(docs)[2] == (57, 1, False)
+    check(spark, docs)
