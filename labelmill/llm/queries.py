@@ -111,8 +111,8 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     ids = encoded(docs, PIECES_MODEL).withColumn("n_ids", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids"))
-    back = decoded(ids, PIECES_MODEL)
-    return back.select("doc_id", "n_ids", "ids_hash", F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("exact"))
+    back = decoded(ids.withColumn("tokens", F.col("ids")), PIECES_MODEL)
+    return back.select("doc_id", F.col("tokens").alias("ids"), "n_ids", "ids_hash", F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("exact"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

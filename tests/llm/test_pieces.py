@@ -58,3 +58,12 @@ def test_round_trip(spark, library):
     strange = spark.createDataFrame([(1, [-5, 99999, 3 + 0xFF, 264]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert [r.text for r in decoded(strange, MODEL).collect()] == ["� a", "", ""]
     assert encoded(df.limit(0), MODEL).count() == 0
+
+
+def test_query_gives_the_ids(spark, sf):
+    from labelmill.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.ids for r in encoded(docs, queries.PIECES_MODEL).collect()}
+    got = {r.doc_id: r for r in queries.op10_streaming_viterbi(spark, sf).collect()}
+    assert {i: r.ids for i, r in got.items()} == want and all(r.n_ids == len(r.ids) for r in got.values())
