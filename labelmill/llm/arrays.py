@@ -21,19 +21,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+#: Two primes, and a base for each, of the polynomials by which segments are hashed.
+_MODULI = ((2**31 - 1, 1_403_580_281), (2**31 - 19, 1_176_543_943))
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power_tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each modulus the powers of its base, and of the base's inverse, from 0 to BLOCK."""
+    if not _powers or len(_powers[0][0]) <= BLOCK:
+        _powers.clear()
+        for p, base in _MODULI:
+            both = []
+            for b in (base, pow(base, -1, p)):
+                steps = np.ones(1, np.uint64)
+                while len(steps) <= BLOCK:
+                    steps = np.concatenate([steps, steps * np.uint64(pow(b, len(steps), p)) % np.uint64(p)])
+                both.append(steps[: BLOCK + 1])
+            _powers.append((both[0], both[1]))
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,11 +93,31 @@ def _word_bounds(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tup
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment of data."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each segment of data; segments are in order and don't overlap.
+
+    Polynomials modulo two primes: unlike sums modulo 2**64 these have no strings that agree by construction. Work memory
+    is bounded by BLOCK, however long segments are.
+    """
+    found = []
+    for (p, base), (up, down) in zip(_MODULI, _power_tables(), strict=True):
+        m = np.uint64(p)
+        left, right, back = (np.zeros(len(starts), np.uint64) for _ in range(3))
+        carry, scale, unscale = 0, 1, 1
+        for lo in range(0, max(len(data), 1), BLOCK):
+            block = data[lo : lo + BLOCK]
+            total = np.zeros(len(block) + 1, np.uint64)
+            # at most 2**20 terms below 2**39
+            np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=total[1:])
+            a, z = np.searchsorted(starts, [lo, lo + len(block)])
+            at = starts[a:z] - lo
+            left[a:z] = (total[at] % m * np.uint64(scale) + np.uint64(carry)) % m
+            back[a:z] = down[at] * np.uint64(unscale) % m
+            a, z = np.searchsorted(ends, [lo, lo + len(block)], "right")
+            right[a:z] = (total[ends[a:z] - lo] % m * np.uint64(scale) + np.uint64(carry)) % m
+            carry = (carry + int(total[-1]) % p * scale) % p
+            scale, unscale = scale * pow(base, len(block), p) % p, unscale * pow(base, -len(block), p) % p
+        found.append((right + m - left) % m * back % m)
+    return mix((found[0] << np.uint64(32)) | found[1])
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -12,11 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelmill.llm.arrays import BLOCK, SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
+from labelmill.llm.arrays import SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
 from labelmill.llm.shared import small_batches
 
 SYMBOLS = np.zeros(256, bool)
@@ -52,11 +51,7 @@ def _line_repeats(data: np.ndarray, offsets: np.ndarray, w_starts: np.ndarray, w
     inside = chars[np.searchsorted(w_starts, ends)] - chars[np.searchsorted(w_starts, starts)]
     full = inside > 0
     starts, ends, rows, inside = starts[full], ends[full], rows[full], inside[full]
-    if len(data) <= 4 * BLOCK:
-        keys = segment_hashes(data, starts, ends)
-    else:
-        view = memoryview(np.ascontiguousarray(data))
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    keys = segment_hashes(data, starts, ends)
     keys = mix(keys + rows.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     later = np.ones(len(keys), bool)
     later[np.unique(keys, return_index=True)[1]] = False

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from labelmill.llm import arrays
+from labelmill.llm.arrays import segment_hashes
 
 SPACED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,3 +55,24 @@ def test_windows_and_cover():
     assert keys[0] == keys[2] == keys[4] != keys[1]
     assert arrays.covered(np.array([0, 3]), 2, 6).tolist() == [True, True, False, True, True, False]
     assert arrays.repeated(np.array([5, 6, 5])).tolist() == [True, False, True]
+
+
+def test_segment_hashes_tell_alternating_strings_apart():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    # sums modulo 2**64 give these two the same hash, whatever the base
+    data = np.frombuffer((a + b + a).encode(), np.uint8)
+    at = np.arange(3) * len(a)
+    h = segment_hashes(data, at, at + len(a))
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_segment_hashes_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    cuts = np.unique(rng.integers(0, 5000, 60))
+    want = segment_hashes(data, cuts[:-1], cuts[1:])
+    monkeypatch.setattr(arrays, "BLOCK", 137)
+    assert (segment_hashes(data, cuts[:-1], cuts[1:]) == want).all()
+    assert (want[:5] == np.concatenate([segment_hashes(data[a:b], np.zeros(1, int), np.array([b - a])) for a, b in zip(cuts[:5], cuts[1:6])])).all()
