@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelmill.llm.decontaminate import uncontaminated
 from labelmill.llm.near_dup import one_of_each
-from labelmill.llm.pieces import decoded, encoded
+from labelmill.llm.pieces import encoded
 from labelmill.llm.pii import sanitised
 from labelmill.llm.quality_rules import keep_by_rules
 from labelmill.llm.shared import shared_folder
@@ -42,9 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether decoding them gives the text again."""
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    coded = encoded(docs.select(*kept, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), PIECES_MODEL)
-    back = decoded(coded.withColumn("tokens", F.col("ids")), PIECES_MODEL)
-    return back.select(*kept, F.col("tokens").alias("ids"), F.size("tokens").cast("long").alias("n_ids"), (F.sha2("text", 256) == F.col("text_sha256")).alias("exact"))
+    coded = encoded(docs.select(*kept, "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), PIECES_MODEL, decoded_col="back")
+    return coded.select(*kept, "ids", F.size("ids").cast("long").alias("n_ids"), (F.sha2("back", 256) == F.col("text_sha256")).alias("exact"))
 
 
 STAGES = [

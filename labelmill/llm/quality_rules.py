@@ -15,14 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelmill.llm.arrays import SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
+from labelmill.llm.arrays import FIRST, SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
 from labelmill.llm.shared import small_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: Bytes that begin a character.
-FIRST = np.ones(256, bool)
-FIRST[0x80:0xC0] = False
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars"]
 
 

@@ -13,7 +13,7 @@ from labelmill.llm.decontaminate import contamination
 from labelmill.llm.licenses import license_spans
 from labelmill.llm.lm import language_scores
 from labelmill.llm.near_dup import near_duplicates
-from labelmill.llm.pieces import decoded, encoded
+from labelmill.llm.pieces import encoded
 from labelmill.llm.pii import KINDS, personal_spans
 from labelmill.llm.quality_model import quality_scores
 from labelmill.llm.quality_rules import repetition_stats
@@ -110,9 +110,8 @@ def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    ids = encoded(docs, PIECES_MODEL).withColumn("n_ids", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids"))
-    back = decoded(ids.withColumn("tokens", F.col("ids")), PIECES_MODEL)
-    return back.select("doc_id", F.col("tokens").alias("ids"), "n_ids", "ids_hash", F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("exact"))
+    coded = encoded(docs, PIECES_MODEL, decoded_col="back")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("back").cast("long").alias("n_chars"), (F.sha2("back", 256) == F.col("text_sha256")).alias("exact"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
