@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.operators import batches, mining, rules, splits
+from labelmill.operators import mining, rules, splits
 from labelmill.plans import manifest
 from labelmill.sources import readers
 
@@ -54,7 +54,6 @@ def run_audit(spark: SparkSession, args: argparse.Namespace) -> None:
     mining.audit(rows, ["id", "source_dataset", "prompt", "response", "instruction_set"], ["prompt_a", "response_a", "response_b"]).orderBy("source_dataset").show(100, False)
     if args.mask:
         print(f"{splits.orphans(readers.mask(spark, args.mask), rows).count()} ids of the mask match no record")
-    print(f"{batches.first_rows(rows, 1, ['ord']).count()} first record read")
 
 
 def parser() -> argparse.ArgumentParser:

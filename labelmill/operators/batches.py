@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labelmill.storage import staged
+
 
 def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "rn") -> DataFrame:
     """df with 0, 1, 2, ... in an order, within by if given.
 
     Over all rows, places are the sum of the counts of the partitions before and the place inside a sorted partition; no
-    task holds all rows. by is for groups of a size that one task can sort.
+    task holds all rows. Which row is in which partition, and where, is written down once with the rows: a plan that is
+    evaluated twice may cut its partitions in two ways. by is for groups of a size that one task can sort.
     """
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    placed = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    # the number of the partition stands in the upper bits, the place inside it in the lower 33
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_inside", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # a row for each partition
     starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_part", "_start", "_inside")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_at", "_part", "_start", "_inside")
 
 
 def length_batches(df: DataFrame, length: str, ordinal: str, batch_size: int, shard_size: int) -> DataFrame:

@@ -119,6 +119,19 @@ def source_losses(rows: DataFrame, batch: str = "batch", source: str = "source",
     return rows.groupBy(batch, source).agg(F.avg(loss).alias("m")).groupBy(source).agg(F.avg("m").alias("loss"), F.count(F.lit(1)).alias("batches"))
 
 
+def phase_seconds(timings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., phase, seconds, share): what phases took, from rows (phase, seconds), and their share of all."""
+    keys = by or []
+    sums = timings.groupBy(*keys, "phase").agg(F.sum("seconds").alias("seconds"))
+    # a row for each phase
+    return sums.withColumn("share", F.try_divide("seconds", F.sum("seconds").over(Window.partitionBy(*(keys or [F.lit(0)])))))
+
+
+def judge_errors(traces: DataFrame, by: list[str]) -> DataFrame:
+    """How many rows of each group a judge failed on."""
+    return traces.groupBy(*by).agg(F.count_if(_error(traces)).alias("errors"), F.count(F.lit(1)).alias("n"))
+
+
 def best_layer(metrics: DataFrame) -> DataFrame:
     """The layer of least loss in each run (run, layer, val_loss), and mean and spread of the runs' best."""
     return metrics.groupBy("run").agg(F.min_by("layer", F.struct("val_loss", "layer")).alias("layer"), F.min("val_loss").alias("val_loss"))

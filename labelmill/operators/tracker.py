@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labelmill.storage import staged
+
+#: Weights that are searched at once when drawing: 2 ** 17.
+CHUNK_BITS = 17
 ALPHA, EPSILON, MAX_WEIGHT = 0.3, 0.1, 5.0
 
 
@@ -61,12 +63,14 @@ def weight_quantiles(weights: DataFrame) -> DataFrame:
 def weighted_draws(weights: DataFrame, draws: int, seed: int, index: str = "idx") -> DataFrame:
     """(draw, idx): draws with replacement in proportion to weight; if all weights are 0, evenly.
 
-    Each partition's mass is summed, the driver deals the draws to partitions by it, and each partition finds its own by
-    searching its running sum. Only a number for each partition comes to the driver.
+    Weights are written down in chunks of a bounded size; each chunk's mass is summed, the driver deals the draws to
+    chunks by it, and each chunk finds its own by searching its running sum. Only a number for each chunk comes to the
+    driver.
     """
     spark = weights.sparkSession
     rows = weights.select(F.col(index).cast("long").alias("idx"), F.col("weight").cast("double").alias("weight")).repartitionByRange("idx").sortWithinPartitions("idx")
-    rows = rows.withColumn("part", F.spark_partition_id())
+    # partition and place inside it, cut off at a chunk's size
+    rows = staged(rows.withColumn("part", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "weights")
     mass = rows.groupBy("part").agg(F.sum("weight").alias("mass"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     if not mass:
         raise ValueError("no weights to draw by")
@@ -76,17 +80,32 @@ def weighted_draws(weights: DataFrame, draws: int, seed: int, index: str = "idx"
     counts = {r["part"]: (int(k), int(first)) for r, k, first in zip(mass, dealt, np.cumsum(dealt) - dealt, strict=True)}
     sent = spark.sparkContext.broadcast(counts)
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
-        if held:
-            table = pd.concat(held)
-            part = int(table["part"].iloc[0])
-            k, first = sent.value.get(part, (0, 0))
-            total = np.cumsum(np.ones(len(table)) if flat else table["weight"].to_numpy())
-            at = np.searchsorted(total, np.random.default_rng([seed, part]).random(k) * total[-1], "right") if k else np.zeros(0, int)
-            yield pd.DataFrame({"draw": np.arange(first, first + k), "idx": table["idx"].to_numpy()[np.minimum(at, len(table) - 1)]})
-
-    return rows.mapInPandas(draw, "draw long, idx long")
+    def draw(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        part = int(key[0])
+        k, first = sent.value.get(part, (0, 0))
+        table = table.sort_values("idx")
+        total = np.cumsum(np.ones(len(table)) if flat else table["weight"].to_numpy())
+        at = np.searchsorted(total, np.random.default_rng([seed, part]).random(k) * total[-1], "right") if k else np.zeros(0, int)
+        return pd.DataFrame({"draw": np.arange(first, first + k), "idx": table["idx"].to_numpy()[np.minimum(at, len(table) - 1)]})
+
+    return rows.groupBy("part").applyInPandas(draw, "draw long, idx long")
+
+
+def save_state(state: DataFrame, path: str, alpha: float = ALPHA) -> None:
+    """Writes (record_id, ema, cnt), with the alpha that they were made with."""
+    state.select("record_id", "ema", "cnt", F.lit(alpha).alias("alpha")).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """(record_id, ema, cnt) and alpha, as saved; the usual alpha where nothing was."""
+    rows = spark.read.parquet(path)
+    first = rows.select("alpha").first()
+    return rows.drop("alpha"), first[0] if first else ALPHA
+
+
+def looked_up(ids: DataFrame, state: DataFrame, default: float = 0.5) -> DataFrame:
+    """ids with ema, the default where a record has none."""
+    return ids.join(state.select("record_id", "ema"), "record_id", "left").withColumn("ema", F.coalesce("ema", F.lit(default)))
 
 
 def best_so_far(metrics: DataFrame, step: str = "step", value: str = "value", higher: bool = True, by: list[str] | None = None) -> DataFrame:

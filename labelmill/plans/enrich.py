@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,34 +32,58 @@ class Breaker:
             raise CircuitOpen(f"{self.failures} failures in a row")
 
 
-def retried(call: Callable, tries: int, base_seconds: float = 1.0, parse: Callable = lambda x: x, sleep: Callable = time.sleep):
-    """parse(call()), tried again with doubled waits; an answer that doesn't parse uses up a try. None when all failed."""
+def retried(call: Callable, tries: int, base_seconds: float = 1.0, parse: Callable = lambda x: x, sleep: Callable = time.sleep, jitter: float = 0.0):
+    """parse(call()), tried again with doubled waits, each longer by a random share of jitter; an answer that doesn't parse uses up a try. None when all failed."""
     for k in range(tries):
         try:
             return parse(call())
         except Exception:
             if k + 1 < tries:
-                sleep(base_seconds * 2**k)
+                sleep(base_seconds * 2**k * (1 + jitter * random.random()))
     return None
 
 
-def enriched(rows: DataFrame, key: str, request: str, client: Client, out: str, batch_size: int = 256, breaker: int = 30) -> DataFrame:
-    """(key, out): the client's answer to each request; null where it failed. The client is called with batches in each task."""
+def enriched(rows: DataFrame, key: str, request: str, client: Client, out: str, batch_size: int = 256, breaker: int = 30, tries: int = 1, base_seconds: float = 1.0, jitter: float = 0.0, at_once: int = 1, parse: Callable[[str], str | None] | None = None) -> DataFrame:
+    """(key, out): the client's answer to each request; null where it failed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fuse = Breaker(breaker)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, batch_size):
-                part = batch.slice(lo, batch_size)
+    The client is called with batches, in each task at_once of them at a time. What fails as a whole, what it gives no
+    answer to and what doesn't parse is asked for again, tries times in all, after doubled waits.
+    """
+
+    def asked(requests: list[str]) -> list[str | None]:
+        answers: list[str | None] = [None] * len(requests)
+        counted = True
+
+        def once() -> None:
+            nonlocal counted
+            left = [i for i, a in enumerate(answers) if a is None]
+            got = client([requests[i] for i in left])
+            counted = len(got) == len(left)
+            for i, a in zip(left, got):
                 try:
-                    answers = client(part.column(1).to_pylist())
+                    answers[i] = parse(a) if parse and a is not None else a
                 except Exception:
-                    answers = [None] * part.num_rows
-                if len(answers) != part.num_rows:
-                    raise ValueError("the client gave another number of answers")
-                for x in answers:
-                    fuse.record(x is not None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(answers, pa.string())], names=[key, out])
+                    answers[i] = None
+            if any(a is None for a in answers) and counted:
+                raise LookupError("some requests have no answer")
+
+        retried(once, tries, base_seconds, jitter=jitter)
+        if not counted:
+            raise ValueError("the client gave another number of answers")
+        return answers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fuse = Breaker(breaker)
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                parts = [batch.slice(lo, batch_size) for lo in range(0, batch.num_rows, batch_size)]
+                # no more than at_once calls are ahead of what has been given on
+                for lo in range(0, len(parts), at_once):
+                    now = parts[lo : lo + at_once]
+                    for part, answers in zip(now, pool.map(asked, [p.column(1).to_pylist() for p in now]), strict=True):
+                        for x in answers:
+                            fuse.record(x is not None)
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(answers, pa.string())], names=[key, out])
 
     return rows.select(key, request).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {out} string")
 

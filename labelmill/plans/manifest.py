@@ -11,6 +11,9 @@ from dataclasses import asdict, dataclass, field, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.operators.batches import numbered
+from labelmill.storage import write_text
+
 PHASES = ("prompts", "paraphrases", "phase1", "phase2", "done")
 #: Keys that an exported configuration has blanked, and marks that mustn't be in it. Fixed values.
 BLANKED = ("output_dir", "wandb_run_id", "precomputed_dir", "judge_trace_path", "resume_from", "init_checkpoint", "record_ids_path")
@@ -83,6 +86,15 @@ def finalized(folder: str, manifest: Manifest) -> Manifest:
     return manifest
 
 
+def require_complete(made: Manifest, layers: list[int]) -> None:
+    """Raises if an extraction isn't complete, or lacks one of the layers."""
+    if made.status != "complete":
+        raise ValueError(f"the extraction is {made.status}, not complete")
+    gone = sorted(set(layers) - set(made.layers))
+    if gone:
+        raise ValueError(f"layers {gone} weren't extracted, only {made.layers}")
+
+
 def may_resume(manifest: Manifest, shards_there: int, resume: bool) -> None:
     """Raises if shards are there and going on wasn't asked for, or can't give the same result."""
     if shards_there and not resume:
@@ -174,21 +186,40 @@ def write_kept_lines(rows: DataFrame, kept: Column, path: str) -> None:
 
 
 def write_mask(ids: DataFrame, path: str, id_col: str = "id", position: str = "ord") -> int:
-    """A JSON array of ids in order, written whole by the driver, which takes them one partition at a time."""
-    n, tmp = 0, f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write("[")
+    """A JSON array of ids in order, written whole by the driver, which takes them one partition at a time; path may be on any file system."""
+    n = 0
+
+    def parts():
+        nonlocal n
+        yield "["
         for r in ids.orderBy(position).select(id_col).toLocalIterator():
-            f.write((", " if n else "") + json.dumps(r[0], ensure_ascii=False))
+            yield (", " if n else "") + json.dumps(r[0], ensure_ascii=False)
             n += 1
-        f.write("]")
-    os.replace(tmp, path)
+        yield "]"
+
+    write_text(ids.sparkSession, path, parts())
     return n
 
 
-def write_shards(acts: DataFrame, path: str, records_per_shard: int) -> None:
-    """Activations as Parquet by split and layer, with so many records to a file at most."""
-    acts.write.mode("overwrite").option("maxRecordsPerFile", records_per_shard).partitionBy("split", "layer").parquet(path)
+def removal_log(routed: DataFrame, shown: int = 500) -> DataFrame:
+    """What the log says of each removed record; prompts and labels are cut to so many characters."""
+    names = [c for c in ("id", "tier", "rule", "verdict", "reason") if c in routed.columns]
+    texts = [F.substring(F.coalesce(c, F.lit("")), 1, shown).alias(c) for c in ("prompt", "instruction_set") if c in routed.columns]
+    return routed.where("route = 'removed'").select(*names, *texts)
+
+
+def write_shards(acts: DataFrame, path: str, records_per_shard: int, order: list[str] | None = None) -> None:
+    """Activations as Parquet by split and layer. With an order of the records, those of a split are cut into shards of just so many, the last one shorter, each a folder; else files have so many records at most."""
+    if order is None:
+        acts.write.mode("overwrite").option("maxRecordsPerFile", records_per_shard).partitionBy("split", "layer").parquet(path)
+        return
+    placed = numbered(acts.select("split", *order).distinct(), ["split", *order])
+    # a row for each split
+    first = placed.groupBy("split").agg(F.min("rn").alias("_first"))
+    shard = F.floor((F.col("rn") - F.col("_first")) / records_per_shard).cast("long").alias("shard")
+    shards = placed.join(F.broadcast(first), "split").select("split", *order, shard)
+    rows = acts.join(shards, ["split", *order])
+    rows.repartition("split", "layer", "shard").sortWithinPartitions("split", "layer", "shard", *order).write.mode("overwrite").partitionBy("split", "layer", "shard").parquet(path)
 
 
 def materialised(path: str, build, spark) -> DataFrame:
@@ -256,7 +287,7 @@ def write_hard_ids(hard: DataFrame, shares: DataFrame, path: str, settings: dict
     ids = [r[0] for r in hard.orderBy("source", "rank").select("record_id").toLocalIterator()]
     counts = {r["source"]: (r["selected"], r["underlying"]) for r in shares.collect()}
     body = {"record_ids": ids, "source_breakdown": {k: v[0] for k, v in counts.items() if v[0]}, "underlying_source_totals": {k: v[1] for k, v in counts.items()}, "total": len(ids), "config": settings}
-    write_whole(path, json.dumps(body, indent=2, ensure_ascii=False))
+    write_text(hard.sparkSession, path, [json.dumps(body, indent=2, ensure_ascii=False)])
     return len(ids)
 
 

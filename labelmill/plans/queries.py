@@ -114,9 +114,9 @@ def q_mask_semi_join(spark, d):
     return splits.masked(a.records(spark, d), _reasoned(spark, d).where("reason = 'kept'").select("id")).select("id", "source_dataset")
 
 
-@query(f"WITH {_R} SELECT 'doc-' || (doc_id + 7) AS id FROM documents WHERE doc_id % 2 = 0 AND 'doc-' || (doc_id + 7) NOT IN (SELECT id FROM records)")
+@query(f"WITH {_R} SELECT 'doc-' || (doc_id + 7) AS id FROM documents WHERE 'doc-' || (doc_id + 7) NOT IN (SELECT id FROM records)")
 def q_mask_orphans(spark, d):
-    mask = a.table(spark, d, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("doc-"), (F.col("doc_id") + 7).cast("string")).alias("id"))
+    mask = a.table(spark, d, "documents").select(F.concat(F.lit("doc-"), (F.col("doc_id") + 7).cast("string")).alias("id"))
     return splits.orphans(mask, a.records(spark, d))
 
 
@@ -471,33 +471,38 @@ def q_hard_index(spark, d):
     return mining.ordered_hits(hard, dataset)
 
 
-@query("SELECT source, count(*) AS rows FROM documents GROUP BY source")
+@query("SELECT doc_id, (i - 1)::INT AS candidate_idx, md5(line) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
 def q_candidates_expanded(spark, d):
-    """Four candidates of each fourth document: as many rows as documents have, counted through the expansion."""
-    rows = a.table(spark, d, "documents").select("source", F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)).alias("candidates"))
-    return scoring.with_candidates(rows, "candidates").groupBy("source").agg((F.count(F.lit(1)) / 4).cast("long").alias("rows"))
+    """The lines of each document as its candidates."""
+    rows = a.table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("candidates"))
+    return scoring.with_candidates(rows, "candidates").select("doc_id", "candidate_idx", F.md5("candidate").alias("digest"))
 
 
-@query("SELECT conv_id, count(*) AS n, sha256('1. ' || string_agg(text, chr(10) ORDER BY turn)) IS NOT NULL AS ok, length(string_agg(r || '. ' || text, chr(10) ORDER BY turn)) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n, sha256(string_agg(r || '. ' || text, chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY conv_id")
 def q_numbered_turns(spark, d):
     lines = text.numbered(F.transform("messages", lambda m: m["content"]))
-    return a.turns(spark, d).select("conv_id", F.size("messages").cast("long").alias("n"), lines.isNotNull().alias("ok"), F.length(lines).cast("long").alias("chars"))
+    return a.turns(spark, d).select("conv_id", F.size("messages").cast("long").alias("n"), F.sha2(lines, 256).alias("digest"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id)::BIGINT WHEN 3 THEN -1 ELSE event_id::BIGINT END AS score FROM events""")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS k FROM events")
 def q_judge_json(spark, d):
-    body = F.concat(F.lit('{"score": '), F.col("event_id").cast("string"), F.lit("}"))
-    raw = F.when(F.col("event_id") % 4 == 0, body).when(F.col("event_id") % 4 == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("I think "), body, F.lit(" fits"))).otherwise("no json")
-    return a.table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(text.json_object(raw), "$.score").cast("long"), F.lit(-1)).alias("score"))
+    """What the props of events say, as a judge would give them: bare, fenced, in prose, or not as JSON."""
+    body, kind = F.col("props"), F.col("event_id") % 4
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("I think "), body, F.lit(" fits"))).otherwise(F.concat(F.lit("{k "), body))
+    return a.table(spark, d, "events").select("event_id", F.get_json_object(text.json_object(raw), "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n_keys, CASE WHEN doc_id % 2 = 0 THEN 'model.b' ELSE 'model.a' END AS first_key FROM documents")
+@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT user_id, n, CASE WHEN user_id % 5 <> 0 OR event_type <> 'click' THEN 'language_model.' ELSE 'model.' END || event_type AS k FROM n WHERE event_type <> 'error'),
+m AS (SELECT user_id, bool_or(starts_with(k, 'model.')) AS have FROM k GROUP BY user_id)
+SELECT user_id, string_agg(x || '=' || n, ',' ORDER BY x) AS entries FROM (SELECT user_id, n, CASE WHEN have THEN k ELSE replace(k, 'language_model.', 'model.') END AS x FROM k JOIN m USING (user_id)) GROUP BY user_id""")
 def q_map_keys(spark, d):
-    even = F.col("doc_id") % 2 == 0
-    m = F.when(even, F.create_map(F.lit("language_model.c"), F.lit(1), F.lit("lora_secret"), F.lit(2), F.lit("model.b"), F.lit(3))).otherwise(F.create_map(F.lit("language_model.a"), F.lit(1), F.lit("token_path"), F.lit(2), F.lit("language_model.b"), F.lit(3), F.lit("other"), F.lit(4)))
-    clean = arrays.remapped_keys(arrays.without_keys(m, ["secret", "path"]), "language_model.", "model.")
-    keys = F.array_sort(F.filter(F.map_keys(clean), lambda k: k.startswith("model.")))
-    return a.table(spark, d, "documents").select("doc_id", F.size(clean).cast("long").alias("n_keys"), F.get(keys, F.lit(0)).alias("first_key"))
+    """Event counts of each user as a map: errors are secret, and keys are renamed where none has its new name yet."""
+    key = F.concat(F.when(F.col("event_type") == "error", "lora_secret.").when((F.col("user_id") % 5 == 0) & (F.col("event_type") == "click"), "model.").otherwise("language_model."), F.col("event_type"))
+    counts = a.table(spark, d, "events").groupBy("user_id", key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    clean = arrays.remapped_keys(arrays.without_keys(F.col("m"), ["secret", "path"]), "language_model.", "model.")
+    entries = F.array_sort(F.transform(F.map_entries(clean), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return maps.select("user_id", F.array_join(entries, ",").alias("entries")).where("entries <> ''")
 
 
 @query()
@@ -511,14 +516,14 @@ def exact_seed_split(spark, d):
     return splits.split_records_exactly(a.records(spark, d)).select("id", "split")
 
 
-@query()
+@query(f"WITH {_UPDATES} SELECT record_id, round(ema, 6) AS ema, cnt FROM folded")
 def stream_ema(spark, d):
     from labelmill.streaming.traces import replay_stream
 
-    return replay_stream(a.traces(spark, d).select("step", "record_id", "reward"))
+    return replay_stream(a.traces(spark, d).select("step", "record_id", "reward")).select("record_id", F.round("ema", 6).alias("ema"), "cnt")
 
 
-@query()
+@query(f"WITH {_R} SELECT id, length(prompt) || ' characters' AS response FROM records")
 def enrich_stub(spark, d):
     from labelmill.plans.enrich import enriched
 
@@ -526,10 +531,12 @@ def enrich_stub(spark, d):
     return enriched(rows, "id", "prompt", lambda prompts: [f"{len(p)} characters" for p in prompts], "response")
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id // 8 AS record, vec_id % 8 AS pos, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY record) AS size FROM x),
+l AS (SELECT record, CASE WHEN i + 1 >= 3 THEN e[i + 2] - ln(list_sum(list_transform(e, lambda v: exp(v)))) END AS logp FROM n WHERE i + 1 < size)
+SELECT r.record, round(coalesce(sum(logp), 0), 4) AS logp_sum, round(coalesce(avg(logp), 0), 5) AS logp_mean, count(logp) AS n_tokens FROM (SELECT DISTINCT record FROM x) r LEFT JOIN l USING (record) GROUP BY r.record""")
 def token_logprobs(spark, d):
     from labelmill.functions.tensors import sequence_logprobs
 
     logits = a.activations(spark, d).groupBy("record").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "embedding"))), lambda x: x["embedding"]).alias("logits"))
     labels = F.transform("logits", lambda _, i: F.when(i < 3, F.lit(-100)).otherwise(i).cast("int"))
-    return sequence_logprobs(logits.withColumn("labels", labels), "record")
+    return sequence_logprobs(logits.withColumn("labels", labels), "record").select("record", F.round("logp_sum", 4).alias("logp_sum"), F.round("logp_mean", 5).alias("logp_mean"), "n_tokens")

@@ -85,8 +85,8 @@ def collected(inputs: dict[str, DataFrame], ord_col: str = "ord", most: int | No
 
 def synthetic_file(spark: SparkSession, path: str) -> DataFrame:
     """(ord, prompt) of a JSONL file; bad lines are skipped, a missing file is empty."""
-    from labelmill.sources.readers import exists, jsonl
+    from labelmill.sources.readers import ORD, exists, jsonl
 
     if not exists(spark, path):
-        return spark.createDataFrame([], "ord long, prompt string")
+        return spark.createDataFrame([], f"ord {ORD}, prompt string")
     return jsonl(spark, [path], "prompt string", policy="skip").select("ord", "prompt")

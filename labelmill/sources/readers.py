@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelmill.plans.manifest import Manifest, require_complete
+from labelmill.storage import whole_path
+
 RECORD_FIELDS = "id string, source_dataset string, prompt string, response string, instruction_set string, retrieval_prompt string, metadata string, prompt_a string, response_a string, response_b string, prompt_b string"
 TRACE_FIELDS = (
     "step bigint, record_id string, candidate_idx int, prompt string, response string, gt_instructions array<string>, itm_bullets array<string>, itm_report string, "
@@ -17,6 +20,7 @@ TRACE_FIELDS = (
     "mean_hallucination_score double, length_penalty double, reward double, advantage double, judge_model string, judge_error string, reward_config map<string,string>"
 )
 SHARD_FIELDS = "record_id string, source_dataset string, prompt string, response string, instruction_set string, response_a_total_tokens int, selected_token_count int, selected_range array<int>"
+ORD = "struct<file: string, block: bigint, line: bigint>"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -28,7 +32,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def jsonl(spark: SparkSession, paths: list[str], fields: str, policy: str = "raise", missing: str = "raise") -> DataFrame:
     """Rows of JSON lines with source_file, ord and value, the line itself.
 
-    ord orders files by name and lines by place. Blank lines are skipped. policy: raise on a bad line, or skip it; a
+    ord orders files by name and lines by place: it is a struct of the file, the block of the file that the line was read
+    from and a number that grows within the block, however Spark deals blocks to tasks. Blank lines are skipped. policy: raise on a bad line, or skip it; a
     line that is JSON but no object is bad. missing: raise on a missing path, or skip it.
     """
     if policy not in ("raise", "skip") or missing not in ("raise", "skip"):
@@ -37,8 +42,9 @@ def jsonl(spark: SparkSession, paths: list[str], fields: str, policy: str = "rai
     there = [p for p in paths if exists(spark, p)] if missing == "skip" else paths
     schema = T._parse_datatype_string(fields)
     if not there:
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source_file", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("value", T.StringType())]))
-    lines = spark.read.text(there).select("value", F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("_at"))
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source_file", T.StringType()), T.StructField("ord", T._parse_datatype_string(ORD)), T.StructField("value", T.StringType())]))
+    place = F.struct(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(there).select("value", F.input_file_name().alias("source_file"), place.alias("_at"))
     lines = lines.where(F.trim("value") != "")
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.withColumn("_row", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
@@ -100,14 +106,16 @@ def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def verified(spark: SparkSession, wanted: dict[str, str]) -> None:
     """Raises if a file's SHA-256 isn't the wanted one."""
-    have = {os.path.basename(r["path"]): r["sha256"] for r in file_digests(spark, list(wanted)).collect()}
-    wrong = [p for p, digest in wanted.items() if have.get(os.path.basename(p)) != digest]
+    have = {r["path"]: r["sha256"] for r in file_digests(spark, list(wanted)).collect()}
+    wrong = [p for p, digest in wanted.items() if have.get(whole_path(spark, p)) != digest]
     if wrong:
         raise ValueError(f"SHA-256 differs: {', '.join(wrong)}")
 
 
-def activation_table(spark: SparkSession, path: str, split: str, layers: list[int], valid: DataFrame | None = None) -> DataFrame:
-    """Activations of a split and layers; folders of others aren't read, rows outside the mask are left out before their arrays are."""
+def activation_table(spark: SparkSession, path: str, split: str, layers: list[int], valid: DataFrame | None = None, made: Manifest | None = None) -> DataFrame:
+    """Activations of a split and layers; folders of others aren't read, rows outside the mask are left out before their arrays are. With its manifest, raises for an extraction that isn't complete or lacks a layer."""
+    if made is not None:
+        require_complete(made, layers)
     rows = spark.read.parquet(path).where((F.col("split") == split) & F.col("layer").isin(layers))
     return rows.join(valid.select(F.col("id").alias("record_id")), "record_id", "left_semi") if valid is not None else rows
 

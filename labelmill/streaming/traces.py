@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from labelmill.operators.tracker import ALPHA
+from labelmill.storage import shared_folder
 
 STATE = "ema double, cnt long, last long"
 
@@ -55,8 +56,7 @@ def run_until_read(stream: DataFrame, folder: str) -> None:
 def replay_stream(traces: DataFrame) -> DataFrame:
     """(record_id, ema, cnt) of traces that go through the stream: written to the shared folder, read as a stream, and the last state of each record taken."""
     spark = traces.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
-    folder = f"{base}/labelmill/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/labelmill/stream-{uuid.uuid4().hex}"
     traces.select("step", "record_id", "reward").write.parquet(f"{folder}/traces")
     stream = spark.readStream.schema(traces.select("step", "record_id", "reward").schema).parquet(f"{folder}/traces")
     run_until_read(smoothed_stream(stream), folder)
