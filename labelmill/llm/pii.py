@@ -15,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.llm.expressions import let, replaced, running, running_sum
 from labelmill.llm.shared import staged
 
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns as asked for, in forms that don't go back over a run of characters again and again: a match begins at the
-#: start of a run, or where the last one ended. What can't be said so without deep recursion (card numbers) is cut up after.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: start of a run, or where the last one ended, and repeated groups give nothing back. What can't be said so without deep recursion (card numbers) is cut up after.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD_RUN = r"[0-9][0-9\x20-]{14,}[0-9]"
 CARD_GAP = r"[\x20-]{2,}"
@@ -30,10 +31,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SUPPORT = 3
 DISCLOSURE = 0.8
 LEAST_TERM_CHARS = 3
-#: Broadcast terms only up to this many.
-BROADCAST_TERMS = 500_000
-#: Texts with their terms are broadcast only up to this many.
-BROADCAST_TEXTS = 100_000
+#: Terms, and texts with their terms, are broadcast only up to this many bytes.
+BROADCAST_BYTES = 32 << 20
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
@@ -51,15 +50,16 @@ def _found(text: Column, pattern: str | Column, kind: str, offset: Column | int
 
 
 def _placed(between: Column, values: Column, kind: str, offset: Column | int = 0) -> Column:
-    pairs = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda a, b: F.struct(F.length(a).alias("before"), b.alias("value")))
-    start = F.struct((F.lit(0) + offset).cast("int").alias("at"), _empty().alias("spans"))
+    """values with their places; between are the texts before each of them."""
 
-    def put(done: Column, x: Column) -> Column:
-        begin = done["at"] + x["before"]
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(done["spans"], F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("spans"))
+    def spans(values: Column, ends: Column) -> Column:
+        return F.zip_with(values, ends, lambda v, e: F.struct(F.lit(kind).alias("kind"), (e + offset - F.length(v)).cast("int").alias("start"), (e + offset).cast("int").alias("end"), v.alias("value")))
 
-    return F.aggregate(pairs, start, put)["spans"]
+    def placed(values: Column) -> Column:
+        steps = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda a, b: F.length(a) + F.length(b))
+        return let(running_sum(steps), lambda ends: spans(values, ends))
+
+    return let(values, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -99,30 +99,37 @@ def _lowered(words: Column) -> Column:
 
 def _merged(spans: Column) -> Column:
     """Spans by place, those that overlap as one with the kind of the first."""
-    return F.aggregate(
-        F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))),
-        _empty("array<struct<start: int, end: int, kind: string>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.transform(F.slice(done, -1, 1), lambda x: F.struct(x["start"].alias("start"), F.greatest(x["end"], -s["back"]).alias("end"), x["kind"].alias("kind")))),
-        ).otherwise(F.array_append(done, F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))),
-    )
-
-
-def _replaced(text: Column, merged: str, name) -> Column:
-    """text with name(span) in place of each span of the column merged."""
-    pieces = F.transform(
-        merged,
-        lambda s, i: F.concat(text.substr(F.when(i == 0, 1).otherwise(F.get(merged, i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"])), name(s)),
-    )
-    rest = text.substr(F.element_at(merged, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(merged) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    by_place = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def grouped(sorted_spans: Column, upto: Column) -> Column:
+        # one begins where all before it have ended
+        firsts = F.filter(F.sequence(F.lit(0), F.size(sorted_spans) - 1), lambda i: (i == 0) | (F.get(sorted_spans, i)["start"] >= F.get(upto, i - 1)))
+        return let(
+            firsts,
+            lambda f: F.transform(
+                f,
+                lambda i, k: F.struct(
+                    F.get(sorted_spans, i)["start"].alias("start"),
+                    F.get(upto, F.coalesce(F.get(f, k + 1), F.size(sorted_spans)) - 1).alias("end"),
+                    F.get(sorted_spans, i)["kind"].alias("kind"),
+                ),
+            ),
+        )
+
+    found = let(by_place, lambda x: let(running(F.transform(x, lambda s: -s["back"]), F.greatest), lambda upto: grouped(x, upto)))
+    return F.when(F.size(spans) > 0, found).otherwise(_empty("array<struct<start: int, end: int, kind: string>>"))
 
 
 def _term_spans(text: Column, words: Column, base: Column) -> Column:
     """Where words stand in a text as whole words outside its entities."""
-    pattern = F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join(words, "|"), F.lit(f")(?!{WORD})"))
-    return F.filter(_found(text, pattern, "term"), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    told = F.filter(_found(text, f"{WORD}+", "term"), lambda t: F.array_contains(words, t["value"]))
+    return F.filter(told, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+
+
+def _small(table: DataFrame, written: Column) -> bool:
+    """Whether a staged table may be sent to all executors, by the bytes of what it holds."""
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(written)), F.lit(0))).first()
+    return 64 * rows + size <= BROADCAST_BYTES
 
 
 def _analysed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -141,7 +148,7 @@ def revealing_terms(slim: DataFrame, corpus: DataFrame, text_col: str, support:
     pairs = staged(pairs.join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside")).select("entity", "term", "together"), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     seen = corpus.select(F.explode(_lowered(_word_parts(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
-    counted = seen.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
+    counted = seen.join(F.broadcast(terms) if _small(terms, F.col("term")) else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
     return pairs.join(counted, "term").where(F.col("together") >= F.lit(disclosure) * F.col("all")).select("entity", "term")
 
 
@@ -150,7 +157,7 @@ def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float,
     analysed = _analysed(docs, text_col)
     # what the corpus is asked about: documents with entities
     entities = F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
-    words = F.array_distinct(_word_parts(_replaced(F.col(text_col), "_merged", lambda s: F.lit(" "))))
+    words = F.array_distinct(_word_parts(replaced(F.col(text_col), F.col("_merged"), lambda s: F.lit(" "))))
     slim = _analysed(docs.select(text_col), text_col).where(F.size("_base") > 0).withColumn("_merged", _merged(F.col("_base")))
     slim = slim.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), entities.alias("entities"), F.filter(words, lambda w: F.length(w) >= least_chars).alias("words"))
     slim = staged(slim.withColumn("terms", _lowered(F.col("words"))), "terms")
@@ -158,13 +165,13 @@ def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float,
     if everywhere:
         names = staged(reveal.select("term").distinct(), "names")
         source = docs.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), F.explode(F.array_distinct(_word_parts(F.col(text_col)))).alias("word"))
-        told = source.withColumn("term", F.lower("word")).join(F.broadcast(names) if names.count() <= BROADCAST_TERMS else names, "term", "left_semi")
+        told = source.withColumn("term", F.lower("word")).join(F.broadcast(names) if _small(names, F.col("term")) else names, "term", "left_semi")
     else:
         source = slim.select("th", "tl", F.explode("entities").alias("entity"), "words").join(reveal.select("entity").distinct(), "entity", "left_semi").select("th", "tl", "entity", F.explode("words").alias("word"))
         told = source.withColumn("term", F.lower("word")).join(reveal, ["entity", "term"], "left_semi")
     told = staged(told.groupBy(F.col("th").alias("_th"), F.col("tl").alias("_tl")).agg(F.sort_array(F.collect_set("word")).alias("_told")), "told")
     keyed = analysed.withColumn("_h", F.xxhash64(text_col)).withColumn("_l", F.length(text_col))
-    out = keyed.join(F.broadcast(told) if told.count() <= BROADCAST_TEXTS else told, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_tl")), "left")
+    out = keyed.join(F.broadcast(told) if _small(told, F.array_join("_told", ",")) else told, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_tl")), "left")
     base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     terms = F.when(F.col("_told").isNotNull(), _term_spans(F.col(text_col), F.col("_told"), F.col("_base")))
     terms = F.transform(terms, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -189,5 +196,5 @@ def sanitised(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, d
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))
     text = f"c{columns.index(text_col)}"
     found = _with_spans(named, text, support, disclosure, everywhere, least_chars).withColumn("_merged", _merged(F.col("_spans")))
-    clean = _replaced(F.col(text), "_merged", lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    clean = replaced(F.col(text), F.col("_merged"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     return found.withColumn("_clean", clean).select(*(F.col("_clean" if c == text_col else f"c{k}").alias(c) for k, c in enumerate(columns)))

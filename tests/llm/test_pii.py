@@ -1,8 +1,11 @@
+import random
 import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from labelmill.llm.pii import KINDS, base_spans, personal_spans, sanitised
+from labelmill.llm.pii import KINDS, _merged, base_spans, personal_spans, sanitised
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -25,7 +28,7 @@ def brute(text):
     return [(k, m.start(), m.end()) for k in KINDS for m in re.finditer(PATTERNS[k], text or "") if valid(k, m[0])]
 
 
-CASES = [None, "", "a@b.c_d@e.f x", "a@b.c..d@e.f", "@@a@b", "a@b-.-c", "é a.b%+@x-y.zz. end", "1.2.3.4.5.6.7.8", "1.2.3.256 001.02.3.4 1.2.3", "255.255.255.255", "0000000000000000000000000000000000000000000001.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111--4111111111111111", "x4111111111111111 5 5 5", "4111 1111 1111 1111 1", "4111111111111111  4111111111111111 - 4111 1111-1111 1111", "+1 (555) 555-0100.", "+1", "+12345678", "+1234567", "+1 234 567 890 123 456", "++12 345 678 9+1 22 33 44 55", "𝄞𝄞 a@b.cc 𝄞 4111111111111111 𝄞 +49 30 1234567", "9" * 3000 + " 4111111111111111", "1 2 " * 3000, "a" * 3000 + "@b.cc", "a@b.cc " * 200, "a-" * 5000 + "@", "1." * 4000]
+CASES = [None, "", "a@b.c_d@e.f x", "a@b.c..d@e.f", "@@a@b", "a@b-.-c", "é a.b%+@x-y.zz. end", "1.2.3.4.5.6.7.8", "1.2.3.256 001.02.3.4 1.2.3", "255.255.255.255", "0000000000000000000000000000000000000000000001.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111--4111111111111111", "x4111111111111111 5 5 5", "4111 1111 1111 1111 1", "4111111111111111  4111111111111111 - 4111 1111-1111 1111", "+1 (555) 555-0100.", "+1", "+12345678", "+1234567", "+1 234 567 890 123 456", "++12 345 678 9+1 22 33 44 55", "𝄞𝄞 a@b.cc 𝄞 4111111111111111 𝄞 +49 30 1234567", "9" * 3000 + " 4111111111111111", "1 2 " * 3000, "a" * 3000 + "@b.cc", "a@b.cc " * 200, "a-" * 5000 + "@", "1." * 4000, "a@b" + ".c" * 20000 + " x", "a@b.cc x" * 3000, "+1 22 33 44 55, " * 700 + "4111 1111 1111 1111, " * 700]
 
 
 def test_base_equals_the_patterns(spark, sf):
@@ -76,3 +79,75 @@ def test_disclosing_terms_everywhere(spark):
     spans = {r.doc_id: r.spans for r in personal_spans(df, everywhere=True, least_chars=1, disclosure=0.6).collect()}
     assert [texts[0][s.start : s.end] for s in spans[0]] == ["jo@x.org", "Zanzibar", "Li", "ZANZIBAR", "zanzibars"]
     assert [(s.kind, s.start, s.end) for s in spans[22]] == [("term", 0, 8), ("term", 21, 23)]
+
+
+def brute_terms(texts, support, disclosure):
+    """Spans of terms in each text, by counting over all documents."""
+    entities, terms, everywhere = [], [], Counter()
+    for t in texts:
+        t = t or ""
+        base = brute(t)
+        entities.append({f"{k}:{t[a:b].lower()}" for k, a, b in base})
+        left = list(t)
+        for _, a, b in base:
+            left[a:b] = " " * (b - a)
+        terms.append({w.lower() for w in re.findall(WORDS, "".join(left))})
+        everywhere.update({w.lower() for w in re.findall(WORDS, t)})
+    often = {e for e, n in Counter(e for es in entities for e in es).items() if n >= support}
+    together = Counter((e, w) for es, ws in zip(entities, terms) for e in es & often for w in ws)
+    told = {w for (_, w), n in together.items() if n >= support and n >= disclosure * everywhere[w]}
+    out = []
+    for t in texts:
+        base = brute(t)
+        found = [(m.start(), m.end()) for m in re.finditer(WORDS, t or "") if m[0].lower() in told]
+        out.append([x for x in found if not any(a < x[1] and x[0] < b for _, a, b in base)])
+    return out
+
+
+WORDS = "[0-9A-Za-z\x80-\U0010FFFF]+"
+
+
+def test_terms_equal_brute_force(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] * 3
+    rng = random.Random(3)
+    for k in range(120):
+        who = f"person{k % 9} family{k % 9}"
+        texts.append(f"{who} wrote w{rng.randint(0, 30)} to p{k % 9}@mail.org, 10.0.0.{k % 9}; {who.upper()} and w{rng.randint(0, 30)}" if k % 4 else f"about person{k % 9} and w{k % 30}, W{k % 31}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for support, disclosure in ((3, 0.8), (4, 0.3)):
+        want = brute_terms(texts, support, disclosure)
+        assert sum(map(len, want)) > 50
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in personal_spans(df, support=support, disclosure=disclosure, everywhere=True, least_chars=1).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_time_grows_with_the_text(spark):
+    def seconds(n):
+        texts = [f"{' '.join(f'u{i}@host{i}.org' for i in range(n))} +1 22 33 44 55 end", "a@b" + ".c" * (20 * n), "1.2.3.4 " * n]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        began = time.time()
+        rows = {r.doc_id: r.text for r in sanitised(df, everywhere=True, least_chars=1).collect()}
+        assert rows[0] == " ".join(["<EMAIL>"] * n) + " <PHONE> end" and rows[1] == "<EMAIL>" and rows[2] == "<IP> " * n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 30
+
+
+def test_overlapping_spans_are_merged(spark):
+    spans = [[("a", 5, 9), ("b", 0, 3), ("c", 8, 20), ("d", 20, 22), ("e", 6, 7)], [], [("x", i, i + 3) for i in range(0, 3000, 2)], [("x", i, i + 1) for i in range(0, 3000, 2)]]
+    df = spark.createDataFrame([(i, [(k, a, b, "") for k, a, b in s]) for i, s in enumerate(spans)], "i long, s array<struct<kind: string, start: int, end: int, value: string>>")
+    got = {r.i: [tuple(x) for x in r.m] for r in df.select("i", _merged(F.col("s")).alias("m")).collect()}
+    assert got[0] == [(0, 3, "b"), (5, 20, "a"), (20, 22, "d")] and got[1] == [] and got[2] == [(0, 3001, "x")] and len(got[3]) == 1500
+
+
+def test_base_columns_equal_sql(spark, sf):
+    """Numbers of mail addresses and base spans of the query, against DuckDB."""
+    import duckdb
+
+    from labelmill.llm.queries import op7_disclosure_pii
+
+    got = {r.doc_id: (r.n_email, r.n_phone) for r in op7_disclosure_pii(spark, sf).collect()}
+    want = duckdb.sql(f"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{PATTERNS["email"]}')),
+        len(list_filter(regexp_extract_all(coalesce(text, ''), '{PATTERNS["phone"]}'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15)) FROM '{sf}/documents.parquet'""").fetchall()
+    assert got == {i: (a, b) for i, a, b in want}
