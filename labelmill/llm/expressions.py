@@ -44,6 +44,16 @@ def running_sum(values: Column) -> Column:
     return running(values, lambda a, b: a + b)
 
 
+def joined_runs(parts: Column) -> Column:
+    """Runs (first, end) of sorted parts (start, end) that overlap or touch."""
+
+    def found(p: Column, upto: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["start"] > F.get(upto, i - 1)))
+        return let(firsts, lambda f: F.transform(f, lambda i, k: F.struct(F.get(p, i)["start"].cast("long").alias("first"), F.get(upto, F.coalesce(F.get(f, k + 1), F.size(p)) - 1).cast("long").alias("end"))))
+
+    return F.when(F.size(parts) > 0, let(parts, lambda p: let(running(F.transform(p, lambda x: x["end"]), F.greatest), lambda upto: found(p, upto))))
+
+
 def replaced(text: Column, spans: Column, name: Callable[[Column], Column]) -> Column:
     """text with name(span) in place of each of its spans (start, end), which are in order and don't overlap. The text is cut up by CUT spans at a time, since a place in it is found from its beginning."""
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from labelmill.llm.decontaminate import contamination, uncontaminated
 
@@ -68,3 +69,24 @@ def test_no_benchmark_and_repeated_rows(spark):
     assert contamination(d.limit(0), b).count() == 0
     b = spark.createDataFrame([(1, "a b"), (2, "b")], "item_id long, text string")
     assert [tuple(r)[:4] for r in contamination(d, b, block_words=1).collect()] == [(1, 2, 2, ["1", "2"])] * 2
+
+
+def test_common_passages_cost_no_product(spark):
+    prompt = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"{prompt} own{i} words{i} of{i} item{i}") for i in range(20_000)]
+    docs = [" . ".join([prompt] * 10_000), "short " + prompt, "p1 p2 p3 p4 p5 p6 p7 p8 p9", f"{prompt} own7 words7 x"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in contamination(d, b).selectExpr("doc_id", "n_hit", "size(items) n", "spans").collect()}
+    assert time.time() - began < 20
+    assert [(got[i].n_hit, got[i].n) for i in range(4)] == [(140_000, 20_000), (14, 20_000), (0, 0), (16, 20_000)]
+    assert len(got[0].spans) == 1
+
+
+def test_long_texts_by_both_ways(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(60))) for i in range(30)] + [(99, "w1 w2"), (98, "w3")]
+    long = " ".join(rng.choice([f"w{rng.randint(0, 400)}", f"{rng.choice(items)[1]}"]) for _ in range(900))
+    run(spark, [long, long.upper() + "!", None, "w3"], items)
+    run(spark, [long, long.upper() + "!", None, "w3"], items, block_words=50)
