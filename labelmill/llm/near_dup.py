@@ -7,13 +7,14 @@
 3. In every band bucket one leader (the member found in most company) is paired with the others. A pair is a
    candidate if the collision-corrected similarity, estimated from the bit counts of the signatures, doesn't rule the
    threshold out. Candidates are confirmed on the full sets, and links are joined into components.
-4. What leaders left open is settled in blocks of bounded size. Every representative has a first leader, the one in most
-   company among those of its buckets. Representatives with the same first leader that are still in different components
-   are compared on their full sets inside the block; pairs of other first leaders that share a bucket go through the same
-   estimate and confirmation as in step 3. So no link depends on the choice of leaders.
-
-A bucket, however large, is only ever aggregated to one row (leader) or split into blocks. Nothing is collected to the
-driver but counts.
+4. Representatives in buckets that still hold several components are left open. Links between components of these are
+   found by a prefix join on their full sets: with shingles in the order of how few open sets have them, two sets that
+   are similar enough share one among the first few of each. These are rare ones, so what merely has a common passage,
+   however many texts do, isn't paired. Pairs go through the same estimate and confirmation. So no link depends on the
+   choice of leaders.
+
+What belongs to a bucket or shingle is joined to its members by broadcast where it has many, and by shuffle where it has
+few, so no task gets all members of a large one. Nothing is collected to the driver but counts.
 """
 
 from __future__ import annotations
@@ -27,18 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, mix, row_groups, text_bytes, windows, words
-from labelmill.llm.shared import small_batches, staged
+from labelmill.llm.shared import fits_broadcast, small_batches, staged
 
 SHINGLE = 5
 HASHES = 192
 BANDS = 32
 BITS = 4
-#: Members of one block in step 4.
-BLOCK_MEMBERS = 128
+#: Buckets and shingles with more members than this, and than one in MANY of all rows, are joined by broadcast: MANY of them at most.
+FEW_MEMBERS = 256
+MANY = 1 << 16
 #: An estimate this much below the threshold (about five standard errors) rules a pair out.
 SLACK = 0.16
-#: Broadcast a set of ids only up to this many.
-BROADCAST_IDS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -140,7 +140,7 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
 def _full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, set): the full shingle sets of the texts of the wanted ids, a table in the shared folder."""
     wanted = staged(wanted.distinct(), "wanted")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+    texts = docs.join(F.broadcast(wanted) if fits_broadcast(wanted, "id") else wanted, "id", "left_semi")
     schema = T.StructType([docs.schema["id"], T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,40 +171,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """members (rep, size, ...) once for each pair of blocks of their group that they take part in: own block, and the pair as i <= j."""
-    split = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK_MEMBERS)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return split.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other", "size")
-
-
-def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components among members (lead, size, rep, label) with the same lead; of the links of a member to one component in a block one is given."""
-    kind = members.schema["rep"].dataType
-
-    def across(table: pa.Table) -> pa.Table:
-        rep, name, own = (table.column(c).to_numpy() for c in ("rep", "label", "own"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ys = np.flatnonzero(own == j)
-        sizes = np.array([len(sets[y]) for y in ys])
-        held = np.concatenate([sets[y] for y in ys]) if len(ys) else np.zeros(0, np.uint64)
-        order = np.argsort(held, kind="stable")
-        held, owner = held[order], np.repeat(np.arange(len(ys)), sizes)[order]
-        a, b = [], []
-        for x in np.flatnonzero(own == i):
-            lo, hi = np.searchsorted(held, sets[x], "left"), np.searchsorted(held, sets[x], "right")
-            count = hi - lo
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-            both = np.bincount(owner[at], minlength=len(ys))
-            linked = np.flatnonzero((100 * both >= percent * (len(sets[x]) + sizes - both)) & (name[ys] != name[x]))
-            linked = linked[np.unique(name[ys[linked]], return_index=True)[1]]
-            a += [rep[x]] * len(linked)
-            b += rep[ys[linked]].tolist()
-        return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
-
-    rows = _in_blocks(members).join(sets.withColumnRenamed("id", "rep"), "rep")
-    return rows.groupBy("lead", "i", "j").applyInArrow(across, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+def _attached(rows: DataFrame, facts: DataFrame, key: str, few: int) -> DataFrame:
+    """rows joined with facts (key, size, ...) of their key. Those with a size over few, of which there are MANY at most, are sent to all executors."""
+    large = F.broadcast(facts.where(F.col("size") > few))
+    small = rows.join(F.broadcast(facts.where(F.col("size") > few).select(key)), key, "left_anti").join(facts.where(F.col("size") <= few), key)
+    return rows.join(large, key).unionByName(small)
+
+
+def _few(rows: int) -> int:
+    return max(FEW_MEMBERS, rows // MANY)
+
+
+def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids in sets (id, set) with different labels that share a shingle in their prefixes.
+
+    If 100 * intersection >= percent * union and b isn't the larger set, the intersection has at least percent / 100 of a,
+    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter.
+    """
+    kind = sets.schema["id"].dataType
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                values = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                sizes = np.array([len(v) for v in values], np.int64)
+                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))], names=["id", "n", "shingle"])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
+    each = staged(sets.mapInArrow(exploded, schema), "shingles")
+    counts = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-counts")
+    few = _few(each.count())
+    common = _attached(each, counts, "shingle", few)
+    # what only one set has comes first and is never shared: the rest stands behind it
+    listed = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
+    least_a = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    least_b = F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9)
+    alone = F.col("n") - F.size("common")
+    placed = listed.join(label, "id").withColumn("as_a", (F.col("n") - least_a + 1 - alone).cast("int")).withColumn("as_b", (F.col("n") - least_b + 1 - alone).cast("int"))
+    prefix = placed.where("as_a > 0").select("id", "n", "label", "as_b", F.posexplode(F.expr("slice(common, 1, least(as_a, size(common)))")).alias("at", "x"))
+    prefix = staged(prefix.select("id", "n", "label", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
+    # shingles in the prefixes of one component only are left out
+    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "size")
+    prefix = staged(_attached(prefix, mixed, "shingle", few).drop("size"), "prefixes")
+    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    pairs = a.join(b, "shingle").where((F.col("la") != F.col("lb")) & smaller & (100 * F.col("nb") >= percent * F.col("na")))
+    return pairs.select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,60 +256,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(classes, "classes")
 
     # members of buckets of two or more, with the company each representative keeps
-    member = classes.select("rep", "n", "sig", F.explode("bands").alias("bucket"))
-    sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = staged(classes.select("rep", F.explode("bands").alias("bucket")).join(sizes, "bucket"), "buckets")
+    member = classes.select("rep", F.explode("bands").alias("bucket"))
+    sizes = staged(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    few = _few(BANDS * classes.count())
+    buckets = staged(_attached(member, sizes, "bucket", few), "buckets")
     company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
     seated = buckets.join(company, "rep")
-    leaders = seated.groupBy("bucket").agg(F.max(F.struct("company", "rep")).alias("lead"))
-    led = staged(buckets.join(leaders, "bucket").select("bucket", "rep", "size", "lead"), "led")
+    leaders = staged(seated.groupBy("bucket").agg(F.max(F.struct("company", "rep"))["rep"].alias("lead"), F.max("size").alias("size")), "leaders")
+    lead_pairs = _attached(buckets.drop("size"), leaders, "bucket", few).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     facts = classes.select("rep", "n", "sig")
-    lead_pairs = led.where("rep <> lead.rep").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct()
-    lead_pairs = lead_pairs.join(facts.toDF("a", "na", "sa"), "a").join(facts.toDF("b", "nb", "sb"), "b")
-    first = staged(_likely(lead_pairs, threshold), "pairs")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return staged(_likely(pairs.join(facts.toDF("a", "na", "sa"), "a").join(facts.toDF("b", "nb", "sb"), "b"), threshold), "pairs")
+
+    first = likely(lead_pairs)
     links = staged(_confirmed(first, source, percent), "confirmed")
     label = components(links)
 
-    # what the leaders left open, first among representatives with the same first leader
-    first_lead = staged(led.groupBy("rep").agg(F.max("lead")["rep"].alias("lead")), "first-lead")
-    by_lead = first_lead.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "lead", F.coalesce("label", "rep").alias("label"))
-    open_leads = by_lead.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1 and lo <> hi").select("lead", "size")
-    members = staged(by_lead.join(open_leads, "lead"), "members")
-    if not members.isEmpty():
-        links = staged(links.union(_linked_in_blocks(members, _full_sets(members.select(F.col("rep").alias("id")), source), percent)), "confirmed")
-        label = components(links)
-
-    # then in buckets of three or more that still hold several components
-    placed = led.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("label"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = placed.join(open_buckets, "bucket").join(classes.select("rep", "n", "sig", "bands"), "rep").join(first_lead, "rep")
-    # buckets whose members all have one first leader are settled
-    mixed = rest.groupBy("bucket").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).where("lo <> hi").select("bucket")
-    rest = _in_blocks(rest.join(mixed, "bucket"))
-    pair_type = T.StructType([T.StructField("a", sigs.schema["id"].dataType), T.StructField("b", sigs.schema["id"].dataType)])
-
-    def across(table: pa.Table) -> pa.Table:
-        """Pairs of one block pair with different components and first leaders, that share no earlier bucket and that the estimate doesn't rule out."""
-        rep, name, size, own, lead = (table.column(c).to_numpy() for c in ("rep", "label", "n", "own", "lead"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        bucket, i, j = table.column("bucket")[0].as_py(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        at = int(np.flatnonzero(bands[0] == bucket)[0])
-        out_a, out_b = [], []
-        for x in np.flatnonzero(own == i):
-            y = np.flatnonzero((own == j) & (rep > rep[x] if i == j else own == j) & (name != name[x]) & (lead != lead[x]) & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * (threshold - 1e-9)))
-            if len(y):
-                y = y[estimated(sig[y], sig[x]) >= threshold - SLACK]
-                y = y[~(bands[y, :at] == bands[x, :at]).any(axis=1)]
-                out_a += [rep[x]] * len(y)
-                out_b += rep[y].tolist()
-        return pa.table({"a": pa.array(out_a, table.schema.field("rep").type), "b": pa.array(out_b, table.schema.field("rep").type)})
-
-    second = rest.groupBy("bucket", "i", "j").applyInArrow(across, pair_type)
-    second = staged(second.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = _confirmed(second, source, percent)
-        label = components(links.union(more))
+    # what the leaders left open: members of buckets of three or more with several components
+    placed = staged(buckets.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
+    left = staged(_attached(placed, staged(mixed, "mixed"), "bucket", few).select(F.col("rep").alias("id"), "label").distinct(), "open")
+    if not left.isEmpty():
+        pairs = _prefix_pairs(_full_sets(left.select("id"), source), left, percent)
+        both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        second = likely(pairs.join(both, ["a", "b"], "left_anti"))
+        if not second.isEmpty():
+            label = components(links.union(staged(_confirmed(second, source, percent), "confirmed")))
 
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("label", "rep").alias("component"))
     same = (sigs["f1"] == named["f1"]) & (sigs["f2"] == named["f2"]) & (sigs["n"] == named["m"])
@@ -306,7 +294,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs whose id is the smallest of its component, all columns as they were; of rows that repeat id and text one stays."""
     found = staged(near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("found_id"), "kept"), "kept")
     gone = staged(found.where(~F.col("kept")).select("found_id").distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs[id_col].eqNullSafe(gone["found_id"]), "left_anti")
-    if found.where("kept").groupBy("found_id").count().where("count > 1").isEmpty():
+    out = docs.join(F.broadcast(gone) if fits_broadcast(gone, "found_id") else gone, docs[id_col].eqNullSafe(gone["found_id"]), "left_anti")
+    twice = staged(found.where("kept").groupBy("found_id").count().where("count > 1").select("found_id"), "twice")
+    if twice.isEmpty():
         return out
-    return out.dropDuplicates([id_col, text_col])
+    # only rows whose id comes up again are compared
+    twice = F.broadcast(twice) if fits_broadcast(twice, "found_id") else twice
+    same = out[id_col].eqNullSafe(twice["found_id"])
+    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

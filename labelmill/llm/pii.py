@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.expressions import let, replaced, running, running_sum
-from labelmill.llm.shared import staged
+from labelmill.llm.shared import fits_broadcast, staged
 
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -31,8 +31,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SUPPORT = 3
 DISCLOSURE = 0.8
 LEAST_TERM_CHARS = 3
-#: Terms, and texts with their terms, are broadcast only up to this many bytes.
-BROADCAST_BYTES = 32 << 20
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
@@ -126,12 +124,6 @@ def _term_spans(text: Column, words: Column, base: Column) -> Column:
     return F.filter(told, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
-def _small(table: DataFrame, written: Column) -> bool:
-    """Whether a staged table may be sent to all executors, by the bytes of what it holds."""
-    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(written)), F.lit(0))).first()
-    return 64 * rows + size <= BROADCAST_BYTES
-
-
 def _analysed(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _base, the entities found in text_col."""
     return docs.withColumn("_base", base_spans(F.coalesce(F.col(text_col), F.lit(""))))
@@ -148,7 +140,7 @@ def revealing_terms(slim: DataFrame, corpus: DataFrame, text_col: str, support:
     pairs = staged(pairs.join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside")).select("entity", "term", "together"), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     seen = corpus.select(F.explode(_lowered(_word_parts(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
-    counted = seen.join(F.broadcast(terms) if _small(terms, F.col("term")) else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
+    counted = seen.join(F.broadcast(terms) if fits_broadcast(terms, "term") else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
     return pairs.join(counted, "term").where(F.col("together") >= F.lit(disclosure) * F.col("all")).select("entity", "term")
 
 
@@ -165,13 +157,13 @@ def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float,
     if everywhere:
         names = staged(reveal.select("term").distinct(), "names")
         source = docs.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), F.explode(F.array_distinct(_word_parts(F.col(text_col)))).alias("word"))
-        told = source.withColumn("term", F.lower("word")).join(F.broadcast(names) if _small(names, F.col("term")) else names, "term", "left_semi")
+        told = source.withColumn("term", F.lower("word")).join(F.broadcast(names) if fits_broadcast(names, "term") else names, "term", "left_semi")
     else:
         source = slim.select("th", "tl", F.explode("entities").alias("entity"), "words").join(reveal.select("entity").distinct(), "entity", "left_semi").select("th", "tl", "entity", F.explode("words").alias("word"))
         told = source.withColumn("term", F.lower("word")).join(reveal, ["entity", "term"], "left_semi")
     told = staged(told.groupBy(F.col("th").alias("_th"), F.col("tl").alias("_tl")).agg(F.sort_array(F.collect_set("word")).alias("_told")), "told")
     keyed = analysed.withColumn("_h", F.xxhash64(text_col)).withColumn("_l", F.length(text_col))
-    out = keyed.join(F.broadcast(told) if _small(told, F.array_join("_told", ",")) else told, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_tl")), "left")
+    out = keyed.join(F.broadcast(told) if fits_broadcast(told, F.array_join("_told", ",")) else told, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_tl")), "left")
     base = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     terms = F.when(F.col("_told").isNotNull(), _term_spans(F.col(text_col), F.col("_told"), F.col("_base")))
     terms = F.transform(terms, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

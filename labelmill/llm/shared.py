@@ -1,26 +1,17 @@
-"""Writing intermediate tables where all executors can read them."""
+"""What the operators share: intermediate tables where all executors can read them, values sent to executors, folds."""
 
 from __future__ import annotations
 
 import pickle
-import uuid
 
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.storage import shared_folder, staged, unstaged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset (as in tests on one machine) a folder under the warehouse is used."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
-
-
-def staged(df: DataFrame, name: str, partitions_by: int | None = None) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends at files that outlive any executor."""
-    path = f"{shared_folder(df.sparkSession)}/labelmill/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions_by) if partitions_by else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["crc_fold", "fits_broadcast", "received", "sent", "shared_folder", "small_batches", "staged", "unstaged"]
 
 
 def crc_fold(doc_id, n: int):
@@ -34,7 +25,11 @@ def sent(spark: SparkSession, value) -> Broadcast:
 
 
 def received(broadcast: Broadcast):
-    return pickle.loads(broadcast.value)
+    """The value, in a worker. The bytes that it came as aren't kept beside it."""
+    value = pickle.loads(broadcast.value)
+    if TaskContext.get() is not None:
+        vars(broadcast).pop("_value", None)
+    return value
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -42,3 +37,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, rows)
+
+
+#: Tables are broadcast only up to this many bytes, counted on what is sent.
+BROADCAST_BYTES = 32 << 20
+
+
+def fits_broadcast(table: DataFrame, *columns: Column | str) -> bool:
+    """Whether a staged table is small enough to be sent to all executors, by its rows and the bytes of its columns, written as text."""
+    sizes = sum((F.coalesce(F.octet_length((F.col(c) if isinstance(c, str) else c).cast("string")), F.lit(0)) for c in columns), F.lit(0))
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(sizes), F.lit(0))).first()
+    return 32 * rows + size <= BROADCAST_BYTES

@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from labelmill.llm import near_dup
 from labelmill.llm.arrays import text_bytes
@@ -54,7 +56,7 @@ def test_documents(spark, sf):
 
 
 def test_groups_around_a_base_text(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(near_dup, "FEW_MEMBERS", 4)
     rng = random.Random(5)
     docs, i = [], 0
     for _ in range(3):
@@ -106,3 +108,59 @@ def test_pair_whose_leader_has_another_first_leader(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "signatures", crafted)
     assert brute(docs)[2] == (57, 1, False)
     check(spark, docs)
+
+
+def test_pair_whose_leader_is_led_by_a_larger_group(spark):
+    rng = random.Random(11)
+    new = lambda: f"n{rng.randint(0, 10**9)}"
+    docs = []
+    for g in range(12):
+        core = [new() for _ in range(300)]
+        a, b, leader = (core + [new() for _ in range(k)] for k in (25, 25, 28))
+        docs += [(1000 * g + 1, " ".join(a)), (1000 * g + 2, " ".join(b)), (1000 * g + 3, " ".join(leader))]
+        for k in range(12):
+            docs.append((1000 * g + 10 + k, " ".join([*leader[:240], *(new() for _ in range(70))])))
+    check(spark, docs)
+
+
+def test_open_members_cost_what_they_are(spark):
+    core = [f"c{k}" for k in range(70)]
+    # all share a passage of 66 shingles of 100 or so, none is linked with another
+    docs = [(k, " ".join(core + [f"own{k}x{j}" for j in range(34)])) for k in range(6000)]
+    docs.append((6000, docs[17][1] + " tail"))
+    began = time.time()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == {**{k: k for k in range(6000)}, 6000: 17}
+    assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("percent", [60, 85, 95])
+def test_prefix_pairs_lose_no_link(spark, percent):
+    rng = random.Random(percent)
+    sets = [frozenset(rng.sample(range(60), rng.randint(1, 40))) for _ in range(60)]
+    for _ in range(140):
+        s = set(rng.choice(sets))
+        for _ in range(rng.randint(0, 4)):
+            s ^= {rng.randint(0, 60)}
+        sets.append(frozenset(s or {1}))
+    rows = [(i, bytearray(np.array(sorted(s), np.uint64).tobytes()), i) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, set binary, label long")
+    got = {frozenset(r) for r in near_dup._prefix_pairs(df.select("id", "set"), df.select("id", "label"), percent).collect()}
+    want = {frozenset((i, j)) for i in range(200) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    assert want <= got and len(want) > 30
+
+
+def test_repeated_kept_ids(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "other words here", "z"), (3, None, "n"), (None, None, "n")], "doc_id long, text string, c string")
+    assert sorted((r.doc_id or -1, r.c) for r in near_dup.one_of_each(df).collect() if r.doc_id != 1) == [(-1, "n"), (2, "z"), (3, "n")]
+    assert near_dup.one_of_each(df).where("doc_id = 1").count() == 1
+
+
+def test_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"v{rng.randint(0, 5000)}" for _ in range(30_000)]
+    other = list(long)
+    for k in range(0, 30_000, 500):
+        other[k] = "changed"
+    check(spark, [(5, " ".join(long)), (6, " ".join(other)), (7, " ".join(long[:20_000])), (8, "short text")])
