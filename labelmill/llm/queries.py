@@ -72,7 +72,7 @@ def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(firsts).alias("last_word"),
         labels(base).alias("base_labels"),
         labels(F.col("spans")).alias("labels"),
-        F.coalesce(F.least(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(1.0)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
     )
 
 
