@@ -24,13 +24,10 @@ def brute(docs):
     c1 = Counter(w for ts in train for w in ts)
     total, distinct = sum(c1.values()), len(c1)
     scale = total + distinct + 1
-    context = {w for w, c in c1.items() if c >= max(1.0, lm.CONTEXT_SHARE * total)}
-    often = {w for w, c in c1.items() if c >= lm.PAIR_SHARE * total and w in context}
-    c2 = Counter((a, b) for ts in train for a, b in zip(ts, ts[1:]) if a in context and b in context)
-    c3 = Counter((a, b, c) for ts in train for a, b, c in zip(ts, ts[1:], ts[2:]) if {a, b, c} <= often)
-    least = max(2.0, lm.ARC_SHARE * total)
-    c2 = {k: c for k, c in c2.items() if c >= least}
-    c3 = {k: c for k, c in c3.items() if c >= least and k[:2] in c2}
+    c2 = Counter((a, b) for ts in train for a, b in zip(ts, ts[1:]))
+    c3 = Counter((a, b, c) for ts in train for a, b, c in zip(ts, ts[1:], ts[2:]))
+    c2 = {k: c for k, c in c2.items() if c >= 2}
+    c3 = {k: c for k, c in c3.items() if c >= 2}
     d = lm.DISCOUNT
     bow1, bow2 = {}, {}
     for (u, _), c in c2.items():
@@ -42,8 +39,6 @@ def brute(docs):
         return (c1[w] + 1) / scale
 
     def p2(u, w):
-        if u not in context:
-            return p1(w)
         b = bow1.get(u, 1.0)
         return (c2[u, w] - d) / c1[u] + b * p1(w) if (u, w) in c2 else b * p1(w)
 
@@ -76,17 +71,72 @@ def check(spark, docs):
     return want
 
 
-@pytest.mark.parametrize("shares", [None, (2.0**-4, 2.0**-3, 2.0**-2, 2.0**-8)])
-def test_equals_brute_force(spark, sf, shares, monkeypatch):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] if shares is None else []
-    docs = [(i, t) for i, (_, t) in enumerate([*docs, *enumerate(["a b c a b c a b d", "A b c.", None, "", "  ", "c a b e f", "a b c a b c", "zz a b c x", "a a a a", "b a b c q a b", "unseen words only"] * 4)])]
-    if shares:
-        for name, x in zip(("HEAD_SHARE", "CONTEXT_SHARE", "PAIR_SHARE", "ARC_SHARE"), shares):
-            monkeypatch.setattr(lm, name, x)
-    want = check(spark, docs)
+SMALL = ["a b c a b c a b d", "A b c.", None, "", "  ", "c a b e f", "a b c a b c", "zz a b c x", "a a a a", "b a b c q a b", "unseen words only"] * 4
+
+
+def test_equals_brute_force(spark, sf):
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = check(spark, list(enumerate([*docs, *SMALL])))
     assert sum(x[5] for x in want.values()) > sum(x[4] for x in want.values())
 
 
+@pytest.mark.parametrize("bits", [(4, 2), (7, 3), (5, 12)])
+def test_shards_and_splits_change_nothing(spark, bits, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_BITS", bits[0])
+    monkeypatch.setattr(lm, "SPLIT_BITS", bits[1])
+    monkeypatch.setattr(lm, "GROUP", 60)
+    monkeypatch.setattr(lm, "SCORED_GROUP", 60)
+    check(spark, list(enumerate([*SMALL, " ".join(f"w{k % 700}" for k in range(3000))] * 2)))
+
+
+def test_cells_come_back():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 2**64, 800, dtype=np.uint64)
+    names = lm.Names(words[:300])
+    for order in (2, 3):
+        columns = [words[rng.integers(0, 800, 5000)] for _ in range(order)]
+        n = rng.integers(1, 1000, 5000)
+        key = lm._keys(columns)[0]
+        for bits in (3, 12, 20):
+            by = np.argsort(key)
+            key, columns, n = key[by], [c[by] for c in columns], n[by]
+            parts = list(lm.split(key, bits))
+            assert [s for s, _ in parts] == sorted(set((key >> np.uint64(64 - bits)).tolist()))
+            got, m = lm.unpacked_ngrams(names, [lm.packed_ngrams([c[i] for c in columns], [names.numbers(c[i]) for c in columns], n[i]) for _, i in parts], order)
+            assert sorted(zip(*(c.tolist() for c in got), m.tolist())) == sorted(zip(*(c.tolist() for c in columns), n.tolist()))
+    parts = [lm.packed_asked(key[i], key[i] + np.uint64(1), n[i]) for _, i in lm.split(key, 4)]
+    a, b, c = lm.unpacked_asked(parts)
+    assert (np.sort(a) == np.sort(key)).all() and (a + np.uint64(1) == b).all() and c.sum() == n.sum()
+    assert [len(a) for a in lm.unpacked_asked([])] == [0, 0, 0]
+    none = lm.Names(words[:0])
+    assert [len(a) for a in lm.unpacked_ngrams(none, [lm.packed_ngrams([words, words], [none.numbers(words)] * 2, words.astype(np.int64) & 7)], 2)[0]] == [800, 800]
+    x = np.sort(words)
+    w = rng.normal(size=800)
+    k, c, v = lm.unpacked_arcs([lm.packed_arcs(x[i], -n[:800][i], w[i]) for _, i in lm.split(x, 3)][::-1])
+    assert (k == x).all() and (c == -n[:800]).all() and (v == w).all()
+
+
+def test_repeated_documents_score_apart(spark):
+    rng = np.random.default_rng(8)
+    ids = iter(range(10**6))
+    def text():
+        return " ".join(f"w{k}" for k in rng.integers(0, 3000, 120))
+    train, out = [], []
+    while len(train) < 60:
+        i = next(ids)
+        if not held(i):
+            train.append((i, text()))
+    while len(out) < 40:
+        i = next(ids)
+        if not held(i):
+            continue
+        out.append((i, text() if len(out) % 2 else train[len(out)][1]))
+    twice = [(next(j for j in range(10**6 + 100 * k, 10**7) if not held(j)), train[2 * k][1]) for k in range(20)]
+    got = {r.doc_id: r.score - r.base_score for r in lm.language_scores(spark.createDataFrame(train + twice + out, "doc_id long, text string")).collect()}
+    copies, others = [got[i] for k, (i, _) in enumerate(out) if k % 2 == 0], [got[i] for k, (i, _) in enumerate(out) if k % 2]
+    assert min(copies) > max(others) + 50
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.language_scores(df).count() == 0
