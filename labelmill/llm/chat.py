@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.llm.expressions import CUT, chunks, let, running_sum
+
 START, SEPARATOR, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LEARNT_ROLE = "assistant"
 
@@ -74,15 +76,10 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
             ),
         )
     )
-    empty = F.expr("cast(array() as array<struct<start: int, length: int>>)")
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda done, p: F.struct(
-            (done["at"] + p["before"] + p["length"] + p["after"]).alias("at"),
-            F.when(p["learnt"], F.array_append(done["spans"], F.struct((done["at"] + p["before"]).alias("start"), p["length"].alias("length")))).otherwise(done["spans"]).alias("spans"),
-        ),
-    )["spans"]
+    # where each text ends, from the lengths of all pieces up to it
+    upto = running_sum(F.transform("pieces", lambda p: p["before"] + p["length"] + p["after"]))
+    placed = F.zip_with("pieces", upto, lambda p, e: F.struct((e - p["after"] - p["length"]).alias("start"), p["length"].alias("length"), p["learnt"].alias("learnt")))
+    spans = F.transform(F.filter(placed, lambda s: s["learnt"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     out = grouped.withColumn("starts", starts).withColumn("ends", ends).withColumn("runs", runs).withColumn("messages", messages)
     out = out.withColumn("text", text).withColumn("pieces", pieces)
     return out.select(F.col("conv").alias(conv_col), "text", spans.alias("loss"))
@@ -104,5 +101,12 @@ def turns_of(text: Column) -> Column:
 
 
 def loss_text_of(text: Column, loss: Column) -> Column:
-    """All text under the mask, unescaped."""
-    return _joined(F.transform(loss, lambda s: unescaped(text.substr(s["start"] + 1, s["length"]))))
+    """All text under the mask, unescaped. The text is cut up by CUT spans at a time, since a place in it is found from its beginning."""
+
+    def part(group: Column) -> Column:
+        first = F.get(group, F.lit(0))["start"]
+        last = F.get(group, F.size(group) - 1)
+        stretch = text.substr(first + 1, last["start"] + last["length"] - first)
+        return let(stretch, lambda t: F.array_join(F.transform(group, lambda s: unescaped(t.substr(s["start"] - first + 1, s["length"]))), ""))
+
+    return F.when(F.size(loss) > 0, _joined(F.transform(chunks(loss, CUT), part))).otherwise(F.lit(""))

@@ -21,7 +21,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _chunks(values: Column, size: int) -> Column:
+def chunks(values: Column, size: int) -> Column:
+    """The elements in arrays of size, the last one shorter."""
     starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(starts, lambda k: F.slice(values, k * size + 1, F.lit(size)))
 
@@ -37,7 +38,7 @@ def running(values: Column, join: Callable[[Column, Column], Column], kind: str
         ends = _scan(F.transform(inside, lambda c: F.get(c, F.size(c) - 1)), join, kind)
         return let(ends, lambda e: F.flatten(F.transform(inside, lambda c, i: F.when(i == 0, c).otherwise(F.transform(c, lambda x: join(F.get(e, i - 1), x))))))
 
-    return let(values, lambda v: let(F.transform(_chunks(v, CHUNK), lambda c: _scan(c, join, kind)), joined))
+    return let(values, lambda v: let(F.transform(chunks(v, CHUNK), lambda c: _scan(c, join, kind)), joined))
 
 
 def running_sum(values: Column) -> Column:
@@ -66,4 +67,4 @@ def replaced(text: Column, spans: Column, name: Callable[[Column], Column]) -> C
         ends = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.get(groups, k - 1), F.size(F.get(groups, k - 1)) - 1)["end"])
         return F.concat(F.array_join(F.transform(groups, lambda g, k: part(g, ends(k))), ""), text.substr(ends(F.size(groups)) + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, let(spans, lambda s: let(_chunks(s, CUT), whole))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, lambda s: let(chunks(s, CUT), whole))).otherwise(text)

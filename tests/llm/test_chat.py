@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from labelmill.llm.chat import formatted, loss_text_of, turns_of
@@ -28,3 +30,17 @@ def test_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = formatted(df.withColumn("y", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_very_long_conversations(spark):
+    def seconds(n):
+        rows = [(1, k, ("user", "assistant")[k % 2], f"said {k} <|x|>") for k in range(n)] + [(2, 0, "user", "y" * 10), (2, 1, "assistant", "long <| " * n)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        began = time.time()
+        got = {r.conv_id: r for r in formatted(df).withColumn("turns", turns_of(F.col("text"))).withColumn("learnt", loss_text_of(F.col("text"), F.col("loss"))).collect()}
+        assert [tuple(t) for t in got[1].turns] == [(r[2], r[3]) for r in rows[:n]]
+        assert got[1].learnt == "".join(r[3] for r in rows[:n] if r[2] == "assistant") and got[2].learnt == "long <| " * n
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(40_000) < 30
