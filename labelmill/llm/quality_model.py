@@ -27,7 +27,7 @@ SAMPLE_PER_CLASS = 3000
 DICTIONARY_BYTES = 1 << 16
 #: The whole of a text is compressed, in blocks of this size: in longer ones a dictionary soon stops to matter.
 BLOCK_BYTES = 2048
-#: Bytes of sample blocks that a dictionary is trained on.
+#: Bytes of sample blocks that a dictionary is trained on, if not said otherwise.
 TRAINING_BYTES = 8 << 20
 LEVEL = 1
 
@@ -37,12 +37,12 @@ def blocks(data: memoryview) -> Iterator[memoryview]:
         yield data[lo : lo + BLOCK_BYTES]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
+def dictionary(texts: list[bytes], training_bytes: int = TRAINING_BYTES) -> bytes:
     """A dictionary for texts; what too few or too small samples can't be trained on is used as it is."""
     samples, size = [], 0
     for t in texts:
         for b in blocks(memoryview(t)):
-            if size < TRAINING_BYTES:
+            if size < training_bytes:
                 samples.append(bytes(b))
                 size += len(b)
     try:
@@ -76,8 +76,8 @@ class Compressors:
         return np.column_stack([difference / np.maximum(sizes.sum(axis=1), 1), difference / np.maximum(n, 1), sizes.min(axis=1) / np.maximum(n, 1), np.log1p(n)])
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Compressors, Logistic]:
-    """Dictionaries and curve, learnt from labelled texts outside the held fold."""
+def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", training_bytes: int = TRAINING_BYTES) -> tuple[Compressors, Logistic]:
+    """Dictionaries and curve, learnt from labelled texts outside the held fold: at most per_class of each class, whose dictionary is trained on the first training_bytes in the order of their hash."""
     sample = labelled_sample(docs, labels, label, folds, held, per_class, id_col, text_col)
     made = []
     for y in (1, 0):
@@ -86,9 +86,9 @@ def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
         for r in sample.where((F.col("part") == 0) & (F.col("y") == y)).orderBy(F.xxhash64("text")).select(F.encode("text", "UTF-8")).toLocalIterator():
             texts.append(bytes(r[0]))
             size += len(r[0])
-            if size >= TRAINING_BYTES:
+            if size >= training_bytes:
                 break
-        made.append(dictionary(texts))
+        made.append(dictionary(texts, training_bytes))
     compressors = Compressors(*made)
     held_by_all = sent(docs.sparkSession, compressors)
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
@@ -103,14 +103,14 @@ def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
     return compressors, Logistic(x, rows.column("y").to_numpy().astype(float))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", training_bytes: int = TRAINING_BYTES) -> DataFrame:
     """One row for each row of docs: id, held_out, score (0 to 1), predicted (score >= threshold) and size_difference.
 
     Only the text is scored; a null one counts as empty and has the score that the curve gives to no evidence. held_out
     says whether crc32(id as text) mod folds is held; a null id counts as held out. Equal texts have equal scores.
     Without labels all scores are 0.5. Other columns aren't read.
     """
-    held_by_all = sent(docs.sparkSession, quality_model(docs, labels, label, folds, held, per_class, id_col, text_col))
+    held_by_all = sent(docs.sparkSession, quality_model(docs, labels, label, folds, held, per_class, id_col, text_col, training_bytes))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("size_difference", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

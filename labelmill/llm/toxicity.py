@@ -1,11 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of words. A word's discounted count backs off to the number of different words that begin with
-its first five characters, that to the number of different five-character beginnings of its first four, and the last to
-counts shared by both classes; so a rare or new expression is judged by the company of its spelling, and one of which
-nothing is known speaks for neither class. The log-likelihoods of a text under the two models are compared per word:
-over the whole text, over its most toxic windows and over its most toxic words. A logistic curve fitted on labelled
-texts that weren't counted turns these into a score.
+Each class has a model of words and one of words after their predecessor. The discounted count of a pair backs off to the
+number of different words that its second one follows; a word's count, or that number, to the number of different words
+that begin with its first five characters, that to the number of different five-character beginnings of its first four,
+and the last to counts shared by both classes. How much is left to a lower level of spelling is the same for both classes,
+so a rare or new expression is judged by the company of its spelling, and one of which nothing is known speaks for
+neither class. The log-likelihoods of a text under the two models are compared per word: over the whole text, over its
+most toxic windows and over its most toxic words. A logistic curve fitted on labelled texts that weren't counted turns
+these into a score.
 
 Models are small, counted on a bounded labelled sample, and sent to the executors; all rows are scored where they lie.
 """
@@ -22,12 +24,19 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import ALNUM, LOWER, row_groups, segment_hashes, text_bytes, words
 from labelmill.llm.labelled import SAMPLE_PER_CLASS, Logistic, labelled_sample
-from labelmill.llm.lm import Lookup
-from labelmill.llm.shared import crc_fold, received, sent
+from labelmill.llm.lm import Lookup, ngram_key
+from labelmill.llm.shared import crc_fold, received, sent, staged, unstaged
 
 DISCOUNT = 0.75
 PREFIXES = (5, 4)
 WINDOWS = (4, 16, 64)
+#: Windows over which pairs are compared.
+PAIR_WINDOWS = (4, 16)
+FEATURES = 5 + len(WINDOWS) + len(PAIR_WINDOWS)
+#: Pairs that come up less often, in both classes together, are left to the level below.
+LEAST_PAIR = 2
+#: Stands before the first word of a text.
+START = np.uint64(0x5A17E9C3B04D2F61)
 #: Longest and least log ratio that one word can add.
 CLIP = 6.0
 
@@ -48,74 +57,153 @@ def spellings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return rows, out
 
 
-def _counted(sample: DataFrame) -> pa.Table:
-    """(h, h5, h4, t, o): counts of each word in toxic and ordinary texts of the sample."""
-    names = ["h", "h5", "h4", "t", "o"]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
+def _counted(sample: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """((h, h5, h4, t, o, ct, co): counts of each word in toxic and ordinary texts of the sample, and of the different words before it in these; (a, b, t, o): counts of pairs that come up LEAST_PAIR times, and with b = a sum for each a of all of its pairs)."""
+
+    def by_class(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        return first, [np.bincount(which[m], minlength=len(first)).astype(np.int64) for m in (toxic, ~toxic)]
+
+    def counted(pairs: bool, names: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = text_bytes(batch.column(0))
+                y = batch.column(1).to_numpy(zero_copy_only=False)
+                for lo, hi in row_groups(offsets):
+                    rows, keys = spellings(data, offsets[lo : hi + 1])
+                    toxic = y[lo:hi][rows] == 1
+                    columns = [keys[:, k] for k in range(3)]
+                    if pairs:
+                        columns = [before(keys[:, 0], rows), keys[:, 0]]
+                    first, count = by_class(ngram_key(*columns) if pairs else keys[:, 0], toxic)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), *map(pa.array, count)], names=[*names, "t", "o"])
+
+        schema = T.StructType([T.StructField(n, T.LongType()) for n in [*names, "t", "o"]])
+        return sample.select("text", "y").mapInArrow(run, schema).groupBy(*names).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+    pairs = staged(counted(True, ["a", "b"]), "pairs")
+    follows = pairs.groupBy(F.col("b").alias("h")).agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
+    words_ = counted(False, ["h", "h5", "h4"]).join(follows, "h").toArrow()
+    often = pairs.where(F.col("t") + F.col("o") >= LEAST_PAIR)
+    sums = pairs.groupBy("a").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).select("a", F.lit(None).cast("long").alias("b"), "t", "o")
+    found = often.unionAll(sums).toArrow()
+    unstaged(pairs)
+    return words_, found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in row_groups(offsets):
-                rows, keys = spellings(data, offsets[lo : hi + 1])
-                _, first, which = np.unique(keys[:, 0], return_index=True, return_inverse=True)
-                toxic = y[lo:hi][rows] == 1
-                count = [np.bincount(which[m], minlength=len(first)).astype(np.int64) for m in (toxic, ~toxic)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(keys[first, k].view(np.int64)) for k in range(3)), *map(pa.array, count)], names=names)
 
-    return sample.select("text", "y").mapInArrow(run, schema).groupBy("h", "h5", "h4").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
+def before(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The word before each one; START before the first of a row."""
+    out = np.full(len(hashes), START)
+    same = rows[1:] == rows[:-1]
+    out[1:][same] = hashes[:-1][same]
+    return out
+
+
+def _mixed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of both classes from discounted counts and, for the share that discounting takes from both together, from the level below."""
+    if not len(counts):
+        return lower
+    taken = min(DISCOUNT * np.count_nonzero(counts) / max(counts.sum(), 1.0), 1.0)
+    kept = np.maximum(counts - DISCOUNT, 0)
+    total = kept.sum(axis=0)
+    return np.where(total > 0, (1 - taken) * kept / np.maximum(total, 1e-300) + taken * lower, lower)
 
 
 class ClassModels:
-    """Log ratios of toxic to ordinary probability: of known words, of known beginnings for unknown words, and of what is unknown altogether."""
-
-    def __init__(self, table: pa.Table):
-        keys = [table.column(n).to_numpy().view(np.uint64) for n in ("h", "h5", "h4")]
-        counts = [table.column(n).to_numpy().astype(float) for n in ("t", "o")]
-        d = DISCOUNT
-        h5, first5, of5 = np.unique(keys[1], return_index=True, return_inverse=True)
-        h4, of4 = np.unique(keys[2][first5], return_inverse=True)
+    """Log ratios of toxic to ordinary probability: of known words, of known beginnings for unknown words, of pairs, and 0 for what is unknown altogether."""
+
+    def __init__(self, table: pa.Table, pairs: pa.Table | None = None):
+        def columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+            return [t.column(n).to_numpy() for n in names]
+
+        h, k5, k4 = (k.view(np.uint64) for k in columns(table, "h", "h5", "h4"))
+        order = np.argsort(h)
+        h, k5, k4 = h[order], k5[order], k4[order]
+        counts = np.column_stack(columns(table, "t", "o")).astype(float)[order]
+        h5, first5, of5 = np.unique(k5, return_index=True, return_inverse=True)
+        h4, of4 = np.unique(k4[first5], return_inverse=True)
         # types: words below each five-character beginning, and these below each four-character one
-        types5 = [np.bincount(of5[n > 0], minlength=len(h5)).astype(float) for n in counts]
-        types4 = [np.bincount(of4[n > 0], minlength=len(h4)).astype(float) for n in types5]
-        all5, all4 = np.bincount(of5, minlength=len(h5)) + 0.0, np.bincount(of4, minlength=len(h4)) + 0.0
-        shared4 = (all4 + 0.5) / (all4.sum() + 0.5 * (len(h4) + 1))
-        share5, share = (1.0 / (all4 + 1.0))[of4] if len(h4) else all5, (1.0 / (all5 + 1.0))[of5] if len(h5) else counts[0]
-        p4, p5, p = [], [], []
-        for n, t5, t4 in zip(counts, types5, types4, strict=True):
-            s4, s5, s = max(t4.sum(), 1.0), max(t5.sum(), 1.0), max(n.sum(), 1.0)
-            # what the discounts leave to the level below
-            r4, r5, r = (max(d * (x > 0).sum() / y, 1e-6) for x, y in ((t4, s4), (t5, s5), (n, s)))
-            p4.append(np.maximum(t4 - d, 0) / s4 + r4 * shared4)
-            p5.append(np.maximum(t5 - d, 0) / s5 + r5 * p4[-1][of4] * share5)
-            p.append(np.maximum(n - d, 0) / s + r * p5[-1][of5] * share)
-        # an unknown word is judged by its longest known beginning, without the weights that led there: these say how much
-        # text of each class was counted, not what the word is
-        ratios = [np.log(x[0] / x[1]) for x in (p, p5, p4)]
-        self.levels = []
-        for known, r in zip((keys[0], h5, h4), ratios, strict=True):
-            order = np.argsort(known)
-            self.levels.append((Lookup(known[order]), np.clip(r, -CLIP, CLIP)[order]))
+        types5 = np.column_stack([np.bincount(of5, weights=n > 0, minlength=len(h5)) for n in counts.T])
+        types4 = np.column_stack([np.bincount(of4, weights=n > 0, minlength=len(h4)) for n in types5.T])
+        all5, all4 = np.bincount(of5, minlength=len(h5)), np.bincount(of4, minlength=len(h4))
+        # counts of both classes; a part is left to beginnings that weren't met
+        shared = ((all4 + 0.5) / (all4.sum() + 0.5 * (len(h4) + 1)))[:, None].repeat(2, axis=1)
+        self.p4 = _mixed(types4, shared)
+        self.p5 = _mixed(types5, (self.p4 / (all4 + 1.0)[:, None])[of4] if len(h4) else self.p4)
+        below = (self.p5 / (all5 + 1.0)[:, None])[of5] if len(h5) else counts
+        self.p = _mixed(counts, below)
+        values = [self.p, self.p5, self.p4]
+        self.find = [Lookup(k) for k in (h, h5, h4)]
+        self.levels = [np.clip(np.log(v[:, 0] / v[:, 1]), -CLIP, CLIP) for v in values]
+        self.words = h
+        self.pairs, self.pair_ratio, self.left, self.start, self.after = Lookup(h[:0]), np.zeros(1), np.zeros(len(h)), 0.0, self.levels[0]
+        if pairs is not None and len(h):
+            self._pairs(pairs, np.column_stack(columns(table, "ct", "co")).astype(float)[order], below)
+
+    def _pairs(self, table: pa.Table, follows: np.ndarray, below: np.ndarray) -> None:
+        """The models of words after their predecessor: discounted counts of pairs, and for what these leave the numbers of words before each word."""
+        q = _mixed(follows, below)
+        self.after = np.clip(np.log(q[:, 0] / q[:, 1]), -CLIP, CLIP)
+        single = table.column("b").is_null().to_numpy(zero_copy_only=False)
+        a = table.column("a").to_numpy().view(np.uint64)
+        n = np.column_stack([table.column(c).to_numpy() for c in ("t", "o")]).astype(float)
+        names, totals = a[single], n[single]
+        order = np.argsort(names)
+        names, totals = names[order], totals[order]
+        b = table.column("b").fill_null(0).to_numpy().view(np.uint64)[~single]
+        a, kept = a[~single], np.maximum(n[~single] - DISCOUNT, 0)
+        of = np.searchsorted(names, a)
+        given = np.column_stack([np.bincount(of, weights=k, minlength=len(names)) for k in kept.T]) / np.maximum(totals, 1)
+        # a predecessor that a class hasn't is left to the level below as a whole
+        left = np.where(totals > 0, 1 - given, 1.0)
+        both = kept / np.maximum(totals[of], 1) + left[of] * q[np.searchsorted(self.words, b)]
+        keys = ngram_key(a, b)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ratio = Lookup(keys[order]), np.clip(np.log(both[:, 0] / both[:, 1]), -CLIP, CLIP)[order]
+        ratio = np.log(left[:, 0] / left[:, 1])
+        at = np.minimum(np.searchsorted(names, self.words), len(names) - 1)
+        self.left = np.where(names[at] == self.words, ratio[at], 0.0)
+        first = np.searchsorted(names, START)
+        self.start = float(ratio[first]) if first < len(names) and names[first] == START else 0.0
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for k, (find, value) in enumerate(self.levels):
+        """The log ratio of each word by itself."""
+        return self._both(keys)[0]
+
+    def _both(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log ratio of each word by itself, that of the level below pairs, the word's number or -1)."""
+        out, after = np.zeros(len(keys)), np.zeros(len(keys))
+        left, number = np.arange(len(keys)), np.full(len(keys), -1)
+        for k, (find, value) in enumerate(zip(self.find, self.levels, strict=True)):
             at = find(keys[left, k])
             known = at >= 0
             out[left[known]] = value[at[known]]
+            after[left[known]] = (self.after if k == 0 else value)[at[known]]
+            if k == 0:
+                number = at
             left = left[~known]
-        return out
+        return out, after, number
+
+    def pair_ratios(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log ratio of each word by itself, and after the word before it)."""
+        alone, after, number = self._both(keys)
+        first = np.ones(len(keys), bool)
+        first[1:] = rows[1:] != rows[:-1]
+        left = np.append(0.0, np.where(number >= 0, self.left[number] if len(self.left) else 0.0, 0.0)[:-1]) if len(keys) else np.zeros(0)
+        left[first] = self.start
+        at = self.pairs(ngram_key(before(keys[:, 0], rows), keys[:, 0]))
+        return alone, np.clip(np.where(at >= 0, self.pair_ratio[at], left + after), -CLIP, CLIP)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each row the mean ratio of its words, the log of their number, the greatest and third greatest, the greatest means over windows; the mean of pairs and the greatest means over windows of these."""
         rows, keys = spellings(data, offsets)
         n = len(offsets) - 1
-        r = self.ratios(keys)
+        r, pairs = self.pair_ratios(keys, rows)
         count = np.bincount(rows, minlength=n)
-        out = np.zeros((n, 4 + len(WINDOWS)))
+        out = np.zeros((n, FEATURES))
         out[:, 0] = np.bincount(rows, weights=r, minlength=n) / np.maximum(count, 1)
         out[:, 1] = np.log1p(count)
+        out[:, 4 + len(WINDOWS)] = np.bincount(rows, weights=pairs, minlength=n) / np.maximum(count, 1)
         full = np.flatnonzero(count)
         if not len(full):
             return out
@@ -124,21 +212,20 @@ class ClassModels:
         for k, rank in enumerate((0, 2)):
             at = np.minimum(first + rank, first + count[full] - 1)
             out[full, 2 + k] = np.where(count[full] > rank, r[order[at]], np.minimum(r[order[at]], 0.0))
-        total = np.concatenate([[0.0], np.cumsum(r)])
-        ends = first + count[full]
-        row_end = np.repeat(ends, count[full])
-        for k, size in enumerate(WINDOWS):
-            # windows at the end of a text, or all of a short one, are cut; their sum still is taken over size words
-            stop = np.minimum(np.arange(len(r)) + size, row_end)
-            out[full, 4 + k] = np.maximum.reduceat((total[stop] - total[:-1]) / size, first)
+        row_end = np.repeat(first + count[full], count[full])
+        for at, values, sizes in ((4, r, WINDOWS), (5 + len(WINDOWS), pairs, PAIR_WINDOWS)):
+            total = np.concatenate([[0.0], np.cumsum(values)])
+            for k, size in enumerate(sizes):
+                # windows at the end of a text, or all of a short one, are cut; their sum still is taken over size words
+                stop = np.minimum(np.arange(len(values)) + size, row_end)
+                out[full, at + k] = np.maximum.reduceat((total[stop] - total[:-1]) / size, first)
         return out
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[ClassModels, Logistic]:
     """The two models and the curve, learnt from labelled texts outside the held fold."""
     sample = labelled_sample(docs, labels, label, folds, held, per_class, id_col, text_col)
-    models = ClassModels(_counted(sample.where("part = 0")))
-    width = 4 + len(WINDOWS)
+    models = ClassModels(*_counted(sample.where("part = 0")))
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
     held_by_all = sent(docs.sparkSession, models)
 
@@ -150,7 +237,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(list(models.features(data, offsets[lo : hi + 1])), pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = sample.where("part = 1").select("text", "y").mapInArrow(run, schema).toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, width)
+    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, FEATURES)
     return models, Logistic(x, rows.column("y").to_numpy().astype(float))
 
 
