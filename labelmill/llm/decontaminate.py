@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from labelmill.llm.arrays import ALNUM, covered, mix, per_row, row_groups, text_bytes, windows, words
 from labelmill.llm.expressions import joined_runs
 from labelmill.llm.lm import bit_map, in_map, runs
-from labelmill.llm.shared import received, sent, staged
+from labelmill.llm.shared import bounded_batches, received, sent, staged
 
 #: Words in a window; an item of fewer words is one window.
 SPAN = 10
@@ -146,6 +146,7 @@ def _spans(rows: np.ndarray, hit: np.ndarray, starts: np.ndarray) -> tuple[np.nd
 
 def _sent_prints(benchmark: DataFrame, block_words: int):
     """The benchmark's fingerprints, sent to the executors, or None if it has more words than that. benchmark: (item, text)."""
+    bounded_batches(benchmark.sparkSession)
     # a word takes two bytes at least, but for the last one
     size = benchmark.agg(F.coalesce(F.sum(F.floor(F.octet_length("text") / 2) + 1), F.lit(0))).first()[0]
     if size > block_words:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, row_groups, text_bytes, words
-from labelmill.llm.shared import crc_fold, received, sent, staged, unstaged
+from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, unstaged
 
 #: Words of at least this share of the training tokens are held by every executor: at most 2,097,152 of them.
 HEAD_SHARE = 2.0**-21
@@ -447,6 +447,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns of docs aren't read. Without training rows every token is unknown.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     held_out = F.coalesce(crc_fold("id", folds) == held, F.lit(True))
     arcs, others, bits, total, distinct = fitted(source.where(~held_out))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, mix, row_groups, text_bytes, windows, words
-from labelmill.llm.shared import fits_broadcast, small_batches, staged
+from labelmill.llm.shared import bounded_batches, fits_broadcast, staged
 
 SHINGLE = 5
 HASHES = 192
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other, but no row is named by it.
     Other columns of docs aren't read.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     threshold = percent / 100
     sigs = staged(signatures(docs, id_col, text_col), "signatures")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import BLOCK, FIRST, mix, row_groups, text_bytes
 from labelmill.llm.lm import Lookup
-from labelmill.llm.shared import received, sent, small_batches
+from labelmill.llm.shared import bounded_batches, received, sent
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -484,7 +484,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: s
     """
     added = [ids_col] + ([decoded_col] if decoded_col else [])
     rest = [c for c in docs.columns if c not in (text_col, *added)]
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     held_by_all = sent(docs.sparkSession, vocabulary(model_path))
     kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
     schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, k) for c, k in zip(added, kinds))])
@@ -511,6 +511,7 @@ def decoded(ids: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     that aren't UTF-8 give U+FFFD; ids outside the model give nothing.
     """
     rest = [c for c in ids.columns if c not in (text_col, ids_col)]
+    bounded_batches(ids.sparkSession)
     held_by_all = sent(ids.sparkSession, vocabulary(model_path))
     schema = T.StructType([*(ids.schema[c] for c in rest), T.StructField(text_col, T.StringType())])
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import text_bytes
 from labelmill.llm.labelled import Logistic, labelled_sample
-from labelmill.llm.shared import crc_fold, received, sent
+from labelmill.llm.shared import bounded_batches, crc_fold, received, sent
 
 #: Of each class at most this many labelled documents are learnt from.
 SAMPLE_PER_CLASS = 3000
@@ -78,6 +78,7 @@ class Compressors:
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", training_bytes: int = TRAINING_BYTES) -> tuple[Compressors, Logistic]:
     """Dictionaries and curve, learnt from labelled texts outside the held fold: at most per_class of each class, whose dictionary is trained on the first training_bytes in the order of their hash."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, folds, held, per_class, id_col, text_col)
     made = []
     for y in (1, 0):

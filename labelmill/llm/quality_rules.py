@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import FIRST, SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
-from labelmill.llm.shared import small_batches
+from labelmill.llm.shared import bounded_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -110,6 +110,7 @@ def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs aren't read, so their names can't clash. An empty table gives an empty result.
     """
     rules = rules or RepetitionRules()
+    bounded_batches(docs.sparkSession)
     names = [*STATS, *(f"dup_{n}" for n in sorted(rules.ngrams))]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
@@ -126,7 +127,7 @@ def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: RepetitionRules | None = None) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they were."""
     rules = rules or RepetitionRules()
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,14 +29,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, log_ratio of each document. Null and empty texts have the score of no evidence; equal texts equal scores; without labels all are 0.5; other columns aren't read. An empty table gives an empty result."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document. Null and empty texts have no shingles and stay by themselves; repeated rows are given each; other columns aren't read. An empty table gives an empty result."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document. Null and empty texts have no words; items without words occur nowhere; repeated rows are given each; other columns aren't read. An empty table gives an empty result."""
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -49,14 +52,17 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, size_difference of each document. Null texts count as empty; equal texts have equal scores; without labels all are 0.5; other columns aren't read. An empty table gives an empty result."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base statistics, dup_line_chars, dup_n for each length, base_failed, kept of each document. Null and empty texts have no words and fail the base rule; other columns aren't read. An empty table gives an empty result."""
     return repetition_stats(_table(spark, sf_dir, "documents"))
 
 
 def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each document. Null and empty texts have no words, no labels and score 0; repeated rows are given each; other columns aren't read. An empty table gives an empty result."""
     found = license_spans(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     firsts = F.transform(base, lambda s: s["first"])
@@ -77,6 +83,7 @@ def op6_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, a count of each kind, base_sha256, spans of each document. Null and empty texts have no spans; equal texts have equal ones; repeated rows are given each; other columns aren't read. An empty table gives an empty result."""
     found = personal_spans(_table(spark, sf_dir, "documents"), everywhere=True, least_chars=1)
     written = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     found = found.withColumn("written", written)
@@ -89,6 +96,7 @@ def op7_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation and of conversation -1, read back from the formatted text. Null roles and texts count as empty; repeated rows are turns of their own; other columns aren't read. An empty table gives an empty result but for conversation -1."""
     said = "<|im_end|><|im_start|>assistant ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -105,10 +113,12 @@ def op8_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document. Null and empty texts are their end token alone; repeated rows are given, and learnt from, each; other columns aren't read. An empty table gives an empty result."""
     return language_scores(_table(spark, sf_dir, "documents"))
 
 
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids, ids_hash, n_chars and exact (whether decoding gives the text again) of each document. Null and empty texts have no ids; repeated rows are given each; other columns aren't read. An empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     coded = encoded(docs, PIECES_MODEL, decoded_col="back")
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("back").cast("long").alias("n_chars"), (F.sha2("back", 256) == F.col("text_sha256")).alias("exact"))

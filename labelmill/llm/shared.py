@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelmill.storage import shared_folder, staged, unstaged
 
-__all__ = ["crc_fold", "fits_broadcast", "received", "sent", "shared_folder", "small_batches", "staged", "unstaged"]
+__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "received", "sent", "shared_folder", "staged", "unstaged"]
 
 
 def crc_fold(doc_id, n: int):
@@ -32,11 +32,15 @@ def received(broadcast: Broadcast):
     return value
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts make large rows: where the number of rows in an Arrow batch is Spark's default, the session takes fewer, so that neither the executor nor its Python workers hold many megabytes of each at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 1 << 23
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts make large rows, so batches are bounded by bytes. Spark takes that from the session alone, when a plan is run; where the session has a bound of its own, that stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 #: Tables are broadcast only up to this many bytes, counted on what is sent.

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from labelmill.llm.arrays import ALNUM, LOWER, row_groups, segment_hashes, text_bytes, words
 from labelmill.llm.labelled import SAMPLE_PER_CLASS, Logistic, labelled_sample
 from labelmill.llm.lm import Lookup, ngram_key
-from labelmill.llm.shared import crc_fold, received, sent, staged, unstaged
+from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, unstaged
 
 DISCOUNT = 0.75
 PREFIXES = (5, 4)
@@ -224,6 +224,7 @@ class ClassModels:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[ClassModels, Logistic]:
     """The two models and the curve, learnt from labelled texts outside the held fold."""
+    bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, folds, held, per_class, id_col, text_col)
     models = ClassModels(*_counted(sample.where("part = 0")))
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
