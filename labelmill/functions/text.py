@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 
 # Patterns, literals and limits that results depend on.
-MASK_BULLET = rf"(?mdU)^{SPACE}*(?:[-*+]|\d+[.)]){SPACE}+(.*?){SPACE}*$"
+MASK_BULLET = r"(?mdU)^(?:[^\S\n]|[\x1c-\x1f])*+(?:[-*+]|\d++[.)])[\s\x1c-\x1f]++([^\n]*+)"
 LINE_BULLET = rf"(?dU)^{SPACE}*(?:[-*•]|\d+\.){SPACE}+(.*)$"
 INLINE_SEPARATORS = (" - ", " * ", " • ")
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -78,8 +78,8 @@ def echo_overlap(text: Column, source: Column) -> Column:
 
 
 def mask_bullets(text: Column) -> Column:
-    """Bullets as the validity mask counts them: -, *, + or a number, empty ones included."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MASK_BULLET), F.lit(1))
+    """Bullets as the validity mask counts them: -, *, + or a number, empty ones included. Lines are taken whole and stripped after, so runs of blanks are read once."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MASK_BULLET), F.lit(1)), lambda x: F.rtrim(x, F.lit(WHITE)))
 
 
 def report_claims(text: Column) -> Column:

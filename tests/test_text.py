@@ -131,3 +131,22 @@ def test_small_text_functions(spark):
     assert one(spark, t.first_filled(F.lit(""), F.lit(None).cast("string"), F.lit("z"))) == "z"
     assert one(spark, t.stable_id(F.lit("r"), F.lit("s"), F.lit(3))) == __import__("hashlib").sha256(b"r|s|3").hexdigest()[:32]
     assert one(spark, t.word_count(F.col("a")), a="a b\x1cc d") == 4
+
+
+def test_mask_bullets_equal_the_pattern_and_read_blanks_once(spark):
+    import random
+    import re
+    import time
+
+    from labelmill.functions.text import mask_bullets
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["- ", "* ", "-", "1. ", "12) ", "\n", "\n\n", " ", "  ", "\t", "a", "b c", "\x1c", "é", "+"]) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    long = ["- a" + " " * 200_000 + "b", "\n" * 200_000 + "- x", "- " + " \n" * 100_000, "x " * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts + long)), "i long, t string")
+    began = time.time()
+    got = {r.i: r.b for r in df.select("i", mask_bullets(df.t).alias("b")).collect()}
+    assert time.time() - began < 20
+    for i, t in enumerate(texts):
+        assert got[i] == re.findall(r"(?m)^\s*(?:[-*+]|\d+[.)])\s+(.*?)\s*$", t), repr(t)
+    assert got[600] == ["a" + " " * 200_000 + "b"] and got[601] == ["x"]
