@@ -132,3 +132,38 @@ def contiguous(mask: Column) -> Column:
 def looked_up(names: Column, table: Column, default: int = -1) -> Column:
     """The number of a name in a map, or the default."""
     return F.coalesce(F.try_element_at(table, names), F.lit(default))
+
+
+def tail(rows: Column, n: int) -> Column:
+    """The last n elements, or all."""
+    return F.when(F.size(rows) > n, F.slice(rows, F.size(rows) - n + 1, F.lit(n))).otherwise(rows)
+
+
+def tail_spliced(into: Column, at: Column, rows: Column, n: int) -> Column:
+    """A sequence with the last n of cached rows in the place of those from at on that they take."""
+    window = tail(rows, n)
+    return F.concat(F.slice(into, F.lit(1), at.cast("int")), window, F.slice(into, (at + F.size(window) + 1).cast("int"), F.size(into)))
+
+
+def shown_window(tokens: Column, n: int) -> Column:
+    """What a page shows of the last n tokens: (prefix, window, pieces, truncated): the text before them, their text, each with its place in the whole, and how many stand before."""
+    cut = F.greatest(F.size(tokens) - n, F.lit(0))
+    pieces = F.transform(tail(tokens, n), lambda t, i: F.struct(t.alias("text"), (cut + i).cast("int").alias("response_index")))
+    return F.struct(F.array_join(F.slice(tokens, F.lit(1), cut), "").alias("prefix"), F.array_join(tail(tokens, n), "").alias("window"), pieces.alias("pieces"), cut.cast("int").alias("truncated"))
+
+
+def joined_sequence(soft: Column, prefix: Column, candidate: Column, width: Column, pad: Column, from_left: bool) -> Column:
+    """struct(rows, mask, candidate_start): soft, prefix and candidate rows one after the other, filled up to width from one side, with the flags of what isn't filling; an error if what isn't filling doesn't stand together or doesn't fit."""
+    body = F.concat(soft, prefix, candidate)
+    missing = (width - F.size(body)).cast("int")
+    filling = F.array_repeat(pad, F.greatest(missing, F.lit(0)))
+    ones, zeros = F.array_repeat(F.lit(1), F.size(body)), F.array_repeat(F.lit(0), F.greatest(missing, F.lit(0)))
+    rows, mask = (F.concat(filling, body), F.concat(zeros, ones)) if from_left else (F.concat(body, filling), F.concat(ones, zeros))
+    checked = F.when((missing >= 0) & contiguous(mask), mask).otherwise(F.raise_error(F.concat(F.lit("a sequence doesn't fit into "), width.cast("string"))))
+    start = F.size(soft) + F.size(prefix) + (F.greatest(missing, F.lit(0)) if from_left else F.lit(0))
+    return F.struct(rows.alias("rows"), checked.alias("mask"), start.cast("int").alias("candidate_start"))
+
+
+def retrieval_inputs(vectors: Column, target_norm: float, before: Column, after: Column) -> Column:
+    """Vectors scaled to a norm, between the embeddings of what stands before and after them."""
+    return F.concat(before, F.transform(vectors, lambda v: norm_matched(v, target_norm)), after)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +79,36 @@ def projected(df: DataFrame, vector: str, weight: np.ndarray, bias: np.ndarray |
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, `{out}` array<float>")
+
+
+def tokenised_context(rows: DataFrame, key: str, prompt: str, response: str, encode: Callable[[list[dict], bool], list[int]], wrap: Callable[[list[dict]], list[dict]] | None = None) -> DataFrame:
+    """(key, ids, response_start): prompt and response as one conversation, and where the response begins.
+
+    encode(messages, add_generation_prompt) is a tokenizer's chat template; wrap puts a model's own messages around. The
+    response begins after the prompt by itself, or at the end where the template made that longer than both together.
+    Null texts count as empty.
+    """
+    wrap = wrap or (lambda messages: messages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts = [], []
+            for p, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                asked = {"role": "user", "content": p or ""}
+                alone = encode(wrap([asked]), True)
+                both = encode(wrap([asked, {"role": "assistant", "content": r or ""}]), False)
+                ids.append(both)
+                starts.append(min(len(alone), len(both)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.int32())], names=[key, "ids", "response_start"])
+
+    return rows.select(key, prompt, response).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>, response_start int")
+
+
+def plain_encoder(tokens: Callable[[str], list[int]]) -> Callable[[list[dict], bool], list[int]]:
+    """A chat template for tokenizers that have none: "Role: text" lines."""
+
+    def encode(messages: list[dict], add_generation_prompt: bool) -> list[int]:
+        lines = [f"{m['role'].title()}: {m['content']}" for m in messages] + ["Assistant:"] * add_generation_prompt
+        return tokens("\n".join(lines))
+
+    return encode

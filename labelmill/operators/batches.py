@@ -70,6 +70,11 @@ def last_written(log: DataFrame, key: str, value: str, position: str) -> DataFra
     return filled.groupBy(key).agg(F.max_by(value, position).alias(value))
 
 
+def after_first(df: DataFrame, done: int, order: list[str]) -> DataFrame:
+    """What a run has still to write that has written the first done rows in an order."""
+    return numbered(df, order, name="_place").where(F.col("_place") >= done).drop("_place") if done else df
+
+
 def restored(wanted: DataFrame, saved: DataFrame, key: str, value: str) -> DataFrame:
     """wanted with saved values, empty where there is none."""
     return wanted.join(saved.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit("")))

@@ -1,7 +1,7 @@
 """Deterministic splits that keep groups together.
 
 Membership depends on an order of the units. The scalable mode orders by a seeded hash; the exact mode takes the order that
-a seeded shuffle on the driver gives. Running totals are taken over units by a two-level sum, so no single task sees all
+a seeded shuffle on the driver gives, over places and sizes alone. Running totals are taken over units by a two-level sum, so no single task sees all
 of them: totals within ranges of the order are added to the totals of the ranges before.
 """
 
@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labelmill.operators.batches import numbered
+from labelmill.storage import staged
+
 #: The hash order is cut in so many ranges by its first characters.
 RANGE_CHARS = 3
 
@@ -70,29 +75,45 @@ def split_records(records: DataFrame, val_ratio: float = 0.1, test_ratio: float
 def split_records_exactly(records: DataFrame, val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42, stratify_by: str | None = None) -> DataFrame:
     """records with split in the order of Python's seeded shuffle of units in order of appearance.
 
-    The unit names and sizes come to the driver, which is fit for some hundred thousands; membership then equals that of
-    a shuffle in one process. Rows aren't moved to the driver.
+    Such a shuffle is one sequence of random numbers, so it is made on the driver: over places, with one number, the size,
+    for each unit. Names and rows stay where they are. Membership equals that of a shuffle in one process.
     """
     spark = records.sparkSession
-    found = units(records, carry=[stratify_by] if stratify_by else []).orderBy("first_ord").collect()
-    buckets: dict[str, list] = {}
-    for u in found:
-        buckets.setdefault((u[stratify_by] if u[stratify_by] is not None else "_unknown") if stratify_by else "", []).append(u)
-    placed = []
-    for name in sorted(buckets):
-        chosen = buckets[name]
-        random.Random(seed).shuffle(chosen)
-        total = sum(u["size"] for u in chosen)
-        room = {"test": max(1, int(total * test_ratio)), "val": max(1, int(total * val_ratio))}
-        have = {"test": 0, "val": 0}
-        for u in chosen:
-            split = next((s for s in ("test", "val") if have[s] < room[s]), "train")
-            if split != "train":
-                have[split] += u["size"]
-            placed.append((u["unit"], split))
-    table = spark.createDataFrame(placed, "unit string, split string")
+    found = units(records, carry=[stratify_by] if stratify_by else [])
+    bucket = F.coalesce(F.col(stratify_by).cast("string"), F.lit("_unknown")) if stratify_by else F.lit("")
+    placed = staged(numbered(found.withColumn("bucket", bucket), ["bucket", "first_ord", "unit"]).select("rn", "bucket", "unit", "size"), "units")
+    # a row for each bucket
+    edges = placed.groupBy("bucket").agg(F.min("rn").alias("lo"), F.count(F.lit(1)).alias("n")).orderBy("lo").collect()
+    table = placed.select("rn", "size").toArrow()
+    sizes = np.zeros(table.num_rows, np.int64)
+    sizes[table.column("rn").to_numpy()] = table.column("size").to_numpy()
+    code = np.zeros(len(sizes), np.int8)
+    for e in edges:
+        order = np.arange(e["lo"], e["lo"] + e["n"])
+        places = list(range(e["n"]))
+        random.Random(seed).shuffle(places)
+        order = order[places]
+        total = int(sizes[order].sum())
+        # units fill test until its room is reached, then val; what goes over stays
+        before = np.cumsum(sizes[order]) - sizes[order]
+        in_test = before < max(1, int(total * test_ratio))
+        tested = int(sizes[order][in_test].sum())
+        in_val = ~in_test & (before - tested < max(1, int(total * val_ratio)))
+        code[order[in_test]], code[order[in_val]] = 1, 2
+    codes = spark.createDataFrame(pa.table({"rn": np.arange(len(code)), "code": code}))
+    names = F.when(F.col("code") == 1, "test").when(F.col("code") == 2, "val").otherwise("train")
+    chosen = placed.join(codes, "rn").select("unit", names.alias("split"))
     unit = F.coalesce(F.concat(F.lit("g:"), F.col("paraphrase_group_id")), F.concat(F.lit("r:"), F.col("id")))
-    return records.withColumn("unit", unit).join(table, "unit").drop("unit")
+    return records.withColumn("unit", unit).join(chosen, "unit").drop("unit")
+
+
+def kept_split(records: DataFrame, path: str, id_col: str = "id", **how) -> DataFrame:
+    """records with the split that was written at path; if there is none yet, it is made and written first. Records that it hasn't are left out, so membership stays as it was."""
+    from labelmill.plans.manifest import materialised
+
+    spark = records.sparkSession
+    saved = materialised(path, lambda: split_records(records, **how).select(id_col, "split"), spark)
+    return records.join(saved, id_col)
 
 
 def masked(records: DataFrame, mask: DataFrame, id_col: str = "id") -> DataFrame:

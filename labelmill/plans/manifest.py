@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 import os
 import shutil
 from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.operators.batches import numbered
@@ -242,6 +243,22 @@ def overlaid(defaults: dict, env: dict[str, str], names: dict[str, str], pins: d
     return out | (pins or {})
 
 
+def chosen_profile(profiles: dict[str, dict], env: dict[str, str], name: str = "PROFILE", default: str = "default") -> dict:
+    """A copy of the profile that the environment names; an empty name is the default, an unknown one an error."""
+    wanted = env.get(name, "") or default
+    if wanted not in profiles:
+        raise KeyError(f"no profile is called {wanted!r}")
+    return copy.deepcopy(profiles[wanted])
+
+
+def checkpoint_report(spark: SparkSession, config: dict, path: str) -> dict:
+    """What goes with an exported checkpoint: its cleaned configuration, its kind, and the size and SHA-256 of its file."""
+    from labelmill.sources.readers import file_digests
+
+    row = file_digests(spark, [path]).first()
+    return {"config": sanitised_config(config), "method": training_method(config), "bytes": row["bytes"], "sha256": row["sha256"]}
+
+
 def dotenv(start: str, env: dict[str, str], name: str = ".env") -> dict[str, str]:
     """env with what the first file of that name, here or in a folder above, adds; env wins."""
     folder = os.path.abspath(start)

@@ -92,6 +92,17 @@ def input_files(patterns: list[str], output_dir: str, leave_out: tuple[str, ...]
     return sorted(f for f in found if not f.startswith(inside) and not f.endswith(leave_out))
 
 
+def input_paths(spark: SparkSession, patterns: list[str], output_dir: str, leave_out: tuple[str, ...] = (".removed.jsonl", ".errors.jsonl")) -> list[str]:
+    """As input_files, on any file system that Spark reads."""
+    inside = whole_path(spark, output_dir).rstrip("/") + "/"
+    found = set()
+    for pattern in patterns:
+        p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        for status in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []:
+            found.add(status.getPath().toString())
+    return sorted(f for f in found if not f.startswith(inside) and not f.endswith(leave_out))
+
+
 def shard_meta(spark: SparkSession, pattern: str) -> DataFrame:
     """(record_id, source_dataset) of shard descriptions, JSON arrays; of a repeated id the last file and place counts."""
     rows = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.from_json("value", f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in SHARD_FIELDS.split(', '))}>>")).alias("pos", "row"))

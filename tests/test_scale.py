@@ -162,3 +162,83 @@ def test_storage(spark, tmp_path):
     assert not os.path.exists(path)
     write_text(spark, str(tmp_path / "x.txt"), (f"{i}," for i in range(1000)), block=64)
     assert (tmp_path / "x.txt").read_text() == "".join(f"{i}," for i in range(1000)) and not (tmp_path / "x.txt.tmp").exists()
+
+
+def test_exact_split_moves_sizes_only(narrow):
+    import random
+
+    rng = random.Random(2)
+    data = [(i, f"r{i}", rng.choice("abc"), f"g{i // 3}" if i % 4 else None) for i in range(900)]
+    df = narrow.createDataFrame(data, "ord long, id string, source_dataset string, paraphrase_group_id string")
+    for stratify in (None, "source_dataset"):
+        groups: dict = {}
+        for _, i, source, group in data:
+            groups.setdefault(f"g:{group}" if group else f"r:{i}", []).append((i, source))
+        buckets: dict = {}
+        for unit, rows in groups.items():
+            buckets.setdefault(rows[0][1] if stratify else "", []).append((unit, rows))
+        want = {}
+        for name in sorted(buckets):
+            chosen = list(buckets[name])
+            random.Random(42).shuffle(chosen)
+            total = sum(len(rows) for _, rows in chosen)
+            have = {"test": 0, "val": 0}
+            for _, rows in chosen:
+                split = next((s for s in ("test", "val") if have[s] < max(1, int(total * 0.1))), "train")
+                if split != "train":
+                    have[split] += len(rows)
+                want |= {i: split for i, _ in rows}
+        assert {r.id: r.split for r in splits.split_records_exactly(df, stratify_by=stratify).collect()} == want
+
+
+def test_split_stays_as_it_was_written(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").alias("ord"), F.concat(F.lit("r"), "id").alias("id"), F.lit("s").alias("source_dataset"), F.lit(None).cast("string").alias("paraphrase_group_id"))
+    first = {r.id: r.split for r in splits.kept_split(df, str(tmp_path / "split"), seed=1).collect()}
+    more = df.union(spark.range(200, 300).select("id", F.concat(F.lit("r"), "id"), F.lit("s"), F.lit(None).cast("string")))
+    assert {r.id: r.split for r in splits.kept_split(more, str(tmp_path / "split"), seed=2).collect()} == first and len(first) == 200
+
+
+def test_sequences_and_windows(spark):
+    from labelmill.functions import arrays
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    a = lambda *x: F.array(*map(F.lit, x))
+    assert one(arrays.tail(a(1, 2, 3), 2)) == [2, 3] and one(arrays.tail(a(1), 2)) == [1]
+    assert one(arrays.tail_spliced(a(0, 0, 0, 0, 0), F.lit(1), a(1, 2, 3), 2)) == [0, 2, 3, 0, 0]
+    shown = one(arrays.shown_window(a("He", "llo", " you"), 2))
+    assert (shown.prefix, shown.window, shown.truncated, [tuple(p) for p in shown.pieces]) == ("He", "llo you", 1, [("llo", 1), (" you", 2)])
+    for left, rows, mask, start in ((True, [0, 0, 7, 8, 9], [0, 0, 1, 1, 1], 4), (False, [7, 8, 9, 0, 0], [1, 1, 1, 0, 0], 2)):
+        got = one(arrays.joined_sequence(a(7), a(8), a(9), F.lit(5), F.lit(0), left))
+        assert (got.rows, got.mask, got.candidate_start) == (rows, mask, start)
+    with pytest.raises(Exception, match="doesn't fit"):
+        one(arrays.joined_sequence(a(7), a(8), a(9), F.lit(2), F.lit(0), True))
+    got = one(arrays.retrieval_inputs(F.array(a(3.0, 4.0)), 10.0, F.array(a(1.0, 0.0)), F.array(a(0.0, 1.0))))
+    assert got == [[1.0, 0.0], pytest.approx([6.0, 8.0]), [0.0, 1.0]]
+
+
+def test_contexts_are_tokenised_with_the_response_start(spark):
+    from labelmill.functions.tensors import plain_encoder, tokenised_context
+
+    df = spark.createDataFrame([("a", "ask", "say it"), ("b", None, None)], "id string, prompt string, response string")
+    encode = plain_encoder(lambda text: [len(w) for w in text.split()])
+    got = {r.id: (r.ids, r.response_start) for r in tokenised_context(df, "id", "prompt", "response", encode).collect()}
+    assert got == {"a": ([5, 3, 10, 3, 2], 3), "b": ([5, 10], 2)}
+    system = lambda messages: [{"role": "system", "content": "be good"}, *messages]
+    assert tokenised_context(df, "id", "prompt", "response", encode, system).where("id = 'a'").first().response_start == 6
+
+
+def test_resuming_profiles_reports_and_paths(spark, tmp_path):
+    assert [r.id for r in batches.after_first(spark.range(10), 7, ["id"]).orderBy("id").collect()] == [7, 8, 9] and batches.after_first(spark.range(3), 0, ["id"]).count() == 3
+    profiles = {"default": {"layers": [1]}, "large": {"layers": [2]}}
+    got = manifest.chosen_profile(profiles, {"PROFILE": ""})
+    got["layers"].append(9)
+    assert profiles["default"] == {"layers": [1]} and manifest.chosen_profile(profiles, {"PROFILE": "large"}) == {"layers": [2]}
+    with pytest.raises(KeyError):
+        manifest.chosen_profile(profiles, {"PROFILE": "none"})
+    (tmp_path / "model.bin").write_bytes(b"abc")
+    report = manifest.checkpoint_report(spark, {"rl_method": "x", "output_dir": "/home/x"}, str(tmp_path / "model.bin"))
+    assert report["bytes"] == 3 and report["method"] == "rl" and report["config"]["output_dir"] == "" and report["sha256"].startswith("ba7816bf")
+    (tmp_path / "out").mkdir()
+    for name in ("a.jsonl", "b.removed.jsonl", "out/c.jsonl"):
+        (tmp_path / name).write_text("{}")
+    assert readers.input_paths(spark, [str(tmp_path / "*.jsonl"), str(tmp_path / "*/*.jsonl"), str(tmp_path / "a.jsonl")], str(tmp_path / "out")) == [f"file:{tmp_path}/a.jsonl"]
