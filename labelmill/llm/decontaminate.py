@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from labelmill.llm.arrays import ALNUM, covered, mix, per_row, row_groups, text_bytes, windows, words
 from labelmill.llm.expressions import joined_runs
 from labelmill.llm.lm import bit_map, in_map, runs
-from labelmill.llm.shared import bounded_batches, received, sent, staged
+from labelmill.llm.shared import bounded_batches, received, sent, staged, tidy
 
 #: Words in a window; an item of fewer words is one window.
 SPAN = 10
@@ -168,7 +168,7 @@ def _benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 n, key, row = (np.concatenate(x) for x in zip(*((np.full(len(k), n, np.int32), k, r) for n, k, r in parts), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(key.view(np.int64)), batch.column(0).slice(lo, hi - lo).take(pa.array(row))], names=schema.names)
 
-    table = staged(benchmark.select(F.col("item").cast("string"), "text").mapInArrow(run, schema).distinct(), "windows")
+    table = staged(benchmark.select(F.col("item").cast("string"), "text").mapInArrow(tidy(run), schema).distinct(), "windows")
     return table.where("n > 0"), bit_map(table.where(f"n < {SPAN}").select(F.col("key").alias("k")).distinct())
 
 
@@ -209,7 +209,7 @@ def _joined(source: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + count)), batch.column(0).slice(lo, count), pa.array(per_row(rows, count)), pa.ListArray.from_arrays(pa.array(ends), each)], names=schema.names)
                 row += count
 
-    asked = staged(source.mapInArrow(run, schema), "asked")
+    asked = staged(source.mapInArrow(tidy(run), schema), "asked")
     each = asked.select("row", F.inline("found"))
     hits = staged(each.join(table.select("n", "key").distinct(), ["n", "key"], "left_semi"), "hits")
     items = hits.select("row", "n", "key").distinct().join(table, ["n", "key"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -254,7 +254,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     spans[r].append({"first": a, "end": b})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(per_row(rows, n)), pa.array(per_row(rows[hit], n)), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -279,4 +279,4 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             if clean:
                 yield batch.filter(pa.array(np.concatenate(clean)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

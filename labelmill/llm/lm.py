@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, row_groups, text_bytes, words
-from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, unstaged
+from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, tidy, unstaged
 
 #: Words of at least this share of the training tokens are held by every executor: at most 2,097,152 of them.
 HEAD_SHARE = 2.0**-21
@@ -144,7 +144,7 @@ def bit_map(keys: DataFrame) -> np.ndarray:
             out |= np.frombuffer(read.decompress(part), np.uint8)
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    parts = staged(keys.select("k").mapInArrow(run, schema).groupBy("part").applyInArrow(together, schema), "bits")
+    parts = staged(keys.select("k").mapInArrow(tidy(run), schema).groupBy("part").applyInArrow(tidy(together), schema), "bits")
     out = np.zeros((bits // 8 // size, size), np.uint8)
     for part, chunk in parts.toLocalIterator():
         out[part] = np.frombuffer(chunk, np.uint8)
@@ -163,7 +163,7 @@ def _counted(docs: DataFrame) -> DataFrame:
                 h, c = np.unique(tokens(data, offsets[lo : hi + 1])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    return docs.mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(tidy(run), schema).groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -292,7 +292,7 @@ def _resplit(cells: DataFrame, again: Callable[[list[bytes], int], list[tuple[in
             if held:
                 yield _cells(again(held, done))
 
-        cells = cells.select("shard", "cell").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, cell binary")
+        cells = cells.select("shard", "cell").repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(run), "shard long, cell binary")
     return cells
 
 
@@ -343,8 +343,8 @@ def _ngrams(docs: DataFrame, order: int, names: np.ndarray, shorter: np.ndarray,
         at = by[first[often]]
         return pa.table({"a": a[at].view(np.int64), "b": b[at].view(np.int64), "c": c[often]})
 
-    cells = _resplit(docs.mapInArrow(run, "shard long, cell binary"), again, bits)
-    return cells.groupBy("shard").applyInArrow(added, "a long, b long, c long")
+    cells = _resplit(docs.mapInArrow(tidy(run), "shard long, cell binary"), again, bits)
+    return cells.groupBy("shard").applyInArrow(tidy(added), "a long, b long, c long")
 
 
 def _with_backoff(states: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -397,7 +397,7 @@ def _arc_cells(arcs: DataFrame, total: int, bits: int) -> DataFrame:
         if held:
             yield flushed()
 
-    return arcs.select("k", "c", "w").mapInArrow(run, "shard long, cell binary")
+    return arcs.select("k", "c", "w").mapInArrow(tidy(run), "shard long, cell binary")
 
 
 def fitted(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, np.ndarray, int, int, int]:
@@ -546,7 +546,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sums[where] += more
         return pa.table([*(rows.column(x) for x in ("id", "held_out", "n_tokens")), pa.array(known.astype(np.int64)), pa.array(base), pa.array(arcs)], names=[x.name for x in known_by_row])
 
-    scored = source.withColumn("held_out", held_out).mapInArrow(run, schema)
+    scored = source.withColumn("held_out", held_out).mapInArrow(tidy(run), schema)
     if bits > SPLIT_BITS:
         scored = staged(scored, "asked")
 
@@ -564,7 +564,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [(s, packed_arcs(k[i], c[i], w[i])) for s, i in split(k, done)]
 
     tail = _resplit(arcs.where("shard >= 0"), arcs_again, bits)
-    found = scored.groupBy("shard").cogroup(tail.groupBy("shard")).applyInArrow(looked_up, T.StructType([T.StructField("block", T.LongType()), *one]))
-    added = found.groupBy("block").applyInArrow(added, T.StructType(known_by_row))
+    found = scored.groupBy("shard").cogroup(tail.groupBy("shard")).applyInArrow(tidy(looked_up), T.StructType([T.StructField("block", T.LongType()), *one]))
+    added = found.groupBy("block").applyInArrow(tidy(added), T.StructType(known_by_row))
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))
     return added.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("arcs")).alias("score"))

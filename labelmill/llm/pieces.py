@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import BLOCK, FIRST, mix, row_groups, text_bytes
 from labelmill.llm.lm import Lookup
-from labelmill.llm.shared import bounded_batches, received, sent
+from labelmill.llm.shared import bounded_batches, received, sent, tidy
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -494,14 +494,14 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: s
         encoder, decoder = Encoder(pieces), Decoder(pieces)
         for batch in batches:
             data, offsets = text_bytes(batch.column(len(rest)))
-            for lo, hi in row_groups(offsets):
+            for lo, hi in row_groups(offsets, BLOCK // 2):
                 ids, ends = encoder.encode_rows(data, offsets[lo : hi + 1])
                 out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded_col:
                     out.append(decoder.decode_rows(ids, ends))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(rest))), *out], names=[*rest, *added])
 
-    return docs.select(*rest, F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*rest, F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def decoded(ids: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -525,4 +525,4 @@ def decoded(ids: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
                 values = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), decoder.decode_rows(values, np.concatenate([[0], np.cumsum(sizes)]))], names=[*rest, text_col])
 
-    return ids.select(*rest, ids_col).mapInArrow(run, schema)
+    return ids.select(*rest, ids_col).mapInArrow(tidy(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import text_bytes
 from labelmill.llm.labelled import Logistic, labelled_sample
-from labelmill.llm.shared import bounded_batches, crc_fold, received, sent
+from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, tidy
 
 #: Of each class at most this many labelled documents are learnt from.
 SAMPLE_PER_CLASS = 3000
@@ -99,7 +99,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(model.features(*text_bytes(batch.column(0)))), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = sample.where("part = 1").select("text", "y").mapInArrow(run, schema).toArrow()
+    rows = sample.where("part = 1").select("text", "y").mapInArrow(tidy(run), schema).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, 4)
     return compressors, Logistic(x, rows.column("y").to_numpy().astype(float))
 
@@ -122,4 +122,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0])], names=schema.names)
 
     fold = F.coalesce(crc_fold(id_col, folds) == held, F.lit(True))
-    return docs.select(docs[id_col], docs[text_col].alias("text"), fold.alias("held_out")).mapInArrow(run, schema)
+    return docs.select(docs[id_col], docs[text_col].alias("text"), fold.alias("held_out")).mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import FIRST, SPACED, covered, mix, per_row, repeated, row_groups, segment_hashes, text_bytes, windows, words
-from labelmill.llm.shared import bounded_batches
+from labelmill.llm.shared import bounded_batches, tidy
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -121,7 +121,7 @@ def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 failed, kept = verdicts(stats, rules)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[n]) for n in names), pa.array(failed), pa.array(kept)], names=[id_col, *names, "base_failed", "kept"])
 
-    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(tidy(run), schema)
 
 
 def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: RepetitionRules | None = None) -> DataFrame:
@@ -134,4 +134,4 @@ def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: RepetitionRule
             if stats := _measure(batch, text_col, rules):
                 yield batch.filter(pa.array(verdicts(stats, rules)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import pickle
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelmill.storage import shared_folder, staged, unstaged
 
-__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "received", "sent", "shared_folder", "staged", "unstaged"]
+__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "received", "sent", "shared_folder", "staged", "tidy", "unstaged"]
 
 
 def crc_fold(doc_id, n: int):
@@ -32,6 +36,31 @@ def received(broadcast: Broadcast):
     return value
 
 
+def _given_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, the function of a Python stage, after which a worker gives free memory back: workers are used again by other stages, beside others of their own."""
+
+    def batches(rows: Iterator) -> Iterator:
+        try:
+            yield from run(rows)
+        finally:
+            _given_back()
+
+    def tables(*groups: pa.Table) -> pa.Table:
+        try:
+            return run(*groups)
+        finally:
+            _given_back()
+
+    return batches if inspect.isgeneratorfunction(run) else (lambda a, b: tables(a, b)) if len(inspect.signature(run).parameters) == 2 else (lambda a: tables(a))
+
+
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 1 << 23
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from labelmill.llm.arrays import ALNUM, LOWER, row_groups, segment_hashes, text_bytes, words
 from labelmill.llm.labelled import SAMPLE_PER_CLASS, Logistic, labelled_sample
 from labelmill.llm.lm import Lookup, ngram_key
-from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, unstaged
+from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, tidy, unstaged
 
 DISCOUNT = 0.75
 PREFIXES = (5, 4)
@@ -79,7 +79,7 @@ def _counted(sample: DataFrame) -> tuple[pa.Table, pa.Table]:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), *map(pa.array, count)], names=[*names, "t", "o"])
 
         schema = T.StructType([T.StructField(n, T.LongType()) for n in [*names, "t", "o"]])
-        return sample.select("text", "y").mapInArrow(run, schema).groupBy(*names).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+        return sample.select("text", "y").mapInArrow(tidy(run), schema).groupBy(*names).agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
     pairs = staged(counted(True, ["a", "b"]), "pairs")
     follows = pairs.groupBy(F.col("b").alias("h")).agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
@@ -237,7 +237,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
             for lo, hi in row_groups(offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(list(models.features(data, offsets[lo : hi + 1])), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = sample.where("part = 1").select("text", "y").mapInArrow(run, schema).toArrow()
+    rows = sample.where("part = 1").select("text", "y").mapInArrow(tidy(run), schema).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, FEATURES)
     return models, Logistic(x, rows.column("y").to_numpy().astype(float))
 
@@ -262,4 +262,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 0])], names=schema.names)
 
     fold = F.coalesce(crc_fold(id_col, folds) == held, F.lit(True))
-    return docs.select(docs[id_col], docs[text_col].alias("text"), fold.alias("held_out")).mapInArrow(run, schema)
+    return docs.select(docs[id_col], docs[text_col].alias("text"), fold.alias("held_out")).mapInArrow(tidy(run), schema)
