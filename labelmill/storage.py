@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+#: Tables staged inside each scratch() that is open.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes, at its end, the tables that were staged inside, but for those given to the function it yields: what a result reads must be kept. A scratch() around it removes these in turn, unless it keeps them too."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _open.append(made)
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _open.pop()
+        paths = {t.staged_at for t in kept}
+        unstaged(*(t for t in made if t.staged_at not in paths))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def unstaged(*tables: DataFrame) -> None:
     """Removes the files of staged tables that nothing reads any more."""
     for df in tables:

@@ -242,3 +242,19 @@ def test_resuming_profiles_reports_and_paths(spark, tmp_path):
     for name in ("a.jsonl", "b.removed.jsonl", "out/c.jsonl"):
         (tmp_path / name).write_text("{}")
     assert readers.input_paths(spark, [str(tmp_path / "*.jsonl"), str(tmp_path / "*/*.jsonl"), str(tmp_path / "a.jsonl")], str(tmp_path / "out")) == [f"file:{tmp_path}/a.jsonl"]
+
+
+def test_scratch_tables_go(spark):
+    from labelmill.storage import scratch
+
+    there = lambda t: os.path.exists(t.staged_at.removeprefix("file:"))
+    with scratch():
+        with scratch() as keep:
+            a, b = keep(staged(spark.range(3), "a")), staged(spark.range(4), "b")
+        assert there(a) and not there(b) and a.count() == 3
+        c = staged(spark.range(1), "c")
+    assert not there(a) and not there(c)
+    with pytest.raises(ZeroDivisionError), scratch() as keep:
+        d = keep(staged(spark.range(3), "d"))
+        1 / 0
+    assert not there(d)
