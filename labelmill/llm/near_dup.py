@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, mix, row_groups, text_bytes, windows, words
-from labelmill.llm.shared import bounded_batches, fits_broadcast, staged
+from labelmill.llm.shared import bounded_batches, fits_broadcast, staged, tidy
 
 SHINGLE = 5
 HASHES = 192
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     bands.append(_signed(band_keys(least)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -134,7 +134,7 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(estimated(sa, sb) >= threshold - SLACK))
 
     sized = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9))
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, schema)
+    return sized.select("a", "b", "sa", "sb").mapInArrow(tidy(run), schema)
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             for lo, hi in row_groups(offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(data, offsets[lo : hi + 1])], pa.binary())], names=["id", "set"])
 
-    return staged(texts.select("id", "text").mapInArrow(run, schema), "sets")
+    return staged(texts.select("id", "text").mapInArrow(tidy(run), schema), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     full = _full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
     left, right = full.toDF("a", "set_a"), full.toDF("b", "set_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _attached(rows: DataFrame, facts: DataFrame, key: str, few: int) -> DataFrame:
@@ -186,7 +186,8 @@ def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ids in sets (id, set) with different labels that share a shingle in their prefixes.
 
     If 100 * intersection >= percent * union and b isn't the larger set, the intersection has at least percent / 100 of a,
-    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter.
+    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter. What only one set
+    has isn't in the intersection either, so pairs are left out for which what else they have is too little.
     """
     kind = sets.schema["id"].dataType
 
@@ -200,7 +201,7 @@ def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))], names=["id", "n", "shingle"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
-    each = staged(sets.mapInArrow(exploded, schema), "shingles")
+    each = staged(sets.mapInArrow(tidy(exploded), schema), "shingles")
     counts = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-counts")
     few = _few(each.count())
     common = _attached(each, counts, "shingle", few)
@@ -210,15 +211,17 @@ def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     least_b = F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9)
     alone = F.col("n") - F.size("common")
     placed = listed.join(label, "id").withColumn("as_a", (F.col("n") - least_a + 1 - alone).cast("int")).withColumn("as_b", (F.col("n") - least_b + 1 - alone).cast("int"))
-    prefix = placed.where("as_a > 0").select("id", "n", "label", "as_b", F.posexplode(F.expr("slice(common, 1, least(as_a, size(common)))")).alias("at", "x"))
-    prefix = staged(prefix.select("id", "n", "label", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
+    prefix = placed.where("as_a > 0").select("id", "n", "label", F.size("common").alias("shared"), "as_b", F.posexplode(F.expr("slice(common, 1, least(as_a, size(common)))")).alias("at", "x"))
+    prefix = staged(prefix.select("id", "n", "label", "shared", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
     # shingles in the prefixes of one component only are left out
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "size")
     prefix = staged(_attached(prefix, mixed, "shingle", few).drop("size"), "prefixes")
-    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("shared").alias("sa"))
+    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("shared").alias("sb"))
     smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    pairs = a.join(b, "shingle").where((F.col("la") != F.col("lb")) & smaller & (100 * F.col("nb") >= percent * F.col("na")))
+    most = F.least("sa", "sb")
+    enough = (100 * F.col("nb") >= percent * F.col("na")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+    pairs = a.join(b, "shingle").where((F.col("la") != F.col("lb")) & smaller & enough)
     return pairs.select("a", "b").distinct()
 
 
