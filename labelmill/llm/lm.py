@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, row_groups, text_bytes, words
-from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, tidy, unstaged
+from labelmill.llm.shared import bounded_batches, crc_fold, received, scratch, sent, staged, tidy, unstaged
 
 #: Words of at least this share of the training tokens are held by every executor: at most 2,097,152 of them.
 HEAD_SHARE = 2.0**-21
@@ -400,7 +400,7 @@ def _arc_cells(arcs: DataFrame, total: int, bits: int) -> DataFrame:
     return arcs.select("k", "c", "w").mapInArrow(tidy(run), "shard long, cell binary")
 
 
-def fitted(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, np.ndarray, int, int, int]:
+def fitted(train: DataFrame, text_col: str = "text", keep: Callable[[DataFrame], DataFrame] = lambda table: table) -> tuple[DataFrame, np.ndarray, int, int, int]:
     """(arcs (shard, cell), a bit map of their keys, bits of the shards, training tokens, different words). train may be empty.
 
     Cells have every word, pair and triple of the model: its key, a word's count (negative: that of another n-gram), and
@@ -435,7 +435,7 @@ def fitted(train: DataFrame, text_col: str = "text") -> tuple[DataFrame, np.ndar
     shorter = staged(_arc_cells(single.unionAll(double), total, bits), "arcs")
     keys = bit_map(words_.select("k").unionAll(states.select("k")).unionAll(triples.select(key)))
     unstaged(triples, words_, states)
-    return shorter.unionAll(longer), keys, bits, total, distinct
+    return keep(shorter).unionAll(keep(longer)), keys, bits, total, distinct
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -450,7 +450,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     held_out = F.coalesce(crc_fold("id", folds) == held, F.lit(True))
-    arcs, others, bits, total, distinct = fitted(source.where(~held_out))
+    with scratch() as keep:
+        arcs, others, bits, total, distinct = fitted(source.where(~held_out), keep=keep)
     # bounded by HEAD_SHARE and HEAD_ARC_SHARE
     keys, c, w = unpacked_arcs([r[0] for r in arcs.where("shard = -1").select("cell").toLocalIterator()])
     held_by_all = sent(spark, (Lookup(keys), c > 0, np.where(c > 0, np.log10(np.maximum(c, 0) + 1.0), 0.0), w, others))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelmill.llm.arrays import SPACED, mix, row_groups, text_bytes, windows, words
-from labelmill.llm.shared import bounded_batches, fits_broadcast, staged, tidy
+from labelmill.llm.shared import bounded_batches, fits_broadcast, scratch, staged, tidy
 
 SHINGLE = 5
 HASHES = 192
@@ -235,6 +235,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         moved = staged(spread.join(jump, "label").select("id", "old", F.least("label", "further").alias("label")), "labels")
         labels = moved.select("id", "label")
+        labels.staged_at = moved.staged_at
         if moved.where("old <> label").isEmpty():
             return labels
 
@@ -250,58 +251,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other, but no row is named by it.
     Other columns of docs aren't read.
     """
-    bounded_batches(docs.sparkSession)
-    threshold = percent / 100
-    sigs = staged(signatures(docs, id_col, text_col), "signatures")
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    full = sigs.where("n > 0")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig"), F.min_by("bands", "id").alias("bands"))
-    classes = staged(classes, "classes")
-
-    # members of buckets of two or more, with the company each representative keeps
-    member = classes.select("rep", F.explode("bands").alias("bucket"))
-    sizes = staged(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    few = _few(BANDS * classes.count())
-    buckets = staged(_attached(member, sizes, "bucket", few), "buckets")
-    company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
-    seated = buckets.join(company, "rep")
-    leaders = staged(seated.groupBy("bucket").agg(F.max(F.struct("company", "rep"))["rep"].alias("lead"), F.max("size").alias("size")), "leaders")
-    lead_pairs = _attached(buckets.drop("size"), leaders, "bucket", few).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    facts = classes.select("rep", "n", "sig")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        return staged(_likely(pairs.join(facts.toDF("a", "na", "sa"), "a").join(facts.toDF("b", "nb", "sb"), "b"), threshold), "pairs")
-
-    first = likely(lead_pairs)
-    links = staged(_confirmed(first, source, percent), "confirmed")
-    label = components(links)
-
-    # what the leaders left open: members of buckets of three or more with several components
-    placed = staged(buckets.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-    left = staged(_attached(placed, staged(mixed, "mixed"), "bucket", few).select(F.col("rep").alias("id"), "label").distinct(), "open")
-    if not left.isEmpty():
-        pairs = _prefix_pairs(_full_sets(left.select("id"), source), left, percent)
-        both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        second = likely(pairs.join(both, ["a", "b"], "left_anti"))
-        if not second.isEmpty():
-            label = components(links.union(staged(_confirmed(second, source, percent), "confirmed")))
-
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("label", "rep").alias("component"))
-    same = (sigs["f1"] == named["f1"]) & (sigs["f2"] == named["f2"]) & (sigs["n"] == named["m"])
-    out = sigs.join(named, same, "left").select(sigs["id"].alias(id_col), sigs["n"].alias("n_shingles"), F.coalesce("component", sigs["id"]).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    with scratch() as keep:
+        bounded_batches(docs.sparkSession)
+        threshold = percent / 100
+        sigs = keep(staged(signatures(docs, id_col, text_col), "signatures"))
+        source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+        full = sigs.where("n > 0")
+        classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig"), F.min_by("bands", "id").alias("bands"))
+        classes = keep(staged(classes, "classes"))
+
+        # members of buckets of two or more, with the company each representative keeps
+        member = classes.select("rep", F.explode("bands").alias("bucket"))
+        sizes = staged(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        few = _few(BANDS * classes.count())
+        buckets = staged(_attached(member, sizes, "bucket", few), "buckets")
+        company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
+        seated = buckets.join(company, "rep")
+        leaders = staged(seated.groupBy("bucket").agg(F.max(F.struct("company", "rep"))["rep"].alias("lead"), F.max("size").alias("size")), "leaders")
+        lead_pairs = _attached(buckets.drop("size"), leaders, "bucket", few).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+        facts = classes.select("rep", "n", "sig")
+
+        def likely(pairs: DataFrame) -> DataFrame:
+            return staged(_likely(pairs.join(facts.toDF("a", "na", "sa"), "a").join(facts.toDF("b", "nb", "sb"), "b"), threshold), "pairs")
+
+        first = likely(lead_pairs)
+        links = staged(_confirmed(first, source, percent), "confirmed")
+        label = components(links)
+
+        # what the leaders left open: members of buckets of three or more with several components
+        placed = staged(buckets.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
+        left = staged(_attached(placed, staged(mixed, "mixed"), "bucket", few).select(F.col("rep").alias("id"), "label").distinct(), "open")
+        if not left.isEmpty():
+            pairs = _prefix_pairs(_full_sets(left.select("id"), source), left, percent)
+            both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            second = likely(pairs.join(both, ["a", "b"], "left_anti"))
+            if not second.isEmpty():
+                label = components(links.union(staged(_confirmed(second, source, percent), "confirmed")))
+
+        keep(label)
+        named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("label", "rep").alias("component"))
+        same = (sigs["f1"] == named["f1"]) & (sigs["f2"] == named["f2"]) & (sigs["n"] == named["m"])
+        out = sigs.join(named, same, "left").select(sigs["id"].alias(id_col), sigs["n"].alias("n_shingles"), F.coalesce("component", sigs["id"]).alias("component_id"))
+        return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, all columns as they were; of rows that repeat id and text one stays."""
-    found = staged(near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("found_id"), "kept"), "kept")
-    gone = staged(found.where(~F.col("kept")).select("found_id").distinct(), "gone")
-    out = docs.join(F.broadcast(gone) if fits_broadcast(gone, "found_id") else gone, docs[id_col].eqNullSafe(gone["found_id"]), "left_anti")
-    twice = staged(found.where("kept").groupBy("found_id").count().where("count > 1").select("found_id"), "twice")
-    if twice.isEmpty():
-        return out
-    # only rows whose id comes up again are compared
-    twice = F.broadcast(twice) if fits_broadcast(twice, "found_id") else twice
-    same = out[id_col].eqNullSafe(twice["found_id"])
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
+    with scratch() as keep:
+        found = staged(near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("found_id"), "kept"), "kept")
+        gone = keep(staged(found.where(~F.col("kept")).select("found_id").distinct(), "gone"))
+        out = docs.join(F.broadcast(gone) if fits_broadcast(gone, "found_id") else gone, docs[id_col].eqNullSafe(gone["found_id"]), "left_anti")
+        twice = keep(staged(found.where("kept").groupBy("found_id").count().where("count > 1").select("found_id"), "twice"))
+        if twice.isEmpty():
+            return out
+        # only rows whose id comes up again are compared
+        twice = F.broadcast(twice) if fits_broadcast(twice, "found_id") else twice
+        same = out[id_col].eqNullSafe(twice["found_id"])
+        return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

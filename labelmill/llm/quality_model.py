@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import text_bytes
 from labelmill.llm.labelled import Logistic, labelled_sample
-from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, tidy
+from labelmill.llm.shared import bounded_batches, crc_fold, received, scratch, sent, tidy
 
 #: Of each class at most this many labelled documents are learnt from.
 SAMPLE_PER_CLASS = 3000
@@ -111,7 +111,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     says whether crc32(id as text) mod folds is held; a null id counts as held out. Equal texts have equal scores.
     Without labels all scores are 0.5. Other columns aren't read.
     """
-    held_by_all = sent(docs.sparkSession, quality_model(docs, labels, label, folds, held, per_class, id_col, text_col, training_bytes))
+    with scratch():
+        held_by_all = sent(docs.sparkSession, quality_model(docs, labels, label, folds, held, per_class, id_col, text_col, training_bytes))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("size_difference", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,9 +13,9 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.storage import shared_folder, staged, unstaged
+from labelmill.storage import scratch, shared_folder, staged, unstaged
 
-__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "received", "sent", "shared_folder", "staged", "tidy", "unstaged"]
+__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "received", "scratch", "sent", "shared_folder", "staged", "tidy", "unstaged"]
 
 
 def crc_fold(doc_id, n: int):

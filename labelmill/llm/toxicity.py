@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from labelmill.llm.arrays import ALNUM, LOWER, row_groups, segment_hashes, text_bytes, words
 from labelmill.llm.labelled import SAMPLE_PER_CLASS, Logistic, labelled_sample
 from labelmill.llm.lm import Lookup, ngram_key
-from labelmill.llm.shared import bounded_batches, crc_fold, received, sent, staged, tidy, unstaged
+from labelmill.llm.shared import bounded_batches, crc_fold, received, scratch, sent, staged, tidy, unstaged
 
 DISCOUNT = 0.75
 PREFIXES = (5, 4)
@@ -249,7 +249,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
     gives to that. held_out says whether crc32(id as text) mod folds is held; a null id counts as held out. Equal texts
     have equal scores. Without labels all scores are 0.5. Other columns aren't read.
     """
-    held_by_all = sent(docs.sparkSession, toxicity_model(docs, labels, label, folds, held, per_class, id_col, text_col))
+    with scratch():
+        held_by_all = sent(docs.sparkSession, toxicity_model(docs, labels, label, folds, held, per_class, id_col, text_col))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("log_ratio", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
