@@ -186,8 +186,8 @@ def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ids in sets (id, set) with different labels that share a shingle in their prefixes.
 
     If 100 * intersection >= percent * union and b isn't the larger set, the intersection has at least percent / 100 of a,
-    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter. What only one set
-    has isn't in the intersection either, so pairs are left out for which what else they have is too little.
+    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter. What stands before
+    the first shingle that two sets share isn't in their intersection, so a pair is left out where too little stands from there on.
     """
     kind = sets.schema["id"].dataType
 
@@ -212,14 +212,16 @@ def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("common")
     placed = listed.join(label, "id").withColumn("as_a", (F.col("n") - least_a + 1 - alone).cast("int")).withColumn("as_b", (F.col("n") - least_b + 1 - alone).cast("int"))
     prefix = placed.where("as_a > 0").select("id", "n", "label", F.size("common").alias("shared"), "as_b", F.posexplode(F.expr("slice(common, 1, least(as_a, size(common)))")).alias("at", "x"))
-    prefix = staged(prefix.select("id", "n", "label", "shared", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
+    # how many shingles stand from this one on
+    prefix = prefix.withColumn("rest", F.col("shared") - F.col("at"))
+    prefix = staged(prefix.select("id", "n", "label", "rest", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
     # shingles in the prefixes of one component only are left out
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "size")
     prefix = staged(_attached(prefix, mixed, "shingle", few).drop("size"), "prefixes")
-    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("shared").alias("sa"))
-    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("shared").alias("sb"))
+    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rest").alias("ra"))
+    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"))
     smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    most = F.least("sa", "sb")
+    most = F.least("ra", "rb")
     enough = (100 * F.col("nb") >= percent * F.col("na")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
     pairs = a.join(b, "shingle").where((F.col("la") != F.col("lb")) & smaller & enough)
     return pairs.select("a", "b").distinct()
