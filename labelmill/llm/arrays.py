@@ -102,6 +102,13 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     is bounded by BLOCK, however long segments are.
     """
     found = []
+    if len(data) <= BLOCK:
+        values = data.astype(np.uint64) + np.uint64(1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        for (p, _), (up, down) in zip(_MODULI, _power_tables(), strict=True):
+            np.cumsum(values * up[: len(data)], out=total[1:])
+            found.append((total[ends] - total[starts]) % np.uint64(p) * down[starts] % np.uint64(p))
+        return mix((found[0] << np.uint64(32)) | found[1])
     for (p, base), (up, down) in zip(_MODULI, _power_tables(), strict=True):
         m = np.uint64(p)
         left, right, back = (np.zeros(len(starts), np.uint64) for _ in range(3))
