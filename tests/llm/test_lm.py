@@ -179,3 +179,12 @@ def test_what_is_held_changes_nothing(spark, monkeypatch, shares):
     monkeypatch.setattr(lm, "HEAD_SHARE", shares[0])
     monkeypatch.setattr(lm, "HEAD_ARC_SHARE", shares[1])
     check(spark, list(enumerate(["a b c a b c a b d", "A b c.", None, "", "c a b e f", "zz a b c x", "a a a a", "b a b c q a b"] * 4)))
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(4)
+    ids = [i for i in range(400) if not held(i)][:6] + [i for i in range(400) if held(i)][:2]
+    docs = [(i, " ".join(f"w{k}" for k in rng.integers(0, 800, 60_000))) for i in ids]
+    docs[-1] = (docs[-1][0], docs[0][1])
+    docs[1] = (docs[1][0], "y" * 3_000_000 + " " + docs[1][1])
+    check(spark, docs)

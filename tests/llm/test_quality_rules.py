@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -46,3 +47,33 @@ def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, good, "c"), (1, good, "c"), (2, None, "c"), (3, "spam ham " * 60, None)], "doc_id long, text string, kept string")
     assert [tuple(r) for r in keep_by_rules(df).collect()] == [(1, good, "c"), (1, good, "c")]
     assert repetition_stats(df).count() == 4
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(9000)]
+    passage = [rng.choice(words) for _ in range(400)]
+    long = [rng.choice(words) for _ in range(250_000)]
+    for at in (10_000, 90_000, 170_000):
+        long[at : at + 400] = passage
+    text = " ".join(long[:200_000]) + "\n" + "\n".join(" ".join(long[k : k + 20]) for k in range(200_000, 250_000, 20)) + "\n" + "x" * 1_500_000 + "\n" + "x" * 1_500_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition_stats(df).collect()}[1]
+    ws = re.findall(W, text)
+    assert got.n_words == len(ws) and got.word_chars == sum(map(len, ws)) and got.n_dup_lines == 1 and got.dup_line_chars == 1_500_000
+    for n in (5, 10):
+        seen, hit = set(), set()
+        for i in range(len(ws) - n + 1):
+            g = tuple(ws[i : i + n])
+            if g in seen:
+                hit.update(range(i, i + n))
+            seen.add(g)
+        assert got[f"dup_{n}"] == sum(len(ws[i]) for i in hit)
+
+
+def test_lines_that_sums_of_powers_confuse(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a + "\n" + b), (2, a + "\n" + a)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dup_lines for r in repetition_stats(df).collect()} == {1: 0, 2: 1}
