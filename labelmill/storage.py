@@ -83,6 +83,17 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Tables up to this size, a quarter of what Spark reads in one task, are spread.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, at a MB or more for each: read from one file with one row group it would be the work of one core. A larger one, or one of more files, stays as it is."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(table.sparkSession.sparkContext.defaultParallelism, size >> 20)
+    return table.repartition(n) if n > 1 and size <= SPREAD_BYTES and len(table.inputFiles()) < n else table
+
+
 def whole_path(spark: SparkSession, path: str) -> str:
     """path with its file system, as Spark names the files that it reads."""
     fs, p = _file_system(spark, path)

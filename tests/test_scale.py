@@ -258,3 +258,14 @@ def test_scratch_tables_go(spark):
         d = keep(staged(spark.range(3), "d"))
         1 / 0
     assert not there(d)
+
+
+def test_small_tables_are_spread(spark, tmp_path, monkeypatch):
+    from labelmill import storage
+
+    spark.range(0, 400_000, 1, 1).select(F.xxhash64("id").alias("x"), "id").coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = storage.spread(table)
+    assert got.rdd.getNumPartitions() > 1 and got.agg(F.count_distinct("id")).first()[0] == 400_000
+    monkeypatch.setattr(storage, "SPREAD_BYTES", 1 << 20)
+    assert storage.spread(table) is table
