@@ -14,6 +14,7 @@ from labelmill.llm.pieces import encoded
 from labelmill.llm.pii import sanitised
 from labelmill.llm.quality_rules import keep_by_rules
 from labelmill.llm.shared import shared_folder
+from labelmill.storage import spread
 
 PIECES_MODEL = os.environ.get("LABELMILL_PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -60,7 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     folder = f"{shared_folder(spark)}/labelmill/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

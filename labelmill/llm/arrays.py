@@ -29,17 +29,20 @@ _MODULI = ((2**31 - 1, 1_403_580_281), (2**31 - 19, 1_176_543_943))
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _power_tables() -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each modulus the powers of its base, and of the base's inverse, from 0 to BLOCK."""
-    if not _powers or len(_powers[0][0]) <= BLOCK:
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each modulus the powers of its base, and of the base's inverse, from 0 to n at least."""
+    if not _powers or len(_powers[0][0]) <= n:
         _powers.clear()
         for p, base in _MODULI:
             both = []
             for b in (base, pow(base, -1, p)):
-                steps = np.ones(1, np.uint64)
-                while len(steps) <= BLOCK:
-                    steps = np.concatenate([steps, steps * np.uint64(pow(b, len(steps), p)) % np.uint64(p)])
-                both.append(steps[: BLOCK + 1])
+                steps = np.ones(1 << n.bit_length(), np.uint64)
+                have = 1
+                while have < len(steps):
+                    np.multiply(steps[:have], np.uint64(pow(b, have, p)), out=steps[have : 2 * have])
+                    steps[have : 2 * have] %= np.uint64(p)
+                    have *= 2
+                both.append(steps)
             _powers.append((both[0], both[1]))
     return _powers
 
@@ -105,11 +108,11 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     if len(data) <= BLOCK:
         values = data.astype(np.uint64) + np.uint64(1)
         total = np.zeros(len(data) + 1, np.uint64)
-        for (p, _), (up, down) in zip(_MODULI, _power_tables(), strict=True):
+        for (p, _), (up, down) in zip(_MODULI, _power_tables(min(len(data), BLOCK)), strict=True):
             np.cumsum(values * up[: len(data)], out=total[1:])
             found.append((total[ends] - total[starts]) % np.uint64(p) * down[starts] % np.uint64(p))
         return mix((found[0] << np.uint64(32)) | found[1])
-    for (p, base), (up, down) in zip(_MODULI, _power_tables(), strict=True):
+    for (p, base), (up, down) in zip(_MODULI, _power_tables(min(len(data), BLOCK)), strict=True):
         m = np.uint64(p)
         left, right, back = (np.zeros(len(starts), np.uint64) for _ in range(3))
         carry, scale, unscale = 0, 1, 1

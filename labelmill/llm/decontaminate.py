@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from labelmill.llm.arrays import ALNUM, covered, mix, per_row, row_groups, text_bytes, windows, words
 from labelmill.llm.expressions import joined_runs
 from labelmill.llm.lm import bit_map, in_map, runs
-from labelmill.llm.shared import bounded_batches, received, sent, staged, tidy
+from labelmill.llm.shared import bounded_batches, given_back, received, sent, staged, tidy
 
 #: Words in a window; an item of fewer words is one window.
 SPAN = 10
@@ -151,7 +151,9 @@ def _sent_prints(benchmark: DataFrame, block_words: int):
     size = benchmark.agg(F.coalesce(F.sum(F.floor(F.octet_length("text") / 2) + 1), F.lit(0))).first()[0]
     if size > block_words:
         return None
-    return sent(benchmark.sparkSession, Fingerprints([(r[0], r[1]) for r in benchmark.collect()]))
+    prints = sent(benchmark.sparkSession, Fingerprints([(r[0], r[1]) for r in benchmark.collect()]))
+    given_back()
+    return prints
 
 
 def _benchmark_tables(benchmark: DataFrame) -> tuple[DataFrame, np.ndarray]:

@@ -173,6 +173,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def _attached(rows: DataFrame, facts: DataFrame, key: str, few: int) -> DataFrame:
     """rows joined with facts (key, size, ...) of their key. Those with a size over few, of which there are MANY at most, are sent to all executors."""
+    if facts.where(F.col("size") > few).isEmpty():
+        return rows.join(facts, key)
     large = F.broadcast(facts.where(F.col("size") > few))
     small = rows.join(F.broadcast(facts.where(F.col("size") > few).select(key)), key, "left_anti").join(facts.where(F.col("size") <= few), key)
     return rows.join(large, key).unionByName(small)
@@ -217,7 +219,7 @@ def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     prefix = staged(prefix.select("id", "n", "label", "rest", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
     # shingles in the prefixes of one component only are left out
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "size")
-    prefix = staged(_attached(prefix, mixed, "shingle", few).drop("size"), "prefixes")
+    prefix = staged(_attached(prefix, staged(mixed, "mixed"), "shingle", few).drop("size"), "prefixes")
     a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rest").alias("ra"))
     b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"))
     smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))

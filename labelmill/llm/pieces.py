@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from labelmill.llm.arrays import BLOCK, FIRST, mix, row_groups, text_bytes
 from labelmill.llm.lm import Lookup
-from labelmill.llm.shared import bounded_batches, received, sent, tidy
+from labelmill.llm.shared import bounded_batches, given_back, received, sent, tidy
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -172,7 +172,9 @@ class Vocabulary:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    made = Vocabulary(path)
+    given_back()
+    return made
 
 
 class Encoder:

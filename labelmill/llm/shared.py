@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labelmill.storage import scratch, shared_folder, staged, unstaged
 
-__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "received", "scratch", "sent", "shared_folder", "staged", "tidy", "unstaged"]
+__all__ = ["bounded_batches", "crc_fold", "fits_broadcast", "given_back", "received", "scratch", "sent", "shared_folder", "staged", "tidy", "unstaged"]
 
 
 def crc_fold(doc_id, n: int):
@@ -36,7 +36,8 @@ def received(broadcast: Broadcast):
     return value
 
 
-def _given_back() -> None:
+def given_back() -> None:
+    """Returns free memory to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -50,13 +51,13 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(rows)
         finally:
-            _given_back()
+            given_back()
 
     def tables(*groups: pa.Table) -> pa.Table:
         try:
             return run(*groups)
         finally:
-            _given_back()
+            given_back()
 
     return batches if inspect.isgeneratorfunction(run) else (lambda a, b: tables(a, b)) if len(inspect.signature(run).parameters) == 2 else (lambda a: tables(a))
 
