@@ -420,13 +420,14 @@ def fitted(train: DataFrame, text_col: str = "text", keep: Callable[[DataFrame],
 
     words_ = staged(_with_backoff(vocabulary, pairs), "words")
     unstaged(vocabulary)
-    left, right = words_.select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("backoff").alias("ba")), words_.select(F.col("k").alias("b"), F.log10((F.col("c") + 1) / F.lit(scale)).alias("lb"))
+    # what begins an arc has a failure arc, and what ends one occurs as often as an arc
+    left, right = words_.where("backoff is not null").select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("backoff").alias("ba")), words_.where(F.col("c") >= LEAST_COUNT).select(F.col("k").alias("b"), F.log10((F.col("c") + 1) / F.lit(scale)).alias("lb"))
     p = (F.col("c") - F.lit(DISCOUNT)) / F.col("ca") + F.col("ba") * F.pow(F.lit(10.0), F.col("lb"))
     pushed = (F.log10(p) - F.col("lb") - F.log10("ba")).alias("w")
     arcs = pairs.join(left, "a").select("a", "b", "c", "ca", "ba").join(right, "b").select(key, "c", F.log10(p).alias("l"), pushed)
     states = staged(_with_backoff(arcs, triples), "states")
     unstaged(pairs)
-    left, right = states.select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("backoff").alias("ba")), states.select(F.col("k").alias("b"), F.col("l").alias("lb"))
+    left, right = states.where("backoff is not null").select(F.col("k").alias("a"), F.col("c").alias("ca"), F.col("backoff").alias("ba")), states.select(F.col("k").alias("b"), F.col("l").alias("lb"))
     bits = shard_bits(3 * total, ASKED)
     longer = staged(_arc_cells(triples.join(left, "a").select("a", "b", "c", "ca", "ba").join(right, "b").select(key, (-F.col("c")).alias("c"), pushed), total, bits), "arcs")
     failing = F.coalesce(F.log10("backoff"), F.lit(0.0))
