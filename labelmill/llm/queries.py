@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.llm.centroids import centroid_clusters
 from labelmill.llm.chat import formatted, loss_text_of, turns_of
 from labelmill.llm.decontaminate import contamination
+from labelmill.llm.infill import infill_digest
 from labelmill.llm.licenses import license_spans
 from labelmill.llm.lm import language_scores
 from labelmill.llm.near_dup import near_duplicates
@@ -17,8 +19,9 @@ from labelmill.llm.pieces import encoded
 from labelmill.llm.pii import KINDS, personal_spans
 from labelmill.llm.quality_model import quality_scores
 from labelmill.llm.quality_rules import repetition_stats
-from labelmill.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, NEAR_DUPLICATE_SQL, REPETITION_SQL
+from labelmill.llm.sql import CHAT_SQL, DECONTAMINATION_SQL, INFILL_SQL, LLOYD_SQL, NEAR_DUPLICATE_SQL, REPETITION_SQL, VECTOR_DUPLICATE_SQL
 from labelmill.llm.toxicity import toxicity_scores
+from labelmill.llm.vector_dup import near_vectors
 from labelmill.storage import spread
 
 #: The model file of op10, on the driver's machine.
@@ -125,6 +128,21 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.length("back").cast("long").alias("n_chars"), (F.sha2("back", 256) == F.col("text_sha256")).alias("exact"))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of each vector of 64 finite components. Null vectors and those of other lengths are left out; repeated rows are given, and counted, each; other columns aren't read. An empty table gives an empty result."""
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_streaming_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of each document. Null and empty texts have no units and stay plain; repeated rows are given each; other columns aren't read. An empty table gives an empty result."""
+    return infill_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_cover_tree_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each vector. Null and zero vectors, and those with components that are null or not finite, are linked with nothing; repeated rows are linked with each other; other columns aren't read. An empty table gives an empty result."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
     "op2_bbit_minhash": op2_bbit_minhash,
@@ -136,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_relational_chat": op8_relational_chat,
     "op9_backoff_automaton": op9_backoff_automaton,
     "op10_streaming_viterbi": op10_streaming_viterbi,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_streaming_infill": op12_streaming_infill,
+    "op13_cover_tree_dup": op13_cover_tree_dup,
 }
 
 ORACLES: dict[str, str] = {
@@ -143,4 +164,7 @@ ORACLES: dict[str, str] = {
     "op3_winnowing": DECONTAMINATION_SQL,
     "op5_repetition_coverage": REPETITION_SQL,
     "op8_relational_chat": CHAT_SQL,
+    "op11_dual_tree_lloyd": LLOYD_SQL,
+    "op12_streaming_infill": INFILL_SQL,
+    "op13_cover_tree_dup": VECTOR_DUPLICATE_SQL,
 }

@@ -76,3 +76,59 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          {"".join(f" OR 100 * dup_{n} > {c} * word_chars" for n, c in _NGRAMS.items())}) AS kept
 FROM s
 """
+
+_DRAWN = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS UBIGINT) AS h{k + 1}" for k in range(4))
+
+INFILL_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, t, u, len(u) AS n, {_DRAWN} FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:low], '') AS a, array_to_string(u[low + 1:high], '') AS b, array_to_string(u[high + 1:], '') AS c FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(a) END AS BIGINT) AS prefix_chars,
+    CAST(CASE WHEN form <> 'plain' THEN length(b) END AS BIGINT) AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Rounds of assigning and moving, one after the other, over one row for each component."""
+
+    def assigned(t: int) -> str:
+        return f"""d{t} AS (SELECT rid, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM v JOIN c{t} USING (i) GROUP BY rid, k),
+a{t} AS (SELECT rid, min_by(k, distance * 1000 + k) AS k, min(distance) AS distance FROM d{t} GROUP BY rid)"""
+
+    def moved(t: int) -> str:
+        return f"""m{t} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM a{t} JOIN v USING (rid) GROUP BY k, i),
+c{t + 1} AS (SELECT k, i, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c FROM c{t} LEFT JOIN m{t} USING (k, i))"""
+
+    steps = ",\n".join(f"{assigned(t)},\n{moved(t)}" for t in range(rounds))
+    return f"""
+WITH kept AS (SELECT *, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS rid FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: isfinite(e))) = {dim}),
+v AS (SELECT rid, unnest(range({dim})) AS i, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+c0 AS (SELECT rid AS k, i, x AS c FROM v WHERE rid < {k}),
+{steps},
+{assigned(rounds)},
+s AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN s USING (k) JOIN kept USING (rid)
+"""
+
+
+LLOYD_SQL = _lloyd_sql()
+
+VECTOR_DUPLICATE_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: isfinite(x))) = len(v) AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+links AS (SELECT a.rid AS x, b.rid AS y FROM f a JOIN f b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.9 END),
+n AS (SELECT x AS rid, count(*) AS n FROM links GROUP BY x),
+reach AS (SELECT rid AS x, rid AS y FROM e UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+c AS (SELECT x AS rid, min(vec_id) AS component_id FROM reach JOIN e ON e.rid = reach.y GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e LEFT JOIN n USING (rid) JOIN c USING (rid)
+"""
