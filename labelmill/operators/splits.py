@@ -8,6 +8,7 @@ of them: totals within ranges of the order are added to the totals of the ranges
 from __future__ import annotations
 
 import random
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labelmill.operators.batches import numbered
+from labelmill.sources.digests import ordered_digest
 from labelmill.storage import staged
 
 #: The hash order is cut in so many ranges by its first characters.
@@ -72,39 +74,92 @@ def split_records(records: DataFrame, val_ratio: float = 0.1, test_ratio: float
     return records.withColumn("unit", unit).join(placed.select("unit", "split"), "unit").drop("unit")
 
 
-def split_records_exactly(records: DataFrame, val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42, stratify_by: str | None = None) -> DataFrame:
-    """records with split in the order of Python's seeded shuffle of units in order of appearance.
+#: Rows of a table that is written from numbers on the driver, at once.
+SLICE = 1 << 20
+
+
+def _written(spark: SparkSession, name: str, columns: dict[str, np.ndarray]) -> DataFrame:
+    """Columns of numbers as a table in the shared folder, written slice by slice."""
+    n = len(next(iter(columns.values())))
+    parts = [pa.table({k: v[lo : lo + SLICE] for k, v in columns.items()}) for lo in range(0, max(n, 1), SLICE)]
+    first = staged(spark.createDataFrame(parts[0]), name)
+    for part in parts[1:]:
+        spark.createDataFrame(part).write.mode("append").parquet(first.staged_at)
+    out = spark.read.schema(first.schema).parquet(first.staged_at)
+    out.staged_at = first.staged_at
+    return out
+
+
+def _shuffled(n: int, rng: random.Random) -> np.ndarray:
+    """What a seeded shuffle puts at each of n places."""
+    places = array("q", range(n))
+    rng.shuffle(places)
+    return np.frombuffer(places, np.int64) if n else np.zeros(0, np.int64)
+
+
+SPLITS = ("train", "val", "test")
+
+
+def split_records_exactly(records: DataFrame, val_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42, stratify_by: str | None = None, ord_col: str = "ord", group_col: str = "paraphrase_group_id", ordered: bool = False) -> DataFrame:
+    """records with split in the order of Python's seeded shuffle of units in order of appearance; with ordered also position, the record's place in its split.
 
     Such a shuffle is one sequence of random numbers, so it is made on the driver: over places, with one number, the size,
-    for each unit. Names and rows stay where they are. Membership equals that of a shuffle in one process.
+    for each unit (and, for positions of stratified splits, which are shuffled once more with the next seed, one for each
+    record). Names and rows stay where they are: what the driver finds is written as a table of the new places and joined.
+    Membership and order equal those of a shuffle in one process. ord_col must be unique; a record without a group is a unit
+    by itself, even if others have its id.
     """
     spark = records.sparkSession
-    found = units(records, carry=[stratify_by] if stratify_by else [])
     bucket = F.coalesce(F.col(stratify_by).cast("string"), F.lit("_unknown")) if stratify_by else F.lit("")
-    placed = staged(numbered(found.withColumn("bucket", bucket), ["bucket", "first_ord", "unit"]).select("rn", "bucket", "unit", "size"), "units")
+    keys = records.select(F.col(ord_col).alias("_ord"), F.concat(F.lit("g:"), F.col(group_col)).alias("group"), bucket.alias("bucket"))
+    placed = numbered(keys, ["_ord"], name="place").withColumn("unit", F.coalesce("group", F.concat(F.lit("r:"), F.col("place").cast("string"))))
+    found = placed.groupBy("unit").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("first"), F.min_by("bucket", "place").alias("bucket"))
+    ranked = staged(numbered(found, ["bucket", "first"]).select("rn", "bucket", "unit", "size"), "units")
     # a row for each bucket
-    edges = placed.groupBy("bucket").agg(F.min("rn").alias("lo"), F.count(F.lit(1)).alias("n")).orderBy("lo").collect()
-    table = placed.select("rn", "size").toArrow()
+    edges = ranked.groupBy("bucket").agg(F.min("rn").alias("lo"), F.count(F.lit(1)).alias("n")).orderBy("lo").collect()
+    table = ranked.select("rn", "size").toArrow()
     sizes = np.zeros(table.num_rows, np.int64)
     sizes[table.column("rn").to_numpy()] = table.column("size").to_numpy()
-    code = np.zeros(len(sizes), np.int8)
+    code, start = np.zeros(len(sizes), np.int8), np.zeros(len(sizes), np.int64)
+    filled = [0, 0, 0]
     for e in edges:
-        order = np.arange(e["lo"], e["lo"] + e["n"])
-        places = list(range(e["n"]))
-        random.Random(seed).shuffle(places)
-        order = order[places]
-        total = int(sizes[order].sum())
+        order = e["lo"] + _shuffled(e["n"], random.Random(seed))
+        size = sizes[order]
+        total = int(size.sum())
         # units fill test until its room is reached, then val; what goes over stays
-        before = np.cumsum(sizes[order]) - sizes[order]
+        before = np.cumsum(size) - size
         in_test = before < max(1, int(total * test_ratio))
-        tested = int(sizes[order][in_test].sum())
+        tested = int(size[in_test].sum())
         in_val = ~in_test & (before - tested < max(1, int(total * val_ratio)))
-        code[order[in_test]], code[order[in_val]] = 1, 2
-    codes = spark.createDataFrame(pa.table({"rn": np.arange(len(code)), "code": code}))
-    names = F.when(F.col("code") == 1, "test").when(F.col("code") == 2, "val").otherwise("train")
-    chosen = placed.join(codes, "rn").select("unit", names.alias("split"))
-    unit = F.coalesce(F.concat(F.lit("g:"), F.col("paraphrase_group_id")), F.concat(F.lit("r:"), F.col("id")))
-    return records.withColumn("unit", unit).join(chosen, "unit").drop("unit")
+        for k, inside in enumerate((~in_test & ~in_val, in_val, in_test)):
+            code[order[inside]] = k
+            start[order[inside]] = filled[k] + np.cumsum(size[inside]) - size[inside]
+            filled[k] += int(size[inside].sum())
+    of_unit = ranked.select("rn", "unit").join(_written(spark, "places", {"rn": np.arange(len(sizes)), "code": code, "start": start, "base": np.cumsum(sizes) - sizes}), "rn")
+    split = F.get(F.array(*map(F.lit, SPLITS)), F.col("code").cast("int")).alias("split")
+    inside = placed.select("_ord", "place", "unit").join(of_unit, "unit")
+    if not ordered:
+        return records.join(inside.select(F.col("_ord").alias(ord_col), split), ord_col)
+    # the records of a unit stand together, in their own order
+    at = numbered(inside.select("_ord", "place", "rn", "code", "start", "base"), ["rn", "place"], name="at")
+    chosen = at.select("_ord", "code", (F.col("start") + F.col("at") - F.col("base")).alias("position"))
+    if stratify_by:
+        rng = random.Random(seed + 1)
+        moves = []
+        for k in range(len(SPLITS)):
+            now = _shuffled(filled[k], rng)
+            back = np.empty(len(now), np.int64)
+            back[now] = np.arange(len(now))
+            moves.append(back)
+        table = _written(spark, "moves", {"code": np.repeat(np.arange(3, dtype=np.int8), filled), "position": np.concatenate([np.arange(n) for n in filled]), "moved": np.concatenate(moves)})
+        chosen = chosen.join(table, ["code", "position"]).drop("position").withColumnRenamed("moved", "position")
+    return records.join(chosen.select(F.col("_ord").alias(ord_col), split, "position"), ord_col)
+
+
+def split_digests(ordered: DataFrame, id_col: str = "id") -> DataFrame:
+    """(split, n, checksum): SHA-256 of the ids of each split in the order of position, with line feeds between."""
+    rows = [(name, *ordered_digest(ordered.where(F.col("split") == name), ["position"], id_col)) for name in SPLITS]
+    return ordered.sparkSession.createDataFrame(rows, "split string, n long, checksum string")
 
 
 def kept_split(records: DataFrame, path: str, id_col: str = "id", **how) -> DataFrame:

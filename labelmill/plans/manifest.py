@@ -7,8 +7,10 @@ import hashlib
 import json
 import os
 import shutil
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, fields
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,18 @@ from labelmill.operators.batches import numbered
 from labelmill.storage import write_text
 
 PHASES = ("prompts", "paraphrases", "phase1", "phase2", "done")
-#: Keys that an exported configuration has blanked, and marks that mustn't be in it. Fixed values.
-BLANKED = ("output_dir", "wandb_run_id", "precomputed_dir", "judge_trace_path", "resume_from", "init_checkpoint", "record_ids_path")
-PATH_MARKS = ("/home/", "/mnt/", "/scratch/", "/root/")
+#: What of a checkpoint is exported, keys of its configuration that become null, the one that gets another
+#: value, marks that mustn't be left in it, the keys that only a checkpoint of reward training has, and short names of models.
+EXPORTED = ("config", "lora_state", "projection_state", "opt_step")
+BLANKED = ("checkpoint_dir", "precomputed_dir", "resume_from", "sft_init_from", "encoder_checkpoint", "hard_ids_json", "wandb_entity")
+RUN_NAME = {"wandb_run_name": "released"}
+PATH_MARKS = ("/mnt/", "/home/", "/scratch/", "/groups/")
+REWARD_KEYS = ("val_reward", "best_reward", "reward_tracker_state")
+MODEL_TAGS = {
+    "Qwen/Qwen3.5-9B": "qwen3.5-9b",
+    "google/gemma-2-9b-it": "gemma-2-9b-it",
+    "mistralai/Ministral-3-8B-Instruct-2512-BF16": "ministral-3-8b",
+}
 
 
 def write_whole(path: str, text: str) -> None:
@@ -134,24 +145,45 @@ def run_id(settings: dict, template: str = "") -> str:
     return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:12]
 
 
-def sanitised_config(config: dict) -> dict:
-    """A configuration for others: local paths blanked, dataset paths emptied; raises if a local path is left."""
-    clean = {k: ("" if k in BLANKED else v) for k, v in config.items()}
+def sanitised_config(config: dict, project: str) -> dict:
+    """A configuration for others: keys that name paths and accounts null, the tracked project and run renamed where they are given, dataset paths emptied; raises if a local path is left anywhere in it."""
+    renamed = {"wandb_project": project} | RUN_NAME
+    clean = {k: None if k in BLANKED else renamed.get(k, v) for k, v in config.items()}
     if "dataset_paths" in clean:
         clean["dataset_paths"] = []
-    left = [k for k, v in clean.items() if any(mark in json.dumps(v) for mark in PATH_MARKS)]
+    left = [k for k, v in clean.items() if any(mark in json.dumps({k: v}, default=str) for mark in PATH_MARKS)]
     if left:
         raise ValueError(f"local paths are left in: {', '.join(left)}")
     return clean
 
 
-def training_method(config: dict) -> str:
-    """rl or sft, by the keys that only one has."""
-    if "rl_method" in config or "num_candidates" in config:
-        return "rl"
-    if "sft_epochs" in config or "lr_projection" in config:
-        return "sft"
-    raise ValueError("neither kind of configuration")
+def training_method(checkpoint: Iterable[str]) -> str:
+    """grpo if a checkpoint's keys have reward bookkeeping, else sft."""
+    return "grpo" if any(k in REWARD_KEYS for k in checkpoint) else "sft"
+
+
+def model_tag(model_id: str) -> str:
+    """The short name of a model; of one that isn't known the last part of its id, in lower case."""
+    return MODEL_TAGS.get(model_id, model_id.split("/")[-1].lower())
+
+
+def bfloat16_bits(x: np.ndarray) -> np.ndarray:
+    """float32 values rounded to bfloat16 (to even on a tie), as 16-bit patterns; what isn't a number stays so."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
+    rounded = (bits.astype(np.uint64) + 0x7FFF + ((bits >> 16) & 1)) >> 16
+    return np.where(np.isnan(x), np.uint16(0x7FC0), rounded.astype(np.uint16))
+
+
+def exported(checkpoint: dict, project: str, method: str | None = None, name: str | None = None, cast: Callable = bfloat16_bits) -> tuple[str, dict]:
+    """(file name, what is exported) of a training checkpoint: cleaned configuration, adapter as it is, projection cast, step; everything else is dropped."""
+    gone = [k for k in ("config", "lora_state") if k not in checkpoint]
+    if gone:
+        raise ValueError(f"not a training checkpoint: it lacks {', '.join(gone)}")
+    config = sanitised_config(checkpoint["config"], project)
+    out = {"config": config, "lora_state": checkpoint["lora_state"], "opt_step": checkpoint.get("opt_step")}
+    if checkpoint.get("projection_state") is not None:
+        out["projection_state"] = {k: cast(v) for k, v in checkpoint["projection_state"].items()}
+    return name or f"{project}-{model_tag(config.get('model_id', 'unknown'))}-{method or training_method(checkpoint)}.pt", out
 
 
 def path_free(config: Column) -> Column:
@@ -251,12 +283,12 @@ def chosen_profile(profiles: dict[str, dict], env: dict[str, str], name: str = "
     return copy.deepcopy(profiles[wanted])
 
 
-def checkpoint_report(spark: SparkSession, config: dict, path: str) -> dict:
+def checkpoint_report(spark: SparkSession, checkpoint: dict, path: str, project: str) -> dict:
     """What goes with an exported checkpoint: its cleaned configuration, its kind, and the size and SHA-256 of its file."""
-    from labelmill.sources.readers import file_digests
+    from labelmill.sources.digests import file_digests
 
     row = file_digests(spark, [path]).first()
-    return {"config": sanitised_config(config), "method": training_method(config), "bytes": row["bytes"], "sha256": row["sha256"]}
+    return {"config": sanitised_config(checkpoint["config"], project), "method": training_method(checkpoint), "bytes": row["bytes"], "sha256": row["sha256"]}
 
 
 def dotenv(start: str, env: dict[str, str], name: str = ".env") -> dict[str, str]:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelmill.functions.text import blank
 from labelmill.plans.manifest import Manifest, require_complete
+from labelmill.sources.digests import file_digests
 from labelmill.storage import whole_path
 
 RECORD_FIELDS = "id string, source_dataset string, prompt string, response string, instruction_set string, retrieval_prompt string, metadata string, prompt_a string, response_a string, response_b string, prompt_b string"
@@ -20,7 +23,7 @@ TRACE_FIELDS = (
     "mean_hallucination_score double, length_penalty double, reward double, advantage double, judge_model string, judge_error string, reward_config map<string,string>"
 )
 SHARD_FIELDS = "record_id string, source_dataset string, prompt string, response string, instruction_set string, response_a_total_tokens int, selected_token_count int, selected_range array<int>"
-ORD = "struct<file: string, block: bigint, line: bigint>"
+ORD = "struct<rank: bigint, block: bigint, line: bigint>"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -29,30 +32,72 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def jsonl(spark: SparkSession, paths: list[str], fields: str, policy: str = "raise", missing: str = "raise") -> DataFrame:
+#: Stores without a host are written with one slash or three.
+_NO_HOST = r"^([A-Za-z][A-Za-z0-9+.-]*):///"
+
+
+def _uri(status) -> str:
+    return re.sub(_NO_HOST, r"\1:/", status.getPath().toUri().toString())
+
+
+def source_order(spark: SparkSession, paths: list[str], missing: str = "raise") -> list[str]:
+    """The files that paths name, as URIs, in the order in which they are given, and as often; those of a pattern or folder in the order of their names. Files and folders whose name begins with a dot or an underscore are left out, as Spark does."""
+    found: list[str] = []
+    for given in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(given)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [fs.getFileStatus(p)] if fs.exists(p) else fs.globStatus(p) or []
+        if not len(there) and missing == "raise":
+            raise FileNotFoundError(f"no such path: {given}")
+        for status in there:
+            top = _uri(status)
+            if not status.isDirectory():
+                found.append(top)
+                continue
+            inside, files = [], fs.listFiles(status.getPath(), True)
+            while files.hasNext():
+                inside.append(_uri(files.next()))
+            found += sorted(f for f in inside if not re.search(r"/[._]", f.removeprefix(top)))
+    return found
+
+
+def _ranked(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Lines of files with their place and the rank of the line's file among files. A file that is named twice gives its lines twice, so what gives the ranks is a table that is joined by the file's name."""
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)).toString()) for f in dict.fromkeys(files)]
+    lines = spark.read.text(literal).select("value", F.input_file_name().alias("source_file"), F.regexp_replace("_metadata.file_path", _NO_HOST, "$1:/").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    if len(files) == 1:
+        return lines.withColumn("_rank", F.lit(0).cast("long"))
+    order = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _rank long")
+    return lines.join(order, "_file")
+
+
+def jsonl(spark: SparkSession, paths: list[str], fields: str, policy: str = "raise", missing: str = "raise", empty: str = "skip") -> DataFrame:
     """Rows of JSON lines with source_file, ord and value, the line itself.
 
-    ord orders files by name and lines by place: it is a struct of the file, the block of the file that the line was read
-    from and a number that grows within the block, however Spark deals blocks to tasks. Blank lines are skipped. policy: raise on a bad line, or skip it; a
-    line that is JSON but no object is bad. missing: raise on a missing path, or skip it.
+    ord orders files as they are given and lines by place: it is a struct of the file's rank, the block of the file that the line was read
+    from and a number that grows within the block, however Spark deals blocks to tasks. A path that is given twice is read
+    twice; files of a pattern or folder are in the order of their names. policy: raise on a bad line, or skip it; a
+    line that is JSON but no object is bad. missing: raise on a missing path, or skip it. empty: skip lines of white space, or raise on them.
     """
-    if policy not in ("raise", "skip") or missing not in ("raise", "skip"):
-        raise ValueError("policy and missing are raise or skip")
-    paths = sorted(set(paths))
-    there = [p for p in paths if exists(spark, p)] if missing == "skip" else paths
+    if not {policy, missing, empty} <= {"raise", "skip"}:
+        raise ValueError("policy, missing and empty are raise or skip")
+    files = source_order(spark, paths, missing)
     schema = T._parse_datatype_string(fields)
-    if not there:
+    if not files:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source_file", T.StringType()), T.StructField("ord", T._parse_datatype_string(ORD)), T.StructField("value", T.StringType())]))
-    place = F.struct(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(there).select("value", F.input_file_name().alias("source_file"), place.alias("_at"))
-    lines = lines.where(F.trim("value") != "")
+    lines = _ranked(spark, files).withColumn("_at", F.struct(F.col("_rank").alias("rank"), F.col("_block").alias("block"), F.col("_line").alias("line")))
+    hollow = blank(F.col("value"))
+    if empty == "skip":
+        lines = lines.where(~hollow)
     wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.withColumn("_row", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     bad = F.col("_row").isNull() | F.col("_row._bad").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
+    refused = [(bad & ~hollow, "bad JSON line in ")] if policy == "raise" else []
+    refused += [(hollow, "empty line in ")] if empty == "raise" else []
+    for which, what in refused:
+        parsed = parsed.withColumn("value", F.when(which, F.raise_error(F.concat(F.lit(what), "source_file", F.lit(": "), F.substring("value", 1, 200)))).otherwise(F.col("value")))
     if policy == "skip":
-        parsed = parsed.where(~bad)
-    else:
-        parsed = parsed.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("bad JSON line in "), "source_file", F.lit(": "), F.substring("value", 1, 200)))).otherwise(F.col("value")))
+        parsed = parsed.where(~bad | hollow)
     return parsed.select("_row.*", "source_file", F.col("_at").alias("ord"), "value").drop("_bad")
 
 
@@ -109,12 +154,6 @@ def shard_meta(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.where("row.record_id <> ''").groupBy("row.record_id").agg(F.max_by("row.source_dataset", F.struct("file", "pos")).alias("source_dataset"))
 
 
-def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, bytes, sha256) of whole files."""
-    rows = spark.read.format("binaryFile").load(paths)
-    return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def verified(spark: SparkSession, wanted: dict[str, str]) -> None:
     """Raises if a file's SHA-256 isn't the wanted one."""
     have = {r["path"]: r["sha256"] for r in file_digests(spark, list(wanted)).collect()}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,30 +28,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: How many writes of any thread want CLEANUP just now, and what it was before the first of them, for each session.
+_writing: dict[int, list] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def _cleaning_up(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on as long as one thread is inside, and then as it was."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        held = _writing.setdefault(key, [0, spark.conf.get(CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _writing[key]
+                spark.conf.unset(CLEANUP) if held[1] is None else spark.conf.set(CLEANUP, held[1])
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/labelmill"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends at files that outlive any executor, and what isn't determined by the plan alone is settled once."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/labelmill/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _cleaning_up(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
-    if _open:
-        _open[-1].append(out)
+    if (inside := _open.get()) is not None:
+        inside.append(out)
     return out
 
 
-#: Tables staged inside each scratch() that is open.
-_open: list[list[DataFrame]] = []
+#: Tables staged inside the innermost scratch() of this thread or context.
+_open: ContextVar[list[DataFrame] | None] = ContextVar("staged inside", default=None)
 
 
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Removes, at its end, the tables that were staged inside, but for those given to the function it yields: what a result reads must be kept. A scratch() around it removes these in turn, unless it keeps them too."""
+    """Removes, at its end, the tables that were staged inside by the same thread, but for those given to the function it yields: what a result reads must be kept. A scratch() around it removes these in turn, unless it keeps them too."""
     made: list[DataFrame] = []
     kept: list[DataFrame] = []
 
@@ -57,18 +82,30 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(table)
         return table
 
-    _open.append(made)
+    around = _open.get()
+    _open.set(made)
     try:
         yield keep
     except BaseException:
         kept.clear()
         raise
     finally:
-        _open.pop()
+        _open.set(around)
         paths = {t.staged_at for t in kept}
         unstaged(*(t for t in made if t.staged_at not in paths))
-        if _open:
-            _open[-1].extend(kept)
+        if around is not None:
+            around.extend(kept)
+
+
+def released(result: DataFrame) -> int:
+    """Removes the staged tables that a result reads, once it has been written or isn't wanted any more, and returns how many there were. The result can't be evaluated again."""
+    spark = result.sparkSession
+    top = whole_path(spark, _folder(spark)).rstrip("/") + "/"
+    tables = {f"{top}{rest.split('/')[0]}" for f in result.inputFiles() for rest in [whole_path(spark, f).removeprefix(top)] if whole_path(spark, f).startswith(top)}
+    for path in tables:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
+    return len(tables)
 
 
 def unstaged(*tables: DataFrame) -> None:

@@ -60,7 +60,7 @@ def test_lines_keep_the_order_of_files_and_places(narrow, tmp_path):
     a = lines(tmp_path / "a.jsonl", [f"a{i}" for i in range(5)])
     b = lines(tmp_path / "b.jsonl", [f"b{i}" for i in range(4000)])
     c = lines(tmp_path / "c.jsonl", [f"c{i}" for i in range(9)])
-    want = [*(f"a{i}" for i in range(5)), *(f"b{i}" for i in range(4000)), *(f"c{i}" for i in range(9))]
+    want = [*(f"b{i}" for i in range(4000)), *(f"a{i}" for i in range(5)), *(f"c{i}" for i in range(9))]
     rows = readers.dataset(narrow, [b, a, c])
     assert rows.rdd.getNumPartitions() > 2
     assert [r.id for r in rows.orderBy("ord").select("id").collect()] == want
@@ -236,8 +236,8 @@ def test_resuming_profiles_reports_and_paths(spark, tmp_path):
     with pytest.raises(KeyError):
         manifest.chosen_profile(profiles, {"PROFILE": "none"})
     (tmp_path / "model.bin").write_bytes(b"abc")
-    report = manifest.checkpoint_report(spark, {"rl_method": "x", "output_dir": "/home/x"}, str(tmp_path / "model.bin"))
-    assert report["bytes"] == 3 and report["method"] == "rl" and report["config"]["output_dir"] == "" and report["sha256"].startswith("ba7816bf")
+    report = manifest.checkpoint_report(spark, {"best_reward": 1.0, "config": {"checkpoint_dir": "/home/x"}}, str(tmp_path / "model.bin"), "p")
+    assert report["bytes"] == 3 and report["method"] == "grpo" and report["config"]["checkpoint_dir"] is None and report["sha256"].startswith("ba7816bf")
     (tmp_path / "out").mkdir()
     for name in ("a.jsonl", "b.removed.jsonl", "out/c.jsonl"):
         (tmp_path / name).write_text("{}")
@@ -269,3 +269,43 @@ def test_small_tables_are_spread(spark, tmp_path, monkeypatch):
     assert got.rdd.getNumPartitions() > 1 and got.agg(F.count_distinct("id")).first()[0] == 400_000
     monkeypatch.setattr(storage, "SPREAD_BYTES", 1 << 20)
     assert storage.spread(table) is table
+
+
+def test_threads_keep_their_own_scratch_tables(spark):
+    from threading import Barrier, Thread
+
+    from labelmill.storage import CLEANUP, released, scratch
+
+    before, found, both = spark.conf.get(CLEANUP, None), {}, Barrier(2, timeout=60)
+
+    def work(name):
+        for k in range(4):
+            with scratch() as keep:
+                both.wait()
+                gone = staged(spark.range(k + 1).withColumn("name", F.lit(name)), name)
+                both.wait()
+                kept = keep(staged(gone.withColumn("again", F.col("id")), name))
+            found.setdefault(name, []).append((kept.where(F.col("name") == name).count(), os.path.exists(gone.staged_at.removeprefix("file:")), kept))
+
+    threads = [Thread(target=work, args=(n,)) for n in ("one", "two")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {n: [x[:2] for x in v] for n, v in found.items()} == {n: [(k + 1, False) for k in range(4)] for n in ("one", "two")}
+    assert spark.conf.get(CLEANUP, None) == before
+    last, first = found["one"][-1][2], found["one"][0][2]
+    both = last.join(first, "id")
+    assert released(both) == 2 and not os.path.exists(last.staged_at.removeprefix("file:")) and released(spark.range(3)) == 0
+
+
+def test_two_queries_at_once(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from labelmill.plans.queries import QUERIES
+
+    names = ["q_shards", "exact_seed_split", "q_shard_order", "q_shards"]
+    want = {n: sorted(map(str, QUERIES[n](spark, sf_dir).collect())) for n in dict.fromkeys(names)}
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: sorted(map(str, QUERIES[n](spark, sf_dir).collect())), names))
+    assert got == [want[n] for n in names]

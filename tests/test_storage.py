@@ -104,13 +104,6 @@ def test_phases_ids_and_settings(tmp_path):
         with pytest.raises(ValueError):
             p.set(*bad)
     assert manifest.run_id({"a": 1, "b": 2}) == manifest.run_id({"b": 2, "a": 1}) != manifest.run_id({"a": 1, "b": 2}, "t")
-    clean = manifest.sanitised_config({"output_dir": "/home/x", "lr": 1, "dataset_paths": ["/mnt/a"]})
-    assert clean == {"output_dir": "", "lr": 1, "dataset_paths": []}
-    with pytest.raises(ValueError):
-        manifest.sanitised_config({"note": "/mnt/secret"})
-    assert manifest.training_method({"rl_method": 1}) == "rl" and manifest.training_method({"sft_epochs": 1}) == "sft"
-    with pytest.raises(ValueError):
-        manifest.training_method({})
     assert manifest.overlaid({"n": 1, "f": 0.5, "on": False, "s": None}, {"N": "3", "F": "", "ON": "true", "S": "x"}, {"n": "N", "f": "F", "on": "ON", "s": "S"}, {"f": 2.0}) == {"n": 3, "f": 2.0, "on": True, "s": "x"}
     (tmp_path / ".env").write_text("# c\nexport A='1'\nB=2\n")
     assert manifest.dotenv(str(tmp_path), {"B": "9"}) == {"A": "1", "B": "9"}
