@@ -12,27 +12,28 @@ from labelmill.plans import manifest
 from labelmill.sources import readers
 
 
-def _records(spark: SparkSession, args: argparse.Namespace, policy: str):
-    return readers.dataset(spark, readers.input_files(args.inputs, args.output), policy=policy, missing="raise")
+def _records(spark: SparkSession, args: argparse.Namespace, empty: str = "skip"):
+    return readers.dataset(spark, readers.input_files(args.inputs, args.output), policy="raise", missing="raise", empty=empty)
 
 
 def run_filter(spark: SparkSession, args: argparse.Namespace) -> None:
     rule = rules.failed_rule(F.col("instruction_set"), F.col("prompt"), F.col("retrieval_prompt"))
-    rows = _records(spark, args, "raise").withColumn("rule", rule)
+    rows = _records(spark, args).withColumn("rule", rule)
     manifest.write_routes(rows.withColumn("route", F.when(F.col("rule") == "", "kept").otherwise("removed")), args.output)
     results = rows.select("source_file", "rule", F.lit(None).cast("string").alias("verdict"), F.lit(False).alias("error"))
     mining.rule_statistics(results).orderBy("source_file").show(100, False)
 
 
 def run_mask(spark: SparkSession, args: argparse.Namespace) -> None:
-    rows = _records(spark, args, "raise").withColumn("reason", rules.mask_reason(F.col("instruction_set"), args.max_bullets))
+    rows = _records(spark, args, empty="raise").withColumn("reason", rules.mask_reason(F.col("instruction_set"), args.max_bullets))
     n = manifest.write_mask(rows.where("reason = 'kept'"), args.output)
     mining.reason_counts(rows).orderBy(F.desc("n")).show(100, False)
     print(f"{n} ids written")
 
 
 def run_split(spark: SparkSession, args: argparse.Namespace) -> None:
-    rows = _records(spark, args, "skip")
+    # splits depend on the order in which files are given
+    rows = readers.dataset(spark, args.inputs, missing="raise")
     mask = readers.mask(spark, args.mask) if args.mask else None
     splits.split_then_mask(rows, mask, val_ratio=args.val, test_ratio=args.test, seed=args.seed, stratify_by=args.stratify_by).write.mode("overwrite").partitionBy("split").parquet(args.output)
 

@@ -236,9 +236,17 @@ def write_mask(ids: DataFrame, path: str, id_col: str = "id", position: str = "o
 
 def removal_log(routed: DataFrame, shown: int = 500) -> DataFrame:
     """What the log says of each removed record; prompts and labels are cut to so many characters."""
-    names = [c for c in ("id", "tier", "rule", "verdict", "reason") if c in routed.columns]
-    texts = [F.substring(F.coalesce(c, F.lit("")), 1, shown).alias(c) for c in ("prompt", "instruction_set") if c in routed.columns]
-    return routed.where("route = 'removed'").select(*names, *texts)
+    return _log(routed.where("route = 'removed'"), ("id", "tier", "rule", "verdict", "reason"), shown)
+
+
+def errors_log(routed: DataFrame, shown: int = 500) -> DataFrame:
+    """What the log says of each record on which a judge failed, to judge it again; prompts and labels are cut to so many characters."""
+    return _log(routed.where("route = 'errors'"), ("id", "judge_error", "reason"), shown)
+
+
+def _log(rows: DataFrame, names: tuple[str, ...], shown: int) -> DataFrame:
+    texts = [F.substring(F.coalesce(c, F.lit("")), 1, shown).alias(c) for c in ("prompt", "instruction_set") if c in rows.columns]
+    return rows.select(*(c for c in names if c in rows.columns), *texts)
 
 
 def write_shards(acts: DataFrame, path: str, records_per_shard: int, order: list[str] | None = None) -> None:

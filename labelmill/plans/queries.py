@@ -540,3 +540,68 @@ def token_logprobs(spark, d):
     logits = a.activations(spark, d).groupBy("record").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "embedding"))), lambda x: x["embedding"]).alias("logits"))
     labels = F.transform("logits", lambda _, i: F.when(i < 3, F.lit(-100)).otherwise(i).cast("int"))
     return sequence_logprobs(logits.withColumn("labels", labels), "record").select("record", F.round("logp_sum", 4).alias("logp_sum"), F.round("logp_mean", 5).alias("logp_mean"), "n_tokens")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from labelmill.storage import shared_folder
+
+    return f"{shared_folder(spark)}/labelmill/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT 'ultrachat' AS source, 'chat' AS task_type, conv_id, turn, trim(text, {_WS}) AS prompt FROM conversations WHERE role = 'user' AND trim(text, {_WS}) <> '' ORDER BY conv_id, turn LIMIT 200")
+def q_prompt_source(spark, d):
+    """The first user turns, by the data source: role and cap are dealt with in the scan."""
+    from labelmill.sources import prompts
+
+    files = prompts.parquet_files(spark, f"{d}/conversations.parquet")
+    rows = prompts.read_prompts(spark, "ultrachat", files, "text", ["conv_id", "turn", "role"], where=[("role", "=", "user")], most=200)
+    return rows.select("source", "task_type", "conv_id", "turn", "prompt")
+
+
+@query(f"""WITH {_SPLIT}, n AS (SELECT *, (row_number() OVER (PARTITION BY split ORDER BY ord, id) - 1) // 64 AS shard FROM split_records)
+SELECT split, shard, count(*) AS records, min(ord) AS first_ord, max(ord) AS last_ord, CAST(sum(length(response)) AS BIGINT) AS chars FROM n GROUP BY split, shard""")
+def q_shard_commit(spark, d):
+    """Records of each split in shards of 64, written with their manifest in one commit and read back by it."""
+    from labelmill.plans import shards
+
+    path = _folder(spark, "shards")
+    rows = splits.split_records(a.records(spark, d)).select("split", "ord", "id", "response")
+    shards.write_sharded(rows, path, ["ord", "id"], 64)
+    return shards.read_sharded(spark, path).groupBy("split", "shard").agg(F.count(F.lit(1)).alias("records"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.sum(F.length("response")).alias("chars"))
+
+
+@query(f"""WITH {_R}, f AS (SELECT *, ord % 2 AS file FROM records WHERE prompt <> '' AND response <> ''),
+g AS (SELECT id, ord, 0 AS rank FROM f WHERE file = 1 UNION ALL SELECT id, ord, 1 FROM f WHERE file = 0 UNION ALL SELECT id, ord, 2 FROM f WHERE file = 1)
+SELECT row_number() OVER (ORDER BY rank, ord) - 1 AS place, id FROM g""")
+def q_scan_order(spark, d):
+    """Lines of three paths, one of them given twice, numbered in the order in which they are given."""
+    from labelmill.sources import readers
+
+    path = _folder(spark, "lines")
+    rows = a.records(spark, d).select("id", "source_dataset", "prompt", "response", "instruction_set", "ord")
+    for k in (0, 1):
+        rows.where(F.col("ord") % 2 == k).repartitionByRange(3, "ord").sortWithinPartitions("ord").drop("ord").write.json(f"{path}/{k}")
+    read = readers.dataset(spark, [f"{path}/1", f"{path}/0", f"{path}/1"])
+    return batches.numbered(read.select("ord", "id"), ["ord"], name="place").select("place", "id")
+
+
+@query(rf"""WITH {_REASONED}, m AS (SELECT '[' || string_agg('"' || id || '"', ', ' ORDER BY ord) || ']' AS text FROM reasoned WHERE reason = 'kept')
+SELECT CAST(length(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM m""")
+def q_mask_digest(spark, d):
+    """Size and digest of the mask file of all records that the rules keep."""
+    from labelmill.plans import manifest
+    from labelmill.sources import digests
+
+    path = _folder(spark, "mask") + "/valid_record_ids.json"
+    manifest.write_mask(_reasoned(spark, d).where("reason = 'kept'"), path)
+    return digests.file_digests(spark, [path]).select("bytes", "sha256")
+
+
+@query(f"""WITH {_SPLIT} SELECT split, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY md5('42:' || unit), ord)) AS checksum FROM split_records GROUP BY split""")
+def q_split_digests(spark, d):
+    """A digest of the ids of each split, in the order of the hash that dealt them: no array of all ids is made."""
+    rows = splits.split_records(a.records(spark, d)).withColumn("unit", F.coalesce(F.concat(F.lit("g:"), F.col("paraphrase_group_id")), F.concat(F.lit("r:"), F.col("id"))))
+    placed = batches.numbered(rows.select("split", "id", splits.hash_order(42, F.col("unit")).alias("key"), "ord"), ["key", "ord"], name="position")
+    return splits.split_digests(placed)

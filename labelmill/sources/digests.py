@@ -9,21 +9,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from labelmill.sources.stores import OPENED, opened
 from labelmill.storage import _file_system, whole_path
 
 #: Files up to this size are read whole.
 WHOLE_BYTES = 64 << 20
 #: Bytes of a larger one that are held at once.
 PIECE_BYTES = 4 << 20
-#: Stores that workers open by themselves.
-OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
 @dataclass
@@ -39,10 +37,7 @@ class _DigestReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        parts = urlsplit(partition.path)
-        store, path = (fs.LocalFileSystem(), unquote(parts.path)) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(partition.path.replace("s3a://", "s3://", 1))
+        store, path = opened(partition.path)
         digest, size = hashlib.sha256(), 0
         piece = bytearray(PIECE_BYTES)
         view = memoryview(piece)
@@ -85,13 +80,13 @@ def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     if small:
         rows = spark.read.format("binaryFile").load([_literal(p.toString()) for p in small])
         parts.append(rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
-    opened = [p for p in large if (p.toUri().getScheme() or "file") in OPENED]
-    if opened:
+    known = [p for p in large if (p.toUri().getScheme() or "file") in OPENED]
+    if known:
         spark.dataSource.register(FileDigests)
-        rows = spark.read.format("file_digests").option("paths", "\n".join(p.toUri().toString() for p in opened)).load()
-        names = spark.createDataFrame([(p.toUri().toString(), p.toString()) for p in opened], "path string, named string")
+        rows = spark.read.format("file_digests").option("paths", "\n".join(p.toUri().toString() for p in known)).load()
+        names = spark.createDataFrame([(p.toUri().toString(), p.toString()) for p in known], "path string, named string")
         parts.append(rows.join(names, "path").select(F.col("named").alias("path"), "bytes", "sha256"))
-    others = [p for p in large if p not in opened]
+    others = [p for p in large if p not in known]
     if others:
         parts.append(spark.createDataFrame([_digest_by_client(spark, p.toString()) for p in others], "path string, bytes long, sha256 string"))
     if not parts:

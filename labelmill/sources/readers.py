@@ -101,11 +101,11 @@ def jsonl(spark: SparkSession, paths: list[str], fields: str, policy: str = "rai
     return parsed.select("_row.*", "source_file", F.col("_at").alias("ord"), "value").drop("_bad")
 
 
-def dataset(spark: SparkSession, paths: list[str], policy: str = "skip", missing: str = "skip", require_label: bool = False) -> DataFrame:
+def dataset(spark: SparkSession, paths: list[str], policy: str = "skip", missing: str = "skip", require_label: bool = False, empty: str = "skip") -> DataFrame:
     """Records with current names; those without prompt or response, and if asked without label, are left out."""
     from labelmill.operators.rules import legacy_view
 
-    rows = legacy_view(jsonl(spark, paths, RECORD_FIELDS, policy, missing)).where("prompt <> '' and response <> ''")
+    rows = legacy_view(jsonl(spark, paths, RECORD_FIELDS, policy, missing, empty)).where("prompt <> '' and response <> ''")
     return rows.where("instruction_set <> ''") if require_label else rows
 
 

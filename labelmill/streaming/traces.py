@@ -1,42 +1,102 @@
-"""Traces as a stream: smoothed rewards kept up to date as files arrive."""
+"""Traces as a stream: smoothed rewards kept up to date as files arrive, folded in the order of steps."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labelmill.operators.tracker import ALPHA
 from labelmill.storage import shared_folder
 
-STATE = "ema double, cnt long, last long"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The step of the row that closes a stream: all before it are then complete. Its record id is empty.
+CLOSING = 9 * 10**12
 
 
-def smoothed_stream(traces: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(record_id, ema, cnt) after each batch in which a record came up. traces: a stream of (step, record_id, reward).
+class InOrderOfSteps(StatefulProcessor):
+    """Folds the rewards of one record, step by step in their order, whatever the order in which rows come.
 
-    Within a batch updates are folded in the order of steps. A file source may deliver files out of that order; rows of a
-    step before the last one seen are folded when they come, so only the batch result (replayed) is the reference.
+    Rows of a step are added up in a map of open steps, which has a timer at the step's time. When the watermark has passed
+    it, no row of the step can come any more: the step is folded into the average and leaves the map. So the state of a record
+    is three numbers and its open steps, not its rows.
     """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
-        ema, cnt, last = state.get if state.exists else (None, 0, -1)
-        for step, group in rows.groupby("step", sort=True):
-            if (group["reward"] == 0).all():
-                continue
-            value = float(group["reward"].mean())
-            ema = value if ema is None else alpha * value + (1 - alpha) * ema
-            cnt, last = cnt + 1, max(last, int(step))
-        if ema is not None:
-            state.update((ema, cnt, last))
-            yield pd.DataFrame({"record_id": [key[0]], "ema": [ema], "cnt": [cnt]})
-
-    return traces.groupBy("record_id").applyInPandasWithState(fold, "record_id string, ema double, cnt long", STATE, "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, alpha: float, skip_all_zero: bool):
+        self.alpha, self.skip_all_zero = alpha, skip_all_zero
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "ema double, cnt long, last long")
+        self.open = handle.getMapState("open", "step long", "total double, n long, nonzero boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for step, rewards in frame.groupby("step")["reward"]:
+                at, total, n, nonzero = (int(step),), 0.0, 0, False
+                if self.open.containsKey(at):
+                    total, n, nonzero = self.open.getValue(at)
+                else:
+                    self.handle.registerTimer(at[0] + 1)
+                self.open.updateValue(at, (total + float(rewards.sum()), n + len(rewards), bool(nonzero or (rewards != 0).any())))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() - 1
+        # timers that expire together may come in any order: each folds all steps up to its own
+        steps = sorted(k[0] for k in self.open.keys() if k[0] <= due)
+        ema, cnt, last = self.folded.get() if self.folded.exists() else (None, 0, None)
+        for step in steps:
+            total, n, nonzero = self.open.getValue((step,))
+            self.open.removeKey((step,))
+            last = step
+            if nonzero or not self.skip_all_zero:
+                ema = total / n if ema is None else self.alpha * (total / n) + (1 - self.alpha) * ema
+                cnt += 1
+        if steps and cnt:
+            self.folded.update((ema, cnt, last))
+            yield pd.DataFrame({"record_id": [key[0]], "ema": [ema], "cnt": [cnt], "step": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """State with maps and timers needs this store. It is set where the session has none of its own choice, for as long as a query is started."""
+    with _lock:
+        before = spark.conf.get(STORE)
+        spark.conf.set(STORE, ROCKS)
+        try:
+            yield
+        finally:
+            spark.conf.set(STORE, before)
+
+
+_lock = threading.Lock()
+
+
+def smoothed_stream(traces: DataFrame, alpha: float = ALPHA, late_steps: int = 0, skip_all_zero: bool = True) -> DataFrame:
+    """(record_id, ema, cnt, step) of each record whenever one of its steps is complete: its smoothed reward up to that step. traces: a stream of (step, record_id, reward).
+
+    A step is complete once a batch has brought a step more than late_steps after it, in any record; until then its rows
+    may come in any order, and over several batches. Rows that come later still are too late: Spark counts them as dropped
+    by the watermark, so late_steps must be what the writers can differ by. Steps, from 0, are taken as milliseconds of event time (plus 1: a watermark begins at 0, and what isn't after it counts as late);
+    rows without step, record or reward are left out. A row at CLOSING, with an empty record id, completes all steps.
+    """
+    rows = traces.where("step IS NOT NULL AND record_id IS NOT NULL AND reward IS NOT NULL")
+    timed = rows.withColumn("at", F.timestamp_millis(F.col("step") + 1)).withWatermark("at", f"{late_steps} milliseconds")
+    schema = T._parse_datatype_string("record_id string, ema double, cnt long, step long")
+    out = timed.groupBy("record_id").transformWithStateInPandas(InOrderOfSteps(alpha, skip_all_zero), schema, "Update", "EventTime")
+    return out.where("record_id <> ''")
 
 
 def trace_stream(spark: SparkSession, folder: str, fields: str = "step bigint, record_id string, reward double", files_per_batch: int = 100) -> DataFrame:
@@ -45,20 +105,37 @@ def trace_stream(spark: SparkSession, folder: str, fields: str = "step bigint, r
 
 
 def run_until_read(stream: DataFrame, folder: str) -> None:
-    """Reads all that is there, appends each batch's rows to folder with its number, and stops."""
+    """Reads all that is there, keeps each batch's rows in folder with its number, and stops. A batch that is done again after a failure replaces its rows."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    with _rocks(stream.sparkSession):
+        query = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        # the settings of the session are taken over when the first batch is planned
+        query.awaitTermination()
 
-    stream.writeStream.foreachBatch(lambda df, n: keep(df.drop("batch"), n)).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, ema, cnt): the last state of each record in the rows that run_until_read kept."""
+    rows = spark.read.option("basePath", f"{folder}/rows").schema("record_id string, ema double, cnt long, step long, batch long").parquet(f"{folder}/rows")
+    return rows.groupBy("record_id").agg(F.max_by("ema", "cnt").alias("ema"), F.max("cnt").alias("cnt"))
 
-def replay_stream(traces: DataFrame) -> DataFrame:
-    """(record_id, ema, cnt) of traces that go through the stream: written to the shared folder, read as a stream, and the last state of each record taken."""
+
+def replay_stream(traces: DataFrame, alpha: float = ALPHA, files: int | None = None) -> DataFrame:
+    """(record_id, ema, cnt) of traces that go through the stream: written to the shared folder, read as a stream file by file or all at once, and the last state of each record taken.
+
+    The files have no order of steps, so as many steps as there are may be late; a closing row completes them. With files, they are read in so many batches.
+    """
     spark = traces.sparkSession
     folder = f"{shared_folder(spark)}/labelmill/stream-{uuid.uuid4().hex}"
-    traces.select("step", "record_id", "reward").write.parquet(f"{folder}/traces")
-    stream = spark.readStream.schema(traces.select("step", "record_id", "reward").schema).parquet(f"{folder}/traces")
-    run_until_read(smoothed_stream(stream), folder)
-    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
-    return rows.groupBy("record_id").agg(F.max_by("ema", "batch").alias("ema"), F.max_by("cnt", "batch").alias("cnt"))
+    rows = traces.select("step", "record_id", "reward")
+    (rows if files is None else rows.repartition(files)).write.parquet(f"{folder}/traces")
+    spread = rows.agg(F.coalesce(F.max("step") - F.min("step"), F.lit(0)).cast("long")).first()[0]
+    stream = spark.readStream.schema(rows.schema)
+    stream = stream if files is None else stream.option("maxFilesPerTrigger", 1)
+    run_until_read(smoothed_stream(stream.parquet(f"{folder}/traces"), alpha, late_steps=spread + 1), folder)
+    # the closing row comes when all files are read
+    spark.createDataFrame([(CLOSING, "", 0.0)], rows.schema).write.mode("append").parquet(f"{folder}/traces")
+    run_until_read(smoothed_stream(stream.parquet(f"{folder}/traces"), alpha, late_steps=spread + 1), folder)
+    return latest(spark, folder)

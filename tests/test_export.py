@@ -61,3 +61,9 @@ def test_rounding_to_bfloat16():
 def test_maps_with_paths(spark):
     df = spark.createDataFrame([({"a": "/groups/x"},), ({"a": "/root/x"},)], "m map<string,string>")
     assert [r[0] for r in df.select(manifest.path_free(F.col("m"))).collect()] == [False, True]
+
+
+def test_logs_are_cut(spark):
+    df = spark.createDataFrame([("a", "errors", "no answer", "p" * 600, None), ("b", "removed", "", "q", "l" * 501), ("c", "kept", "", "r", "l")], "id string, route string, judge_error string, prompt string, instruction_set string")
+    assert [tuple(r) for r in manifest.errors_log(df).collect()] == [("a", "no answer", "p" * 500, "")]
+    assert [tuple(r) for r in manifest.removal_log(df).collect()] == [("b", "q", "l" * 500)]

@@ -1,0 +1,127 @@
+"""The data sources: prompts with what is pushed down, shards that appear all at once."""
+
+import glob
+import json
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from labelmill.plans import shards
+from labelmill.sources import prompts
+
+
+@pytest.fixture()
+def table(tmp_path):
+    roles = ["user", "assistant"] * 50
+    rows = pa.table({"n": list(range(100)), "role": roles, "said": [None if i == 3 else "  " if i == 5 else f"\u2003 text {i}\n" for i in range(100)], "group": ["a"] * 50 + ["b"] * 50})
+    pq.write_table(rows, f"{tmp_path}/one.parquet", row_group_size=10)
+    pq.write_table(rows.slice(0, 30), f"{tmp_path}/two é.parquet", row_group_size=10)
+    return f"{tmp_path}/one.parquet", f"{tmp_path}/two é.parquet"
+
+
+def loaded(spark, files, **options):
+    reader = prompts.registered(spark).read.format("prompts").option("source", "ultrachat").option("path", "\n".join(files)).option("text", "said").option("keep", "n,role,group")
+    return reader.options(**options).load()
+
+
+def test_parquet_prompts_in_the_order_given(spark, table):
+    one, two = table
+    rows = loaded(spark, [two, one]).orderBy("file", "row").collect()
+    want = [i for i in range(30) if i not in (3, 5)] + [i for i in range(100) if i not in (3, 5)]
+    assert [r.n for r in rows] == want and [r.prompt for r in rows] == [f"text {i}" for i in want]
+    assert {(r.source, r.task_type) for r in rows} == {("ultrachat", "chat")} and [r.row for r in rows] == want
+    df = loaded(spark, [one])
+    assert df.schema["n"].dataType.simpleString() == "bigint" and df.rdd.getNumPartitions() == 10
+    assert [r.n for r in prompts.read_prompts(spark, "ultrachat", [two, one], "said", ["n"], most=29).orderBy("file", "row").collect()] == want[:29]
+
+
+def test_conditions_and_caps_reach_the_scan(spark, table):
+    one, _ = table
+    asked = loaded(spark, [one], where=json.dumps([["role", "=", "user"], ["n", ">=", 85], ["group", "in", ["b", "c"]]]))
+    # by their statistics two row groups of ten are left
+    assert asked.rdd.getNumPartitions() == 2
+    assert sorted(r.n for r in asked.where(F.col("prompt").endswith("8")).collect()) == [88, 98] and asked.count() == 7
+    df = loaded(spark, [one])
+    # one DataFrame asked in several ways gives each its own rows
+    assert [df.where(w).count() for w in ("n < 0", "n = 4 or role = 'nobody'", "n >= 97", "true")] == [0, 1, 3, 98]
+    assert [r.n for r in prompts.read_prompts(spark, "ultrachat", [one], "said", ["n", "role"], where=[("role", "=", "user")], most=3).collect()] == [0, 2, 4]
+    reader = prompts.PromptReader(prompts._Asked("s", "t", [one], "said", ["n", "role"], 2, [("role", "=", "assistant"), ("n", "in", (1, 3, 7, 9, 41)), ("role", "known")]), loaded(spark, [one]).drop("group").schema)
+    parts = reader.partitions()
+    assert [p.at for p in parts] == [0, 4]
+    assert [b.column("n").to_pylist() for p in parts for b in reader.read(p)] == [[1, 7], [41]]
+
+
+def test_json_prompts_by_stretches(spark, tmp_path, monkeypatch):
+    rows = [{"prompt": f" p{i} ", "role": "user" if i % 3 else None, "k": i} for i in range(500)]
+    with open(f"{tmp_path}/a.jsonl", "w", encoding="utf-8") as f:
+        f.write("\n".join([json.dumps(rows[0]), "{bad", "[1]", "", '{"prompt": 5}', *(json.dumps(r) for r in rows[1:])]))
+    monkeypatch.setattr(prompts, "STRETCH", 700)
+    asked = prompts._Asked("s", "t", [f"{tmp_path}/a.jsonl"], "prompt", ["role", "k"], None)
+    schema = prompts.T._parse_datatype_string("source string, task_type string, file int, row long, prompt string, role string, k long")
+    reader = prompts.PromptReader(asked, schema)
+    parts = reader.partitions()
+    assert len(parts) > 20
+    found = [x for p in parts for b in reader.read(p) for x in b.to_pylist()]
+    assert [x["k"] for x in found] == list(range(500)) and [x["prompt"] for x in found] == [f"p{i}" for i in range(500)]
+    assert [x["row"] for x in found] == sorted({x["row"] for x in found})
+    monkeypatch.setattr(prompts, "STRETCH", 64 << 20)
+    got = prompts.read_prompts(spark, "synthetic", [f"{tmp_path}/a.jsonl"], keep=["role", "k"], types="role string, k long", where=[("role", "=", "user")], most=5)
+    assert [r.k for r in got.orderBy("row").collect()] == [1, 2, 4, 5, 7]
+
+
+def test_refusals(spark, table):
+    one, _ = table
+    for options in ({"source": "nobody"}, {"keep": "prompt"}, {"where": '[["said", "=", 1]]'}, {"where": '[["n", "like", 1]]'}):
+        with pytest.raises(Exception, match="no source|are made|conditions"):
+            loaded(spark, [one], **options).collect()
+    assert loaded(spark, []).count() == 0
+
+
+def test_shards_and_manifest(spark, tmp_path):
+    path = f"{tmp_path}/out é"
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split"), F.col("id").alias("ord"), F.concat(F.lit("r"), "id").alias("name"), F.array(F.col("id").cast("float")).alias("acts")).repartition(5)
+    made = shards.write_sharded(rows, path, ["ord"], 128)
+    assert made["status"] == "complete" and {k: (v["num_records"], v["num_shards"], [s["records"] for s in v["shards"]]) for k, v in made["splits"].items()} == {"train": (900, 8, [128] * 7 + [4]), "val": (100, 1, [100])}
+    back = shards.read_sharded(spark, path)
+    assert sorted(map(tuple, back.select("split", "ord", "name").collect())) == sorted(map(tuple, rows.select("split", "ord", "name").collect()))
+    train = sorted(i for i in range(1000) if i % 10)
+    assert [r.ord for r in back.where("split = 'train' and shard = 2").orderBy("ord").collect()] == train[256:384]
+    first = shards.read_sharded(spark, path, ["val"])
+    assert first.count() == 100 and first.select("split").distinct().count() == 1
+    # rows of a shard stand in order in its file
+    f = made["splits"]["train"]["shards"][2]
+    assert pq.read_table(f"{path}/{f['file']}")["ord"].to_pylist() == train[256:384] and os.path.getsize(f"{path}/{f['file']}") == f["bytes"]
+
+
+def test_a_failed_task_leaves_nothing_visible(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    rows = spark.range(400).select(F.lit("train").alias("split"), F.col("id").alias("ord"), F.col("id").alias("x"))
+    failing = rows.withColumn("x", F.when(F.col("ord") == 390, F.raise_error(F.lit("no more"))).otherwise(F.col("x")))
+    # the join that cuts shards would fail earlier: here the writing tasks do
+    spark.dataSource.register(shards.Shards)
+    cut = failing.withColumn("shard", F.floor(F.col("ord") / 50)).repartition(4, "shard").sortWithinPartitions("shard", "ord").select("split", "shard", "ord", F.col("x"))
+    with pytest.raises(Exception, match="no more"):
+        cut.write.format("shards").mode("append").option("path", path).save()
+    assert not os.path.exists(f"{path}/manifest.json")
+    with pytest.raises(FileNotFoundError):
+        shards.read_sharded(spark, path)
+    before = shards.write_sharded(rows, path, ["ord"], 50)
+    with pytest.raises(Exception, match="no more"):
+        cut.write.format("shards").mode("overwrite").option("path", path).save()
+    assert shards.read_manifest(spark, path) == before and shards.read_sharded(spark, path).count() == 400
+    shards.swept(spark, path)
+    assert len(glob.glob(f"{path}/train/*.parquet")) == 8 and shards.swept(spark, path) == 0
+    # appending names old and new shards; a shard that is there already is refused
+    more = rows.select(F.lit("test").alias("split"), "ord", "x").where("ord < 60")
+    assert set(shards.write_sharded(more, path, ["ord"], 50, mode="append")["splits"]) == {"train", "test"}
+    with pytest.raises(Exception, match="written twice"):
+        shards.write_sharded(more, path, ["ord"], 50, mode="append")
+    assert shards.read_sharded(spark, path).count() == 460 and len(glob.glob(f"{path}/test/*.parquet")) == 2
+    made = json.loads(open(f"{path}/manifest.json").read())
+    made["splits"]["test"]["shards"].pop()
+    open(f"{path}/manifest.json", "w").write(json.dumps(made))
+    with pytest.raises(ValueError):
+        shards.read_manifest(spark, path)
