@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths are taken over the words of each whole text in numpy; a rule compares the
-characters inside n-grams that occur more than once in the text with all its word characters, another the characters
-of repeated lines. No row depends on another, so there is no shuffle, and hot sources or copies don't matter.
+characters inside n-grams that occurred earlier in the text with all its word characters, another the characters
+of repeated lines. What they reject is rejected; the share of symbols is reported beside the verdict and isn't part of it. No row depends on another, so there is no shuffle, and hot sources or copies don't matter.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from labelmill.llm.shared import bounded_batches, tidy
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars"]
+VERDICTS = ["base_failed", "symbols_failed", "kept"]
 
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Greatest allowed shares of word characters: inside n-grams that occurred earlier in the text (by n), inside lines that equal an earlier one, and of symbols."""
+    """Greatest allowed shares of word characters: inside n-grams that occurred earlier in the text (by n) and inside lines that equal an earlier one; and of symbols, beside the verdict."""
 
-    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25})
-    line_chars: float = 0.30
+    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15})
+    line_chars: float = 0.20
     symbols: float = 0.05
     min_words: int = 50
     repeat_words_percent: int = 50
@@ -85,14 +86,14 @@ def repetition(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> dic
     return out
 
 
-def verdicts(stats: dict[str, np.ndarray], rules: RepetitionRules) -> tuple[np.ndarray, np.ndarray]:
-    """(base_failed, kept)."""
+def verdicts(stats: dict[str, np.ndarray], rules: RepetitionRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, symbols_failed, kept); kept is the verdict of the base rule and of repetition."""
     failed = (stats["n_words"] < rules.min_words) | (100 * stats["n_repeat_words"] > rules.repeat_words_percent * stats["n_words"])
     total = np.maximum(stats["word_chars"], 1)
-    bad = (stats["dup_line_chars"] > rules.line_chars * total) | (stats["n_symbols"] > rules.symbols * total)
+    bad = stats["dup_line_chars"] > rules.line_chars * total
     for n, most in rules.ngrams.items():
         bad |= stats[f"dup_{n}"] > most * total
-    return failed, ~failed & ~bad
+    return failed, stats["n_symbols"] > rules.symbols * total, ~failed & ~bad
 
 
 def _measure(batch: pa.RecordBatch, text: str, rules: RepetitionRules) -> dict[str, np.ndarray]:
@@ -104,7 +105,7 @@ def _measure(batch: pa.RecordBatch, text: str, rules: RepetitionRules) -> dict[s
 
 
 def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: RepetitionRules | None = None) -> DataFrame:
-    """One row for each row of docs: its id, the statistics, dup_n for each n of the rules, base_failed and kept.
+    """One row for each row of docs: its id, the statistics, dup_n for each n of the rules, base_failed, symbols_failed and kept.
 
     A null or empty text has no words and fails the base rule. Repeated rows give repeated results; other columns of
     docs aren't read, so their names can't clash. An empty table gives an empty result.
@@ -112,14 +113,13 @@ def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rules = rules or RepetitionRules()
     bounded_batches(docs.sparkSession)
     names = [*STATS, *(f"dup_{n}" for n in sorted(rules.ngrams))]
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), *(T.StructField(n, T.BooleanType()) for n in VERDICTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = _measure(batch, "text", rules)
             if stats:
-                failed, kept = verdicts(stats, rules)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[n]) for n in names), pa.array(failed), pa.array(kept)], names=[id_col, *names, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[n]) for n in names), *map(pa.array, verdicts(stats, rules))], names=schema.names)
 
     return docs.select(docs[id_col], docs[text_col].alias("text")).mapInArrow(tidy(run), schema)
 
@@ -132,6 +132,6 @@ def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: RepetitionRule
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if stats := _measure(batch, text_col, rules):
-                yield batch.filter(pa.array(verdicts(stats, rules)[1]))
+                yield batch.filter(pa.array(verdicts(stats, rules)[2]))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -61,7 +61,7 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the base statistics, dup_line_chars, dup_n for each length, base_failed, kept of each document. Null and empty texts have no words and fail the base rule; other columns aren't read. An empty table gives an empty result."""
+    """doc_id, the base statistics, dup_line_chars, dup_n for each length, base_failed, symbols_failed, kept of each document. Null and empty texts have no words and fail the base rule; other columns aren't read. An empty table gives an empty result."""
     return repetition_stats(_table(spark, sf_dir, "documents"))
 
 

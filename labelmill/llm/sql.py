@@ -49,7 +49,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
 """
 
-_NGRAMS = {5: 30, 6: 29, 7: 28, 8: 27, 9: 26, 10: 25}
+_NGRAMS = {5: 20, 6: 19, 7: 18, 8: 17, 9: 16, 10: 15}
 
 
 def _repeats(n: int, least: int) -> str:
@@ -72,7 +72,8 @@ s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
     CAST(coalesce(x.chars, 0) AS BIGINT) AS dup_line_chars, {", ".join(f"CAST(coalesce(r{n}.chars, 0) AS BIGINT) AS dup_{n}" for n in _NGRAMS)}
     FROM d LEFT JOIN x USING (doc_id) LEFT JOIN r3 USING (doc_id) {" ".join(f"LEFT JOIN r{n} USING (doc_id)" for n in _NGRAMS)})
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * dup_line_chars > 30 * word_chars OR 100 * n_symbols > 5 * word_chars
+    100 * n_symbols > 5 * greatest(word_chars, 1) AS symbols_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * dup_line_chars > 20 * word_chars
          {"".join(f" OR 100 * dup_{n} > {c} * word_chars" for n, c in _NGRAMS.items())}) AS kept
 FROM s
 """

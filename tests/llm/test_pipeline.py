@@ -13,8 +13,8 @@ from tests.llm.test_quality_rules import brute as repetition
 def kept_by_rules(text):
     b = repetition(text)
     total = max(1, b["word_chars"])
-    bad = b["dup_line_chars"] > 0.30 * total or b["n_symbols"] > 0.05 * total
-    bad = bad or any(b[f"dup_{n}"] > share * total for n, share in {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}.items())
+    bad = b["dup_line_chars"] > 0.20 * total
+    bad = bad or any(b[f"dup_{n}"] > share * total for n, share in {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}.items())
     return not b["base_failed"] and not bad
 
 

@@ -77,3 +77,25 @@ def test_lines_that_sums_of_powers_confuse(spark):
         a, b = a + b, b + a
     df = spark.createDataFrame([(1, a + "\n" + b), (2, a + "\n" + a)], "doc_id long, text string")
     assert {r.doc_id: r.n_dup_lines for r in repetition_stats(df).collect()} == {1: 0, 2: 1}
+
+
+def test_repetition_decides(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    paragraph, line = fresh(48), fresh(12)
+    rows = {
+        # a quarter of the text is a paragraph that stood in it before: the base rule doesn't mind, repetition does
+        "paragraph twice": (f"{fresh(50)}\n{paragraph}\n{fresh(46)}\n{paragraph}", False),
+        "paragraph inside a line": (f"{fresh(50)} {paragraph} {fresh(46)} {paragraph}", False),
+        "lines again": ("\n".join([line, fresh(20), line, fresh(20), line]), False),
+        "paragraph once": (f"{fresh(50)}\n{paragraph}\n{fresh(94)}", True),
+        "first and last line alike": (f"{fresh(8)}\n" + fresh(60) + "\n" + fresh(8), True),
+        "heading again at the end": ("\n".join([h := fresh(8), fresh(60), h]), True),
+        "symbols": (" ".join(f"{word()}%%%" for _ in range(80)), True),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id string, text string")
+    got = {r.doc_id: r for r in repetition_stats(df).collect()}
+    assert {k: r.kept for k, r in got.items()} == {k: want for k, (_, want) in rows.items()}
+    assert not any(r.base_failed for r in got.values()) and [k for k, r in got.items() if r.symbols_failed] == ["symbols"]
+    assert {r.doc_id for r in keep_by_rules(df).collect()} == {k for k, (_, want) in rows.items() if want}
