@@ -2,9 +2,12 @@
 
 Addresses of mail and network, card and phone numbers are protected entities: patterns find them, and checks (parts of
 an address, Luhn, digits of a phone number) confirm them. Words of a document with an entity may give it away as well.
-Over the whole corpus the documents are counted in which a term stands together with an entity, n(t, e), and in which it
-stands at all, n(t). A term whose occurrence makes the entity likely, n(t, e) / n(t) >= disclosure, in at least
-support documents, is generalised too: in the documents with that entity, or everywhere.
+Protected are entities themselves and the classes that they name: the domain of a mail address, the net of an address, the
+issuer of a card, the exchange of a phone number. Over the whole corpus texts are counted, copies once: n(t, e) in which a term
+stands together with an entity, n(t) in which it stands at all, n(e) and n(k) with the entity and with any of its kind. A term
+discloses an entity if it makes it likely, n(t, e) / n(t) >= disclosure, tells more than that there is something of the kind,
+log2 of that share over n(e) / n(k) >= gain bits, and does so in at least support texts. It is generalised wherever it
+stands, or only in the documents with that entity.
 
 Of the texts only the words of documents with repeated entities are shuffled, and which texts hold disclosing terms. Terms
 are joined to the corpus's words, by broadcast only if they are few enough.
@@ -30,7 +33,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 SUPPORT = 3
 DISCLOSURE = 0.8
-LEAST_TERM_CHARS = 3
+GAIN = 1.0
 WORD_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
@@ -124,37 +127,62 @@ def _term_spans(text: Column, words: Column, base: Column) -> Column:
     return F.filter(told, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
+def _protected(base: Column) -> Column:
+    """The entities of a text and their classes, as kind, colon and value; a class has a star after its kind."""
+
+    def whose(s: Column) -> Column:
+        value, digits = F.lower(s["value"]), _digits(s["value"])
+        return F.when(s["kind"] == "email", F.substring_index(value, "@", -1)).when(s["kind"] == "ip", F.substring_index(value, ".", 3)).when(s["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.left(digits, F.length(digits) - 4))
+
+    return F.array_distinct(F.concat(F.transform(base, lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))), F.transform(base, lambda s: F.concat(s["kind"], F.lit("*:"), whose(s)))))
+
+
+def _kind(entity: str) -> Column:
+    return F.rtrim(F.substring_index(entity, ":", 1), F.lit("*"))
+
+
 def _analysed(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _base, the entities found in text_col."""
     return docs.withColumn("_base", base_spans(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def revealing_terms(slim: DataFrame, corpus: DataFrame, text_col: str, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) of the terms that disclose an entity. slim has the entities and terms of documents with entities; corpus has all texts in text_col."""
-    often = slim.select(F.explode("entities").alias("entity")).groupBy("entity").count().where(F.col("count") >= support).select("entity")
+def revealing_terms(slim: DataFrame, corpus: DataFrame, text_col: str, support: int, disclosure: float, gain: float) -> DataFrame:
+    """(entity, term) of the terms that disclose an entity. slim has the entities and terms of the texts with entities, each text once; corpus has all texts in text_col."""
+    each = slim.select(F.explode("entities").alias("entity"))
+    of_kind = slim.select(F.explode(F.array_distinct(F.transform("entities", lambda e: F.rtrim(F.substring_index(e, ":", 1), F.lit("*"))))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
+    often = each.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).where(F.col("of_entity") >= support)
+    # a row for each kind
+    often = often.withColumn("kind", _kind("entity")).join(F.broadcast(of_kind), "kind").select("entity", F.log2(F.col("of_entity") / F.col("of_kind")).alias("known"))
+    # what has most of its kind can't be told more of by any term
+    often = staged(often.where(-F.col("known") >= gain), "entities")
     holding = slim.select(F.explode("entities").alias("entity"), "terms").join(often, "entity")
-    pairs = holding.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
-    # documents that have the term and any entity are some of those that have it at all: what falls short of these already
+    pairs = holding.select("entity", "known", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"), F.first("known").alias("known")).where(F.col("together") >= support)
+    # texts that have the term and any entity are some of those that have it at all: what falls short of these already
     # can't reach the share among all, and needn't be looked for in the corpus
     beside = slim.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    pairs = staged(pairs.join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside")).select("entity", "term", "together"), "pairs")
+    pairs = staged(pairs.join(beside, "term").where(F.col("together") >= F.lit(disclosure) * F.col("beside")).select("entity", "term", "together", "known"), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
-    seen = corpus.select(F.explode(_lowered(_word_parts(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
-    counted = seen.join(F.broadcast(terms) if fits_broadcast(terms, "term") else terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("all"))
-    return pairs.join(counted, "term").where(F.col("together") >= F.lit(disclosure) * F.col("all")).select("entity", "term")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = corpus.select(F.xxhash64(text).alias("th"), F.length(text).alias("tl"), F.explode(_lowered(_word_parts(text))).alias("term"))
+    seen = seen.join(F.broadcast(terms) if fits_broadcast(terms, "term") else terms, "term", "left_semi")
+    # copies of a text are one witness
+    counted = seen.groupBy("term", "th", "tl").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("one").alias("all"))
+    share = F.col("together") / F.col("all")
+    return pairs.join(counted, "term").where((share >= disclosure) & (F.log2(share) - F.col("known") >= gain)).select("entity", "term")
 
 
-def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float, everywhere: bool, least_chars: int) -> DataFrame:
+def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float, gain: float, everywhere: bool, least_chars: int) -> DataFrame:
     """docs with spans: entities and disclosing terms as (kind, start, end), by kind as listed and then by place."""
     with scratch() as keep:
         analysed = _analysed(docs, text_col)
         # what the corpus is asked about: documents with entities
-        entities = F.array_distinct(F.transform("_base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+        entities = _protected(F.col("_base"))
         words = F.array_distinct(_word_parts(replaced(F.col(text_col), F.col("_merged"), lambda s: F.lit(" "))))
         slim = _analysed(docs.select(text_col), text_col).where(F.size("_base") > 0).withColumn("_merged", _merged(F.col("_base")))
         slim = slim.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), entities.alias("entities"), F.filter(words, lambda w: F.length(w) >= least_chars).alias("words"))
-        slim = staged(slim.withColumn("terms", _lowered(F.col("words"))), "terms")
-        reveal = staged(revealing_terms(slim, docs, text_col, support, disclosure), "reveal")
+        once = slim.groupBy("th", "tl").agg(F.first("entities").alias("entities"), F.first("words").alias("words"))
+        slim = staged(once.withColumn("terms", _lowered(F.col("words"))), "terms")
+        reveal = staged(revealing_terms(slim, docs, text_col, support, disclosure, gain), "reveal")
         if everywhere:
             names = staged(reveal.select("term").distinct(), "names")
             source = docs.select(F.xxhash64(text_col).alias("th"), F.length(text_col).alias("tl"), F.explode(F.array_distinct(_word_parts(F.col(text_col)))).alias("word"))
@@ -171,23 +199,23 @@ def _with_spans(docs: DataFrame, text_col: str, support: int, disclosure: float,
         return out.withColumn("_spans", F.concat(base, F.coalesce(terms, _empty("array<struct<kind: string, start: int, end: int>>"))))
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False, least_chars: int = LEAST_TERM_CHARS) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, gain: float = GAIN, everywhere: bool = True, least_chars: int = 1) -> DataFrame:
     """One row for each row of docs: id and spans, an array of (kind, start, end) in code points.
 
     Kinds are those of KINDS and term. Matches of one kind don't overlap; those of different kinds may. A null or empty
-    text has none. Terms of at least least_chars characters are marked wherever they stand in a text that holds an entity they
-    disclose; with everywhere, in all texts. Terms are words of ASCII letters and digits and all other characters; equal texts have
-    equal spans; repeated rows count as documents of their own and are given each. Other columns aren't read.
+    text has none. Disclosing terms of at least least_chars characters are marked in all texts; without everywhere, only in those that
+    hold an entity they disclose. Terms are words of ASCII letters and digits and all other characters; equal texts have
+    equal spans and count once, however often they are repeated; repeated rows are given each. Other columns aren't read.
     """
     source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return _with_spans(source, "_text", support, disclosure, everywhere, least_chars).select(F.col("_id").alias(id_col), F.col("_spans").alias("spans"))
+    return _with_spans(source, "_text", support, disclosure, gain, everywhere, least_chars).select(F.col("_id").alias(id_col), F.col("_spans").alias("spans"))
 
 
-def sanitised(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, everywhere: bool = False, least_chars: int = LEAST_TERM_CHARS) -> DataFrame:
+def sanitised(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, gain: float = GAIN, everywhere: bool = True, least_chars: int = 1) -> DataFrame:
     """docs with each span of text_col generalised to the name of its kind, as <EMAIL>; of overlapping spans the first gives the name. All other columns and rows stay, null texts too."""
     columns = docs.columns
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))
     text = f"c{columns.index(text_col)}"
-    found = _with_spans(named, text, support, disclosure, everywhere, least_chars).withColumn("_merged", _merged(F.col("_spans")))
+    found = _with_spans(named, text, support, disclosure, gain, everywhere, least_chars).withColumn("_merged", _merged(F.col("_spans")))
     clean = replaced(F.col(text), F.col("_merged"), lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     return found.withColumn("_clean", clean).select(*(F.col("_clean" if c == text_col else f"c{k}").alias(c) for k, c in enumerate(columns)))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -38,8 +39,12 @@ def test_base_equals_the_patterns(spark, sf):
         assert [(s.kind, s.start, s.end) for s in r.s] == brute(texts[r.doc_id]), texts[r.doc_id][:200]
 
 
+#: Other addresses, each once: without them one address would be all that there is of its kind.
+OTHERS = [f"q{i} u{i}@h{i}.net" for i in range(8)]
+
+
 def rows(spark):
-    texts = [f"note {i} for zanzibar mail jo@x.org or call" for i in range(4)] + ["for and mail only"] * 9 + ["call me note"] * 9 + ["ip 1.2.3.4, 4111 1111 1111 1111 +1 4111 1111 1111", None, "", "a@b.cc", "zanzibar alone"]
+    texts = [f"note {i} for zanzibar mail jo@x.org or call" for i in range(4)] + [f"for and mail or org only {i}" for i in range(9)] + [f"call me note {i}" for i in range(9)] + ["ip 1.2.3.4, 4111 1111 1111 1111 +1 4111 1111 1111", None, "", "a@b.cc", "zanzibar alone", *OTHERS]
     return texts, spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
 
 
@@ -51,11 +56,13 @@ def test_disclosing_terms_and_sanitising(spark):
         assert [s for s in got[i] if s[0] != "term"] == brute(t)
     term = [texts[0][a:b] for k, a, b in got[0] if k == "term"]
     assert term == ["zanzibar"]  # 4 of its 5 documents have it beside the address; for, mail, call and note are common
-    assert not [s for i in range(4, len(texts)) for s in got[i] if s[0] == "term"]
+    assert [(i, texts[i][s[1] : s[2]]) for i in range(4, len(texts)) for s in got[i] if s[0] == "term"] == [(26, "zanzibar")]
     clean = {r.doc_id: (r.text, r.spans) for r in sanitised(df).collect()}
     assert clean[0] == ("note 0 for <TERM> mail <EMAIL> or call", "s")
     assert clean[22][0] == "ip <IP>, <CARD> <PHONE>" and clean[23][0] is None and clean[24][0] == "" and clean[25][0] == "<EMAIL>"
-    assert clean[26][0] == "zanzibar alone"
+    assert clean[26][0] == "<TERM> alone"
+    within = {r.doc_id: r.text for r in sanitised(df, everywhere=False).collect()}
+    assert within[0] == clean[0][0] and within[26] == "zanzibar alone"
 
 
 def test_repeated_rows_empty_table_and_plan(spark):
@@ -69,33 +76,41 @@ def test_repeated_rows_empty_table_and_plan(spark):
 def test_disclosing_terms_everywhere(spark):
     filler = " ".join(f"w{i}" for i in range(40))
     texts = [f"Zanzibar Li mail jo@x.org {filler} and ZANZIBAR again, zanzibars not. org" for _ in range(4)]
-    texts += ["mail and again and not of org"] * 9 + [filler] * 9 + ["zanzibar alone, with li", "Li Éa"]
+    texts += [f"mail and again and not of org k{i}" for i in range(9)] + [f"{filler} k{i}" for i in range(9)] + ["zanzibar alone, with li", "Li Éa", *OTHERS]
+    texts[:4] = [f"{t} n{i}" for i, t in enumerate(texts[:4])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    clean = {r.doc_id: r.text for r in sanitised(df, everywhere=True, least_chars=1, disclosure=0.6).collect()}
-    assert clean[0] == f"<TERM> <TERM> mail <EMAIL> {filler} and <TERM> again, <TERM> not. org"
-    assert clean[22] == "<TERM> alone, with <TERM>" and clean[23] == "<TERM> Éa" and clean[4] == texts[4] and clean[13] == filler
-    within = {r.doc_id: r.text for r in sanitised(df, disclosure=0.6).collect()}
-    assert within[0] == f"<TERM> Li mail <EMAIL> {filler} and <TERM> again, <TERM> not. org" and within[22] == texts[22]
-    spans = {r.doc_id: r.spans for r in personal_spans(df, everywhere=True, least_chars=1, disclosure=0.6).collect()}
+    clean = {r.doc_id: r.text for r in sanitised(df, disclosure=0.6).collect()}
+    assert clean[0] == f"<TERM> <TERM> mail <EMAIL> {filler} and <TERM> again, <TERM> not. org n0"
+    assert clean[22] == "<TERM> alone, with <TERM>" and clean[23] == "<TERM> Éa" and clean[4] == texts[4] and clean[13] == texts[13]
+    within = {r.doc_id: r.text for r in sanitised(df, disclosure=0.6, everywhere=False, least_chars=3).collect()}
+    assert within[0] == f"<TERM> Li mail <EMAIL> {filler} and <TERM> again, <TERM> not. org n0" and within[22] == texts[22]
+    spans = {r.doc_id: r.spans for r in personal_spans(df, disclosure=0.6).collect()}
     assert [texts[0][s.start : s.end] for s in spans[0]] == ["jo@x.org", "Zanzibar", "Li", "ZANZIBAR", "zanzibars"]
     assert [(s.kind, s.start, s.end) for s in spans[22]] == [("term", 0, 8), ("term", 21, 23)]
 
 
-def brute_terms(texts, support, disclosure):
-    """Spans of terms in each text, by counting over all documents."""
-    entities, terms, everywhere = [], [], Counter()
-    for t in texts:
-        t = t or ""
-        base = brute(t)
-        entities.append({f"{k}:{t[a:b].lower()}" for k, a, b in base})
+def protected(text):
+    """Entities of a text and their classes."""
+    out = set()
+    for k, a, b in brute(text):
+        v, d = text[a:b].lower(), re.sub("[^0-9]", "", text[a:b])
+        out |= {(k, v), (k, "*", {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:3]), "card": d[:6], "phone": d[:-4]}[k])}
+    return out
+
+
+def brute_terms(texts, support, disclosure, gain):
+    """Spans of terms in each text, by counting over all texts, each once."""
+    of_entity, of_kind, together, everywhere = Counter(), Counter(), Counter(), Counter()
+    for t in {t or "" for t in texts}:
         left = list(t)
-        for _, a, b in base:
+        for _, a, b in brute(t):
             left[a:b] = " " * (b - a)
-        terms.append({w.lower() for w in re.findall(WORDS, "".join(left))})
+        entities, terms = protected(t), {w.lower() for w in re.findall(WORDS, "".join(left))}
+        of_entity.update(entities)
+        of_kind.update({e[0] for e in entities})
+        together.update((e, w) for e in entities for w in terms)
         everywhere.update({w.lower() for w in re.findall(WORDS, t)})
-    often = {e for e, n in Counter(e for es in entities for e in es).items() if n >= support}
-    together = Counter((e, w) for es, ws in zip(entities, terms) for e in es & often for w in ws)
-    told = {w for (_, w), n in together.items() if n >= support and n >= disclosure * everywhere[w]}
+    told = {w for (e, w), n in together.items() if n >= support and n / everywhere[w] >= disclosure and math.log2(n / everywhere[w]) - math.log2(of_entity[e] / of_kind[e[0]]) >= gain}
     out = []
     for t in texts:
         base = brute(t)
@@ -114,19 +129,35 @@ def test_terms_equal_brute_force(spark, sf):
         who = f"person{k % 9} family{k % 9}"
         texts.append(f"{who} wrote w{rng.randint(0, 30)} to p{k % 9}@mail.org, 10.0.0.{k % 9}; {who.upper()} and w{rng.randint(0, 30)}" if k % 4 else f"about person{k % 9} and w{k % 30}, W{k % 31}")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for support, disclosure in ((3, 0.8), (4, 0.3)):
-        want = brute_terms(texts, support, disclosure)
+    # no address comes twice here, but all of a firm have its domain, its net or its exchange
+    for k in range(60):
+        texts.append(f"firm{k % 5}corp note {k} " + [f"a{k}@firm{k % 5}.com", f"192.168.{k % 5}.{k}", f"+1 555 0{k % 5} {1000 + k}"][k % 3])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for support, disclosure, gain in ((3, 0.8, 1.0), (4, 0.3, 2.0)):
+        want = brute_terms(texts, support, disclosure, gain)
         assert sum(map(len, want)) > 50
-        got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in personal_spans(df, support=support, disclosure=disclosure, everywhere=True, least_chars=1).collect()}
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in personal_spans(df, support=support, disclosure=disclosure, gain=gain).collect()}
         assert got == dict(enumerate(want))
 
 
+def test_copies_are_one_witness_and_kinds_tell_nothing(spark):
+    texts = ["secretword of jo@x.org and friends"] * 6 + [f"call us at u{i}@h{i}.net please" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # six copies are one text, and what stands beside addresses in general says nothing of anyone's
+    assert not [s for r in personal_spans(df).collect() for s in r.spans if s.kind == "term"]
+    one_domain = [f"write to u{i}@same.net, w{i}" for i in range(9)]
+    assert not [s for r in personal_spans(spark.createDataFrame(list(enumerate(one_domain)), df.schema)).collect() for s in r.spans if s.kind == "term"]
+    differing = [f"secretword {i} jo@x.org" for i in range(3)] + texts[6:]
+    got = personal_spans(spark.createDataFrame(list(enumerate(differing)), df.schema)).collect()
+    assert [(r.doc_id, differing[r.doc_id][s.start : s.end]) for r in got for s in r.spans if s.kind == "term"] == [(i, "secretword") for i in range(3)]
+
+
 def test_time_grows_with_the_text(spark):
     def seconds(n):
         texts = [f"{' '.join(f'u{i}@host{i}.org' for i in range(n))} +1 22 33 44 55 end", "a@b" + ".c" * (20 * n), "1.2.3.4 " * n]
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         began = time.time()
-        rows = {r.doc_id: r.text for r in sanitised(df, everywhere=True, least_chars=1).collect()}
+        rows = {r.doc_id: r.text for r in sanitised(df).collect()}
         assert rows[0] == " ".join(["<EMAIL>"] * n) + " <PHONE> end" and rows[1] == "<EMAIL>" and rows[2] == "<IP> " * n
         return time.time() - began
 

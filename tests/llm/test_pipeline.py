@@ -77,3 +77,13 @@ def test_near_duplicates_from_four_fifths(spark, sf):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()}
     assert got == {i for i in range(60) if i % 3 != 1} == {i for i, x in components(list(enumerate(texts)), percent=80).items() if x[2]}
+
+
+def test_personal_data_stage_marks_terms(spark, sf):
+    fresh = lambda k: " ".join(f"v{k}x{j}" for j in range(20))
+    texts = [f"{fresh(i)} Zanzibar wrote from jo@x.org" for i in range(4)] + [f"{fresh(i)} wrote from u{i}@h{i}.net" for i in range(4, 16)] + ["zanzibar again"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in dict(corpus_pipeline.STAGES)["personal_data"](spark, df, sf).collect()}
+    want = [t.replace("Zanzibar", "<TERM>").replace("zanzibar", "<TERM>") for t in texts]
+    want = [re.sub(r"\S+@\S+", "<EMAIL>", t) for t in want]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
