@@ -8,17 +8,18 @@
    candidate if the collision-corrected similarity, estimated from the bit counts of the signatures, doesn't rule the
    threshold out. Candidates are confirmed on the full sets, and links are joined into components.
 4. Representatives in buckets that still hold several components are left open. Links between components of these are
-   found by a prefix join on their full sets: with shingles in the order of how few open sets have them, two sets that
-   are similar enough share one among the first few of each. These are rare ones, so what merely has a common passage,
-   however many texts do, isn't paired. Pairs go through the same estimate and confirmation. So no link depends on the
-   choice of leaders.
+   found by finer bands over many more minima: texts that merely have passages in common, however many texts do, hardly
+   ever share one. A pair is only made if the labels differ and the collision-corrected similarity of one-bit
+   signatures of all these minima allows it, which is part of the join's condition. A link is missed with a probability of MISS,
+   whatever leaders were chosen.
 
-What belongs to a bucket or shingle is joined to its members by broadcast where it has many, and by shuffle where it has
+What belongs to a bucket is joined to its members by broadcast where it has many, and by shuffle where it has
 few, so no task gets all members of a large one. Nothing is collected to the driver but counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +35,15 @@ SHINGLE = 5
 HASHES = 192
 BANDS = 32
 BITS = 4
-#: Buckets and shingles with more members than this, and than one in MANY of all rows, are joined by broadcast: MANY of them at most.
+#: Buckets with more members than this are joined by broadcast, the MANY largest of them at most.
 FEW_MEMBERS = 256
 MANY = 1 << 16
+#: How likely a pair at the threshold agrees in a finer band, which sets the rows of a band, and shares none of all bands.
+FINE = 0.142
+MISS = 1e-7
 #: An estimate this much below the threshold (about five standard errors) rules a pair out.
 SLACK = 0.16
 
-_SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32)[:, None]
-_MULTIPLY = ((_SEEDS[HASHES:] >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[:, None]
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row; a text of fewer words is one shingle, one without words has none."""
@@ -61,24 +61,34 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def _functions(n: int, first: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """What n hash functions add and multiply by; others for another first."""
+    seeds = mix(np.arange(first, first + 2 * n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (seeds[:n] >> np.uint64(32)).astype(np.uint32)[:, None], ((seeds[n:] >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)[:, None]
+
+
+def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The smallest value that each hash function takes on the set."""
+    xor, multiply = functions or (_XOR, _MULTIPLY)
     folded = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    least = np.full(len(xor), 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(folded), 1024):
-        np.minimum(least, (((folded[None, lo : lo + 1024] ^ _XOR) * _MULTIPLY)).min(axis=1), out=least)
+        np.minimum(least, (((folded[None, lo : lo + 1024] ^ xor) * multiply)).min(axis=1), out=least)
     return least
 
 
+_XOR, _MULTIPLY = _functions(HASHES)
+
+
 def packed(least: np.ndarray) -> np.ndarray:
     """The low bits of the minima, 64 // BITS to a long."""
     low = (mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, HASHES // BANDS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    rows = least.reshape(bands, len(least) // bands).astype(np.uint64)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(rows.shape[1]):
         keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + rows[:, k])
     return keys
@@ -171,8 +181,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def _attached(rows: DataFrame, facts: DataFrame, key: str, few: int) -> DataFrame:
-    """rows joined with facts (key, size, ...) of their key. Those with a size over few, of which there are MANY at most, are sent to all executors."""
+def _attached(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts (key, size, ...) of their key. The MANY largest of those with a size over FEW_MEMBERS are sent to all executors."""
+    few = _few(facts)
     if facts.where(F.col("size") > few).isEmpty():
         return rows.join(facts, key)
     large = F.broadcast(facts.where(F.col("size") > few))
@@ -180,53 +191,60 @@ def _attached(rows: DataFrame, facts: DataFrame, key: str, few: int) -> DataFram
     return rows.join(large, key).unionByName(small)
 
 
-def _few(rows: int) -> int:
-    return max(FEW_MEMBERS, rows // MANY)
+def _few(facts: DataFrame) -> int:
+    """The size over which keys are sent: FEW_MEMBERS, or more if over MANY keys are as large. Sizes are counted by powers of two, so what is known of them is small however many keys there are."""
+    counts = {r["power"]: r["n"] for r in facts.where(F.col("size") > FEW_MEMBERS).groupBy(F.floor(F.log2("size")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    few, sent = FEW_MEMBERS, sum(counts.values())
+    for power in sorted(counts):
+        if sent <= MANY:
+            break
+        few, sent = (2 << power) - 1, sent - counts[power]
+    return few
 
 
-def _prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids in sets (id, set) with different labels that share a shingle in their prefixes.
+def fine_bands(threshold: float) -> tuple[int, int]:
+    """(bands, rows of each) that miss a pair at the threshold with a probability of MISS at most; a multiple of 64 bands, so that the signatures fill longs."""
+    rows = max(1, min(64, round(math.log(FINE) / math.log(min(threshold, 0.99)))))
+    return -(-math.ceil(math.log(MISS) / math.log1p(-min(threshold, 0.99) ** rows)) // 64) * 64, rows
 
-    If 100 * intersection >= percent * union and b isn't the larger set, the intersection has at least percent / 100 of a,
-    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter. What stands before
-    the first shingle that two sets share isn't in their intersection, so a pair is left out where too little stands from there on.
-    """
-    kind = sets.schema["id"].dataType
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fine_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids in sets (id, set) with different labels that share a finer band and that sizes and signatures don't rule out."""
+    kind = sets.schema["id"].dataType
+    threshold = percent / 100
+    bands, rows = fine_bands(threshold)
+    hashes = bands * rows
+    # a bit agrees in any case half of the time: 1 - 2 h / hashes estimates the similarity
+    error = math.sqrt((1.0 - threshold**2) / hashes)
+    most_differing = math.floor((1.0 - threshold + 5.5 * error) / 2 * hashes)
+    long = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("bits", long), T.StructField("bands", long)])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = _functions(hashes, first=1 << 20)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                values = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                sizes = np.array([len(v) for v in values], np.int64)
-                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))], names=["id", "n", "shingle"])
-
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
-    each = staged(sets.mapInArrow(tidy(exploded), schema), "shingles")
-    counts = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-counts")
-    few = _few(each.count())
-    common = _attached(each, counts, "shingle", few)
-    # what only one set has comes first and is never shared: the rest stands behind it
-    listed = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
-    least_a = F.ceil(F.col("n") * percent / 100 - 1e-9)
-    least_b = F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9)
-    alone = F.col("n") - F.size("common")
-    placed = listed.join(label, "id").withColumn("as_a", (F.col("n") - least_a + 1 - alone).cast("int")).withColumn("as_b", (F.col("n") - least_b + 1 - alone).cast("int"))
-    prefix = placed.where("as_a > 0").select("id", "n", "label", F.size("common").alias("shared"), "as_b", F.posexplode(F.expr("slice(common, 1, least(as_a, size(common)))")).alias("at", "x"))
-    # how many shingles stand from this one on
-    prefix = prefix.withColumn("rest", F.col("shared") - F.col("at"))
-    prefix = staged(prefix.select("id", "n", "label", "rest", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
-    # shingles in the prefixes of one component only are left out
-    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "size")
-    prefix = staged(_attached(prefix, staged(mixed, "mixed"), "shingle", few).drop("size"), "prefixes")
-    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rest").alias("ra"))
-    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"))
-    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    most = F.least("ra", "rb")
-    enough = (100 * F.col("nb") >= percent * F.col("na")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
-    pairs = a.join(b, "shingle").where((F.col("la") != F.col("lb")) & smaller & enough)
-    return pairs.select("a", "b").distinct()
+                n, bits, keys = [], [], []
+                for packed_set in part.column(1):
+                    s = np.frombuffer(packed_set.as_py(), np.uint64)
+                    least = minima(s, functions)
+                    n.append(len(s))
+                    bits.append(np.packbits((mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                    keys.append(_signed(band_keys(least, bands)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+
+    fine = staged(sets.mapInArrow(tidy(signed), schema), "fine")
+    each = fine.select("id", F.explode("bands").alias("band")).join(label, "id")
+    # bands of one component only are left out
+    mixed = each.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
+    shared = staged(_attached(each, staged(mixed, "mixed"), "band").drop("size"), "shared")
+    facts = fine.select("id", "n", "bits")
+    a = shared.join(facts, "id").select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa"), F.col("label").alias("la"))
+    b = shared.join(facts, "id").select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"), F.col("label").alias("lb"))
+    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing <= most_differing)
+    return a.join(b, (a["band"] == b["band"]) & near).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,12 +285,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # members of buckets of two or more, with the company each representative keeps
         member = classes.select("rep", F.explode("bands").alias("bucket"))
         sizes = staged(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        few = _few(BANDS * classes.count())
-        buckets = staged(_attached(member, sizes, "bucket", few), "buckets")
+        buckets = staged(_attached(member, sizes, "bucket"), "buckets")
         company = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
         seated = buckets.join(company, "rep")
         leaders = staged(seated.groupBy("bucket").agg(F.max(F.struct("company", "rep"))["rep"].alias("lead"), F.max("size").alias("size")), "leaders")
-        lead_pairs = _attached(buckets.drop("size"), leaders, "bucket", few).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+        lead_pairs = _attached(buckets.drop("size"), leaders, "bucket").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
         facts = classes.select("rep", "n", "sig")
 
         def likely(pairs: DataFrame) -> DataFrame:
@@ -285,9 +302,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # what the leaders left open: members of buckets of three or more with several components
         placed = staged(buckets.where("size > 2").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "placed")
         mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
-        left = staged(_attached(placed, staged(mixed, "mixed"), "bucket", few).select(F.col("rep").alias("id"), "label").distinct(), "open")
+        left = staged(_attached(placed, staged(mixed, "mixed"), "bucket").select(F.col("rep").alias("id"), "label").distinct(), "open")
         if not left.isEmpty():
-            pairs = _prefix_pairs(_full_sets(left.select("id"), source), left, percent)
+            pairs = _fine_pairs(_full_sets(left.select("id"), source), left, percent)
             both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
             second = likely(pairs.join(both, ["a", "b"], "left_anti"))
             if not second.isEmpty():

@@ -136,7 +136,7 @@ def test_open_members_cost_what_they_are(spark):
 
 
 @pytest.mark.parametrize("percent", [60, 85, 95])
-def test_prefix_pairs_lose_no_link(spark, percent):
+def test_fine_pairs_lose_no_link(spark, percent):
     rng = random.Random(percent)
     sets = [frozenset(rng.sample(range(60), rng.randint(1, 40))) for _ in range(60)]
     for _ in range(140):
@@ -146,11 +146,39 @@ def test_prefix_pairs_lose_no_link(spark, percent):
         sets.append(frozenset(s or {1}))
     rows = [(i, bytearray(np.array(sorted(s), np.uint64).tobytes()), i) for i, s in enumerate(sets)]
     df = spark.createDataFrame(rows, "id long, set binary, label long")
-    got = {frozenset(r) for r in near_dup._prefix_pairs(df.select("id", "set"), df.select("id", "label"), percent).collect()}
+    got = {frozenset(r) for r in near_dup._fine_pairs(df.select("id", "set"), df.select("id", "label"), percent).collect()}
     want = {frozenset((i, j)) for i in range(200) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
     assert want <= got and len(want) > 30
 
 
+def test_texts_of_the_same_parts_make_few_pairs(spark):
+    """Each text is 10 of 20 stock paragraphs in some order: all share much with all, and almost none are linked."""
+    rng = random.Random(9)
+    stock = [" ".join(f"p{p}w{k}x{rng.randrange(10**6)}" for k in range(30)) for p in range(20)]
+    texts = [rng.sample(range(20), 10) for _ in range(7990)]
+    texts += [t[:9] + [x for x in range(20) if x not in t][:1] for t in texts[:10]]
+    made = {}
+    for n in (2000, 4000, 8000):
+        use = texts[-n:]
+        data = [" ".join(stock[p] for p in t).encode() for t in use]
+        offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        sets = list(near_dup.shingle_sets(np.frombuffer(b"".join(data), np.uint8), offsets))
+        df = spark.createDataFrame([(i, bytearray(s.tobytes()), i) for i, s in enumerate(sets)], "id long, set binary, label long").repartition(8)
+        pairs = {frozenset(r) for r in near_dup._fine_pairs(df.select("id", "set"), df.select("id", "label"), 85).collect()}
+        made[n] = len(pairs)
+        by_parts: dict = {}
+        for i, t in enumerate(use):
+            by_parts.setdefault(frozenset(t), []).append(i)
+        for group in by_parts.values():
+            for i in group:
+                for j in group:
+                    both = len(np.intersect1d(sets[i], sets[j])) if i < j else 0
+                    if i < j and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                        assert frozenset((i, j)) in pairs
+    # pairs of texts of the same parts, whose number grows as the square, are a handful among 32 million
+    assert made[8000] < 800, made
+
+
 def test_repeated_kept_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "other words here", "z"), (3, None, "n"), (None, None, "n")], "doc_id long, text string, c string")
     assert sorted((r.doc_id or -1, r.c) for r in near_dup.one_of_each(df).collect() if r.doc_id != 1) == [(-1, "n"), (2, "z"), (3, "n")]
