@@ -24,6 +24,8 @@ FIRST = np.ones(256, bool)
 FIRST[0x80:0xC0] = False
 
 BLOCK = 1 << 20
+#: Bytes that words are looked for in at once: what is worked on stays in the processor's cache.
+WORK = 1 << 16
 #: Two primes, and a base for each, of the polynomials by which segments are hashed.
 _MODULI = ((2**31 - 1, 1_403_580_281), (2**31 - 19, 1_176_543_943))
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -136,16 +138,15 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of each word of the rows between offsets; starts and ends are byte positions in data.
 
-    Work memory is bounded by BLOCK however long a text is, but for a single word longer than that.
+    Work memory is bounded by WORK however long a text is, but for a single word longer than that.
     """
     base, out = int(offsets[0]), []
     end = int(offsets[-1])
     at = base
     while at < end:
-        stop = min(end, at + BLOCK)
+        stop = min(end, at + WORK)
         if stop < end and not (stop == offsets[np.searchsorted(offsets, stop)]):
-            part = table[data[at:stop]]
-            gaps = np.flatnonzero(~part)
+            gaps = np.flatnonzero(~table[data[at:stop]])
             cut = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
             if len(gaps):
                 stop = max(at + int(gaps[-1]) + 1, cut if cut > at else 0)
@@ -153,12 +154,17 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool)
                 stop = cut
             else:
                 limit = int(offsets[np.searchsorted(offsets, at, "right")])
-                while stop < limit and table[data[stop]]:
-                    stop += 1
+                while stop < limit:
+                    gaps = np.flatnonzero(~table[data[stop : min(limit, stop + WORK)]])
+                    if len(gaps):
+                        stop += int(gaps[0])
+                        break
+                    stop = min(limit, stop + WORK)
         block = data[at:stop]
         if lower:
             block = LOWER[block]
-        starts, ends = _word_bounds(block, offsets[(offsets >= at) & (offsets <= stop)] - at, table)
+        breaks = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop, "right")] - at
+        starts, ends = _word_bounds(block, breaks, table)
         out.append((segment_hashes(block, starts, ends), starts + at, ends + at))
         at = stop
     if not out:

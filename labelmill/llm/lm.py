@@ -45,8 +45,8 @@ SCORED_GROUP = 1 << 21
 MAP_BITS = 27
 #: n-grams that a shard should hold when they are counted, bits of the number of shards at least, and bits by which cells are split at once.
 SHARD = 1 << 20
-#: Bits of the number of texts whose scores are put together at once.
-BLOCK_BITS = 12
+#: Bits of the place of a text among those that are scored at once, and of these groups' numbers in a task.
+BLOCK_BITS, GROUP_BITS = 21, 21
 #: n-grams of texts that are looked up in a shard.
 ASKED = 1 << 24
 LEAST_BITS = 5
@@ -99,8 +99,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, where
 
 
-def ngram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(a, b): the key of a pair from its words, of a triple from its pairs."""
+def ngram_key(a: np.ndarray, b: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """Spark's xxhash64(a, b): the key of a pair from its words, of a triple from its pairs. Worked out in pieces that stay in the processor's cache."""
+    out = np.empty(len(a), np.uint64)
+    for lo in range(0, len(a), at_once):
+        out[lo : lo + at_once] = _key(a[lo : lo + at_once], b[lo : lo + at_once])
+    return out
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turned(x: np.ndarray, n: int) -> np.ndarray:
@@ -204,7 +211,7 @@ def packed_ngrams(columns: list[np.ndarray], numbers: list[np.ndarray], n: np.nd
     order = np.argsort(numbers[0], kind="stable")
     numbers, columns = [x[order] for x in numbers], [c[order] for c in columns]
     others = [c[x == 0] for c, x in zip(columns, numbers, strict=True)]
-    body = _planes(np.diff(numbers[0], prepend=np.zeros(1, np.uint32)), *numbers[1:], n[order].astype(np.uint32), *others)
+    body = _planes(np.diff(numbers[0], prepend=np.zeros(1, np.uint32)), *numbers[1:], n[order].astype(np.uint64), *others)
     return zstandard.ZstdCompressor(level=1).compress(np.array([len(n), *map(len, others)], np.uint32).tobytes() + body)
 
 
@@ -216,8 +223,8 @@ def unpacked_ngrams(names: Names, cells: list[bytes], order: int) -> tuple[list[
         raw = np.frombuffer(reader.decompress(cell), np.uint8)
         size, *rest = raw[: 4 * (order + 1)].view(np.uint32).tolist()
         at, numbers = 4 * (order + 1), []
-        for _ in range(order + 1):
-            x, at = _column(raw, at, size, np.uint32)
+        for k in range(order + 1):
+            x, at = _column(raw, at, size, np.uint32 if k < order else np.uint64)
             numbers.append(x)
         numbers[0] = np.cumsum(numbers[0], dtype=np.uint32)
         for k, m in enumerate(rest):
@@ -330,7 +337,11 @@ def _ngrams(docs: DataFrame, order: int, names: np.ndarray, shorter: np.ndarray,
         columns, n = unpacked_ngrams(names, cells, order)
         keys = _keys(columns)[0]
         by = np.argsort(keys)
-        return [(s, packed_ngrams([c[by[i]] for c in columns], [names.numbers(c[by[i]]) for c in columns], n[by[i]])) for s, i in split(keys[by], done)]
+        # what many groups have is added up on the way
+        first, _ = runs(keys[by])
+        n = np.add.reduceat(n[by], first) if len(first) else n
+        by = by[first]
+        return [(s, packed_ngrams([c[by[i]] for c in columns], [names.numbers(c[by[i]]) for c in columns], n[i])) for s, i in split(keys[by], done)]
 
     def added(table: pa.Table) -> pa.Table:
         names, _ = received(shared)
@@ -463,7 +474,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, word, own, w, others = received(held_by_all)
-        row = TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << (BLOCK_BITS + GROUP_BITS)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in row_groups(offsets, SCORED_GROUP):
@@ -502,7 +513,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*cells.columns, *(pa.nulls(m, batch.schema.field(0).type if kind is None else kind) for kind in plain)], names=names)
                 number = np.arange(row, row + n)
                 yield pa.RecordBatch.from_arrays([pa.array(number & ((1 << bits) - 1)), pa.nulls(n, pa.binary()), pa.array(number), batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(np.diff(where)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(arcs)], names=names)
-                row += n
+                # the scores of a group are put together at once: its bytes are bounded, however many texts it has
+                row += 1 << BLOCK_BITS
 
     def looked_up(asked: pa.Table, arcs: pa.Table) -> pa.Table:
         """The rows of texts as they are, and for each block of texts a cell of what the arcs of this shard add to each."""

@@ -188,3 +188,27 @@ def test_very_long_texts(spark):
     docs[-1] = (docs[-1][0], docs[0][1])
     docs[1] = (docs[1][0], "y" * 3_000_000 + " " + docs[1][1])
     check(spark, docs)
+
+
+def test_an_ngram_of_every_group_is_added_up_on_the_way(spark, monkeypatch):
+    """Each text is a group and holds one pair that all hold: shards get it a few times, not once for each group."""
+    for name, value in (("LEAST_BITS", 6), ("SPLIT_BITS", 2), ("GROUP", 40), ("SCORED_GROUP", 40)):
+        monkeypatch.setattr(lm, name, value)
+    seen = {}
+    real = lm._resplit
+
+    def kept(cells, again, bits):
+        out = real(cells, again, bits)
+        if "b" not in cells.columns and cells.columns == ["shard", "cell"] and not seen:
+            seen["before"], seen["after"] = [r.cell for r in cells.collect()], [r.cell for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(lm, "_resplit", kept)
+    texts = [f"common pair own{i} word{i}" for i in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    names = np.zeros(0, np.uint64)
+    got = lm._ngrams(df, 2, names, np.full(1 << 13, 255, np.uint8), 6).collect()
+    assert [r.c for r in got] == [300]
+    often = lambda cells: max(np.unique(lm._keys(lm.unpacked_ngrams(lm.Names(names), cells, 2)[0])[0], return_counts=True)[1])
+    assert often(seen["before"]) == 300 and often(seen["after"]) <= 4
+    assert sum(lm.unpacked_ngrams(lm.Names(names), seen["after"], 2)[1]) == sum(lm.unpacked_ngrams(lm.Names(names), seen["before"], 2)[1])
