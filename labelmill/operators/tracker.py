@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelmill.storage import staged
+from labelmill.storage import staged, unstaged
 
 #: Weights that are searched at once when drawing: 2 ** 17.
 CHUNK_BITS = 17
@@ -54,10 +56,58 @@ def sampling_weights(ids: DataFrame, tracker: DataFrame, epsilon: float = EPSILO
     return joined.withColumn("weight", weight(F.col("ema"), epsilon, most, default)).drop("ema")
 
 
+#: Ranges that values are counted in at once.
+RANGES = 4096
+
+
+def exact_percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Percentiles of a column, linear between ranks; None without values. Null counts as no value.
+
+    A value of a rank is found by counting: all values in RANGES ranges, then those of the range that holds the rank again,
+    until a range has one value. Each pass is one aggregation; no task, nor the driver, ever sees more than ranges.
+    """
+    values = staged(rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), "values")
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        unstaged(values)
+        return [None] * len(shares)
+    at = [q * (n - 1) for q in shares]
+    wanted = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    found: dict[int, float] = {}
+    # (least value, greatest value): how many values are smaller, and the ranks looked for inside
+    open_ = {(low, high): (0, wanted)}
+    while open_:
+        for (lo, hi), (_, ranks) in list(open_.items()):
+            if lo == hi:
+                found |= dict.fromkeys(ranks, lo)
+                del open_[lo, hi]
+        if not open_:
+            break
+        spans = list(open_)
+        which, part = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for k, (lo, hi) in enumerate(spans):
+            inside = F.col("v").between(lo, hi)
+            # halves first: the difference of two values may be too large for a double
+            share = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+            which, part = F.when(inside, F.lit(k)).otherwise(which), F.when(inside, F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(part)
+        counted = values.select("v", which.alias("span"), part.alias("part")).where("span IS NOT NULL").groupBy("span", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows_ = sorted(tuple(r) for r in counted.collect())
+        following: dict[tuple[float, float], tuple[int, list[int]]] = {}
+        for k, span in enumerate(spans):
+            before, ranks = open_[span]
+            for _, _, m, lo, hi in (r for r in rows_ if r[0] == k):
+                if inside := [r for r in ranks if before <= r < before + m]:
+                    following[lo, hi] = (before, inside)
+                before += m
+        open_ = following
+    unstaged(values)
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
 def weight_quantiles(weights: DataFrame) -> DataFrame:
     """p50, p90, p99 (linear between ranks) and max."""
-    q = F.percentile("weight", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return weights.agg(q.alias("q"), F.max("weight").alias("max_weight")).select(F.get("q", F.lit(0)).alias("p50"), F.get("q", F.lit(1)).alias("p90"), F.get("q", F.lit(2)).alias("p99"), "max_weight")
+    found = exact_percentiles(weights, "weight", [0.5, 0.9, 0.99, 1.0])
+    return weights.sparkSession.createDataFrame([tuple(found)], "p50 double, p90 double, p99 double, max_weight double")
 
 
 def weighted_draws(weights: DataFrame, draws: int, seed: int, index: str = "idx") -> DataFrame:

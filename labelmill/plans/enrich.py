@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ class CircuitOpen(RuntimeError):
 
 
 class Breaker:
-    """Counts failures in a row; a success starts anew, a limit of 0 never opens. One for each task: tasks share no counter."""
+    """Counts failures in a row; a success starts anew, a limit of 0 never opens. One for each task; enriched_to counts over all tasks."""
 
     def __init__(self, limit: int = 30):
         self.limit, self.failures = limit, 0
@@ -88,6 +92,81 @@ def enriched(rows: DataFrame, key: str, request: str, client: Client, out: str,
     return rows.select(key, request).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {out} string")
 
 
+@dataclass(frozen=True)
+class FailureRuns:
+    """Successes and failures in a row, as far as a run of failures can be told from them: all, failures at the beginning and at the end, the longest run."""
+
+    total: int = 0
+    leading: int = 0
+    trailing: int = 0
+    longest: int = 0
+
+    @classmethod
+    def of(cls, answers: list[bool]) -> FailureRuns:
+        out = cls()
+        for ok in answers:
+            out = out.then(cls(1, 0, 0, 0) if ok else cls(1, 1, 1, 1))
+        return out
+
+    def then(self, more: FailureRuns) -> FailureRuns:
+        leading = self.total + more.leading if self.leading == self.total else self.leading
+        trailing = self.trailing + more.total if more.trailing == more.total else more.trailing
+        return FailureRuns(self.total + more.total, leading, trailing, max(self.longest, more.longest, self.trailing + more.leading))
+
+
+class _Joined(AccumulatorParam):
+    """The driver joins what tasks tell, in the order in which they end, and says when the limit is reached."""
+
+    def zero(self, value: FailureRuns) -> FailureRuns:
+        return FailureRuns()
+
+    def addInPlace(self, value1: FailureRuns, value2: FailureRuns) -> FailureRuns:
+        return value1.then(value2)
+
+
+def enriched_to(rows: DataFrame, key: str, request: str, client: Client, out: str, folder: str, limit: int = 30, task_rows: int = 256, **how) -> DataFrame:
+    """Appends (key, out) of all rows to a folder of Parquet and returns what is there. limit failures in a row, over all tasks, stop the job with CircuitOpen, and then nothing of it is seen.
+
+    Tasks are of task_rows requests at most. Each tells the driver its runs of failures when it ends; the driver joins them,
+    and cancels the job by its tag as soon as a run is long enough, wherever its failures were.
+    """
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    told = context.accumulator(FailureRuns(), _Joined())
+    tasks = max(1, -(-rows.count() // task_rows))
+    answers = enriched(rows.repartition(tasks), key, request, client, out, breaker=limit, **how)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = FailureRuns()
+        for batch in batches:
+            runs = runs.then(FailureRuns.of([x.is_valid for x in batch.column(1)]))
+            yield batch
+        told.add(runs)
+
+    tag, ended = f"enriched-{uuid.uuid4().hex}", threading.Event()
+
+    def watched() -> None:
+        while not ended.wait(0.05):
+            if told.value.longest >= limit:
+                context.cancelJobsWithTag(tag)
+                return
+
+    watcher = threading.Thread(target=watched, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        answers.mapInArrow(counted, answers.schema).write.mode("append").parquet(folder)
+    except Exception as e:
+        if told.value.longest >= limit or "CircuitOpen" in str(e):
+            raise CircuitOpen(f"{max(limit, told.value.longest)} failures in a row over all tasks") from e
+        raise
+    finally:
+        ended.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    return spark.read.schema(answers.schema).parquet(folder)
+
+
 def enriched_with_checkpoint(rows: DataFrame, key: str, request: str, client: Client, out: str, folder: str, **how) -> DataFrame:
     """rows with out. What the folder has is not asked for again; failed or blank answers aren't saved, so the next run asks again. Keyed by key, not by place."""
     from labelmill.sources.readers import exists

@@ -605,3 +605,12 @@ def q_split_digests(spark, d):
     rows = splits.split_records(a.records(spark, d)).withColumn("unit", F.coalesce(F.concat(F.lit("g:"), F.col("paraphrase_group_id")), F.concat(F.lit("r:"), F.col("id"))))
     placed = batches.numbered(rows.select("split", "id", splits.hash_order(42, F.col("unit")).alias("key"), "ord"), ["key", "ord"], name="position")
     return splits.split_digests(placed)
+
+
+@query(rf"""WITH {_REASONED} SELECT id, CAST(unnest(range(len(bullets))) AS INTEGER) AS pos, unnest(bullets) AS bullet FROM reasoned""")
+def q_bullet_rows(spark, d):
+    """A row for each bullet, by a table function that SQL joins laterally."""
+    from labelmill.functions.tables import with_table_functions
+
+    rows = a.records(spark, d).select("id", "instruction_set")
+    return with_table_functions(spark).sql("SELECT r.id, b.pos, b.bullet FROM {rows} r, LATERAL bullets(r.instruction_set) b", rows=rows)

@@ -170,6 +170,29 @@ def activation_table(spark: SparkSession, path: str, split: str, layers: list[in
     return rows.join(valid.select(F.col("id").alias("record_id")), "record_id", "left_semi") if valid is not None else rows
 
 
+#: Bytes of a row group, and rows of a page, of a table that is looked up by record.
+LOOKUP_BYTES, LOOKUP_ROWS = 16 << 20, 256
+#: As many values of an IN Spark hands to Parquet one by one; of more only the range.
+IN_VALUES = 10
+
+
+def write_by_record(acts: DataFrame, path: str, distinct: int = 1_000_000, mode: str = "overwrite") -> None:
+    """Activations (split, layer, record_id, ...) for lookups: sorted by record inside split and layer, so that row groups and pages hold few records each, with Bloom filters and page statistics of record_id. distinct: records of a file, for the size of its filter."""
+    writer = acts.repartitionByRange("split", "layer", "record_id").sortWithinPartitions("split", "layer", "record_id").write.mode(mode).partitionBy("split", "layer")
+    options = {"parquet.bloom.filter.enabled#record_id": "true", "parquet.bloom.filter.expected.ndv#record_id": distinct, "parquet.bloom.filter.max.bytes": 4 << 20, "parquet.block.size": LOOKUP_BYTES, "parquet.page.row.count.limit": LOOKUP_ROWS, "parquet.page.size": 1 << 20}
+    writer.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+
+
+def by_record(spark: SparkSession, path: str, split: str, layers: list[int], ids: list[str]) -> DataFrame:
+    """Activations of some records, of a table that write_by_record wrote. Folders of other splits and layers, row groups whose statistics or filter don't have an id, and pages without one aren't read."""
+    rows = spark.read.parquet(path).where((F.col("split") == split) & F.col("layer").isin(layers))
+    wanted = F.lit(False)
+    for lo in range(0, len(ids), IN_VALUES):
+        some = F.col("record_id").isin(ids[lo : lo + IN_VALUES])
+        wanted = some if not lo else wanted | some
+    return rows.where(wanted)
+
+
 def json_file(path: str) -> dict | list:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
