@@ -8,10 +8,12 @@
    candidate if the collision-corrected similarity, estimated from the bit counts of the signatures, doesn't rule the
    threshold out. Candidates are confirmed on the full sets, and links are joined into components.
 4. Representatives in buckets that still hold several components are left open. Links between components of these are
-   found by finer bands over many more minima: texts that merely have passages in common, however many texts do, hardly
-   ever share one. A pair is only made if the labels differ and the collision-corrected similarity of one-bit
-   signatures of all these minima allows it, which is part of the join's condition. A link is missed with a probability of MISS,
-   whatever leaders were chosen.
+   found from their full sets. With shingles in the order of how few open sets have them, two sets that are similar
+   enough share one among the first few of each. Where that is a rare one, sets are paired by it. Sets with common ones
+   there, as those that are put together from the same parts, are paired by finer bands over many more minima, which texts
+   that merely have much in common hardly ever share, if enough stands from the first shingle on that both prefixes have. In either case a pair is only made if the labels differ and the
+   collision-corrected similarity of one-bit signatures allows it, as part of the join's condition. A link is missed with
+   a probability of MISS, whatever leaders were chosen.
 
 What belongs to a bucket is joined to its members by broadcast where it has many, and by shuffle where it has
 few, so no task gets all members of a large one. Nothing is collected to the driver but counts.
@@ -20,11 +22,11 @@ few, so no task gets all members of a large one. Nothing is collected to the dri
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +43,10 @@ MANY = 1 << 16
 #: How likely a pair at the threshold agrees in a finer band, which sets the rows of a band, and shares none of all bands.
 FINE = 0.142
 MISS = 1e-7
+#: Bits of the signatures that finer pairs are judged by, at most.
+FINE_BITS = 1024
+#: A shingle that more prefixes have than this is a common one.
+RARE = 64
 #: An estimate this much below the threshold (about five standard errors) rules a pair out.
 SLACK = 0.16
 
@@ -202,6 +208,58 @@ def _few(facts: DataFrame) -> int:
     return few
 
 
+def _prefixes(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(id, n, label, rest, shingle, short, size): the shingles in the prefixes of sets (id, set) that stand in prefixes of several labels, and in how many.
+
+    If 100 * intersection >= percent * union and b isn't the larger set, the intersection has at least percent / 100 of a,
+    and 2 * percent / (100 + percent) of b. So of either set only the rarest others + 1 shingles matter. What stands before
+    the first shingle that two sets share isn't in their intersection, so a pair needn't be made where too little stands from there on.
+    """
+    kind = sets.schema["id"].dataType
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                values = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                sizes = np.array([len(v) for v in values], np.int64)
+                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))], names=["id", "n", "shingle"])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
+    each = staged(sets.mapInArrow(tidy(exploded), schema), "shingles")
+    counts = staged(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shingle-counts")
+    common = _attached(each, counts, "shingle")
+    # what only one set has comes first and is never shared: the rest stands behind it
+    listed = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("common"))
+    least_a = F.ceil(F.col("n") * percent / 100 - 1e-9)
+    least_b = F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9)
+    alone = F.col("n") - F.size("common")
+    placed = listed.join(label, "id").withColumn("as_a", (F.col("n") - least_a + 1 - alone).cast("int")).withColumn("as_b", (F.col("n") - least_b + 1 - alone).cast("int"))
+    prefix = placed.where("as_a > 0").select("id", "n", "label", F.size("common").alias("shared"), "as_b", F.posexplode(F.expr("slice(common, 1, least(as_a, size(common)))")).alias("at", "x"))
+    # how many shingles stand from this one on
+    prefix = prefix.withColumn("rest", F.col("shared") - F.col("at"))
+    prefix = staged(prefix.select("id", "n", "label", "rest", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("as_b")).alias("short")), "prefixes")
+    # shingles in the prefixes of one component only are left out
+    mixed = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("shingle", "size")
+    return staged(_attached(prefix, staged(mixed, "mixed"), "shingle"), "prefixes")
+
+
+def _rare_pairs(prefix: DataFrame, facts: DataFrame, near: Callable[[], Column], percent: int) -> DataFrame:
+    """Pairs (a, b) that share a rare shingle of their prefixes."""
+    prefix = prefix.where(F.col("size") <= RARE).join(facts.drop("n"), "id")
+    bits = [c for c in facts.columns if c.startswith("bits")]
+    a = prefix.select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rest").alias("ra"), *(F.col(c).alias(f"a_{c}") for c in bits))
+    b = prefix.where("short").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rest").alias("rb"), *(F.col(c).alias(f"b_{c}") for c in bits))
+    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    return a.join(b, (a["shingle"] == b["shingle"]) & smaller & _enough(percent, F.least("ra", "rb")) & near()).select("a", "b")
+
+
+def _enough(percent: int, most: Column) -> Column:
+    """Whether sets of na and nb shingles may be similar enough if at most so many of them are in both."""
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+
+
 def fine_bands(threshold: float) -> tuple[int, int]:
     """(bands, rows of each) that miss a pair at the threshold with a probability of MISS at most; a multiple of 64 bands, so that the signatures fill longs."""
     rows = max(1, min(64, round(math.log(FINE) / math.log(min(threshold, 0.99)))))
@@ -209,42 +267,61 @@ def fine_bands(threshold: float) -> tuple[int, int]:
 
 
 def _fine_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids in sets (id, set) with different labels that share a finer band and that sizes and signatures don't rule out."""
+    """Pairs (a, b) of ids in sets (id, set) with different labels that may be linked: those that share a rare shingle of their prefixes, and, of sets with common ones there, those that share a finer band. Sizes and signatures that rule a pair out are part of the joins' conditions."""
     kind = sets.schema["id"].dataType
     threshold = percent / 100
     bands, rows = fine_bands(threshold)
     hashes = bands * rows
-    # a bit agrees in any case half of the time: 1 - 2 h / hashes estimates the similarity
-    error = math.sqrt((1.0 - threshold**2) / hashes)
-    most_differing = math.floor((1.0 - threshold + 5.5 * error) / 2 * hashes)
-    long = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("bits", long), T.StructField("bands", long)])
+    kept = min(FINE_BITS, hashes) // 64
+    # a bit agrees in any case half of the time: 1 - 2 h / bits estimates the similarity
+    error = math.sqrt((1.0 - threshold**2) / (64 * kept))
+    most_differing = math.floor((1.0 - threshold + 5.5 * error) / 2 * 64 * kept)
+    bits = [f"bits{k}" for k in range(kept)]
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), *(T.StructField(c, T.LongType()) for c in bits), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         functions = _functions(hashes, first=1 << 20)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, bits, keys = [], [], []
+                n, signs, keys = [], [], []
                 for packed_set in part.column(1):
                     s = np.frombuffer(packed_set.as_py(), np.uint64)
                     least = minima(s, functions)
                     n.append(len(s))
-                    bits.append(np.packbits((mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                    signs.append(np.packbits((mix(least[: 64 * kept].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
                     keys.append(_signed(band_keys(least, bands)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+                signs = np.array(signs, np.int64).reshape(len(n), kept)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(kept)), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     fine = staged(sets.mapInArrow(tidy(signed), schema), "fine")
-    each = fine.select("id", F.explode("bands").alias("band")).join(label, "id")
+    facts = fine.drop("bands")
+
+    def near() -> Column:
+        differing = F.lit(0)
+        for c in bits:
+            differing = differing + F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+        return (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing <= most_differing)
+
+    prefix = _prefixes(sets, label, percent)
+    rare = _rare_pairs(prefix, facts, near, percent)
+    # the shingles of the prefix in order, and how many stand from each on
+    heads = prefix.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("rest")).alias("at"), F.hash("shingle").alias("x")))).alias("head"), F.max("size").alias("size"))
+    heads = heads.where(F.col("size") > RARE).select("id", F.transform("head", lambda h: h["x"]).alias("head"), F.transform("head", lambda h: -h["at"]).alias("rests"))
+    common = staged(heads, "common")
+    if common.isEmpty():
+        return rare.distinct()
+    each = fine.join(common, "id", "left_semi").select("id", F.explode("bands").alias("band")).join(label, "id")
     # bands of one component only are left out
     mixed = each.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
-    shared = staged(_attached(each, staged(mixed, "mixed"), "band").drop("size"), "shared")
-    facts = fine.select("id", "n", "bits")
-    a = shared.join(facts, "id").select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa"), F.col("label").alias("la"))
-    b = shared.join(facts, "id").select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"), F.col("label").alias("lb"))
-    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing <= most_differing)
-    return a.join(b, (a["band"] == b["band"]) & near).select("a", "b").distinct()
+    shared = staged(_attached(each, staged(mixed, "mixed"), "band").drop("size"), "shared").join(facts, "id").join(common, "id")
+    a = shared.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"), F.col("rests").alias("rests_a"), F.col("label").alias("la"), *(F.col(c).alias(f"a_{c}") for c in bits))
+    b = shared.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"), F.col("rests").alias("rests_b"), F.col("label").alias("lb"), *(F.col(c).alias(f"b_{c}") for c in bits))
+    # prefixes must have a shingle in common, and enough must stand from the first one on; a collision of hashes can only make that more
+    first = F.get(F.array_intersect("ha", "hb"), F.lit(0))
+    left = [F.get(rests, (F.array_position(head, first) - 1).cast("int")) for head, rests in (("ha", "rests_a"), ("hb", "rests_b"))]
+    banded = a.join(b, (a["band"] == b["band"]) & (F.col("a") < F.col("b")) & near() & _enough(percent, F.least(*left))).select("a", "b")
+    return rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(banded).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
