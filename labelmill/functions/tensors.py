@@ -16,8 +16,24 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return np.array(rows, np.float64).reshape(len(rows), -1)
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a column of arrays, one after the other, and the places between rows; a null row has none."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False), bounds
+
+
+def _matrices(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """For each row of a column of arrays of arrays, these as the rows of a matrix; None for a null or empty one. Numbers are taken as they stand in the batch, not made into Python's."""
+    outer = column.offsets.to_numpy().astype(np.int64)
+    values, inner = _flat(column.values)
+    for lo, hi in zip(outer[:-1].tolist(), outer[1:].tolist(), strict=True):
+        yield values[inner[lo] : inner[hi]].astype(np.float64).reshape(hi - lo, -1) if hi > lo else None
+
+
+def _rows(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, bounds = _flat(column)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield values[lo:hi]
 
 
 def sequence_logprobs(df: DataFrame, key: str, logits: str = "logits", labels: str = "labels", chunk: int = 256) -> DataFrame:
@@ -26,10 +42,10 @@ def sequence_logprobs(df: DataFrame, key: str, logits: str = "logits", labels: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, counts = [], []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for x, y in zip(_matrices(batch.column(1)), _rows(batch.column(2)), strict=True):
                 total, n = 0.0, 0
-                if x and y:
-                    table, wanted = _matrix(x)[:-1], np.array(y, np.int64)[1:]
+                if x is not None and len(y):
+                    table, wanted = x[:-1], y[1:].astype(np.int64)
                     for lo in range(0, len(table), chunk):
                         part, w = table[lo : lo + chunk], wanted[lo : lo + chunk]
                         at = np.flatnonzero(w != IGNORED)
@@ -49,10 +65,10 @@ def token_kl(df: DataFrame, key: str, policy: str = "policy", reference: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, counts = [], []
-            for p, q, m in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                at = np.flatnonzero(np.array(m or [], int) == 1)
+            for p, q, m in zip(_matrices(batch.column(1)), _matrices(batch.column(2)), _rows(batch.column(3)), strict=True):
+                at = np.flatnonzero(m == 1)
                 if len(at):
-                    lp, lq = _log_softmax(_matrix(p)[at]), _log_softmax(_matrix(q)[at])
+                    lp, lq = _log_softmax(p[at]), _log_softmax(q[at])
                     sums.append(float((np.exp(lp) * (lp - lq)).sum()))
                 else:
                     sums.append(0.0)
@@ -64,7 +80,7 @@ def token_kl(df: DataFrame, key: str, policy: str = "policy", reference: str = "
 
 
 def projected(df: DataFrame, vector: str, weight: np.ndarray, bias: np.ndarray | None = None, out: str = "projected") -> DataFrame:
-    """df with out, weight @ vector + bias. The matrix is a model's, of fixed size, and sent to the executors once."""
+    """df with out, weight @ vector + bias; null for a null vector. The matrix is a model's, of fixed size, and sent to the executors once."""
     sent = df.sparkSession.sparkContext.broadcast((np.asarray(weight, np.float64), None if bias is None else np.asarray(bias, np.float64)))
     at = df.columns.index(vector)
     names = [*df.columns, out]
@@ -72,10 +88,13 @@ def projected(df: DataFrame, vector: str, weight: np.ndarray, bias: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = sent.value
         for batch in batches:
-            rows = batch.column(at).to_pylist()
-            y = _matrix(rows) @ w.T if rows else np.zeros((0, len(w)))
-            y = y if b is None else y + b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(y.astype(np.float32)), pa.list_(pa.float32()))], names=names)
+            known = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+            x = batch.column(at).drop_null()
+            y = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1) @ w.T if len(x) else np.zeros((0, len(w)))
+            y = (y if b is None else y + b).astype(np.float32)
+            ends = np.concatenate([[0], np.cumsum(known) * len(w)]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(y.ravel()), mask=pa.array(~known))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, `{out}` array<float>")

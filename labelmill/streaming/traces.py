@@ -93,7 +93,7 @@ def smoothed_stream(traces: DataFrame, alpha: float = ALPHA, late_steps: int = 0
     rows without step, record or reward are left out. A row at CLOSING, with an empty record id, completes all steps.
     """
     rows = traces.where("step IS NOT NULL AND record_id IS NOT NULL AND reward IS NOT NULL")
-    timed = rows.withColumn("at", F.timestamp_millis(F.col("step") + 1)).withWatermark("at", f"{late_steps} milliseconds")
+    timed = rows.withColumn("at", F.timestamp_millis(F.col("step") + 1)).withWatermark("at", f"{late_steps + 1} milliseconds")
     schema = T._parse_datatype_string("record_id string, ema double, cnt long, step long")
     out = timed.groupBy("record_id").transformWithStateInPandas(InOrderOfSteps(alpha, skip_all_zero), schema, "Update", "EventTime")
     return out.where("record_id <> ''")

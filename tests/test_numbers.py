@@ -107,6 +107,8 @@ def test_projection_and_norms(spark):
     df = rows(spark, [([1.0, 2.0, 3.0],), ([0.0, 0.0, 0.0],)], "v array<double>")
     got = [r.projected for r in projected(df, "v", w, b).collect()]
     assert got[0] == pytest.approx([9.0, 25.0]) and got[1] == pytest.approx([1.0, -1.0])
+    some = rows(spark, [(None,), ([1.0, 2.0, 3.0],), (None,)], "v array<double>").coalesce(1)
+    assert [r.projected for r in projected(some, "v", w).collect()] == [None, [8.0, 26.0], None]
     matched = [r.x for r in df.select(arrays.norm_matched(F.col("v"), 2.0).alias("x")).collect()]
     assert np.linalg.norm(matched[0]) == pytest.approx(2.0) and matched[1] == [0.0, 0.0, 0.0]
 

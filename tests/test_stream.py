@@ -55,7 +55,7 @@ def test_steps_are_released_when_they_are_complete(spark, tmp_path):
     deliver(f"{tmp_path}/in", [[(1, "a", 0.5)], [(9, "b", 1.0), (2, "a", 1.0), (1, "a", 0.7)], [(30, "a", 0.1)]])
     stream.run_until_read(stream.smoothed_stream(stream.trace_stream(spark, f"{tmp_path}/in", files_per_batch=1), late_steps=10), f"{tmp_path}/out")
     got = spark.read.parquet(f"{tmp_path}/out/rows").groupBy("record_id").agg(F.max("step").alias("step"), F.max("cnt").alias("cnt"), F.max_by("ema", "cnt").alias("ema")).collect()
-    # step 30 says that up to 20 all is there: 0.6, then 1.0; 30 itself stays open
+    # step 30 says that before 20 all is there: 0.6, then 1.0; 30 itself stays open
     assert {(r.record_id, r.step, r.cnt, round(r.ema, 6)) for r in got} == {("a", 2, 2, 0.72), ("b", 9, 1, 1.0)}
 
 
