@@ -10,8 +10,8 @@
 4. Representatives in buckets that still hold several components are left open. Links between components of these are
    found from their full sets. With shingles in the order of how few open sets have them, two sets that are similar
    enough share one among the first few of each. Where that is a rare one, sets are paired by it. Sets with common ones
-   there, as those that are put together from the same parts, are paired by finer bands over many more minima, which texts
-   that merely have much in common hardly ever share, if enough stands from the first shingle on that both prefixes have. In either case a pair is only made if the labels differ and the
+   there, as those that are put together from the same parts, are paired by bands over other minima, if enough stands from
+   the first shingle on that both prefixes have. In either case a pair is only made if the labels differ and the
    collision-corrected similarity of one-bit signatures allows it, as part of the join's condition. A link is missed with
    a probability of MISS, whatever leaders were chosen.
 
@@ -41,9 +41,9 @@ BITS = 4
 FEW_MEMBERS = 256
 MANY = 1 << 16
 #: How likely a pair at the threshold agrees in a finer band, which sets the rows of a band, and shares none of all bands.
-FINE = 0.142
+FINE = 0.377
 MISS = 1e-7
-#: Bits of the signatures that finer pairs are judged by, at most.
+#: Minima that finer pairs are judged by, one bit of each.
 FINE_BITS = 1024
 #: A shingle that more prefixes have than this is a common one.
 RARE = 64
@@ -261,9 +261,10 @@ def _enough(percent: int, most: Column) -> Column:
 
 
 def fine_bands(threshold: float) -> tuple[int, int]:
-    """(bands, rows of each) that miss a pair at the threshold with a probability of MISS at most; a multiple of 64 bands, so that the signatures fill longs."""
-    rows = max(1, min(64, round(math.log(FINE) / math.log(min(threshold, 0.99)))))
-    return -(-math.ceil(math.log(MISS) / math.log1p(-min(threshold, 0.99) ** rows)) // 64) * 64, rows
+    """(bands, rows of each) that miss a pair at the threshold with a probability of MISS at most."""
+    t = min(threshold, 0.99)
+    rows = max(1, min(64, round(math.log(FINE) / math.log(t))))
+    return math.ceil(math.log(MISS) / math.log1p(-(t**rows))), rows
 
 
 def _fine_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
@@ -271,8 +272,7 @@ def _fine_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     kind = sets.schema["id"].dataType
     threshold = percent / 100
     bands, rows = fine_bands(threshold)
-    hashes = bands * rows
-    kept = min(FINE_BITS, hashes) // 64
+    hashes, kept = max(bands * rows, FINE_BITS), FINE_BITS // 64
     # a bit agrees in any case half of the time: 1 - 2 h / bits estimates the similarity
     error = math.sqrt((1.0 - threshold**2) / (64 * kept))
     most_differing = math.floor((1.0 - threshold + 5.5 * error) / 2 * 64 * kept)
@@ -290,7 +290,7 @@ def _fine_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
                     least = minima(s, functions)
                     n.append(len(s))
                     signs.append(np.packbits((mix(least[: 64 * kept].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-                    keys.append(_signed(band_keys(least, bands)))
+                    keys.append(_signed(band_keys(least[: bands * rows], bands)))
                 signs = np.array(signs, np.int64).reshape(len(n), kept)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(kept)), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
@@ -311,7 +311,7 @@ def _fine_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     common = staged(heads, "common")
     if common.isEmpty():
         return rare.distinct()
-    each = fine.join(common, "id", "left_semi").select("id", F.explode("bands").alias("band")).join(label, "id")
+    each = fine.join(common, "id", "left_semi").join(label, "id").select("id", "label", F.explode("bands").alias("band"))
     # bands of one component only are left out
     mixed = each.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("band", "size")
     shared = staged(_attached(each, staged(mixed, "mixed"), "band").drop("size"), "shared").join(facts, "id").join(common, "id")
