@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from labelmill.operators.tracker import ALPHA
@@ -20,50 +20,41 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The step of the row that closes a stream: all before it are then complete. Its record id is empty.
 CLOSING = 9 * 10**12
+#: Groups of records whose complete steps are folded together, those of one group and batch at a time in a task. What a stream has in its checkpoint is kept by them.
+SHARDS = 1024
 
 
 class InOrderOfSteps(StatefulProcessor):
-    """Folds the rewards of one record, step by step in their order, whatever the order in which rows come.
+    """Folds the complete steps of the records of a shard into their averages.
 
-    Rows of a step are added up in a map of open steps, which has a timer at the step's time. When the watermark has passed
-    it, no row of the step can come any more: the step is folded into the average and leaves the map. So the state of a record
-    is three numbers and its open steps, not its rows.
+    All complete steps of a batch come together, and those of later batches are later ones, so they are put in order
+    here and folded at once. The state of a record is two numbers, read and written once for each batch that it is in.
     """
 
-    def __init__(self, alpha: float, skip_all_zero: bool):
-        self.alpha, self.skip_all_zero = alpha, skip_all_zero
+    def __init__(self, alpha: float):
+        self.alpha = alpha
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.folded = handle.getValueState("folded", "ema double, cnt long, last long")
-        self.open = handle.getMapState("open", "step long", "total double, n long, nonzero boolean")
+        self.folded = handle.getMapState("folded", "record_id string", "ema double, cnt long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for step, rewards in frame.groupby("step")["reward"]:
-                at, total, n, nonzero = (int(step),), 0.0, 0, False
-                if self.open.containsKey(at):
-                    total, n, nonzero = self.open.getValue(at)
-                else:
-                    self.handle.registerTimer(at[0] + 1)
-                self.open.updateValue(at, (total + float(rewards.sum()), n + len(rewards), bool(nonzero or (rewards != 0).any())))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() - 1
-        # timers that expire together may come in any order: each folds all steps up to its own
-        steps = sorted(k[0] for k in self.open.keys() if k[0] <= due)
-        ema, cnt, last = self.folded.get() if self.folded.exists() else (None, 0, None)
-        for step in steps:
-            total, n, nonzero = self.open.getValue((step,))
-            self.open.removeKey((step,))
-            last = step
-            if nonzero or not self.skip_all_zero:
-                ema = total / n if ema is None else self.alpha * (total / n) + (1 - self.alpha) * ema
-                cnt += 1
-        if steps and cnt:
-            self.folded.update((ema, cnt, last))
-            yield pd.DataFrame({"record_id": [key[0]], "ema": [ema], "cnt": [cnt], "step": [last]})
+        table = pd.concat(list(rows), ignore_index=True)
+        which, records = pd.factorize(table["record_id"])
+        order = np.lexsort((table["step"], which))
+        ends = np.cumsum(np.bincount(which))
+        steps, values, counts = (table[c].to_numpy()[order].tolist() for c in ("step", "value", "counts"))
+        out = []
+        for record, lo, hi in zip(records, [0, *ends[:-1]], ends, strict=True):
+            ema, cnt = self.folded.getValue((record,)) or (None, 0)
+            for value, counted in zip(values[lo:hi], counts[lo:hi], strict=True):
+                if counted:
+                    ema = value if ema is None else self.alpha * value + (1 - self.alpha) * ema
+                    cnt += 1
+            if cnt:
+                self.folded.updateValue((record,), (ema, cnt))
+                out.append((record, ema, cnt, steps[hi - 1]))
+        if out:
+            yield pd.DataFrame(out, columns=["record_id", "ema", "cnt", "step"])
 
     def close(self) -> None:
         pass
@@ -71,7 +62,7 @@ class InOrderOfSteps(StatefulProcessor):
 
 @contextmanager
 def _rocks(spark: SparkSession) -> Iterator[None]:
-    """State with maps and timers needs this store. It is set where the session has none of its own choice, for as long as a query is started."""
+    """State with maps needs this store. It is set where the session has none of its own choice, for as long as a query is started."""
     with _lock:
         before = spark.conf.get(STORE)
         spark.conf.set(STORE, ROCKS)
@@ -94,8 +85,12 @@ def smoothed_stream(traces: DataFrame, alpha: float = ALPHA, late_steps: int = 0
     """
     rows = traces.where("step IS NOT NULL AND record_id IS NOT NULL AND reward IS NOT NULL")
     timed = rows.withColumn("at", F.timestamp_millis(F.col("step") + 1)).withWatermark("at", f"{late_steps + 1} milliseconds")
-    schema = T._parse_datatype_string("record_id string, ema double, cnt long, step long")
-    out = timed.groupBy("record_id").transformWithStateInPandas(InOrderOfSteps(alpha, skip_all_zero), schema, "Update", "EventTime")
+    # rows of a step are added up as they come; a step leaves this state once, when it is complete
+    counts = F.lit(not skip_all_zero) | ~F.bool_and(F.col("reward") == 0)
+    complete = timed.groupBy("at", "record_id").agg(F.avg(F.col("reward").cast("double")).alias("value"), counts.alias("counts"))
+    steps = complete.select(F.pmod(F.hash("record_id"), F.lit(SHARDS)).alias("shard"), "record_id", (F.unix_millis("at") - 1).alias("step"), "value", "counts")
+    out = steps.groupBy("shard").transformWithStateInPandas(InOrderOfSteps(alpha), "record_id string, ema double, cnt long, step long", "Append", "None")
+    # not before: Spark would take the closing row away ahead of the watermark
     return out.where("record_id <> ''")
 
 
@@ -111,7 +106,7 @@ def run_until_read(stream: DataFrame, folder: str) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     with _rocks(stream.sparkSession):
-        query = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         # the settings of the session are taken over when the first batch is planned
         query.awaitTermination()
 
@@ -131,11 +126,13 @@ def replay_stream(traces: DataFrame, alpha: float = ALPHA, files: int | None = N
     folder = f"{shared_folder(spark)}/labelmill/stream-{uuid.uuid4().hex}"
     rows = traces.select("step", "record_id", "reward")
     (rows if files is None else rows.repartition(files)).write.parquet(f"{folder}/traces")
-    spread = rows.agg(F.coalesce(F.max("step") - F.min("step"), F.lit(0)).cast("long")).first()[0]
+    spread = spark.read.schema(rows.schema).parquet(f"{folder}/traces").agg(F.coalesce(F.max("step") - F.min("step"), F.lit(0)).cast("long")).first()[0]
     stream = spark.readStream.schema(rows.schema)
     stream = stream if files is None else stream.option("maxFilesPerTrigger", 1)
-    run_until_read(smoothed_stream(stream.parquet(f"{folder}/traces"), alpha, late_steps=spread + 1), folder)
-    # the closing row comes when all files are read
+    source = smoothed_stream(stream.parquet(f"{folder}/traces"), alpha, late_steps=spread + 1)
+    if files is not None:
+        # the closing row comes when all files are read
+        run_until_read(source, folder)
     spark.createDataFrame([(CLOSING, "", 0.0)], rows.schema).write.mode("append").parquet(f"{folder}/traces")
-    run_until_read(smoothed_stream(stream.parquet(f"{folder}/traces"), alpha, late_steps=spread + 1), folder)
+    run_until_read(source, folder)
     return latest(spark, folder)

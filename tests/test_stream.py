@@ -3,7 +3,9 @@
 import json
 import os
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,47 @@ def test_replay_equals_the_batch(spark, rows):
     want = states(tracker.replayed(df))
     assert states(stream.replay_stream(df)) == want == states(stream.replay_stream(df, files=3))
     assert stream.replay_stream(df.limit(0)).count() == 0
+
+
+def test_many_steps_cost_one_read_and_write_of_a_record():
+    class Counted(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return state
+
+    state = Counted()
+    fold = stream.InOrderOfSteps(0.5)
+    fold.init(Handle())
+    steps = list(range(3000))
+    random.Random(3).shuffle(steps)
+    table = pd.DataFrame([(r, s, 1.0 if s == 2999 else 0.0, s % 3 != 1) for s in steps for r in ("a", "b")], columns=["record_id", "step", "value", "counts"])
+    (got,) = fold.handleInputRows((1,), iter([table[:2500], table[2500:]]), None)
+    assert sorted(got.itertuples(index=False, name=None)) == [("a", 0.5, 2000, 2999), ("b", 0.5, 2000, 2999)]
+    assert state.calls == 4 and dict(state) == {("a",): (0.5, 2000), ("b",): (0.5, 2000)}
+    # a later batch goes on from there; a step that doesn't count leaves the average as it is
+    (got,) = fold.handleInputRows((1,), iter([pd.DataFrame([("a", 3001, 9.0, False), ("a", 3000, 1.0, True)], columns=table.columns)]), None)
+    assert list(got.itertuples(index=False, name=None)) == [("a", 0.75, 2001, 3001)]
+
+
+def test_many_steps_over_several_batches(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(step, f"r{rng.randrange(40)}", rng.choice((0.0, 0.25, 1.0))) for step in range(1200) for _ in range(20)]
+    deliver(f"{tmp_path}/in", [rows[k : k + 4000] for k in range(0, len(rows), 4000)] + [[(stream.CLOSING, "", 0.0)]])
+    began = time.monotonic()
+    stream.run_until_read(stream.smoothed_stream(stream.trace_stream(spark, f"{tmp_path}/in", files_per_batch=1)), f"{tmp_path}/out")
+    took = time.monotonic() - began
+    want = states(tracker.replayed(spark.createDataFrame(rows, "step long, record_id string, reward double")))
+    assert states(stream.latest(spark, f"{tmp_path}/out")) == want and len(want) == 40
+    # the batches before the closing one have released steps already
+    assert spark.read.parquet(f"{tmp_path}/out/rows").where(f"step < {rows[8000][0]}").count() > 0
+    assert took < 60
